@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textweave.llm.common import list_array, list_parts, ragged_take, string_bytes, sub_batches, texts_of, words_of
+from textweave.llm.common import list_array, list_array_of, list_parts, ragged_take, string_bytes, sub_batches, texts_of, words_of
 
 #: Above this many symbols a fragment is merged with a heap; the array steps are for the many short ones.
 LONG_FRAGMENT = 64
@@ -240,10 +240,6 @@ class ForcedBoundaryBpe:
         return pc.binary_join(list_array_of(self.names.take(flat), offsets), " ")
 
 
-def list_array_of(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-
-
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str) -> ForcedBoundaryBpe:
     """One encoder for each file and Python worker."""
