@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.llm.common import list_array_of, list_parts, segment_sum, stored, sub_batches, texts_of, words_of
-from textweave.llm.windows import Hashes, anchor_rows, covered, keyed, with_rows, word_units
+from textweave.llm.windows import HASHED_BYTES, Hashes, covered, keyed, shared_anchors, with_rows, word_units
 
 WIDTH = 50
 RANGES = "array<struct<first:int,n:int>>"
@@ -27,13 +27,13 @@ def halves(docs: DataFrame, wanted: DataFrame, width: int, half: int) -> DataFra
 
     A node is a run of windows that all hold one stretch of `half` words, at a fixed place from the anchor; h is its hash.
     """
-    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "n", "low", "back")).alias("want"))
+    lists = stored(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "n", "low", "back")).alias("want")), "wanted")
     joined = with_rows(docs, lists, "inner").dropDuplicates(["doc_id", "th"]).select("text", "want")
     step = width - half + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=HASHED_BYTES):
                 values, offsets = word_units(texts_of(batch))
                 hashes = Hashes(values)
                 want, at = list_parts(batch.column(1))
@@ -58,8 +58,8 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, runs): for each text, its runs of windows that also start in a document of smaller id."""
     quarter, half = -(-width // 4), -(-width // 2)
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    anchors = stored(anchor_rows(docs, word_units, width, quarter), "anchors")
     # Level 1: quarter windows that more than one document holds, in more than one surrounding.
+    anchors = shared_anchors(docs, word_units, width, quarter, F.col("a") < F.col("b"), F.min(rank).alias("a"), F.max(rank).alias("b"))
     stretches = stored(anchors.groupBy("key", "ctx").agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.min(F.struct(rank.alias("r"), "doc_id", "th", "first", "n", "back")).alias("one")), "stretches")
     groups = stretches.groupBy("key").agg(F.count("*").alias("m"), F.min("low").alias("a"), F.max("low").alias("b")).where("m > 1 AND a < b")
     wanted = stretches.join(groups, "key").select("one.doc_id", "one.th", "one.first", "one.n", "one.back", "key", "ctx", "low")

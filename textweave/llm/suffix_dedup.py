@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.llm.common import column, list_parts, ragged_take, stored, string_bytes, sub_batches, texts_of
-from textweave.llm.windows import Hashes, anchor_rows, byte_units, covered, keyed, text_hash, with_rows
+from textweave.llm.windows import HASHED_BYTES, Hashes, byte_units, covered, keyed, shared_anchors, with_rows
 
-WIDTH, GRAM = 400, 64
+WIDTH, GRAM = 400, 160
 #: Bytes of stretches in one transform.
 BLOCK_BYTES = 1 << 20
 #: Groups of one anchor with more distinct stretches are compared window by window, so that no task holds such a group.
@@ -158,12 +158,12 @@ def block_ranges(width: int):
 
 def stretches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(key, ctx, bytes, windows): the bytes of wanted stretches, or the window hashes of those in very large groups."""
-    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "n", "many")).alias("want"))
+    lists = stored(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "n", "many")).alias("want")), "wanted")
     joined = with_rows(docs, lists, "inner").dropDuplicates(["doc_id", "th"]).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=HASHED_BYTES):
                 texts = texts_of(batch)
                 raw, offsets = string_bytes(texts)
                 want, at = list_parts(batch.column(1))
@@ -185,7 +185,7 @@ def stretches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, width: int, gram: int, group_stretches: int) -> DataFrame:
     """(doc_id, th, runs): for each text with repeats, its runs of windows that also start elsewhere."""
-    anchors = stored(anchor_rows(docs, byte_units, width, gram), "anchors")
+    anchors = shared_anchors(docs, byte_units, width, gram, F.col("c") > 1, F.count("*").alias("c"))
     stretches = stored(anchors.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "first", "n")).alias("one")), "stretches")
     groups = stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stretches.where("times = 1").join(groups, "key").select("one.*", "key", "ctx", (F.col("m") > group_stretches).alias("many"))
@@ -238,8 +238,8 @@ def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_stretch
 
     What a cut leaves of a character goes too. Null texts stay null; other rules as in remove_repeats().
     """
-    runs = stored(repeated_runs(keyed(docs), width, gram, group_stretches), "runs").withColumnsRenamed({"doc_id": "_d", "th": "_t", "runs": "_runs"})
-    joined = docs.join(runs, docs.doc_id.eqNullSafe(runs["_d"]) & (text_hash() == runs["_t"]), "left").select(*docs.columns, "_runs")
+    runs = stored(repeated_runs(keyed(docs), width, gram, group_stretches), "runs").withColumnRenamed("runs", "_runs")
+    joined = with_rows(docs, runs, "left", docs.columns).select(*docs.columns, "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.llm.common import mix64, string_bytes, sub_batches, texts_of, word_hashes, words_of
+from textweave.llm.common import BROADCAST_ROWS, mix64, stored, string_bytes, sub_batches, texts_of, word_hashes, words_of
 
 BASE = np.uint64(0x9FB21C651E98DF25)
 #: Low bits of a packed minimum that hold its place; longer single texts than 2 ** PLACE_BITS units are refused.
@@ -90,6 +90,10 @@ def anchored(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return hashes, text[first], window[first], np.diff(np.append(first, len(text))), grams[chosen[first]], chosen[first]
 
 
+#: Bytes of text whose arrays of hashes are in memory at once.
+HASHED_BYTES = 1 << 19
+
+
 def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
     """(doc_id, th, key, ctx, first, n, back): one row for each run of windows, its anchor `back` units after its first.
 
@@ -99,7 +103,7 @@ def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=HASHED_BYTES):
                 values, offsets = units(texts_of(batch))
                 hashes, text, first, n, key, place = anchored(values, offsets, width, gram)
                 size = n + (width - 1)
@@ -122,11 +126,34 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
-def with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Joins rows grouped by (doc_id, th) to the documents; null ids meet null ids."""
-    left = docs.select("doc_id", "text", text_hash().alias("th"))
+def shared_anchors(docs: DataFrame, units: Callable, width: int, gram: int, test: Column, *aggregates: Column) -> DataFrame:
+    """The anchor rows of those keys whose aggregates pass a test; the others cannot hold a repeat and go no further.
+
+    Keys are pre-aggregated by each task before they are shuffled, so a very common one costs a row for each task.
+    """
+    anchors = stored(anchor_rows(docs, units, width, gram), "anchors")
+    keys = anchors.groupBy("key").agg(*aggregates).where(test).select("key")
+    return stored(anchors.join(keys, "key", "left_semi"), "shared_anchors")
+
+
+def with_rows(docs: DataFrame, rows: DataFrame, how: str, columns: list[str] | None = None) -> DataFrame:
+    """Joins a stored table of rows for (doc_id, th) to the documents; null ids meet null ids.
+
+    While the ids are few enough to broadcast, only texts that have rows are shuffled.
+    """
+    columns = columns or ["doc_id", "text"]
+    left = docs.select(*columns, text_hash().alias("th"))
     right = rows.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-    return left.join(right, left.doc_id.eqNullSafe(right["_d"]) & (left.th == right["_t"]), how).drop("_d", "_t")
+    on = left.doc_id.eqNullSafe(right["_d"]) & (left.th == right["_t"])
+    if rows.count() > BROADCAST_ROWS:
+        return left.join(right, on, how).drop("_d", "_t")
+    ids = F.broadcast(rows.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h")))
+    match = left.doc_id.eqNullSafe(ids["_i"]) & (left.th == ids["_h"])
+    some = left.join(ids, match, "left_semi").join(right, on, how).drop("_d", "_t")
+    if how != "left":
+        return some
+    rest = left.join(ids, match, "left_anti")
+    return some.unionByName(rest, allowMissingColumns=True)
 
 
 def covered(n_units: int, firsts: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
