@@ -1,11 +1,241 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""Registered queries and the SQL that must give the same rows.
+
+Sentence vectors are the rows of `embeddings` with label as document and vec_id as order; ten in a row are a block.
+Scored entries are `events`; rating triples come from `lineitem`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textweave.functions import text as tx
+from textweave.functions.vectors import rounded, unit
+from textweave.operators import clusters, coherence, quality, ratings, scoring, temporal
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("sent_id"), F.expr("vec_id div 10").alias("block_id"), "embedding")
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") % 10 + 1).alias("a"), F.pmod("l_partkey", F.lit(10)).cast("double").alias("b"), F.pmod("l_suppkey", F.lit(7)).cast("double").alias("c"))
+    return ratings.consensus(m, ["a", "b", "c"])
+
+
+def ce_features(spark, sf_dir):
+    return rounded(coherence.coherence(vectors(spark, sf_dir)))
+
+
+def cle_similarity(spark, sf_dir):
+    return rounded(coherence.similarity_load(vectors(spark, sf_dir)))
+
+
+def ne_vectors(spark, sf_dir):
+    return rounded(coherence.narrative(vectors(spark, sf_dir)))
+
+
+def se_features(spark, sf_dir):
+    return rounded(clusters.topic_clusters(vectors(spark, sf_dir)))
+
+
+def document_vectors(spark, sf_dir):
+    cells = vectors(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "v")).groupBy("doc_id", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    mean = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("m")).select("doc_id", unit(F.col("m.v")).alias("u"))
+    return rounded(mean.select("doc_id", F.posexplode("u").alias("pos", "v")))
+
+
+def te_features(spark, sf_dir):
+    return rounded(temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events"))), 4)
+
+
+def user_state(spark, sf_dir):
+    return rounded(temporal.user_state(temporal.entries(table(spark, sf_dir, "events"))), 4)
+
+
+def classify_users(spark, sf_dir):
+    t = temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events").withColumn("value", F.col("value") / 5)))
+    trend = F.when(F.col("te_trend_direction") < 0, "improving").when(F.col("te_trend_direction") > 0, "worsening").otherwise("stable")
+    state = scoring.mental_state(F.col("te_n_entries"), F.lit(1.0), trend, F.col("te_slope"), F.col("te_rolling_7d_mean"), F.col("te_volatility"), F.col("te_rolling_7d_std"))
+    return t.select("user_id", trend.alias("trend"), state.alias("state"), scoring.band(F.col("te_rolling_7d_mean")).alias("band"))
+
+
+def rater_consensus(spark, sf_dir):
+    return rounded(triples(spark, sf_dir))
+
+
+def rater_agreement(spark, sf_dir):
+    return rounded(ratings.agreement(triples(spark, sf_dir), ["a", "b", "c"]))
+
+
+def rating_histogram(spark, sf_dir):
+    return triples(spark, sf_dir).groupBy(F.least(F.floor("consensus"), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def feature_correlations(spark, sf_dir):
+    return rounded(ratings.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], "l_discount"))
+
+
+def rank_correlation(spark, sf_dir):
+    return rounded(ratings.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+def ks_test(spark, sf_dir):
+    return rounded(ratings.kolmogorov_smirnov(table(spark, sf_dir, "lineitem"), "l_quantity", (F.col("l_returnflag") == "R").cast("int")))
+
+
+def tertile_bins(spark, sf_dir):
+    return ratings.tertiles(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.min("o_totalprice"), 4).alias("low"), F.round(F.max("o_totalprice"), 4).alias("high"))
+
+
+def balanced_sample(spark, sf_dir):
+    return ratings.balanced(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+
+
+def source_folds(spark, sf_dir):
+    return ratings.folds(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+def calibration_buckets(spark, sf_dir):
+    m = triples(spark, sf_dir).select((F.col("a") * 10).alias("expected"), (F.col("b") * 10).alias("model"))
+    return rounded(ratings.buckets(m, "expected"))
+
+
+def linear_score(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    terms = [(scoring.transformed(F.col("l_discount"), "inv"), 0.4), (scoring.transformed(F.col("l_tax"), "dir"), 0.3), (scoring.transformed(F.col("l_quantity"), "dir_norm", 50.0), 0.3)]
+    score = scoring.weighted_score(terms)
+    return rounded(d.select("l_orderkey", "l_linenumber", score.alias("score"), scoring.isotonic(score, [0.0, 40.0, 60.0, 100.0], [0.0, 20.0, 80.0, 100.0]).alias("calibrated"), scoring.band(score).alias("band")))
+
+
+def opening_repeats(spark, sf_dir):
+    return quality.openings(table(spark, sf_dir, "documents"))
+
+
+def text_markers(spark, sf_dir):
+    return rounded(quality.markers(table(spark, sf_dir, "documents")))
+
+
+def sentence_counts(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(tx.normalize_text(F.col("text")))).alias("sent_id", "sentence"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"), F.count_if(F.size(tx.letter_tokens(F.col("sentence"))) <= 4).alias("n_short"))
+
+
+def held_out_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        ce_features, cle_similarity, ne_vectors, se_features, document_vectors, te_features, user_state, classify_users, rater_consensus, rater_agreement, rating_histogram, feature_correlations,
+        rank_correlation, ks_test, tertile_bins, balanced_sample, source_folds, calibration_buckets, linear_score, opening_repeats, text_markers, sentence_counts, held_out_texts,
+    )
+}
+FLAGSHIP = "ce_features"
+
+_T = """
+e AS (SELECT label AS doc_id, vec_id AS sent_id, vec_id // 10 AS block_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT *, lead(e) OVER w AS e1, lead(e, 2) OVER w AS e2, lead(e, 3) OVER w AS e3, lead(block_id) OVER w AS b1 FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id)),
+d AS (SELECT doc_id, sent_id, block_id, e, list_dot_product(e, e1) AS s, list_dot_product(e, e2) AS s2, list_dot_product(e, e3) AS s3, block_id = b1 AS same FROM l),
+t AS (SELECT *, lead(s) OVER w AS nx, lag(s) OVER w AS pv, lead(s) OVER w - s AS dr, sum(CASE WHEN s < 0.45 THEN 1 ELSE 0 END) OVER w AS run FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id))
+"""
+_E = """
+raw AS (SELECT user_id, epoch_us(ts) AS us, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+one AS (SELECT *, row_number() OVER (PARTITION BY user_id, us // 60000000 ORDER BY us, value) AS k FROM raw),
+r AS (SELECT user_id, us / 86400000000.0 AS day, value AS score FROM one WHERE k = 1)
+"""
+_TE = (
+    _E
+    + """,
+g AS (SELECT *, day - lag(day) OVER w AS gap, score - lag(score) OVER w AS delta, max(day) OVER p AS last, max(score) OVER p AS top, min(score) OVER p AS bottom
+  FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day), p AS (PARTITION BY user_id)),
+v AS (SELECT *, delta / greatest(gap, 1e-6) AS velocity FROM g),
+a AS (SELECT *, (velocity - lag(velocity) OVER w) / greatest(lag(gap) OVER w, 1e-6) AS acc,
+  sum(CASE WHEN delta < 0 THEN 0 ELSE 1 END) OVER b AS up, sum(CASE WHEN delta > 0 THEN 0 ELSE 1 END) OVER b AS down, last_value(score) OVER p AS latest
+  FROM v WINDOW w AS (PARTITION BY user_id ORDER BY day), b AS (PARTITION BY user_id ORDER BY day DESC), p AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (SELECT user_id, count(*) AS te_n_entries, max(day) - min(day) AS te_time_span_days, coalesce(avg(gap), 0) AS te_mean_gap_days, coalesce(max(gap), 0) AS te_max_gap_days,
+  coalesce(regr_slope(score, day), 0) AS te_slope, coalesce(avg(velocity), 0) AS te_velocity_mean, CASE WHEN count(*) > 2 THEN stddev_pop(velocity) ELSE 0 END AS te_velocity_std, coalesce(avg(acc), 0) AS te_acceleration_mean,
+  avg(CASE WHEN day >= last - 7 THEN score END) AS te_rolling_7d_mean, stddev_pop(CASE WHEN day >= last - 7 THEN score END) AS te_rolling_7d_std, avg(score) AS te_baseline_mean, stddev_pop(score) AS te_baseline_std,
+  count_if(up = 0)::BIGINT AS te_streak_improving, count_if(down = 0)::BIGINT AS te_streak_worsening, 100 * avg(CASE WHEN score <= latest THEN 1.0 ELSE 0.0 END) AS te_latest_percentile,
+  max(last) - min(CASE WHEN score = top THEN day END) AS te_days_since_high, max(last) - min(CASE WHEN score = bottom THEN day END) AS te_days_since_low, max(latest) AS latest FROM a GROUP BY user_id)
+"""
+)
+
+
+def _round(columns: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+
+_TRIPLES = """
+m AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) % 10 + 1 AS a, CAST(l_partkey % 10 AS DOUBLE) AS b, CAST(l_suppkey % 7 AS DOUBLE) AS c FROM lineitem),
+q AS (SELECT *, list_sort([a, b, c]) AS s FROM m),
+k AS (SELECT l_orderkey, l_linenumber, a, b, c, CASE WHEN s[3] - s[1] > 3 THEN CASE WHEN s[2] - s[1] >= s[3] - s[2] THEN (s[2] + s[3]) / 2 ELSE (s[1] + s[2]) / 2 END ELSE (s[1] + s[2] + s[3]) / 3 END AS consensus,
+  s[3] - s[1] > 3 AS trimmed, s[3] - s[1] AS spread, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)) / 3) AS deviation FROM q)
+"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+SQL: dict[str, str] = {
+    "ce_features": f"""WITH {_T},
+rl AS (SELECT doc_id, max(m) AS m FROM (SELECT doc_id, run, count(*) AS m FROM t WHERE s >= 0.45 GROUP BY doc_id, run) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS ce_n_sentences, count(s) AS ce_n_adj, coalesce(avg(s), 0) AS ce_adj_mean, coalesce(stddev_pop(s), 0) AS ce_adj_std, coalesce(min(s), 0) AS ce_adj_min, coalesce(max(s), 0) AS ce_adj_max,
+  coalesce(median(s), 0) AS ce_adj_median, coalesce(quantile_cont(s, 0.1), 0) AS ce_adj_p10, coalesce(quantile_cont(s, 0.25), 0) AS ce_adj_p25, coalesce(quantile_cont(s, 0.75), 0) AS ce_adj_p75, coalesce(quantile_cont(s, 0.9), 0) AS ce_adj_p90,
+  count_if(s < 0.45)::BIGINT AS ce_break_count, coalesce(avg((s < 0.45)::INT), 0) AS ce_break_rate, coalesce(min(dr), 0) AS ce_drop_min, coalesce(avg(dr), 0) AS ce_drop_mean, coalesce(stddev_pop(dr), 0) AS ce_drop_std,
+  count_if(dr < -0.15)::BIGINT AS ce_sharp_drop_count, coalesce(avg((dr < -0.15)::INT), 0) AS ce_sharp_drop_rate, coalesce(avg(greatest(0, 0.45 - s)) FILTER (s IS NOT NULL), 0) AS ce_low_mass, coalesce(sum(greatest(0, 0.45 - s)) FILTER (s IS NOT NULL), 0) AS ce_low_mass_sum,
+  coalesce(avg(s2), 0) AS ce_skip_mean, coalesce(min(s2), 0) AS ce_skip_min, count_if(s2 < 0.45)::BIGINT AS ce_skip_break_count, count(DISTINCT block_id) AS ce_n_blocks,
+  count_if(s < 0.45 AND same)::BIGINT AS ce_intra_block_break_count, coalesce(avg((s < 0.45)::INT) FILTER (same), 0) AS ce_intra_block_break_rate,
+  count_if(s < 0.45 AND NOT same)::BIGINT AS ce_inter_block_break_count, coalesce(avg((s < 0.45)::INT) FILTER (NOT same), 0) AS ce_inter_block_break_rate FROM t GROUP BY doc_id)
+SELECT doc_id, ce_n_sentences, ce_n_adj, ce_break_count, ce_sharp_drop_count, ce_skip_break_count, ce_n_blocks, ce_intra_block_break_count, ce_inter_block_break_count, coalesce(rl.m, 0) AS ce_longest_coherent_run,
+{_round(["ce_adj_mean", "ce_adj_std", "ce_adj_min", "ce_adj_max", "ce_adj_median", "ce_adj_p10", "ce_adj_p25", "ce_adj_p75", "ce_adj_p90", "ce_break_rate", "ce_drop_min", "ce_drop_mean", "ce_drop_std", "ce_sharp_drop_rate", "ce_low_mass", "ce_low_mass_sum", "ce_skip_mean", "ce_skip_min", "ce_intra_block_break_rate", "ce_inter_block_break_rate"])}
+FROM o LEFT JOIN rl USING (doc_id)""",
+    "cle_similarity": f"""WITH {_T}, o AS (SELECT doc_id, coalesce(stddev_pop(s), 0) AS cle_adj_sim_std, coalesce(max(s) - min(s), 0) AS cle_adj_sim_range, CASE WHEN avg(s) > 0 THEN stddev_pop(s) / avg(s) ELSE 0 END AS cle_adj_sim_cv,
+  coalesce(avg((s < 0.5)::INT), 0) AS cle_adj_low_frac, count_if((s > pv AND s > nx) OR (s < pv AND s < nx)) / greatest(1, count(*) - 2) AS cle_zigzag_rate, (count_if(s2 > 0.7) + count_if(s3 > 0.7)) / count(*) AS cle_repetition_score,
+  count_if(s < 0.5 AND nx > 0.65) / greatest(1, count(*) - 2) AS cle_resume_rate, count_if(coalesce(s < 0.5, false) OR coalesce(pv < 0.5, false)) / count(*) AS cle_semantic_break_rate, count_if(s < 0.5 AND pv < 0.5) / count(*) AS cle_semantic_isolated_rate FROM t GROUP BY doc_id)
+SELECT doc_id, {_round(["cle_adj_sim_std", "cle_adj_sim_range", "cle_adj_sim_cv", "cle_adj_low_frac", "cle_zigzag_rate", "cle_repetition_score", "cle_resume_rate", "cle_semantic_break_rate", "cle_semantic_isolated_rate"])} FROM o""",
+    "ne_vectors": f"""WITH {_T}, c AS (SELECT doc_id, pos, avg(v) AS v FROM (SELECT doc_id, unnest(e) AS v, unnest(range(len(e))) AS pos FROM e) GROUP BY doc_id, pos),
+h AS (SELECT doc_id, list(v ORDER BY pos) AS h FROM c GROUP BY doc_id), u AS (SELECT doc_id, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS h FROM h),
+k AS (SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id DESC) AS r FROM e),
+n AS (SELECT doc_id, avg(list_dot_product(e, h)) FILTER (k <= 3) AS ne_start_to_centroid, avg(list_dot_product(e, h)) FILTER (r <= 3) AS ne_end_to_centroid, any_value(e) FILTER (k = 1) AS a, any_value(e) FILTER (r = 1) AS b FROM k JOIN u USING (doc_id) GROUP BY doc_id),
+p AS (SELECT doc_id, coalesce(sum(1 - s), 0) AS path, count(*) AS n FROM t GROUP BY doc_id HAVING count(*) > 1),
+o AS (SELECT doc_id, list_dot_product(a, b) AS ne_start_end_sim, (1 - list_dot_product(a, b)) / (path + 1e-8) AS ne_arc_linearity, path / (n - 1) AS ne_semantic_wander, ne_start_to_centroid, ne_end_to_centroid, ne_end_to_centroid - ne_start_to_centroid AS ne_consolidation_delta FROM p JOIN n USING (doc_id))
+SELECT doc_id, {_round(["ne_start_end_sim", "ne_arc_linearity", "ne_semantic_wander", "ne_start_to_centroid", "ne_end_to_centroid", "ne_consolidation_delta"])} FROM o""",
+    "document_vectors": """WITH e AS (SELECT label AS doc_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM embeddings), c AS (SELECT doc_id, pos, avg(v) AS v FROM e GROUP BY doc_id, pos)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS v FROM c""",
+    "te_features": f"""WITH {_TE} SELECT user_id, te_n_entries, te_streak_improving, te_streak_worsening, CASE WHEN abs(te_slope) < 0.01 THEN 0 ELSE sign(te_slope)::INT END AS te_trend_direction,
+round(7 * te_slope, 4) AS te_slope_per_week, round(CASE WHEN te_baseline_std > 1e-9 THEN (latest - te_baseline_mean) / te_baseline_std ELSE 0 END, 4) AS te_latest_zscore, round(CASE WHEN te_baseline_mean > 1e-9 THEN te_baseline_std / te_baseline_mean ELSE 0 END, 4) AS te_volatility,
+{_round(["te_time_span_days", "te_mean_gap_days", "te_max_gap_days", "te_slope", "te_velocity_mean", "te_velocity_std", "te_acceleration_mean", "te_rolling_7d_mean", "te_rolling_7d_std", "te_baseline_mean", "te_baseline_std", "te_latest_percentile", "te_days_since_high", "te_days_since_low"], 4)} FROM x""",
+    "user_state": f"""WITH {_E}, z AS (SELECT *, pow(0.5, (max(day) OVER (PARTITION BY user_id) - day) / 14.0) AS w FROM r)
+SELECT user_id, round(sum(w * score) / sum(w), 4) AS current, round(sum(w), 4) AS weight, count(*) AS n_entries FROM z GROUP BY user_id""",
+    "classify_users": f"""WITH {_TE.replace("SELECT user_id, epoch_us(ts) AS us, value FROM", "SELECT user_id, epoch_us(ts) AS us, value / 5 AS value FROM")},
+y AS (SELECT *, CASE WHEN abs(te_slope) < 0.01 THEN 'stable' WHEN te_slope < 0 THEN 'improving' ELSE 'worsening' END AS trend, CASE WHEN te_baseline_mean > 1e-9 THEN te_baseline_std / te_baseline_mean ELSE 0 END AS vol FROM x)
+SELECT user_id, trend, CASE WHEN te_n_entries < 3 THEN 'insufficient_data' WHEN trend = 'improving' AND te_slope < -1 THEN 'active_integration' WHEN te_rolling_7d_mean > 55 AND (vol > 0.25 OR te_rolling_7d_std > 12) THEN 'overwhelm'
+  WHEN te_rolling_7d_mean > 55 AND abs(te_slope) < 0.5 THEN 'stuck' WHEN te_rolling_7d_mean < 35 AND abs(te_slope) < 0.5 THEN 'rigidity' ELSE 'baseline' END AS state,
+  CASE WHEN te_rolling_7d_mean <= 20 THEN 0 WHEN te_rolling_7d_mean <= 35 THEN 1 WHEN te_rolling_7d_mean <= 50 THEN 2 WHEN te_rolling_7d_mean <= 65 THEN 3 WHEN te_rolling_7d_mean <= 80 THEN 4 ELSE 5 END AS band FROM y""",
+    "rater_consensus": f"WITH {_TRIPLES} SELECT l_orderkey, l_linenumber, trimmed, {_round(['a', 'b', 'c', 'consensus', 'spread', 'deviation'])} FROM k",
+    "rater_agreement": f"WITH {_TRIPLES} SELECT count(*) AS n, round(avg(spread), 6) AS mean_spread, round(max(spread), 6) AS max_spread, round(avg(trimmed::INT), 6) AS trimmed_share, round(corr(a, b), 6) AS r_ab, round(corr(a, c), 6) AS r_ac, round(corr(b, c), 6) AS r_bc FROM k",
+    "rating_histogram": f"WITH {_TRIPLES} SELECT least(floor(consensus), 9)::INT AS bin, count(*) AS n FROM k GROUP BY 1",
+    "feature_correlations": " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr({f}, l_discount), 6) AS pearson, count(*) AS n FROM lineitem" for f in ("l_quantity", "l_extendedprice", "l_tax")),
+    "rank_correlation": """WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
+SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM k""",
+    "ks_test": """WITH c AS (SELECT l_quantity AS v, count_if(l_returnflag <> 'R') AS a, count_if(l_returnflag = 'R') AS b FROM lineitem GROUP BY 1), w AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c)
+SELECT round(max(abs(fa - fb)), 6) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b FROM w""",
+    "tertile_bins": """WITH q AS (SELECT quantile_cont(o_totalprice, 1.0::DOUBLE / 3) AS a, quantile_cont(o_totalprice, 2.0::DOUBLE / 3) AS b FROM orders)
+SELECT CASE WHEN o_totalprice <= a THEN 'low' WHEN o_totalprice <= b THEN 'medium' ELSE 'high' END AS bin, count(*) AS n, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high FROM orders, q GROUP BY 1""",
+    "balanced_sample": """WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) AS k FROM documents)
+SELECT doc_id, lang FROM k WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang))""",
+    "source_folds": "SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 5)::INT AS fold FROM documents",
+    "calibration_buckets": f"""WITH {_TRIPLES}, z AS (SELECT a * 10 AS x, b * 10 AS y, least(floor(a * 10 / 20) * 20, 80)::INT AS lo FROM k)
+SELECT printf('%02d-%03d', lo, lo + 20) AS bucket, count(*) AS n, round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse, round(avg(x), 6) AS mean_expected, round(avg(y), 6) AS mean_model FROM z GROUP BY lo""",
+    "linear_score": """WITH z AS (SELECT l_orderkey, l_linenumber, least(greatest(100 * ((1 - l_discount) * 0.4::DOUBLE + l_tax * 0.3::DOUBLE + least(l_quantity / 50.0::DOUBLE, 1) * 0.3::DOUBLE), 0), 100) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(s, 6) AS score, round(CASE WHEN s <= 40 THEN s * 0.5::DOUBLE WHEN s <= 60 THEN 20 + (s - 40) * 3 ELSE 80 + (s - 60) * 0.5::DOUBLE END, 6) AS calibrated,
+  CASE WHEN s <= 20 THEN 0 WHEN s <= 35 THEN 1 WHEN s <= 50 THEN 2 WHEN s <= 65 THEN 3 WHEN s <= 80 THEN 4 ELSE 5 END AS band FROM z""",
+    "opening_repeats": """WITH o AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:5], ' ') AS opening FROM documents)
+SELECT doc_id, opening, count(*) OVER (PARTITION BY opening) AS n, count(*) OVER (PARTITION BY opening) > 4 AND opening <> '' AS flagged FROM o""",
+    "held_out_texts": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
+}
