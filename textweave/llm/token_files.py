@@ -85,7 +85,7 @@ def document_lengths(blocks: DataFrame, end_id: int, width: int = 2) -> DataFram
     scanned = found.select(
         "file", "ends", "block",
         F.coalesce(F.sum(F.size("ends")).over(ahead), F.lit(0)).alias("ended"),
-        F.coalesce(F.max(F.element_at("ends", -1)).over(ahead), F.lit(-1)).alias("last_end"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(ahead), F.lit(-1)).alias("last_end"),
         (F.max("block").over(whole) == F.col("block")).alias("final"),
         (F.col("first") + F.col("size")).alias("stop"),
     )
