@@ -7,66 +7,63 @@ the one of least penalised likelihood (-2 log L + k log n) among the nested sets
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.llm.common import mix64, ragged_take, segment_sum, sub_batches, texts_of, words_of
+from textweave.llm.common import ragged_take, sub_batches, texts_of, words_of
 
 #: Hash buckets of n-grams: bounds the model at BUCKETS rows for each language.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-STEPS = 8
+STEPS = 6
 #: Share of every word's likelihood spread evenly over the languages, so no single word decides.
 FLOOR = 0.02
 MAX_LANGUAGES = 256
+#: Bytes of text whose n-grams are in memory at once.
+READ_BYTES = 3 << 20
 
 
-def distinct_letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of each distinct word, each framed by zeros; what is no letter becomes zero."""
-    import pyarrow.compute as pc
-
-    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().lower()
-    points = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32)
-    kinds, inverse = np.unique(points, return_inverse=True)
-    letter = np.array([chr(p).isalpha() for p in kinds.tolist()])
-    breaks = np.flatnonzero(points == 10)
-    return np.where(letter[inverse], points, 0).astype(np.uint64), breaks
-
-
-def ngram_buckets(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of one order at each position, and which of them are within a word and hold a letter."""
-    n = len(points) - order + 1
-    value, some, middle = np.zeros(max(n, 0), np.uint64), np.zeros(max(n, 0), bool), np.ones(max(n, 0), bool)
-    for k in range(order):
-        part = points[k : k + n]
-        value = value * np.uint64(0x1F00D) + part
-        some |= part != 0
-        if 0 < k < order - 1:
-            middle &= part != 0
-    return (mix64(value + np.uint64(order << 56)) % np.uint64(BUCKETS)).astype(np.int64), some & middle
+@functools.lru_cache(maxsize=1)
+def letters_table() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct words: n-gram buckets, the word of each, and whether a word has letters."""
-    points, breaks = distinct_letters(words)
-    owner = np.cumsum(np.isin(np.arange(len(points)), breaks)) - 1
+    """For distinct words: n-gram buckets, the word of each, and whether a word has letters.
+
+    Words are lower-cased; what is no letter is a break, as is the edge of a word.
+    """
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().lower()
+    points = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32)
+    owner = (np.cumsum(points == 10) - 1).astype(np.int32)  # an n-gram that starts on the break before a word is that word's
+    letter = letters_table()[points]
+    value = np.where(letter, points, 0).astype(np.uint64)
     buckets, owners = [], []
     for order in ORDERS:
-        found, good = ngram_buckets(points, order)
-        at = np.flatnonzero(good)
-        # An n-gram that starts on the break before a word is that word's.
-        buckets.append(found[at])
-        owners.append(owner[at])
-    letters = np.zeros(len(words), bool)
-    letters[owner[points != 0]] = True
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-    keep = owner < len(words)
-    return bucket[keep], owner[keep], letters
+        n = max(len(points) - order + 1, 0)
+        gram = np.zeros(n, np.uint64)
+        good = np.zeros(n, bool)
+        for k in range(order):
+            gram *= np.uint64(0x1F00D)
+            gram += value[k : k + n]
+            good |= letter[k : k + n]
+        for k in range(1, order - 1):
+            good &= letter[k : k + n]
+        gram = gram[good] + np.uint64(order << 56)
+        gram *= np.uint64(0xD6E8FEB86659FD93)
+        buckets.append((gram >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+        owners.append(owner[:n][good])
+    found = np.zeros(len(words) + 1, bool)
+    found[owner[letter]] = True
+    return np.concatenate(buckets), np.concatenate(owners), found[:-1]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -79,7 +76,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=READ_BYTES):
                 codes, offsets, words = words_of(texts_of(batch))
                 bucket, owner, _ = word_features(words)
                 coded = batch.column(1).dictionary_encode()
@@ -104,16 +101,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return {"languages": names, "log_p": np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)}
 
 
-def mixture(share: np.ndarray, likelihood: np.ndarray, codes: np.ndarray, of: np.ndarray, offsets: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM over all documents of a block: proportions and log-likelihood. Languages of share 0 stay out."""
-    n = np.maximum(np.diff(offsets), 1)[:, None]
-    logs = np.zeros(len(share))
+def mixture(share: np.ndarray, likelihood: list[np.ndarray], of: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM over all documents of a block: proportions and log-likelihood. Languages of share 0 stay out.
+
+    likelihood: for each language, that of each word in the order of the documents; of: the document of each word.
+    """
+    n = len(share)
+    count = np.maximum(np.bincount(of, minlength=n), 1)
     for _ in range(steps):
-        weight = share[of] * likelihood[codes]
-        total = np.maximum(weight.sum(1, keepdims=True), 1e-30)
-        logs = segment_sum(np.log(total[:, 0]), offsets)
-        share = segment_sum(weight / total, offsets) / n
-    return share, logs
+        weight = [share[:, k][of] * p for k, p in enumerate(likelihood)]
+        total = np.maximum(functools.reduce(np.add, weight), 1e-30)
+        share = np.stack([np.bincount(of, weights=w / total, minlength=n) / count for w in weight], 1)
+    total = functools.reduce(np.add, [share[:, k][of] * p for k, p in enumerate(likelihood)])
+    return share, np.bincount(of, weights=np.log(np.maximum(total, 1e-30)), minlength=n)
 
 
 def infer(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,9 +125,7 @@ def infer(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     best, score, size = np.full(n, -1), np.zeros(n), np.zeros(n, int)
     if not count or not letters.any():
         return best, score, size
-    order = np.argsort(owner, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-    logs = segment_sum(model["log_p"][bucket[order]].astype(np.float64), ends)
+    logs = np.stack([np.bincount(owner, weights=by_bucket[bucket], minlength=len(words)) for by_bucket in model["log_p"].T], 1)
     likelihood = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -50))
     likelihood = (1 - FLOOR) * likelihood / likelihood.sum(1, keepdims=True) + FLOOR / count
     good = letters[codes]
@@ -135,10 +133,11 @@ def infer(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     codes = codes[good]
     m = np.diff(at)
     of = np.repeat(np.arange(n), m)
-    share, _ = mixture(np.full((n, count), 1 / count), likelihood, codes, of, at, STEPS)
+    by_word = [likelihood[:, k][codes] for k in range(count)]
+    share, _ = mixture(np.full((n, count), 1 / count), by_word, of, STEPS)
     ranked = np.argsort(-share, axis=1, kind="stable")
     least = np.full(n, np.inf)
-    chosen = share
+    chosen = share.copy()
     for k in range(1, count + 1):
         rows = np.flatnonzero((m > 0) & ((k <= 2) | (size == k - 1)))  # a set grows only while growing pays
         if not len(rows):
@@ -146,11 +145,11 @@ def infer(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
         within = np.zeros((len(rows), count))
         np.put_along_axis(within, ranked[rows, :k], np.take_along_axis(share[rows], ranked[rows, :k], 1) + 1e-6, 1)
         within /= within.sum(1, keepdims=True)
-        if len(rows) == n:
-            own, own_at = codes, at
-        else:
-            own, own_at = ragged_take(codes, at, rows)
-        fitted, logs = mixture(within, likelihood, own, np.repeat(np.arange(len(rows)), np.diff(own_at)), own_at, 1 if k == 1 else STEPS)
+        own, own_of = by_word, of
+        if len(rows) < n:
+            place, ends = ragged_take(np.arange(len(codes)), at, rows)
+            own, own_of = [p[place] for p in by_word], np.repeat(np.arange(len(rows)), np.diff(ends))
+        fitted, logs = mixture(within, own, own_of, 0 if k == 1 else STEPS)
         cost = -2 * logs + k * np.log(np.maximum(m[rows], 1))
         better = cost < least[rows]
         hit = rows[better]
@@ -179,7 +178,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*shared.value["languages"], "und"])
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=READ_BYTES):
                 best, score, size = infer(shared.value, texts_of(batch))
                 yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score), pa.array(size.astype(np.int32))], ["doc_id", "lang_pred", "score", "n_languages"])
 
