@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textweave.functions import text
-from textweave.operators import clusters, coherence, ratings, scoring
+from textweave.operators import clusters, coherence, discourse, ratings, scoring
 from textweave.sources import journals
 from textweave.streaming.entries import windowed_scores
 
@@ -94,3 +94,54 @@ def test_stream(spark, tmp_path):
     q.stop()
     r = spark.sql("SELECT * FROM scores").first()
     assert (r.n, r.mean, r["std"]) == (2, 3.0, 1.0)
+
+
+def texts(spark, rows):
+    return spark.createDataFrame(rows, "doc_id int, sentences array<string>, embeddings array<array<double>>, n string")
+
+
+TEXTS = [
+    (1, ["I love this because it helps.", "I hate my life...", "Anyway whatever"], [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]], "x"),
+    (2, None, None, None),
+    (3, ["Hi."], [[1.0, 0.0]], "x"),
+    (4, ["I am sure I can.", "", "It went bad -- and I can't go on.", "Yesterday was ok.", "Tomorrow too!!!"], [[1.0, 0.0]] * 5, "x"),
+    (5, [], [], "x"),
+    (6, ["I'm happy.", "I always fail at sad things, i'm sad too.", "Now i see it."], [[1.0, 0.0]] * 3, "x"),
+]
+
+
+def test_disorder_features(spark):
+    got = {r.doc_id: r.asDict() for r in discourse.disorder(texts(spark, TEXTS)).collect()}
+    assert all(v == 0 for d in (2, 5) for k, v in got[d].items() if k != "doc_id")
+    assert len(got[1]) == 18
+    assert (got[1]["gd_no_compression_ending"], got[1]["gd_topic_reset_rate"]) == (1.0, pytest.approx(1 / 3))
+    assert got[3]["gd_compression_failure_score"] == pytest.approx(0.1)
+    # Four sentences in two blocks; the second block opens with a pronoun and nobody was named before.
+    assert (got[4]["gd_block_reset_rate"], got[4]["gd_dangling_referent_rate"], got[4]["gd_entity_drift_score"]) == (1.0, 0.25, 0.5)
+
+
+def test_wording_features(spark):
+    got = {r.doc_id: r.asDict() for r in discourse.wording(texts(spark, TEXTS)).collect()}
+    assert all(v == 0 for d in (2, 3, 5) for k, v in got[d].items() if k != "doc_id")
+    assert (got[4]["ne_temporal_jump_rate"], got[4]["cle_punctuation_noise"], got[4]["ne_fragment_sentence_rate"]) == (0.25, 0.4, 0.4)
+    assert (got[1]["ne_end_abandonment_cue"], got[1]["ne_punct_break_rate"]) == (1.0, pytest.approx(1 / 3))
+
+
+def test_belief_conflicts(spark):
+    got = {r.doc_id: r for r in discourse.belief_conflicts(texts(spark, TEXTS)).collect()}
+    assert (got[1].bc_conflict_pair_count, got[1].bc_max_conflict_sim, got[1].bc_unresolved_rate) == (1, 0.8, 1.0)
+    assert [got[d].bc_belief_sentence_count for d in (2, 3, 5)] == [0, 0, 0]
+    assert (got[4].bc_conflict_span_max, got[4].bc_conflict_rate) == (2, 0.5)
+    assert (got[6].bc_conflict_pair_count, got[6].bc_integration_rate) == (1, 1.0)
+
+
+def test_verbs_after_articles(spark):
+    rows = [("the run",), ("we run",), ("Walking on",), ("a plan for a change",), ("green chair",)]
+    df = spark.createDataFrame(rows, "t string").select("t", discourse.has_verb(F.lower("t")).alias("v"))
+    assert {r.t: r.v for r in df.collect()} == {"the run": False, "we run": True, "Walking on": True, "a plan for a change": False, "green chair": False}
+
+
+@pytest.mark.parametrize("words, loops", [("a b c d e f", False), ("a a c d e f", True), ("a b a b e f", True), ("a b c a b f", False), ("long x long y long z", True), ("a a", False)])
+def test_looping(spark, words, loops):
+    df = spark.createDataFrame([(words.split(),)], "w array<string>").select(text.looping(F.col("w")))
+    assert df.first()[0] is loops

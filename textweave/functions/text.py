@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textweave.functions.lexicons import CORRUPTION
+
 
 def normalize_text(t: Column) -> Column:
     """Line ends as \\n, runs of spaces and tabs as one space, ends stripped; newlines kept."""
@@ -44,17 +46,17 @@ def has_bullets(t: Column) -> Column:
 
 
 def corrupted(t: Column) -> Column:
-    """Markup residue: tags, entities, links, escapes."""
-    return t.rlike(r"<[^>]{1,200}>|&[a-zA-Z]+;|&#\d+;|https?://|\\u[0-9a-fA-F]{4}")
+    """Markup residue: tags, attributes, entities, links, quiz remains, escapes."""
+    return t.rlike("(?iU)" + CORRUPTION)
 
 
-def looping(t: Column) -> Column:
-    """Six tokens or more with an adjacent repeat, a repeated bigram, or a longer token three times."""
-    w = letter_tokens(t)
+def looping(w: Column) -> Column:
+    """Six tokens or more with an adjacent repeat, a pair that follows itself, or a token of over three letters thrice."""
     n = F.size(w)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    adjacent = F.exists(F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)
+    at = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))
+    same = lambda i, k: F.coalesce(F.get(w, i) == F.get(w, i + k), F.lit(False))
+    repeats = F.exists(at, lambda i: same(i, 1) | (same(i, 2) & same(i + 1, 2)))
     long = F.array_sort(F.filter(w, lambda x: F.length(x) > 3))
     m = F.size(long)
     thrice = F.exists(F.zip_with(F.slice(long, 1, F.greatest(m - 2, F.lit(0))), F.slice(long, 3, F.greatest(m - 2, F.lit(0))), lambda a, b: a == b), lambda x: x)
-    return (n >= 6) & (adjacent | (F.size(F.array_distinct(pairs)) < F.size(pairs)) | thrice)
+    return (n >= 6) & (repeats | thrice)

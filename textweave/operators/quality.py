@@ -21,7 +21,7 @@ def openings(docs: DataFrame, limit: int = 4) -> DataFrame:
 def markers(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, loop_rate, corrupted, n_tokens, n_paragraphs, bullets) of each text."""
     s = t.sentences(t.normalize_text(F.col("text")))
-    loops = F.size(F.filter(F.col("s"), t.looping))
+    loops = F.size(F.filter(F.transform("s", t.letter_tokens), t.looping))
     return docs.select("doc_id", "text", s.alias("s")).select(
         "doc_id", F.size("s").alias("n_sentences"), F.coalesce(F.try_divide(loops, F.size("s")), F.lit(0.0)).alias("loop_rate"), t.corrupted(F.col("text")).alias("corrupted"),
         F.size(t.word_tokens(F.col("text"))).alias("n_tokens"), t.paragraphs(F.col("text")).alias("n_paragraphs"), t.has_bullets(F.col("text")).alias("bullets"),

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textweave.functions import lexicons as lx
 from textweave.functions import text as tx
 from textweave.functions.vectors import rounded, unit
-from textweave.operators import clusters, coherence, quality, ratings, scoring, temporal
+from textweave.operators import clusters, coherence, discourse, quality, ratings, scoring, temporal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +128,27 @@ def sentence_counts(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"), F.count_if(F.size(tx.letter_tokens(F.col("sentence"))) <= 4).alias("n_short"))
 
 
+def sentence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.sentences(tx.normalize_text(F.col("text"))).alias("sentences"))
+
+
+def gd_features(spark, sf_dir):
+    return rounded(discourse.disorder(sentence_arrays(spark, sf_dir)))
+
+
+def ne_cle_wording(spark, sf_dir):
+    return rounded(discourse.wording(sentence_arrays(spark, sf_dir)))
+
+
+def bc_features(spark, sf_dir):
+    """Turns of a conversation as sentences; a turn's vector has one of two directions, by the parity of its length."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t")).withColumn("odd", F.length("t") % 2 == 1)
+    vector = F.when(F.col("odd"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.6), F.lit(0.8)))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t", vector.alias("e")))).alias("s"))
+    docs = whole.select(F.col("conv_id").alias("doc_id"), F.col("s.t").alias("sentences"), F.col("s.e").alias("embeddings"))
+    return rounded(discourse.belief_conflicts(docs))
+
+
 def held_out_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
@@ -137,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ce_features, cle_similarity, ne_vectors, se_features, document_vectors, te_features, user_state, classify_users, rater_consensus, rater_agreement, rating_histogram, feature_correlations,
         rank_correlation, ks_test, tertile_bins, balanced_sample, source_folds, calibration_buckets, linear_score, opening_repeats, text_markers, sentence_counts, held_out_texts,
+        gd_features, ne_cle_wording, bc_features,
     )
 }
 FLAGSHIP = "ce_features"
@@ -174,6 +197,26 @@ def _round(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _has(patterns: tuple[str, ...], column: str = "t", start: str = "(?:^|{0})", flags: str = "(?i)") -> str:
+    """DuckDB's test for any pattern between non-word characters."""
+    pattern = f"{flags}{start.format(_EDGE)}(?:{'|'.join(patterns)})(?:$|{_EDGE})".replace("'", "''")
+    return f"regexp_matches({column}, '{pattern}')"
+
+
+_SENTENCES = r"""
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS text FROM documents),
+ss AS (SELECT r, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '') AS ss FROM d),
+s AS (SELECT r, unnest(ss) AS t, unnest(range(len(ss))) AS i FROM ss)
+"""
+_BASE = "|".join(lx.BASE_VERBS)
+_PLAIN = lx.AUXILIARY_VERBS + lx.MODAL_VERBS + lx.IRREGULAR_PAST + lx.THIRD_PERSON_VERBS
+_VERB = "(" + _has((*_PLAIN, r"[\p{L}\p{N}_]{2,}(?:ed|ing|es)")) + " OR " + _has(lx.BASE_VERBS, rf"regexp_replace(t, '(?i)\b(the|a|an)\s({_BASE})\b', 'x', 'g')") + ")"
+_PHRASES = lambda phrases: _has(tuple(p.replace(".", r"\.") for p in phrases))
+
+
 _TRIPLES = """
 m AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) % 10 + 1 AS a, CAST(l_partkey % 10 AS DOUBLE) AS b, CAST(l_suppkey % 7 AS DOUBLE) AS c FROM lineitem),
 q AS (SELECT *, list_sort([a, b, c]) AS s FROM m),
@@ -238,4 +281,43 @@ SELECT l_orderkey, l_linenumber, round(s, 6) AS score, round(CASE WHEN s <= 40 T
     "opening_repeats": """WITH o AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:5], ' ') AS opening FROM documents)
 SELECT doc_id, opening, count(*) OVER (PARTITION BY opening) AS n, count(*) OVER (PARTITION BY opening) > 4 AND opening <> '' AS flagged FROM o""",
     "held_out_texts": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
+    "gd_features": rf"""WITH {_SENTENCES},
+w AS (SELECT *, regexp_extract_all(lower(t), '[a-z'']+') AS w FROM s),
+v AS (SELECT *, list_sort(list_filter(w, lambda x: length(x) > 3)) AS v, {" + ".join(f"(length(t) - length(replace(lower(t), ' {c} ', ''))) // {len(c) + 2}" for c in lx.RUNON_CONNECTORS)} AS joins FROM w),
+f AS (SELECT r, i, len(w) AS n, {_has(lx.TOPIC_RESET)} AS reset, {_has(lx.REFERENT_STARTS, start=r"^[\s\x0B]*")} AND NOT {_has(lx.REFLECTION_WORDS)} AS referent, {_has(lx.REFLECTION_WORDS)} AS reflects, {_has(lx.SETUP)} AS setup, {_has(lx.OPEN_ENDINGS)} AS open,
+  len(w) >= 6 AND (len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) > 0 OR len(list_filter(range(1, len(w) - 2), lambda k: w[k] = w[k + 2] AND w[k + 1] = w[k + 3])) > 0 OR len(list_filter(range(1, greatest(len(v) - 1, 1)), lambda k: v[k] = v[k + 2])) > 0) AS loop,
+  regexp_matches(t, '(?i){lx.CORRUPTION}') AS corrupt, len(w) >= 25 AND (joins >= 5 OR NOT regexp_matches(t, '[.;:]')) AS runon, contains(t, '?') AND len(w) <= 12 AS question,
+  {_has(("[A-Z][a-z]{2,}", *lx.ANCHOR_WORDS), flags="")} AS anchor FROM v),
+g AS (SELECT *, min(i) FILTER (anchor) OVER (PARTITION BY r) AS first, max(i) OVER (PARTITION BY r) AS top FROM f),
+a AS (SELECT r, count(*) AS n, count_if(reset) AS resets, count_if(referent AND (first IS NULL OR i <= first)) AS dangling, count_if(setup) AS setups, count_if(loop) AS loops, count_if(corrupt) AS corrupts, count_if(runon) AS runons, count_if(question) AS questions,
+  count_if(reflects) AS reflections, CAST(count_if(open AND i = top) AS DOUBLE) AS ending, sum(n) AS words FROM g GROUP BY r),
+e AS (SELECT r, x, count(*) AS c FROM (SELECT r, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS x FROM s) WHERE regexp_full_match(x, '[A-Z][a-z]{{2,}}') AND x NOT IN ({", ".join(f"'{x}'" for x in lx.NOT_ENTITIES)}) GROUP BY r, x),
+m AS (SELECT r, CAST(sum(c) AS DOUBLE) AS mentions, CAST(count_if(c = 1) AS DOUBLE) AS singles FROM e GROUP BY r),
+q AS (SELECT *, resets + dangling + 2 * setups + loops + corrupts + runons + questions + ending AS total, coalesce(singles / mentions, 0) AS one FROM a LEFT JOIN m USING (r)),
+o AS (SELECT r, ending AS gd_no_compression_ending, 0.0::DOUBLE AS gd_block_reset_rate, resets / n AS gd_topic_reset_rate, dangling / n AS gd_dangling_referent_rate, setups / n AS gd_abandoned_setup_rate, loops / n AS gd_loop_repetition_rate, corrupts / n AS gd_corruption_rate,
+  runons / n AS gd_runon_chain_rate, setups / n AS gd_meta_scaffold_rate, questions / n AS gd_unanchored_question_rate, least(setups / 4, 1) AS gd_abandoned_setup_count_norm, least(total / 8, 1) AS gd_disorder_marker_count_norm, total / greatest(words, 1) * 500 AS gd_disorder_markers_per_500w,
+  one AS gd_single_use_entity_rate, least(one * least(coalesce(mentions, 0) / 4, 1), 1) AS gd_entity_drift_score, least(0.45::DOUBLE * ending + 0.25::DOUBLE * least(setups / 4, 1) + 0.1::DOUBLE * (reflections = 0)::INT, 1) AS gd_compression_failure_score FROM q),
+z AS (SELECT *, least({" + ".join(f"{w}::DOUBLE * {k}" for k, w in discourse.DISORDER_WEIGHTS.items())} + 0.15::DOUBLE * least(gd_disorder_markers_per_500w / 20, 1), 1) AS gd_global_disorder_score FROM o)
+SELECT doc_id, {", ".join(f"round(coalesce({k}, 0), 6) AS {k}" for k in (*discourse.DISORDER_WEIGHTS, "gd_disorder_markers_per_500w", "gd_single_use_entity_rate", "gd_global_disorder_score"))} FROM d LEFT JOIN z USING (r)""",
+    "ne_cle_wording": rf"""WITH {_SENTENCES},
+f AS (SELECT r, i, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS n, {_VERB} AS verb, regexp_matches(t, '(?:\.{{3,}}|…)$') AS trails, regexp_matches(t, '[.!?]$') AS ends, regexp_matches(t, '(?:—|--)$') AS dash, {_has(("but", "and", "so"), start="^")} AS joins,
+  {", ".join(f"{_PHRASES(v)} AS {k}" for k, v in {"temporal": lx.TEMPORAL_MARKERS, "past": lx.PAST_MARKERS, "future": lx.FUTURE_MARKERS, "glue": lx.GLUE_CONNECTORS, "connects": lx.CONNECTORS, "reflects": lx.REFLECTION_PHRASES, "closes": lx.CLOSURE_CUES, "gives_up": lx.ABANDONMENT_MARKERS, "restarts": lx.RESTART_CUES, "hedges": lx.HEDGE_CUES}.items())},
+  regexp_matches(t, '\?$') AS asks, len(regexp_extract_all(t, '--|—|–')) >= 2 AS dashes, len(regexp_extract_all(t, '\.{{3,}}|…+')) >= 2 AS clusters, regexp_matches(t, '!{{3,}}|\?{{3,}}|(?:—|--)\s*\S(?s:.*)\S') AS noisy FROM s),
+g AS (SELECT *, CASE WHEN n <= 4 THEN NOT (verb AND ends) ELSE NOT verb OR trails OR NOT ends END AS short, lag(past) OVER w AS past0, lag(future) OVER w AS future0, lag(glue) OVER w AS glue0, max(i) OVER (PARTITION BY r) AS top FROM f WINDOW w AS (PARTITION BY r ORDER BY i)),
+o AS (SELECT r, count_if(temporal) / count(*) AS ne_temporal_markers_rate, count_if(connects) / count(*) AS ne_connectors_rate, count_if(reflects) / count(*) AS ne_reflection_rate, count_if(short) / count(*) AS ne_fragment_sentence_rate,
+  count_if(trails OR dashes OR clusters) / count(*) AS ne_punct_break_rate, count_if(trails OR dash OR NOT verb OR (joins AND NOT ends)) / count(*) AS cle_fragment_rate, count_if(restarts) / count(*) AS cle_restart_rate, count_if(hedges) / count(*) AS cle_hedge_rate,
+  count_if(noisy OR clusters) / count(*) AS cle_punctuation_noise, count_if(((past0 AND future) OR (future0 AND past)) AND NOT (glue OR glue0)) / (count(*) - 1) AS ne_temporal_jump_rate, CAST(count_if(reflects AND i = top) AS DOUBLE) AS ne_last_sentence_reflective,
+  CAST(count_if(asks AND i = top) AS DOUBLE) AS ne_end_open_question, CAST(count_if(short AND i = top) AS DOUBLE) AS ne_end_fragment, CAST(bool_or(closes AND i >= top - 1) AS DOUBLE) AS ne_end_closure_cue, CAST(bool_or(gives_up AND i >= top - 1) AS DOUBLE) AS ne_end_abandonment_cue,
+  CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END AS cle_length_cv FROM g GROUP BY r HAVING count(*) > 1)
+SELECT doc_id, {", ".join(f"round(coalesce({k}, 0), 6) AS {k}" for k in ("ne_temporal_markers_rate", "ne_connectors_rate", "ne_reflection_rate", "ne_fragment_sentence_rate", "ne_punct_break_rate", "cle_fragment_rate", "cle_restart_rate", "cle_hedge_rate", "cle_punctuation_noise", "ne_temporal_jump_rate", "ne_last_sentence_reflective", "ne_end_open_question", "ne_end_fragment", "ne_end_closure_cue", "ne_end_abandonment_cue", "cle_length_cv"))}
+FROM d LEFT JOIN o USING (r)""",
+    "bc_features": rf"""WITH s AS (SELECT conv_id AS doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) % 2 = 1 AS odd, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT *, {" OR ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in lx.BELIEF_PATTERNS)} AS believes, {_PHRASES(lx.NEGATION_WORDS)} AS no, {_PHRASES(lx.INTEGRATION_MARKERS)} AS marks, {", ".join(f"{_has((a,))} AS a{k}, {_has((b,))} AS b{k}" for k, (a, b) in enumerate(lx.POLAR_PAIRS))} FROM s),
+p AS (SELECT x.doc_id, x.i, y.i AS j, CASE WHEN x.odd <> y.odd THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS sim FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.i < y.i
+  WHERE x.believes AND y.believes AND (x.no <> y.no OR {" OR ".join(f"(x.a{k} AND y.b{k}) OR (x.b{k} AND y.a{k})" for k in range(len(lx.POLAR_PAIRS)))})),
+q AS (SELECT p.*, EXISTS (SELECT 1 FROM f WHERE f.doc_id = p.doc_id AND f.marks AND f.i BETWEEN p.i - 2 AND p.j + 2) AS near FROM p),
+c AS (SELECT doc_id, count(*) AS m, max(sim) AS top, avg(sim) AS mean, avg(j - i) AS span, max(j - i) AS longest, count_if(near) AS near FROM q GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) > 1 THEN count_if(believes) ELSE 0 END AS k FROM f GROUP BY doc_id)
+SELECT doc_id, k::INT AS bc_belief_sentence_count, round(k / n, 6) AS bc_belief_sentence_rate, coalesce(m, 0)::INT AS bc_conflict_pair_count, round(coalesce(m / k, 0), 6) AS bc_conflict_rate, round(coalesce(top, 0), 6) AS bc_max_conflict_sim, round(coalesce(mean, 0), 6) AS bc_mean_conflict_sim,
+  round(coalesce(span, 0), 6) AS bc_conflict_span_mean, coalesce(longest, 0)::INT AS bc_conflict_span_max, coalesce(near, 0)::INT AS bc_integrated_count, round(coalesce(near / m, 0), 6) AS bc_integration_rate, coalesce(m - near, 0)::INT AS bc_unresolved_count, round(coalesce((m - near) / m, 0), 6) AS bc_unresolved_rate FROM b LEFT JOIN c USING (doc_id)""",
 }
