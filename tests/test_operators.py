@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textweave.functions import text
-from textweave.operators import clusters, coherence, discourse, ratings, scoring
+from textweave.functions import segments, text
+from textweave.operators import clusters, coherence, discourse, ratings, reports, scoring, training
 from textweave.sources import journals
 from textweave.streaming.entries import windowed_scores
 
@@ -145,3 +145,41 @@ def test_verbs_after_articles(spark):
 def test_looping(spark, words, loops):
     df = spark.createDataFrame([(words.split(),)], "w array<string>").select(text.looping(F.col("w")))
     assert df.first()[0] is loops
+
+
+def test_block_sentences(spark):
+    rows = [(1, "I was thinking\nActually, no. Fine...\nThen on\nand on.\n\n \n...\n\nLast one!"), (2, ""), (3, None), (4, "?!\r\n\r\n--"), (5, "A\nB\nC")]
+    got = {r.id: r.x for r in spark.createDataFrame(rows, "id int, t string").select("id", segments.block_sentences(F.col("t")).alias("x")).collect()}
+    assert [tuple(x) for x in got[1]] == [(0, "I was thinking"), (0, "Actually, no."), (0, "Fine..."), (0, "Then on and on."), (1, "Last one!")]
+    assert (got[2], got[3], got[4]) == ([], None, [])
+    assert [x.text for x in got[5]] == ["A", "B", "C"]
+
+
+def test_reports_without_rows(spark):
+    empty = spark.createDataFrame([], "control_type string, expected double, model double, id int")
+    assert set(reports.gates(empty).first()) == {False}
+    assert reports.summary(empty).first().n == 0
+    assert reports.worst(empty, ["id"]).count() == 0
+
+
+def test_feedback(spark):
+    rows = [(-2.0, "decrease"), (-1.0, "decrease"), (1.5, "increase"), (3.0, "stable"), (-3.5, "stable"), (9.0, "other")]
+    df = spark.createDataFrame(rows, "d double, t string").select(*scoring.feedback(F.col("d"), F.col("t")))
+    assert [tuple(r) for r in df.collect()] == [(True, True), (False, False), (True, True), (True, True), (False, False), (False, False)]
+
+
+def test_ridge_out_of_fold(spark):
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(60, 3)), rng.uniform(0.5, 2, 60)
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(size=60) / 10
+    rows = [(*map(float, a), float(b), float(c), i % 4) for i, (a, b, c) in enumerate(zip(x, y, w))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0, 1.0, 0)], "a double, b double, c double, y double, w double, fold int")
+    got = training.out_of_fold(df, ["a", "b", "c"], "y", "fold", 0.7, F.col("w")).collect()
+    for fold in range(4):
+        t = np.arange(60) % 4 != fold
+        mean_x, mean_y = np.average(x[t], axis=0, weights=w[t]), np.average(y[t], weights=w[t])
+        xc, yc = x[t] - mean_x, y[t] - mean_y
+        coef = np.linalg.solve((xc.T * w[t]) @ xc + 0.7 * np.eye(3), (xc.T * w[t]) @ yc)
+        assert [r.prediction for r in got[:60] if r.fold == fold] == pytest.approx(list((x[~t] - mean_x) @ coef + mean_y))
+    assert got[60].prediction is None
+    assert training.out_of_fold(df.limit(0), ["a"], "y", "fold").count() == 0

@@ -92,3 +92,12 @@ def narrative(sentences: DataFrame, edge: int = 3) -> DataFrame:
         "doc_id", "ne_start_end_sim", ((1 - F.col("ne_start_end_sim")) / (F.col("path") + 1e-8)).alias("ne_arc_linearity"), (F.col("path") / (F.col("n") - 1)).alias("ne_semantic_wander"),
         "ne_start_to_centroid", "ne_end_to_centroid", (F.col("ne_end_to_centroid") - F.col("ne_start_to_centroid")).alias("ne_consolidation_delta"),
     )
+
+
+def end_similarity(sentences: DataFrame) -> DataFrame:
+    """The last sentence against the mean of the others at length one; 0 for a single sentence. Sums are pre-aggregated."""
+    v = F.col("v").cast("double")
+    cells = sentences.select("doc_id", "sent_id", F.posexplode("embedding").alias("pos", "v")).groupBy("doc_id", "pos").agg(F.max_by(v, "sent_id").alias("last"), F.sum(v).alias("total"), F.count("*").alias("n"))
+    rest = F.col("total") - F.col("last")
+    similarity = F.try_divide(F.sum(rest * F.col("last")), F.sqrt(F.sum(rest * rest)))
+    return cells.groupBy("doc_id").agg(F.when(F.max("n") > 1, F.coalesce(similarity, F.lit(0.0))).otherwise(0.0).alias("ne_end_similarity"))

@@ -49,3 +49,14 @@ def mental_state(n: Column, confidence: Column, trend: Column, slope: Column, sc
         .when((score < 35) & (F.abs(slope) < 0.5), "rigidity")
         .otherwise("baseline")
     )
+
+
+#: The least change that counts as a move, and the widest that counts as stable.
+NOISE_FLOOR, STABLE_BAND = 1.0, 3.0
+
+
+def feedback(delta: Column, target: Column) -> tuple[Column, Column]:
+    """Whether the score moved as its target says, and whether that is an effect; an unknown target is neither."""
+    stable = F.abs(delta) <= STABLE_BAND
+    moved = F.when(target == "decrease", delta < -NOISE_FLOOR).when(target == "increase", delta > NOISE_FLOOR).when(target == "stable", stable).otherwise(False)
+    return moved, F.when(target == "stable", stable).otherwise(moved & (F.abs(delta) > NOISE_FLOOR))

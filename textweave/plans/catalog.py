@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textweave.functions import lexicons as lx
 from textweave.functions import text as tx
+from textweave.functions.segments import block_sentences
 from textweave.functions.vectors import rounded, unit
-from textweave.operators import clusters, coherence, discourse, quality, ratings, scoring, temporal
+from textweave.operators import clusters, coherence, discourse, quality, ratings, reports, scoring, temporal, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,48 @@ def classify_users(spark, sf_dir):
     return t.select("user_id", trend.alias("trend"), state.alias("state"), scoring.band(F.col("te_rolling_7d_mean")).alias("band"))
 
 
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, (*reports.SPECTRUM, reports.EMOTIONAL, reports.NEUTRAL)))
+    kind = F.get(kinds, F.col("l_linenumber").cast("int") - 1)
+    return triples(spark, sf_dir).select("l_orderkey", "l_linenumber", kind.alias("control_type"), (F.col("a") * 10).alias("expected"), (F.col("b") * 10).alias("model"))
+
+
+def eval_by_band(spark, sf_dir):
+    return rounded(reports.summary(scored_rows(spark, sf_dir), "control_type"))
+
+
+def eval_gates(spark, sf_dir):
+    return reports.gates(scored_rows(spark, sf_dir))
+
+
+def eval_worst(spark, sf_dir):
+    return rounded(reports.worst(scored_rows(spark, sf_dir), ["l_orderkey", "l_linenumber"]))
+
+
+def segment_blocks(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(block_sentences(F.col("text")), F.array().cast("array<struct<block_id:int,text:string>>")).alias("x"))
+    blocks = F.size(F.array_distinct(F.col("x.block_id")))
+    return x.select("doc_id", blocks.alias("n_blocks"), F.size("x").alias("n_sentences"), F.md5(F.array_join(F.transform("x", lambda s: F.concat(s["block_id"].cast("string"), F.lit(":"), s["text"])), "\n").cast("binary")).alias("digest"))
+
+
+def ne_end_similarity(spark, sf_dir):
+    return rounded(coherence.end_similarity(vectors(spark, sf_dir)))
+
+
+def feedback_effect(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    target = F.element_at(F.array(F.lit("decrease"), F.lit("increase"), F.lit("stable")), (F.col("event_id") % 3 + 1).cast("int"))
+    moves = table(spark, sf_dir, "events").select("event_id", target.alias("target"), (F.col("value") - F.lag("value").over(w)).alias("mes_delta")).where("mes_delta IS NOT NULL")
+    moved, effective = scoring.feedback(F.col("mes_delta"), F.col("target"))
+    return rounded(moves.select("event_id", "target", "mes_delta", moved.alias("moved_correctly"), effective.alias("effective")))
+
+
+def ridge_out_of_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", F.pmod("l_orderkey", F.lit(5)).cast("int").alias("fold"))
+    fitted = training.out_of_fold(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "fold", 1.0)
+    return rounded(fitted.groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "l_extendedprice").alias("r")), 4)
+
+
 def rater_consensus(spark, sf_dir):
     return rounded(triples(spark, sf_dir))
 
@@ -159,7 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ce_features, cle_similarity, ne_vectors, se_features, document_vectors, te_features, user_state, classify_users, rater_consensus, rater_agreement, rating_histogram, feature_correlations,
         rank_correlation, ks_test, tertile_bins, balanced_sample, source_folds, calibration_buckets, linear_score, opening_repeats, text_markers, sentence_counts, held_out_texts,
-        gd_features, ne_cle_wording, bc_features,
+        gd_features, ne_cle_wording, bc_features, eval_by_band, eval_gates, eval_worst, segment_blocks, ne_end_similarity, feedback_effect, ridge_out_of_fold,
     )
 }
 FLAGSHIP = "ce_features"
@@ -224,6 +267,8 @@ k AS (SELECT l_orderkey, l_linenumber, a, b, c, CASE WHEN s[3] - s[1] > 3 THEN C
   s[3] - s[1] > 3 AS trimmed, s[3] - s[1] AS spread, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)) / 3) AS deviation FROM q)
 """
 
+_SCORED = f"z AS (SELECT l_orderkey, l_linenumber, {list((*reports.SPECTRUM, reports.EMOTIONAL, reports.NEUTRAL))}[l_linenumber] AS control_type, a * 10 AS expected, b * 10 AS model FROM k)"
+
 SQL: dict[str, str] = {
     "ce_features": f"""WITH {_T},
 rl AS (SELECT doc_id, max(m) AS m FROM (SELECT doc_id, run, count(*) AS m FROM t WHERE s >= 0.45 GROUP BY doc_id, run) GROUP BY doc_id),
@@ -320,4 +365,26 @@ c AS (SELECT doc_id, count(*) AS m, max(sim) AS top, avg(sim) AS mean, avg(j - i
 b AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) > 1 THEN count_if(believes) ELSE 0 END AS k FROM f GROUP BY doc_id)
 SELECT doc_id, k::INT AS bc_belief_sentence_count, round(k / n, 6) AS bc_belief_sentence_rate, coalesce(m, 0)::INT AS bc_conflict_pair_count, round(coalesce(m / k, 0), 6) AS bc_conflict_rate, round(coalesce(top, 0), 6) AS bc_max_conflict_sim, round(coalesce(mean, 0), 6) AS bc_mean_conflict_sim,
   round(coalesce(span, 0), 6) AS bc_conflict_span_mean, coalesce(longest, 0)::INT AS bc_conflict_span_max, coalesce(near, 0)::INT AS bc_integrated_count, round(coalesce(near / m, 0), 6) AS bc_integration_rate, coalesce(m - near, 0)::INT AS bc_unresolved_count, round(coalesce((m - near) / m, 0), 6) AS bc_unresolved_rate FROM b LEFT JOIN c USING (doc_id)""",
+    "ne_end_similarity": """WITH c AS (SELECT label AS doc_id, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+p AS (SELECT doc_id, pos, arg_max(v, vec_id) AS last, sum(v) - arg_max(v, vec_id) AS rest, count(*) AS n FROM c GROUP BY doc_id, pos)
+SELECT doc_id, round(CASE WHEN max(n) > 1 THEN coalesce(sum(rest * last) / nullif(sqrt(sum(rest * rest)), 0), 0) ELSE 0 END, 6) AS ne_end_similarity FROM p GROUP BY doc_id""",
+    "feedback_effect": """WITH m AS (SELECT event_id, ['decrease', 'increase', 'stable'][event_id % 3 + 1] AS target, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS mes_delta FROM events)
+SELECT event_id, target, round(mes_delta, 6) AS mes_delta, CASE target WHEN 'decrease' THEN mes_delta < -1 WHEN 'increase' THEN mes_delta > 1 ELSE abs(mes_delta) <= 3 END AS moved_correctly,
+  CASE target WHEN 'decrease' THEN mes_delta < -1 WHEN 'increase' THEN mes_delta > 1 ELSE abs(mes_delta) <= 3 END AS effective FROM m WHERE mes_delta IS NOT NULL""",
+    "eval_by_band": f"""WITH {_TRIPLES}, {_SCORED}
+SELECT control_type, count(*) AS n, round(avg(abs(model - expected)), 6) AS mae, round(sqrt(avg((model - expected) * (model - expected))), 6) AS rmse, round(avg(expected), 6) AS mean_expected, round(avg(model), 6) AS mean_model FROM z GROUP BY 1""",
+    "eval_gates": f"""WITH {_TRIPLES}, {_SCORED}, g AS (SELECT avg(abs(model - expected)) AS mae, avg(abs(model - expected)) FILTER (l_linenumber IN (4, 5)) AS high, {", ".join(f"avg(model) FILTER (l_linenumber = {k}) AS m{k}" for k in range(1, 8))} FROM z)
+SELECT coalesce(mae <= 12, false) AS overall_mae_ok, coalesce(high <= 15, false) AS high_band_mae_ok, coalesce(m6 <= 40, false) AS emotional_ok, coalesce(m7 >= 60, false) AS neutral_ok, coalesce(m1 < m2 AND m2 < m3 AND m3 < m4 AND m4 < m5, false) AS spectrum_ordered FROM g""",
+    "eval_worst": f"""WITH {_TRIPLES}, {_SCORED}, e AS (SELECT l_orderkey, l_linenumber, model - expected AS error FROM z)
+SELECT 'false_low' AS side, * FROM (SELECT l_orderkey, l_linenumber, round(error, 6) AS error FROM e ORDER BY e.error, l_orderkey, l_linenumber LIMIT 5)
+UNION ALL SELECT 'false_high' AS side, * FROM (SELECT l_orderkey, l_linenumber, round(error, 6) AS error FROM e ORDER BY e.error DESC, l_orderkey, l_linenumber LIMIT 5)""",
+    "segment_blocks": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS t FROM documents),
+b AS (SELECT r, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT r, string_split_regex(t, '\n(?:[ \t]*\n)+') AS bs FROM d)),
+l AS (SELECT r, i, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS b FROM b),
+m AS (SELECT r, i, regexp_replace(regexp_replace(b, '(\.\.\.|[^.!?:;\n])\n(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\.\.\.|[^.!?:;\n])\n(\p{Lu})', '\1' || chr(1) || '\2', 'g') AS b FROM l),
+f AS (SELECT r, i, unnest(fs) AS f, generate_subscripts(fs, 1) AS j FROM (SELECT r, i, string_split(replace(b, chr(10), ' '), chr(1)) AS fs FROM m)),
+s AS (SELECT r, i, j, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT r, i, j, string_split(regexp_replace(f, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM f)),
+k AS (SELECT r, dense_rank() OVER (PARTITION BY r ORDER BY i) - 1 AS block_id, i, j, k, regexp_replace(s, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS s FROM s WHERE NOT regexp_full_match(s, '[\s\x0B\p{P}]*')),
+a AS (SELECT r, count(DISTINCT block_id) AS n_blocks, count(*) AS n_sentences, string_agg(block_id || ':' || s, chr(10) ORDER BY i, j, k) AS x FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_blocks, 0)::INT AS n_blocks, coalesce(n_sentences, 0)::INT AS n_sentences, md5(coalesce(x, '')) AS digest FROM d LEFT JOIN a USING (r)""",
 }
