@@ -49,10 +49,11 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
             break
         at = order[rows]
         after = np.where(at + depth <= ends[at], rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        again = np.lexsort((after, rank[at]))
-        at, after = at[again], after[again]
+        both = rank[at] * (n + 1) + after
+        again = np.argsort(both, kind="stable")
+        at, both = at[again], both[again]
         order[rows] = at
-        fresh = np.append(True, (after[1:] != after[:-1]) | (rank[at[1:]] != rank[at[:-1]]))
+        fresh = np.append(True, both[1:] != both[:-1])
         new[rows] |= fresh
         rank[order] = np.maximum.accumulate(np.where(new, places, 0))
         depth *= 2
