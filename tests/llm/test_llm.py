@@ -129,6 +129,41 @@ def test_near_duplicates(spark, texts):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def chained_groups(groups, satellites):
+    """Two bases of similarity 0.83 a group, with satellites alike to their own base only."""
+    rng = np.random.default_rng(11)
+    out = []
+
+    def changed(words, size, times):
+        words = list(words)
+        for at in rng.choice(np.arange(0, len(words) - size, size + 5), times, replace=False):
+            words[at : at + size] = rng.choice(words, size)
+        return words
+
+    for g in range(groups):
+        a = [f"g{g}w{i}" for i in rng.integers(0, 150, 200)]
+        for base in (a, changed(a, 14, 1)):
+            out += [(g, base)] + [(g, changed(base, 1, 3)) for _ in range(satellites)]
+    return [g for g, _ in out], [" ".join(w) for _, w in out]
+
+
+def test_links_of_texts_that_lead_nothing(spark, monkeypatch):
+    size = 60
+    group, texts = chained_groups(12, size)
+    idf = near_dedup.document_frequencies(documents(spark, texts))
+    base = [i // (size + 1) * (size + 1) for i in range(len(texts))]
+    near = near_dedup.similarities(pa.array(texts), pa.array([texts[i] for i in base]), idf)
+    bases = sorted(set(base))
+    across = near_dedup.similarities(pa.array([texts[i] for i in bases[::2]]), pa.array([texts[i] for i in bases[1::2]]), idf)
+    whole = [g for g in range(12) if across[g] >= 0.8 and min(s for s, h in zip(near, group) if h == g) >= 0.8]
+    assert len(whole) >= 6
+    monkeypatch.setattr(near_dedup, "REST_BLOCK", 16)  # several blocks of a bucket
+    classes = defaultdict(set)
+    for r in near_dedup.near_duplicates(documents(spark, texts)).collect():
+        classes[group[r.doc_id]].add(r.class_id)
+    assert [len(classes[g]) for g in whole] == [1] * len(whole)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (1, 2)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}

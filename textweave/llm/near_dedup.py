@@ -3,13 +3,14 @@
 A shingle of five words weighs its count in the text times its inverse document frequency, the mean of its words'. The
 word frequencies are over all documents, in a hashed table of fixed size. Consistent samples agree between two texts with
 a probability equal to their weighted Jaccard similarity; texts that agree on a whole band meet in a bucket. Buckets give
-pairs with leading members only, never all pairs, and each pair is verified on its whole texts.
+pairs with leading members first; where classes stay apart, their other members are compared by sketches in blocks, and
+what those cannot rule out is tried too. Each pair is verified on its whole texts.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.llm.common import list_array, mix64, small_side, stored, sub_batches, texts_of, word_hashes, words_of
+from textweave.llm.common import list_array, list_parts, mix64, small_side, stored, sub_batches, texts_of, word_hashes, words_of
 from textweave.llm.components import connected_components
 from textweave.llm.windows import Hashes, keyed, text_hash
 
@@ -32,6 +33,8 @@ PLANES = 4
 #: Texts in buckets of more than CROWD classes get LONG further samples before they are compared with every other class;
 #: of those, 0.8 goes beyond LONG_APART with probability 1e-5 too, 0.72 in most cases.
 CROWD, LONG, LONG_APART = 16, 1024, 245
+#: Members of one block where those of classes still apart are compared, rows of it at once, and pairs at once.
+REST_BLOCK, REST_ROWS, REST_PAIRS = 8192, 128, 1 << 15
 #: Bytes of text whose shingles are in memory at once.
 SHINGLED_BYTES = 1 << 20
 #: Slots of the hashed word-frequency table: the bound of what reaches the driver and is broadcast.
@@ -231,6 +234,84 @@ def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.withColumn("single", F.col("label").isNull()).withColumn("label", F.coalesce("label", "key"))
 
 
+def rest_members(marked: DataFrame) -> DataFrame:
+    """Bucket rows that lead nothing, of buckets where two classes or more have such rows: their pairs met no lead."""
+    least = marked.groupBy("bucket", "label").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1")
+    apart = least.groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
+    least = least.join(apart, "bucket").select("bucket", F.col("label").alias("_l"), "least")
+    rows = marked.join(least.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & (F.col("label") == F.col("_l")))
+    return rows.where(F.col("key") != F.col("least")).select("bucket", "key", "weight", "planes")
+
+
+def rest_cell(similarity: float, best: bool) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of two blocks of a bucket, of different classes, that weights and sketches leave possible; `best`: the one
+    with the fewest samples apart of each two classes."""
+
+    def words(values: pa.Array, n: int) -> np.ndarray:
+        return list_parts(values)[0].to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by("key").combine_chunks()
+        one = lambda c: table.column(c).chunk(0)
+        label = one("label").dictionary_encode()
+        names, label = label.dictionary, label.indices.to_numpy()
+        weight, block = one("weight").to_numpy(), one("block").to_numpy()
+        planes = words(one("planes"), table.num_rows)
+        known = one("sketch").is_valid().to_numpy(zero_copy_only=False)
+        at = np.cumsum(known) - 1
+        sketch = words(one("sketch").drop_null(), int(known.sum())) if known.any() else np.zeros((0, 1), np.uint64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [np.zeros((3, 0), np.int64)]
+        for a in range(0, len(left), REST_ROWS):
+            x = left[a : a + REST_ROWS, None]
+            fits = (label[x] != label[right]) & (np.minimum(weight[x], weight[right]) >= (similarity - 1e-9) * np.maximum(weight[x], weight[right]))
+            if i == j:
+                fits &= x < right
+            differ = np.zeros(fits.shape, np.uint64)
+            for p in range(PLANES):
+                differ |= planes[x, p] ^ planes[right, p]
+            apart = np.bitwise_count(differ)
+            u, v = np.nonzero(fits & (apart <= MOST_APART))
+            apart, u, v = apart[u, v].astype(np.int64) * (LONG // 64), x[u, 0], right[v]
+            for b in range(0, len(u), REST_PAIRS):
+                some = np.flatnonzero(known[u[b : b + REST_PAIRS]] & known[v[b : b + REST_PAIRS]]) + b
+                if len(some):
+                    differ = sketch[at[u[some]]] ^ sketch[at[v[some]]]
+                    apart[some] = np.bitwise_count(np.bitwise_or.reduce(differ.reshape(len(some), -1, PLANES), 2)).sum(1)
+                    apart[some] = np.where(apart[some] <= LONG_APART, apart[some], -1)
+            found = np.stack([u, v, apart])[:, apart >= 0]
+            if best:
+                found = np.concatenate([out.pop(), found], 1)
+                low, high = np.sort(label[found[:2]], 0)
+                order = np.lexsort((found[2], high, low))
+                low, high = low[order], high[order]
+                found = found[:, order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]]]
+            out.append(found)
+        u, v, apart = np.concatenate(out, 1)
+        key, kind = one("key"), lambda rows: names.take(pa.array(label[rows]))
+        return pa.table({"a": key.take(pa.array(u)), "b": key.take(pa.array(v)), "la": kind(u), "lb": kind(v), "apart": pa.array(apart)})
+
+    return run
+
+
+def rest_pairs(rest: DataFrame, labels: DataFrame | None, similarity: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of the members that lead nothing, in blocks; every pair of a bucket meets in one cell.
+
+    No pair becomes a row before the sketches have let it pass; rows are repeated once for each block of their bucket.
+    """
+    now = rest if labels is None else labelled(rest, labels).drop("single")
+    sizes = now.groupBy("bucket").agg(F.count("*").alias("m"), F.countDistinct("label").alias("classes")).where("classes > 1")
+    now = now.join(sizes.select("bucket", F.ceil(F.col("m") / REST_BLOCK).cast("int").alias("n")), "bucket")
+    now = now.withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = now.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "label", "weight", "planes", "sketch")
+    found = cells.groupBy("bucket", "i", "j").applyInArrow(rest_cell(similarity, best), "a binary, b binary, la binary, lb binary, apart long")
+    pair = F.struct("apart", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if best:
+        return found.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(pair).alias("p")).select("p.a", "p.b")
+    return found.select(pair.alias("p")).select("p.a", "p.b").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) for every row: its class's least id and number of rows; other columns are ignored.
 
@@ -250,10 +331,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     named = docs.withColumn("th", text_hash())
     texts = stored(named.join(side, named.doc_id.eqNullSafe(side["_d"]) & (named.th == side["_t"])).select("key", "text").dropDuplicates(["key"]), "texts")
     labels, tried, links = None, None, None
-    step, every, sketches = 0, False, None
+    step, every, sketches, rest, best = 0, False, None, None, True
     while True:
         marked = labelled(buckets, labels)
-        if step == 0:
+        if rest is not None:
+            # Pairs of texts that lead nothing: the likeliest of each two classes as long as that joins classes, then all.
+            pairs = rest_pairs(rest, labels, similarity, best).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        elif step == 0:
             # Most texts of a class agree with its leading member: one pair for each text first.
             pairs = buckets.where("key <> head").groupBy("key").agg(F.min("head").alias("b")).select(F.col("key").alias("a"), "b")
         else:
@@ -288,13 +372,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         fresh = found.where("alike").select("a", "b")
         tried = found if tried is None else tried.unionByName(found)
         step += 1
-        if fresh.limit(1).count() == 0:
-            if every:
+        none = fresh.limit(1).count() == 0
+        if rest is not None and not best:
+            if none:
                 break
+        elif none and rest is not None:
+            best = False
+            continue
+        elif none and not every:
             every = step > 1
             continue
+        elif none:
+            # All pairs with a lead of the classes as they are now were tried: what is left are pairs without one.
+            rest = stored(rest_members(labelled(buckets, labels)), "rest")
+            if rest.limit(1).count() == 0:
+                break
+            crowded = rest.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("bucket")
+            among = rest.join(crowded, "bucket", "left_semi").select("key").distinct().join(sketches, "key", "left_anti")
+            sketches = sketches.select("key", "sketch").unionByName(long_sketches(texts.join(among, "key", "left_semi"), idf))
+            rest = stored(rest.join(sketches, "key", "left"), "rest")
+            continue
         links = fresh if links is None else links.unionByName(fresh)
         labels = stored(connected_components(links), "labels")
+        if rest is not None and not best:
+            break
     classes = rows.select("doc_id", "key") if labels is None else rows.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     classes = classes.withColumn("label", F.col("key") if labels is None else F.coalesce("label", "key"))
     sizes = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
