@@ -55,11 +55,23 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the least id; a null id counts as above all others."""
-    classes = near_dedup.near_duplicates(docs)
-    gone = stored(classes.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_d")).distinct(), "copies")
-    side = small_side(gone, gone.count())
-    return docs.join(side, docs.doc_id.eqNullSafe(side["_d"]), "left_anti").select(docs.columns)
+    """One row of each class stays, that of the least id, then text hash; a null id counts as above all others."""
+    classes = stored(near_dedup.row_classes(docs).where("label IS NOT NULL"), "classes")
+    rows = classes.groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
+    first = classes.groupBy("label").agg(least, F.count("*").alias("m")).where("m > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    rows = stored(rows.join(first, "label").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), stays.alias("stays"), "n"), "copies")
+    gone = rows.where("NOT stays OR n > 1")
+    repeated = rows.where("stays AND n > 1").select("_d", "_t")
+    kept = without(docs, gone.select("_d", "_t"))
+    many = repeated.count()
+    if not many:
+        return kept
+    side = small_side(repeated, many)
+    again = docs.withColumn("_th", text_hash())
+    again = again.join(side, again.doc_id.eqNullSafe(side["_d"]) & (again["_th"] == side["_t"]), "left_semi").dropDuplicates(["doc_id", "_th"])
+    return kept.unionByName(again.select(docs.columns))
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,3 +269,16 @@ def test_pipeline(spark):
     assert kept < {r.doc_id for r in docs.select("doc_id").collect()}
     copies = near_dedup.near_duplicates(docs).where("class_id <> doc_id").select("doc_id").collect()
     assert not kept & {r.doc_id for r in copies}
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    say = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [
+        (1, say("a")), (None, say("a")), (None, say("b")), (1, say("c")), (2, say("c")), (2, say("d")), (5, say("e")), (5, say("e")), (5, say("e")),
+        (None, say("f")), (None, say("f")), (7, None), (7, None), (8, say("g")), (8, say("g") + " h"),
+    ]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, [t for _, t in rows], [i for i, _ in rows]), SF)
+    got = sorted(((r.doc_id, (r.text or "-")[0]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "a"), (None, "b"), (1, "c"), (2, "d"), (5, "e"), (None, "f"), (7, "-"), (7, "-"), (8, "g")], key=str)

@@ -312,11 +312,10 @@ def rest_pairs(rest: DataFrame, labels: DataFrame | None, similarity: float, bes
     return found.select(pair.alias("p")).select("p.a", "p.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size) for every row: its class's least id and number of rows; other columns are ignored.
+def row_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, label) for every row: its text hash and its class, null for null texts and texts without words.
 
-    Classes are the components of verified links; texts of equal words are in one class. Null texts and texts without
-    words are classes of their own. A class of null ids alone has a null class_id; repeated rows are all in one class.
+    Classes are the components of verified links; texts of equal words are in one class, repeated rows too.
     """
     docs = keyed(docs, id_col, text_col)
     idf = document_frequencies(docs)
@@ -396,8 +395,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         labels = stored(connected_components(links), "labels")
         if rest is not None and not best:
             break
-    classes = rows.select("doc_id", "key") if labels is None else rows.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    classes = classes.withColumn("label", F.col("key") if labels is None else F.coalesce("label", "key"))
+    classes = rows.select("doc_id", "th", "key")
+    if labels is None:
+        return classes.withColumnRenamed("key", "label")
+    classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    return classes.select("doc_id", "th", F.coalesce("label", "key").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size) for every row: its class's least id and number of rows; other columns are ignored.
+
+    See row_classes(). Null texts and texts without words are classes of their own. A class of null ids alone has a null
+    class_id.
+    """
+    classes = row_classes(docs, similarity, id_col, text_col)
     sizes = classes.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     some = classes.where("label IS NOT NULL").join(sizes, "label").select("doc_id", "class_id", "class_size")
     none = classes.where("label IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
