@@ -184,6 +184,27 @@ def test_top_k(spark):
     assert [tuple(r) for r in got] == want
 
 
+@pytest.mark.parametrize("scale", [256, 1 << 27])
+def test_top_k_counts_an_id_once(spark, scale):
+    rng = np.random.default_rng(3)
+    ids = [*range(60), *[7] * 4, *[8] * 3, 50, 50, 9, 9]
+    v = rng.normal(size=(60, 4)).round(1)
+    v[7], v[8] = v[0] * 4, v[0] * 3
+    v = np.concatenate([v[ids[:-4]], v[[50]], rng.normal(size=(3, 4)).round(1) * 2])
+    got = topk.top_k(spark.createDataFrame(list(zip(ids, v.tolist())), "vec_id long, embedding array<double>"), 5, 50, scale).orderBy("query_id", "rank").collect()
+    q = [[int(x) for x in row] for row in np.floor(v * scale)]
+    want = []
+    for i in (0, 50):
+        best = {}
+        for a, x in zip(ids, q):
+            for b, y in zip(ids, q):
+                if a == i != b:
+                    score = sum(m * n for m, n in zip(x, y))
+                    best[b] = max(best.get(b, score), score)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted((-s, j) for j, s in best.items())[:5])]
+    assert [tuple(r) for r in got] == want
+
+
 def test_top_k_without_queries(spark):
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
 

@@ -71,6 +71,7 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
         if left.num_rows and right.num_rows:
             q_ids, q_all, q_length, q_lead, q_rest = prepared(left)
             c_ids, c_all, c_length, c_lead, c_rest = prepared(right)
+            several = len(np.unique(c_ids)) < len(c_ids)
             # Whole numbers: doubles are exact up to 2 ** 53, beyond that products are taken in Python integers.
             exact = q_length.max() * c_length.max() < 2**52
             slack = 1e-6 * (1 + q_length.max() * c_length.max())
@@ -107,6 +108,12 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
                     ids = np.concatenate([ids, who[touched].ravel()])
                     score = np.concatenate([score, best[touched].ravel()])
                     order = np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[i]))) if score.dtype == object else np.lexsort((ids, -score, qi))
+                    # An id counts once, with its best score: later rows of a query and id go; places without an id stay.
+                    if several:
+                        by_id = np.lexsort((np.arange(len(order)), ids[order], qi[order]))
+                        x, y = qi[order][by_id], ids[order][by_id]
+                        repeat = np.append(False, (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (y[1:] < np.iinfo(np.int64).max))
+                        order = order[np.sort(by_id[~repeat])]
                     qi, ids, score = qi[order], ids[order], score[order]
                     first = np.searchsorted(qi, touched)
                     take = first[:, None] + np.arange(k)
@@ -125,10 +132,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     Ties go to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty or hold null or non-finite
     components take no part, nor do null ids; a query does not match itself, that is rows of its own id. Rows repeated
-    under one id count once. Vectors of another length than most have no product with the queries and are refused.
+    under one id count once, different vectors of one id with their best product. Vectors of another length than most have no product with the queries and are refused.
     """
     source = vectors.select(vectors[id_col].cast("long").alias("vec_id"), quantised(vectors[vector_col], scale).alias("v"))
-    source = stored(source.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()), "vectors")
+    source = stored(source.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).dropDuplicates(["vec_id", "v"]), "vectors")
     dims = source.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     schema = "query_id long, vec_id long, score long"
     spark = vectors.sparkSession
@@ -142,6 +149,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     blocks = max(1, -(-dims.q // QUERIES_PER_TASK))
     queries = source.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rows = source.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = queries.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInArrow(searcher(k, dims.a, axes), schema).distinct()
+    found = queries.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInArrow(searcher(k, dims.a, axes), schema)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
