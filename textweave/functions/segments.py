@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textweave.functions.text import normalize_text, punctuation_only, sentences
+from textweave.functions.text import normalize_text, punctuation_only, sentences, strip
 
 BLANK_LINES = r"\n(?:[ \t]*\n)+"
 #: A line end parts two fragments after `...` or a character other than .!?:; if the next line starts upper case.
@@ -14,7 +14,7 @@ FRAGMENT_END = r"(?<=\.\.\.|[^.!?:;\n])\n(?=\p{Lu})"
 
 def fragments(block: Column) -> Column:
     """The fragments of a block without blank lines; lines that belong together are joined by a space."""
-    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != "")
     return F.transform(F.split(F.array_join(lines, "\n"), FRAGMENT_END), lambda x: F.regexp_replace(x, "\n", " "))
 
 
@@ -26,3 +26,12 @@ def block_sentences(t: Column) -> Column:
     inside = lambda b: F.filter(F.flatten(F.transform(fragments(b), sentences)), lambda x: ~punctuation_only(x))
     blocks = F.filter(F.transform(F.split(normalize_text(t), BLANK_LINES), inside), lambda x: F.size(x) > 0)
     return F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: F.struct(i.alias("block_id"), x.alias("text")))))
+
+
+def all_sentences(t: Column) -> Column:
+    """array<string>: fragments of the whole text first, then their sentences, without those of punctuation alone.
+
+    Blank lines part fragments as they do blocks.
+    """
+    inside = lambda b: F.filter(F.flatten(F.transform(fragments(b), sentences)), lambda x: ~punctuation_only(x))
+    return F.flatten(F.transform(F.split(normalize_text(t), BLANK_LINES), inside))

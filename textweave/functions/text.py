@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from textweave.functions.lexicons import CORRUPTION
 
 
+#: Unicode white space as the inside of a character class, alike in Java's and RE2's patterns.
+WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def strip(t: Column) -> Column:
+    return F.regexp_replace(t, f"^[{WS}]+|[{WS}]+$", "")
+
+
 def normalize_text(t: Column) -> Column:
-    """Line ends as \\n, runs of spaces and tabs as one space, ends stripped; newlines kept."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[ \t]+", " "), r"^\s+|\s+$", "")
+    """Line ends as \\n, runs of spaces and tabs as one space, ends stripped of Unicode white space; newlines kept."""
+    return strip(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[ \t]+", " "))
 
 
 def sentences(t: Column) -> Column:
     """Pieces after `.`, `!` or `?` and white space, stripped, empty ones dropped."""
-    pieces = F.split(t, r"(?<=[.!?])\s+")
-    return F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, f"(?<=[.!?])[{WS}]+"), strip), lambda x: x != "")
 
 
 def punctuation_only(t: Column) -> Column:
-    return t.rlike(r"^[\s\p{P}]*$")
+    return t.rlike(rf"^[{WS}\p{{P}}]*$")
 
 
 def word_tokens(t: Column) -> Column:
@@ -38,11 +45,20 @@ def opening(t: Column, n: int = 5) -> Column:
 
 
 def paragraphs(t: Column) -> Column:
-    return F.size(F.filter(F.split(t, r"\n\s*\n"), lambda x: ~x.rlike(r"^\s*$")))
+    return F.size(F.filter(F.split(t, rf"\n[{WS}]*\n"), lambda x: ~x.rlike(f"^[{WS}]*$")))
 
 
 def has_bullets(t: Column) -> Column:
-    return t.rlike(r"(?m)^\s*[-*•]\s+")
+    return t.rlike(rf"(?m)^[{WS}]*[-*•][{WS}]+")
+
+
+def word_count(t: Column) -> Column:
+    """Runs without white space."""
+    return F.regexp_count(t, F.lit(f"[^{WS}]+"))
+
+
+def em_dashes(t: Column) -> Column:
+    return F.length(t) - F.length(F.replace(t, F.lit("—")))
 
 
 def corrupted(t: Column) -> Column:

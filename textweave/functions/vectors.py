@@ -17,10 +17,23 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), size), F.lit(0.0)))
 
 
-def safe_corr(x: str, y: str) -> Column:
-    """Pearson's r as an aggregate: 0 for fewer than three pairs or a constant side."""
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) < 3, F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))
+def safe_corr(x: str, y: str, weight: Column | None = None) -> Column:
+    """Pearson's r as an aggregate, weighted if asked: 0 for fewer than three pairs or a constant side.
+
+    A row with a null or NaN on one side takes no part on either.
+    """
+    a, b = (F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in (x, y))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    if weight is None:
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    else:
+        w = F.when(both, weight.cast("double"))
+        total, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
+        cov = F.sum(w * a * b) - F.try_divide(sa * sb, total)
+        va, vb = F.sum(w * a * a) - F.try_divide(sa * sa, total), F.sum(w * b * b) - F.try_divide(sb * sb, total)
+        r = F.when((va > 1e-12) & (vb > 1e-12), F.try_divide(cov, F.sqrt(va * vb)))
+    return F.when(F.count(a) < 3, F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))
 
 
 def share(flag: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.functions.vectors import safe_corr
+from textweave.operators.ordering import average_ranks, positions, quantiles, running, with_slice
 
 
 def trimmed_mean(values: list[Column], threshold: float) -> tuple[Column, Column]:
@@ -38,56 +39,67 @@ def correlations(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return one.select("n", F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "pearson")).select("feature", "pearson", "n")
 
 
-def average_rank(c: str) -> Column:
-    return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Rank correlation with average ranks on ties."""
+    both = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    return both.join(average_ranks(both, [], "x", "rx"), "x").join(average_ranks(both, [], "y", "ry"), "y").agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
-def ranks(rows: DataFrame, c: str, name: str) -> DataFrame:
-    """(value, average rank) of each distinct value: counts are summed per value, then accumulated over the values.
+def spearman_table(rows: DataFrame, features: list[str], labels: list[str], by: list[str]) -> DataFrame:
+    """(by, label, feature, rho, n): rank correlations of all features with all labels, within each group.
 
-    The running sum is over distinct values in range-partitioned slices, so no task holds all of them.
+    Rows are unpivoted once; ranks come from distinct values, so a group's rows never meet in one task. Pairs with a null
+    take no part; a constant side or fewer than three pairs give 0.
     """
-    counts = rows.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("m"))
-    sliced = counts.repartitionByRange("v").withColumn("slice", F.spark_partition_id())
-    before = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inner = sliced.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    totals = inner.groupBy("slice").agg(F.sum("m").alias("t"))
-    offset = totals.alias("x").join(totals.alias("y"), F.col("y.slice") < F.col("x.slice"), "left").groupBy(F.col("x.slice").alias("slice")).agg(F.coalesce(F.sum("y.t"), F.lit(0)).alias("base"))
-    return inner.join(offset, "slice").select("v", (F.col("base") + F.col("ahead") + (F.col("m") + 1) / 2.0).alias(name))
+    x = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    y = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y")) for c in labels])
+    keys = [*by, "label", "feature"]
+    long = rows.select(*by, F.explode(x).alias("_x"), y.alias("_y")).select(*by, "_x.*", F.explode("_y").alias("_y")).select(*by, "feature", "x", "_y.*").dropna(subset=["x", "y"])
+    ranked = long.join(average_ranks(long, keys, "x", "rx"), [*keys, "x"]).join(average_ranks(long, keys, "y", "ry"), [*keys, "y"])
+    return ranked.groupBy(*keys).agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks on ties."""
-    both = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-    rx, ry = ranks(both, "x", "rx").withColumnRenamed("v", "x"), ranks(both, "y", "ry").withColumnRenamed("v", "y")
-    return both.join(rx, "x").join(ry, "y").agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
-
+def kolmogorov_smirnov(rows: DataFrame, features: list[str], group: Column, terms: int = 100) -> DataFrame:
+    """(feature, ks, p, n_a, n_b): the greatest gap between two groups' distribution functions of each feature.
 
-def kolmogorov_smirnov(rows: DataFrame, value: str, group: Column) -> DataFrame:
-    """The greatest gap between two groups' distribution functions; group is 0 or 1."""
-    c = rows.select(F.col(value).alias("v"), group.alias("g")).groupBy("v").agg(F.count_if(F.col("g") == 0).alias("a"), F.count_if(F.col("g") == 1).alias("b"))
-    w = Window.orderBy("v")
-    cum = c.select("v", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
-    n = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    return cum.join(F.broadcast(n)).agg(F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    group is 0 or 1, rows of neither and nulls take no part. p is the limiting Kolmogorov distribution's.
+    """
+    x = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    c = rows.select(x.alias("x"), group.alias("g")).select("x.*", "g").where("v IS NOT NULL").groupBy("feature", "v").agg(F.count_if(F.col("g") == 0).alias("a"), F.count_if(F.col("g") == 1).alias("b"))
+    cum = running(with_slice(c, F.col("v")), ["feature"], ["v"], ca="a", cb="b")
+    n = c.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    gap = F.abs(F.try_divide(F.col("ca") + F.col("a"), "n_a") - F.try_divide(F.col("cb") + F.col("b"), "n_b"))
+    out = cum.join(n, "feature").groupBy("feature").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    square = F.col("ks") * F.col("ks") * F.coalesce(F.try_divide(F.col("n_a") * F.col("n_b"), F.col("n_a") + F.col("n_b")), F.lit(0.0))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * square))
+    return out.select("feature", "ks", F.when(square < 0.02, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))).alias("p"), "n_a", "n_b")
 
 
 def tertiles(rows: DataFrame, value: str) -> DataFrame:
-    """Adds bin low, medium or high by the quantiles 1/3 and 2/3."""
-    q = rows.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    return rows.join(F.broadcast(q)).withColumn("bin", F.when(F.col(value) <= F.get("q", F.lit(0)), "low").when(F.col(value) <= F.get("q", F.lit(1)), "medium").otherwise("high")).drop("q")
+    """Adds bin low, medium or high by the quantiles 1/3 and 2/3; a null value is high."""
+    a, b = quantiles(rows, value, [1 / 3, 2 / 3])
+    return rows.withColumn("bin", F.when(F.col(value) <= F.lit(a), "low").when(F.col(value) <= F.lit(b), "medium").otherwise("high"))
 
 
 def balanced(rows: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each stratum as the smallest has, in the order of a hash of the key."""
-    least = rows.groupBy(stratum).agg(F.count("*").alias("m")).agg(F.min("m").alias("least"))
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key)
-    return rows.withColumn("k", F.row_number().over(w)).join(F.broadcast(least)).where("k <= least").drop("k", "least")
+    least = rows.groupBy(stratum).agg(F.count("*").alias("m")).agg(F.min("m").alias("least")).first().least or 0
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    placed = positions(hashed, [stratum], ["_h", key], F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"), "_k")
+    return placed.where(F.col("_k") < least).drop("_k", "_h")
 
 
 def folds(rows: DataFrame, stratum: str, key: str, k: int = 5) -> DataFrame:
-    """Round-robin folds within each stratum in key order."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1, F.lit(k)))
+    """Round-robin folds within each stratum in the order of a numeric key."""
+    return positions(rows, [stratum], [key], F.col(key), "_k").withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_k")
+
+
+def shuffled_folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Folds of equal size in the order of a hash of the key; the last takes the remainder."""
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    size = max(1, rows.count() // k)
+    placed = positions(hashed, [], ["_h", key], F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"), "_k")
+    return placed.withColumn("fold", F.least(F.floor(F.col("_k") / size), F.lit(k - 1)).cast("int")).drop("_k", "_h")
 
 
 def buckets(rows: DataFrame, value: str, width: int = 20, top: int = 80) -> DataFrame:

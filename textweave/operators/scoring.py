@@ -22,10 +22,10 @@ def weighted_score(terms: list[tuple[Column, float]]) -> Column:
 
 
 def isotonic(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Linear interpolation between thresholds, held beyond them; fewer than two or unequal lengths: identity."""
+    """Linear interpolation between thresholds, held beyond them; null stays null. Fewer than two or unequal lengths: identity."""
     if len(xs) < 2 or len(xs) != len(ys):
         return x
-    out = F.when(x <= xs[0], ys[0])
+    out = F.when(x.isNull(), F.lit(None).cast("double")).when(x <= xs[0], ys[0])
     for a, b, c, d in zip(xs[:-1], xs[1:], ys[:-1], ys[1:], strict=True):
         out = out.when(x <= b, c + (x - a) * ((d - c) / (b - a) if b > a else 0.0))
     return out.otherwise(ys[-1])

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweave.operators.scoring import band
+
 DAY = 86_400_000_000.0
 
 
-def entries(events: DataFrame, user: str = "user_id", ts: str = "ts", score: str = "value") -> DataFrame:
-    """(user_id, day, score), one row for each user and minute: the first by time, then the least score."""
+def entries(events: DataFrame, user: str = "user_id", ts: str = "ts", score: str = "value", same_minute: str = "first") -> DataFrame:
+    """(user_id, day, score, n_same): entries in time, those of one user and minute as one.
+
+    same_minute: "first" keeps the first by time, then the least score, and says in n_same how many there were; "error"
+    raises where there are two. Rows with a null take no part.
+    """
+    if same_minute not in ("first", "error"):
+        raise ValueError(f"same_minute is first or error, not {same_minute!r}")
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy("user_id", F.floor(F.col("us") / 60_000_000)).orderBy("us", "score")
-    return events.select(F.col(user).alias("user_id"), at.alias("us"), F.col(score).alias("score")).dropna().withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", (F.col("us") / DAY).alias("day"), "score")
+    rows = events.select(F.col(user).alias("user_id"), at.alias("us"), F.col(score).alias("score")).dropna()
+    one = rows.groupBy("user_id", F.floor(F.col("us") / 60_000_000).alias("minute")).agg(F.min(F.struct("us", "score")).alias("e"), F.count("*").alias("n_same"))
+    n_same = F.col("n_same")
+    if same_minute == "error":
+        n_same = F.when(n_same > 1, F.raise_error(F.lit("two entries of a user in one minute")).cast("long")).otherwise(n_same)
+    return one.select("user_id", (F.col("e.us") / DAY).alias("day"), F.col("e.score").alias("score"), n_same.alias("n_same"))
 
 
 def longitudinal(rows: DataFrame) -> DataFrame:
@@ -45,8 +59,31 @@ def longitudinal(rows: DataFrame) -> DataFrame:
     )
 
 
-def user_state(rows: DataFrame, half_life: float = 14.0) -> DataFrame:
-    """The decay-weighted current score of each user, entries weighing half after half_life days."""
-    last = rows.groupBy("user_id").agg(F.max("day").alias("last"))
-    weight = F.pow(F.lit(0.5), (F.col("last") - F.col("day")) / half_life)
-    return rows.join(last, "user_id").withColumn("w", weight).groupBy("user_id").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("current"), F.sum("w").alias("weight"), F.count("*").alias("n_entries"))
+def user_state(rows: DataFrame, now: float, half_life: float = 14.0) -> DataFrame:
+    """Each user's state at `now` (in days): one aggregation of weights that halve every half_life days, one of te_ features.
+
+    Entries after `now` weigh as those of now. The score is within 0 and 100, the latest one where all weights vanish. The
+    trend is `unknown` under three entries. status: insufficient_data, stale (no entry for two half-lives) or ok.
+    """
+    ago = F.greatest(F.lit(float(now)) - F.col("day"), F.lit(0.0))
+    weight = F.exp(-ago * (math.log(2.0) / max(half_life, 1e-6)))
+    recent = 2.0 * half_life
+    sums = rows.select("user_id", "day", "score", "n_same", ago.alias("ago"), weight.alias("w")).groupBy("user_id").agg(
+        F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("score")).alias("total"), F.max_by("score", "day").alias("latest"), F.avg("score").alias("baseline_mes"),
+        F.count("*").alias("n_entries"), F.count_if(F.col("ago") <= recent).alias("n_recent_entries"), F.min("ago").alias("days_since_last_entry"), F.sum(F.col("n_same") - 1).alias("n_same_minute"),
+    )
+    te = longitudinal(rows).select("user_id", "te_slope_per_week", "te_trend_direction", "te_volatility", "te_rolling_7d_std")
+    current = F.when(F.col("weight") > 1e-9, F.try_divide("total", "weight")).otherwise(F.col("latest"))
+    s = sums.join(te, "user_id").withColumn("current_mes", F.least(F.greatest(current, F.lit(0.0)), F.lit(100.0))).withColumn("confidence", 1 - F.exp(-F.col("weight") / 2))
+    trend = F.when(F.col("n_entries") < 3, "unknown").when(F.col("te_trend_direction") < 0, "improving").when(F.col("te_trend_direction") > 0, "worsening").otherwise("stable")
+    status = F.when(F.col("confidence") < 0.05, "insufficient_data").when(F.col("days_since_last_entry") > recent, "stale").otherwise("ok")
+    return s.select(
+        "user_id", "current_mes", "confidence", trend.alias("trend"), F.when(F.col("n_entries") < 3, 0.0).otherwise(F.col("te_slope_per_week")).alias("trend_slope"), "baseline_mes",
+        (F.col("current_mes") - F.col("baseline_mes")).alias("deviation_from_baseline"), "n_entries", "n_recent_entries", "days_since_last_entry", band(F.col("current_mes")).alias("band"), status.alias("status"),
+        F.col("te_volatility").alias("volatility"), F.col("te_rolling_7d_std").alias("rolling_7d_std"), "n_same_minute",
+    )
+
+
+def no_entries(user_id) -> dict:
+    """The state of a user without any entry."""
+    return {"user_id": user_id, "current_mes": 0.0, "confidence": 0.0, "trend": "unknown", "trend_slope": 0.0, "n_entries": 0, "days_since_last_entry": float("inf"), "status": "insufficient_data"}

@@ -15,11 +15,9 @@ from textweave.functions import lexicons as lx
 from textweave.functions import text as tx
 from textweave.functions.segments import block_sentences
 from textweave.functions.vectors import rounded, unit
-from textweave.operators import clusters, coherence, discourse, quality, ratings, reports, scoring, temporal, training
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from textweave.operators import clusters, coherence, discourse, quality, ratings, reports, scoring, temporal
+from textweave.plans import audits, learning, records, serving
+from textweave.plans.tables import TE, table
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +55,6 @@ def te_features(spark, sf_dir):
     return rounded(temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events"))), 4)
 
 
-def user_state(spark, sf_dir):
-    return rounded(temporal.user_state(temporal.entries(table(spark, sf_dir, "events"))), 4)
-
-
-def classify_users(spark, sf_dir):
-    t = temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events").withColumn("value", F.col("value") / 5)))
-    trend = F.when(F.col("te_trend_direction") < 0, "improving").when(F.col("te_trend_direction") > 0, "worsening").otherwise("stable")
-    state = scoring.mental_state(F.col("te_n_entries"), F.lit(1.0), trend, F.col("te_slope"), F.col("te_rolling_7d_mean"), F.col("te_volatility"), F.col("te_rolling_7d_std"))
-    return t.select("user_id", trend.alias("trend"), state.alias("state"), scoring.band(F.col("te_rolling_7d_mean")).alias("band"))
-
-
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, (*reports.SPECTRUM, reports.EMOTIONAL, reports.NEUTRAL)))
     kind = F.get(kinds, F.col("l_linenumber").cast("int") - 1)
@@ -104,12 +91,6 @@ def feedback_effect(spark, sf_dir):
     return rounded(moves.select("event_id", "target", "mes_delta", moved.alias("moved_correctly"), effective.alias("effective")))
 
 
-def ridge_out_of_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", F.pmod("l_orderkey", F.lit(5)).cast("int").alias("fold"))
-    fitted = training.out_of_fold(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "fold", 1.0)
-    return rounded(fitted.groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "l_extendedprice").alias("r")), 4)
-
-
 def rater_consensus(spark, sf_dir):
     return rounded(triples(spark, sf_dir))
 
@@ -131,7 +112,7 @@ def rank_correlation(spark, sf_dir):
 
 
 def ks_test(spark, sf_dir):
-    return rounded(ratings.kolmogorov_smirnov(table(spark, sf_dir, "lineitem"), "l_quantity", (F.col("l_returnflag") == "R").cast("int")))
+    return rounded(ratings.kolmogorov_smirnov(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], (F.col("l_returnflag") == "R").cast("int")))
 
 
 def tertile_bins(spark, sf_dir):
@@ -167,8 +148,10 @@ def text_markers(spark, sf_dir):
 
 
 def sentence_counts(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(tx.normalize_text(F.col("text")))).alias("sent_id", "sentence"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"), F.count_if(F.size(tx.letter_tokens(F.col("sentence"))) <= 4).alias("n_short"))
+    """Texts without a sentence, null ones too, have zeros."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(tx.sentences(tx.normalize_text(F.col("text")))).alias("sent_id", "sentence"))
+    short = F.count_if(F.size(tx.letter_tokens(F.col("sentence"))) <= 4)
+    return s.groupBy("doc_id").agg(F.count("sentence").alias("n_sentences"), F.coalesce(F.max(F.length("sentence")), F.lit(0)).alias("longest"), short.alias("n_short"))
 
 
 def sentence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +183,9 @@ def held_out_texts(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ce_features, cle_similarity, ne_vectors, se_features, document_vectors, te_features, user_state, classify_users, rater_consensus, rater_agreement, rating_histogram, feature_correlations,
+        ce_features, cle_similarity, ne_vectors, se_features, document_vectors, te_features, rater_consensus, rater_agreement, rating_histogram, feature_correlations,
         rank_correlation, ks_test, tertile_bins, balanced_sample, source_folds, calibration_buckets, linear_score, opening_repeats, text_markers, sentence_counts, held_out_texts,
-        gd_features, ne_cle_wording, bc_features, eval_by_band, eval_gates, eval_worst, segment_blocks, ne_end_similarity, feedback_effect, ridge_out_of_fold,
+        gd_features, ne_cle_wording, bc_features, eval_by_band, eval_gates, eval_worst, segment_blocks, ne_end_similarity, feedback_effect,
     )
 }
 FLAGSHIP = "ce_features"
@@ -213,29 +196,6 @@ l AS (SELECT *, lead(e) OVER w AS e1, lead(e, 2) OVER w AS e2, lead(e, 3) OVER w
 d AS (SELECT doc_id, sent_id, block_id, e, list_dot_product(e, e1) AS s, list_dot_product(e, e2) AS s2, list_dot_product(e, e3) AS s3, block_id = b1 AS same FROM l),
 t AS (SELECT *, lead(s) OVER w AS nx, lag(s) OVER w AS pv, lead(s) OVER w - s AS dr, sum(CASE WHEN s < 0.45 THEN 1 ELSE 0 END) OVER w AS run FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id))
 """
-_E = """
-raw AS (SELECT user_id, epoch_us(ts) AS us, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
-one AS (SELECT *, row_number() OVER (PARTITION BY user_id, us // 60000000 ORDER BY us, value) AS k FROM raw),
-r AS (SELECT user_id, us / 86400000000.0 AS day, value AS score FROM one WHERE k = 1)
-"""
-_TE = (
-    _E
-    + """,
-g AS (SELECT *, day - lag(day) OVER w AS gap, score - lag(score) OVER w AS delta, max(day) OVER p AS last, max(score) OVER p AS top, min(score) OVER p AS bottom
-  FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day), p AS (PARTITION BY user_id)),
-v AS (SELECT *, delta / greatest(gap, 1e-6) AS velocity FROM g),
-a AS (SELECT *, (velocity - lag(velocity) OVER w) / greatest(lag(gap) OVER w, 1e-6) AS acc,
-  sum(CASE WHEN delta < 0 THEN 0 ELSE 1 END) OVER b AS up, sum(CASE WHEN delta > 0 THEN 0 ELSE 1 END) OVER b AS down, last_value(score) OVER p AS latest
-  FROM v WINDOW w AS (PARTITION BY user_id ORDER BY day), b AS (PARTITION BY user_id ORDER BY day DESC), p AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-x AS (SELECT user_id, count(*) AS te_n_entries, max(day) - min(day) AS te_time_span_days, coalesce(avg(gap), 0) AS te_mean_gap_days, coalesce(max(gap), 0) AS te_max_gap_days,
-  coalesce(regr_slope(score, day), 0) AS te_slope, coalesce(avg(velocity), 0) AS te_velocity_mean, CASE WHEN count(*) > 2 THEN stddev_pop(velocity) ELSE 0 END AS te_velocity_std, coalesce(avg(acc), 0) AS te_acceleration_mean,
-  avg(CASE WHEN day >= last - 7 THEN score END) AS te_rolling_7d_mean, stddev_pop(CASE WHEN day >= last - 7 THEN score END) AS te_rolling_7d_std, avg(score) AS te_baseline_mean, stddev_pop(score) AS te_baseline_std,
-  count_if(up = 0)::BIGINT AS te_streak_improving, count_if(down = 0)::BIGINT AS te_streak_worsening, 100 * avg(CASE WHEN score <= latest THEN 1.0 ELSE 0.0 END) AS te_latest_percentile,
-  max(last) - min(CASE WHEN score = top THEN day END) AS te_days_since_high, max(last) - min(CASE WHEN score = bottom THEN day END) AS te_days_since_low, max(latest) AS latest FROM a GROUP BY user_id)
-"""
-)
-
-
 def _round(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
@@ -269,6 +229,9 @@ k AS (SELECT l_orderkey, l_linenumber, a, b, c, CASE WHEN s[3] - s[1] > 3 THEN C
 
 _SCORED = f"z AS (SELECT l_orderkey, l_linenumber, {list((*reports.SPECTRUM, reports.EMOTIONAL, reports.NEUTRAL))}[l_linenumber] AS control_type, a * 10 AS expected, b * 10 AS model FROM k)"
 
+#: A sentence with words w, and v those of over three letters in order, that repeats itself.
+_LOOP = """len(w) >= 6 AND (len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) > 0 OR len(list_filter(range(1, len(w) - 2), lambda k: w[k] = w[k + 2] AND w[k + 1] = w[k + 3])) > 0 OR len(list_filter(range(1, greatest(len(v) - 1, 1)), lambda k: v[k] = v[k + 2])) > 0)"""
+
 SQL: dict[str, str] = {
     "ce_features": f"""WITH {_T},
 rl AS (SELECT doc_id, max(m) AS m FROM (SELECT doc_id, run, count(*) AS m FROM t WHERE s >= 0.45 GROUP BY doc_id, run) GROUP BY doc_id),
@@ -295,24 +258,20 @@ o AS (SELECT doc_id, list_dot_product(a, b) AS ne_start_end_sim, (1 - list_dot_p
 SELECT doc_id, {_round(["ne_start_end_sim", "ne_arc_linearity", "ne_semantic_wander", "ne_start_to_centroid", "ne_end_to_centroid", "ne_consolidation_delta"])} FROM o""",
     "document_vectors": """WITH e AS (SELECT label AS doc_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM embeddings), c AS (SELECT doc_id, pos, avg(v) AS v FROM e GROUP BY doc_id, pos)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS v FROM c""",
-    "te_features": f"""WITH {_TE} SELECT user_id, te_n_entries, te_streak_improving, te_streak_worsening, CASE WHEN abs(te_slope) < 0.01 THEN 0 ELSE sign(te_slope)::INT END AS te_trend_direction,
+    "te_features": f"""WITH {TE} SELECT user_id, te_n_entries, te_streak_improving, te_streak_worsening, CASE WHEN abs(te_slope) < 0.01 THEN 0 ELSE sign(te_slope)::INT END AS te_trend_direction,
 round(7 * te_slope, 4) AS te_slope_per_week, round(CASE WHEN te_baseline_std > 1e-9 THEN (latest - te_baseline_mean) / te_baseline_std ELSE 0 END, 4) AS te_latest_zscore, round(CASE WHEN te_baseline_mean > 1e-9 THEN te_baseline_std / te_baseline_mean ELSE 0 END, 4) AS te_volatility,
 {_round(["te_time_span_days", "te_mean_gap_days", "te_max_gap_days", "te_slope", "te_velocity_mean", "te_velocity_std", "te_acceleration_mean", "te_rolling_7d_mean", "te_rolling_7d_std", "te_baseline_mean", "te_baseline_std", "te_latest_percentile", "te_days_since_high", "te_days_since_low"], 4)} FROM x""",
-    "user_state": f"""WITH {_E}, z AS (SELECT *, pow(0.5, (max(day) OVER (PARTITION BY user_id) - day) / 14.0) AS w FROM r)
-SELECT user_id, round(sum(w * score) / sum(w), 4) AS current, round(sum(w), 4) AS weight, count(*) AS n_entries FROM z GROUP BY user_id""",
-    "classify_users": f"""WITH {_TE.replace("SELECT user_id, epoch_us(ts) AS us, value FROM", "SELECT user_id, epoch_us(ts) AS us, value / 5 AS value FROM")},
-y AS (SELECT *, CASE WHEN abs(te_slope) < 0.01 THEN 'stable' WHEN te_slope < 0 THEN 'improving' ELSE 'worsening' END AS trend, CASE WHEN te_baseline_mean > 1e-9 THEN te_baseline_std / te_baseline_mean ELSE 0 END AS vol FROM x)
-SELECT user_id, trend, CASE WHEN te_n_entries < 3 THEN 'insufficient_data' WHEN trend = 'improving' AND te_slope < -1 THEN 'active_integration' WHEN te_rolling_7d_mean > 55 AND (vol > 0.25 OR te_rolling_7d_std > 12) THEN 'overwhelm'
-  WHEN te_rolling_7d_mean > 55 AND abs(te_slope) < 0.5 THEN 'stuck' WHEN te_rolling_7d_mean < 35 AND abs(te_slope) < 0.5 THEN 'rigidity' ELSE 'baseline' END AS state,
-  CASE WHEN te_rolling_7d_mean <= 20 THEN 0 WHEN te_rolling_7d_mean <= 35 THEN 1 WHEN te_rolling_7d_mean <= 50 THEN 2 WHEN te_rolling_7d_mean <= 65 THEN 3 WHEN te_rolling_7d_mean <= 80 THEN 4 ELSE 5 END AS band FROM y""",
     "rater_consensus": f"WITH {_TRIPLES} SELECT l_orderkey, l_linenumber, trimmed, {_round(['a', 'b', 'c', 'consensus', 'spread', 'deviation'])} FROM k",
     "rater_agreement": f"WITH {_TRIPLES} SELECT count(*) AS n, round(avg(spread), 6) AS mean_spread, round(max(spread), 6) AS max_spread, round(avg(trimmed::INT), 6) AS trimmed_share, round(corr(a, b), 6) AS r_ab, round(corr(a, c), 6) AS r_ac, round(corr(b, c), 6) AS r_bc FROM k",
     "rating_histogram": f"WITH {_TRIPLES} SELECT least(floor(consensus), 9)::INT AS bin, count(*) AS n FROM k GROUP BY 1",
     "feature_correlations": " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr({f}, l_discount), 6) AS pearson, count(*) AS n FROM lineitem" for f in ("l_quantity", "l_extendedprice", "l_tax")),
     "rank_correlation": """WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
 SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM k""",
-    "ks_test": """WITH c AS (SELECT l_quantity AS v, count_if(l_returnflag <> 'R') AS a, count_if(l_returnflag = 'R') AS b FROM lineitem GROUP BY 1), w AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c)
-SELECT round(max(abs(fa - fb)), 6) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b FROM w""",
+    "ks_test": """WITH u AS (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME feature VALUE v),
+c AS (SELECT feature, v, count_if(l_returnflag <> 'R') AS a, count_if(l_returnflag = 'R') AS b FROM u GROUP BY ALL),
+w AS (SELECT feature, sum(a) OVER o / sum(a) OVER p AS fa, sum(b) OVER o / sum(b) OVER p AS fb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM c WINDOW o AS (PARTITION BY feature ORDER BY v), p AS (PARTITION BY feature)),
+k AS (SELECT feature, max(abs(fa - fb)) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b FROM w GROUP BY feature), q AS (SELECT *, ks * ks * (n_a * n_b / (n_a + n_b)) AS s FROM k)
+SELECT feature, round(ks, 6) AS ks, round(CASE WHEN s < 0.02 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * s))), 0), 1) END, 6) AS p, n_a, n_b FROM q""",
     "tertile_bins": """WITH q AS (SELECT quantile_cont(o_totalprice, 1.0::DOUBLE / 3) AS a, quantile_cont(o_totalprice, 2.0::DOUBLE / 3) AS b FROM orders)
 SELECT CASE WHEN o_totalprice <= a THEN 'low' WHEN o_totalprice <= b THEN 'medium' ELSE 'high' END AS bin, count(*) AS n, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high FROM orders, q GROUP BY 1""",
     "balanced_sample": """WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) AS k FROM documents)
@@ -323,14 +282,19 @@ SELECT printf('%02d-%03d', lo, lo + 20) AS bucket, count(*) AS n, round(avg(abs(
     "linear_score": """WITH z AS (SELECT l_orderkey, l_linenumber, least(greatest(100 * ((1 - l_discount) * 0.4::DOUBLE + l_tax * 0.3::DOUBLE + least(l_quantity / 50.0::DOUBLE, 1) * 0.3::DOUBLE), 0), 100) AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(s, 6) AS score, round(CASE WHEN s <= 40 THEN s * 0.5::DOUBLE WHEN s <= 60 THEN 20 + (s - 40) * 3 ELSE 80 + (s - 60) * 0.5::DOUBLE END, 6) AS calibrated,
   CASE WHEN s <= 20 THEN 0 WHEN s <= 35 THEN 1 WHEN s <= 50 THEN 2 WHEN s <= 65 THEN 3 WHEN s <= 80 THEN 4 ELSE 5 END AS band FROM z""",
+    "sentence_counts": f"""WITH {_SENTENCES} SELECT any_value(doc_id) AS doc_id, count(t) AS n_sentences, coalesce(max(length(t)), 0)::INT AS longest, count_if(t IS NOT NULL AND len(regexp_extract_all(lower(t), '[a-z'']+')) <= 4)::BIGINT AS n_short FROM d LEFT JOIN s USING (r) GROUP BY r""",
+    "text_markers": rf"""WITH {_SENTENCES}, w AS (SELECT r, regexp_extract_all(lower(t), '[a-z'']+') AS w FROM s), v AS (SELECT *, list_sort(list_filter(w, lambda x: length(x) > 3)) AS v FROM w),
+l AS (SELECT r, count(*) AS n, count_if(LOOP) AS loops FROM v GROUP BY r), x AS (SELECT row_number() OVER () AS r, text AS t FROM documents)
+SELECT doc_id, coalesce(n, 0)::INT AS n_sentences, round(coalesce(loops / n, 0), 6) AS loop_rate, regexp_matches(t, '(?i){lx.CORRUPTION}') AS corrupted, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_\p{{M}}\p{{Pc}}]+'))::INT AS n_tokens,
+  len(list_filter(string_split_regex(t, '\n[{tx.WS}]*\n'), lambda z: NOT regexp_full_match(z, '[{tx.WS}]*')))::INT AS n_paragraphs, regexp_matches(t, '(?m)^[{tx.WS}]*[-*•][{tx.WS}]+') AS bullets FROM d LEFT JOIN l USING (r) JOIN x USING (r)""".replace("LOOP", _LOOP),
     "opening_repeats": """WITH o AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:5], ' ') AS opening FROM documents)
-SELECT doc_id, opening, count(*) OVER (PARTITION BY opening) AS n, count(*) OVER (PARTITION BY opening) > 4 AND opening <> '' AS flagged FROM o""",
+SELECT doc_id, opening, count(*) OVER (PARTITION BY opening) AS n, coalesce(count(*) OVER (PARTITION BY opening) > 4 AND opening <> '', false) AS flagged FROM o""",
     "held_out_texts": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
     "gd_features": rf"""WITH {_SENTENCES},
 w AS (SELECT *, regexp_extract_all(lower(t), '[a-z'']+') AS w FROM s),
 v AS (SELECT *, list_sort(list_filter(w, lambda x: length(x) > 3)) AS v, {" + ".join(f"(length(t) - length(replace(lower(t), ' {c} ', ''))) // {len(c) + 2}" for c in lx.RUNON_CONNECTORS)} AS joins FROM w),
 f AS (SELECT r, i, len(w) AS n, {_has(lx.TOPIC_RESET)} AS reset, {_has(lx.REFERENT_STARTS, start=r"^[\s\x0B]*")} AND NOT {_has(lx.REFLECTION_WORDS)} AS referent, {_has(lx.REFLECTION_WORDS)} AS reflects, {_has(lx.SETUP)} AS setup, {_has(lx.OPEN_ENDINGS)} AS open,
-  len(w) >= 6 AND (len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) > 0 OR len(list_filter(range(1, len(w) - 2), lambda k: w[k] = w[k + 2] AND w[k + 1] = w[k + 3])) > 0 OR len(list_filter(range(1, greatest(len(v) - 1, 1)), lambda k: v[k] = v[k + 2])) > 0) AS loop,
+  {_LOOP} AS loop,
   regexp_matches(t, '(?i){lx.CORRUPTION}') AS corrupt, len(w) >= 25 AND (joins >= 5 OR NOT regexp_matches(t, '[.;:]')) AS runon, contains(t, '?') AND len(w) <= 12 AS question,
   {_has(("[A-Z][a-z]{2,}", *lx.ANCHOR_WORDS), flags="")} AS anchor FROM v),
 g AS (SELECT *, min(i) FILTER (anchor) OVER (PARTITION BY r) AS first, max(i) OVER (PARTITION BY r) AS top FROM f),
@@ -388,3 +352,10 @@ k AS (SELECT r, dense_rank() OVER (PARTITION BY r ORDER BY i) - 1 AS block_id, i
 a AS (SELECT r, count(DISTINCT block_id) AS n_blocks, count(*) AS n_sentences, string_agg(block_id || ':' || s, chr(10) ORDER BY i, j, k) AS x FROM k GROUP BY r)
 SELECT doc_id, coalesce(n_blocks, 0)::INT AS n_blocks, coalesce(n_sentences, 0)::INT AS n_sentences, md5(coalesce(x, '')) AS digest FROM d LEFT JOIN a USING (r)""",
 }
+
+# White space is Unicode's in both engines.
+SQL = {k: v.replace(r"\s\x0B", tx.WS) for k, v in SQL.items()}
+for _more in (serving, audits, records, learning):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL
+SQL["whole_segmentation"] = f"SELECT doc_id, n_sentences, n_sentences AS n_in_blocks FROM ({SQL['segment_blocks']})"
