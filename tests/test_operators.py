@@ -183,3 +183,26 @@ def test_ridge_out_of_fold(spark):
         assert [r.prediction for r in got[:60] if r.fold == fold] == pytest.approx(list((x[~t] - mean_x) @ coef + mean_y))
     assert got[60].prediction is None
     assert training.out_of_fold(df.limit(0), ["a"], "y", "fold").count() == 0
+
+
+def test_average_linkage_is_the_plain_one():
+    import numpy as np
+
+    from textweave.operators.clusters import average_linkage
+
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 3, 12, 30):
+        for _ in range(6):
+            x = rng.normal(size=(n, 3)).round(int(rng.integers(0, 3)))
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            groups = [[i] for i in range(n)]
+            d = 1 - x @ x.T
+            while len(groups) > 1:
+                best = min((round(np.mean([d[i, j] for i in a for j in b]), 12), p, q) for p, a in enumerate(groups) for q, b in enumerate(groups) if p < q)
+                if best[0] > 0.52:
+                    break
+                groups[best[1]] += groups.pop(best[2])
+            got = average_linkage(x)
+            same = {(i, j) for g in groups for i in g for j in g}
+            if len(np.unique(np.round(d, 9))) > n * (n - 1) // 3 or n < 3:  # without many ties
+                assert {(i, j) for i in range(n) for j in range(n) if got[i] == got[j]} == same

@@ -13,26 +13,41 @@ FEATURES = ["se_n_clusters", "se_cluster_entropy", "se_dominant_cluster_frac", "
 def average_linkage(x: np.ndarray, threshold: float = CLUSTER_T) -> np.ndarray:
     """Labels by first member. The pair of least mean distance merges, first on ties, until it is above the threshold.
 
-    Sums of distances between clusters are kept and added on a merge, so a merge costs one row.
+    Sums of distances between clusters are kept and added on a merge, and each row keeps its least mean distance to a later
+    one, so a merge costs a few rows: the square of a document's sentences in most cases.
     """
     n = len(x)
+    if not n:
+        return np.zeros(0, np.int64)
     total = 1.0 - x @ x.T
     size = np.ones(n)
-    alive = np.ones(n, bool)
     label = np.arange(n)
-    while alive.sum() > 1:
-        ids = np.flatnonzero(alive)
-        mean = total[np.ix_(ids, ids)] / np.outer(size[ids], size[ids])
-        mean[np.tril_indices(len(ids))] = np.inf
-        a, b = divmod(int(mean.argmin()), len(ids))
-        if mean[a, b] > threshold:
+    mean = np.where(np.triu(np.ones((n, n), bool), 1), total, np.inf)
+    least, to = mean.min(1, initial=np.inf), mean.argmin(1)
+    alive = np.ones(n, bool)
+    for _ in range(n - 1):
+        a = int(least.argmin())
+        if not least[a] <= threshold:
             break
-        a, b = ids[a], ids[b]
+        b = int(to[a])
         total[a] += total[b]
         total[:, a] += total[:, b]
         size[a] += size[b]
         alive[b] = False
         label[label == b] = a
+        mean[b], mean[:, b], least[b] = np.inf, np.inf, np.inf
+        ids = np.flatnonzero(alive)
+        others = ids[ids != a]
+        new = total[a, others] / (size[a] * size[others])
+        before, after = others < a, others > a
+        mean[a, others[after]] = new[after]
+        rows, new = others[before], new[before]
+        mean[rows, a] = new
+        closer = (new < least[rows]) | ((new == least[rows]) & (a < to[rows]))
+        stale = ids[(to[ids] == b) | ((to[ids] == a) & (ids < a))]
+        least[rows[closer]], to[rows[closer]] = new[closer], a
+        again = np.append(stale, a)
+        least[again], to[again] = mean[again].min(1), mean[again].argmin(1)
     return np.unique(label, return_inverse=True)[1]
 
 

@@ -17,7 +17,7 @@ from textweave.functions.segments import block_sentences
 from textweave.functions.vectors import rounded, unit
 from textweave.operators import clusters, coherence, discourse, quality, ratings, reports, scoring, temporal
 from textweave.plans import audits, learning, records, serving
-from textweave.plans.tables import TE, table
+from textweave.plans.tables import TE, spread, table
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def eval_worst(spark, sf_dir):
 
 
 def segment_blocks(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(block_sentences(F.col("text")), F.array().cast("array<struct<block_id:int,text:string>>")).alias("x"))
+    x = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(block_sentences(F.col("text")), F.array().cast("array<struct<block_id:int,text:string>>")).alias("x"))
     blocks = F.size(F.array_distinct(F.col("x.block_id")))
     return x.select("doc_id", blocks.alias("n_blocks"), F.size("x").alias("n_sentences"), F.md5(F.array_join(F.transform("x", lambda s: F.concat(s["block_id"].cast("string"), F.lit(":"), s["text"])), "\n").cast("binary")).alias("digest"))
 
@@ -144,18 +144,18 @@ def opening_repeats(spark, sf_dir):
 
 
 def text_markers(spark, sf_dir):
-    return rounded(quality.markers(table(spark, sf_dir, "documents")))
+    return rounded(quality.markers(spread(table(spark, sf_dir, "documents"))))
 
 
 def sentence_counts(spark, sf_dir):
     """Texts without a sentence, null ones too, have zeros."""
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(tx.sentences(tx.normalize_text(F.col("text")))).alias("sent_id", "sentence"))
+    s = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode_outer(tx.sentences(tx.normalize_text(F.col("text")))).alias("sent_id", "sentence"))
     short = F.count_if(F.size(tx.letter_tokens(F.col("sentence"))) <= 4)
     return s.groupBy("doc_id").agg(F.count("sentence").alias("n_sentences"), F.coalesce(F.max(F.length("sentence")), F.lit(0)).alias("longest"), short.alias("n_short"))
 
 
 def sentence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.sentences(tx.normalize_text(F.col("text"))).alias("sentences"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.sentences(tx.normalize_text(F.col("text"))).alias("sentences"))
 
 
 def gd_features(spark, sf_dir):

@@ -12,7 +12,7 @@ from textweave.functions import text as tx
 from textweave.functions.segments import all_sentences, block_sentences
 from textweave.functions.vectors import rounded
 from textweave.operators import audits, clusters, coherence, discourse, embedding, joins, scoring, serving
-from textweave.plans.tables import table
+from textweave.plans.tables import spread, table
 from textweave.sources import files, journals
 from textweave.sources.scratch import cached, scratch
 
@@ -44,13 +44,13 @@ def label_answers(spark, sf_dir):
 
 def text_checks(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", t.alias("t"))
     return d.select("doc_id", tx.word_count(F.col("t")).cast("long").alias("n_words"), tx.em_dashes(F.col("t")).cast("long").alias("em_dashes"), generated.disallowed(F.col("t")).alias("disallowed"), generated.valid_entry(F.col("t")).alias("valid"))
 
 
 def whole_segmentation(spark, sf_dir):
     """Sentences without blocks are those of the blocks: their number must be the same."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(all_sentences(F.col("text")), F.array().cast("array<string>")).alias("s"), F.coalesce(F.size(block_sentences(F.col("text"))), F.lit(0)).alias("b"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(all_sentences(F.col("text")), F.array().cast("array<string>")).alias("s"), F.coalesce(F.size(block_sentences(F.col("text"))), F.lit(0)).alias("b"))
     return d.select("doc_id", F.size("s").alias("n_sentences"), F.greatest("b", F.lit(0)).alias("n_in_blocks"))
 
 
@@ -196,7 +196,7 @@ def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Entries are the turns of conversations. One shuffle brings each text's sentences together by id.
     """
-    d = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    d = spread(table(spark, sf_dir, "conversations")).where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     s = d.select("doc_id", F.posexplode(block_sentences(F.col("text"))).alias("sent_id", "s")).select("doc_id", "sent_id", "s.block_id", F.col("s.text").alias("sentence"))
     v = s.withColumn("embedding", embedding.letter_profile(F.col("sentence")))
     arrays = v.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "sentence", "embedding"))).alias("a")).select("doc_id", F.col("a.sentence").alias("sentences"), F.col("a.embedding").alias("embeddings"))

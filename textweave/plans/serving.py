@@ -65,7 +65,7 @@ def _now(events: DataFrame) -> float:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("value", F.col("value") / 5)
+    events = table(spark, sf_dir, "events").withColumn("value", F.col("value") / 4.973)
     return temporal.user_state(temporal.entries(events), _now(events))
 
 
@@ -92,7 +92,7 @@ def insight_prompts(spark, sf_dir):
 
 
 def trend_summaries(spark, sf_dir):
-    t = temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events").withColumn("value", F.col("value") / 5)))
+    t = temporal.longitudinal(temporal.entries(table(spark, sf_dir, "events").withColumn("value", F.col("value") / 4.973)))
     trend = F.when(F.col("te_trend_direction") < 0, "improving").when(F.col("te_trend_direction") > 0, "worsening").otherwise("stable")
     return t.select("user_id", serving.trend_summary(F.col("te_n_entries"), F.col("te_time_span_days"), trend, F.col("te_slope_per_week"), F.col("te_volatility")).alias("summary"))
 
@@ -148,7 +148,7 @@ _SUBS = ", ".join(f"least(greatest({_dot_sql(ARTIFACTS[d]['coef'])} + 3, 1), 5)
 _TWO = " + ".join([*(f"{c}::DOUBLE * {d}" for c, d in zip(ARTIFACTS["combiner"]["coef"], serving.DIMENSIONS)), "0.5::DOUBLE * label / 10", "9"])
 
 STATE = (
-    TE.replace("SELECT user_id, epoch_us(ts) AS us, value FROM", "SELECT user_id, epoch_us(ts) AS us, value / 5 AS value FROM")
+    TE.replace("SELECT user_id, epoch_us(ts) AS us, value FROM", "SELECT user_id, epoch_us(ts) AS us, value / 4.973::DOUBLE AS value FROM")
     + """,
 mx AS (SELECT max(epoch_us(ts)) / 86400000000.0 AS now FROM events),
 ag AS (SELECT r.*, greatest(now - day, 0) AS ago, exp(-greatest(now - day, 0) * (ln(2.0) / 14.0)) AS w FROM r, mx),
