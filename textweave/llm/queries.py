@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import bpe, langid, near_dedup, packing, rules, substring_dedup, suffix_dedup, token_files, topk, urls
+from textweave.llm import bpe, langid, near_dedup, packing, rules, substring_dedup, suffix_dedup, token_files, topk, url_sql, urls
 
 
 def word_bpe() -> str:
@@ -78,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_url_filter": url_sql.url_filter_sql(),
     "op1_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings

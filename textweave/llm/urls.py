@@ -1,9 +1,10 @@
 """URL filter by a path-template tree, in DataFrame functions alone.
 
-Per host, paths are split into segments. Going down the tree, a segment becomes a wildcard when its shape is variable
-(digits, long hexadecimal), when the branch has very many children, or when its labelled rate does not differ from its
-siblings' (two-proportion test). Explicit rules label the pages they fit; a template is rejected when its labelled block
-share, smoothed towards a neutral prior, is above a threshold.
+Per host, paths are split into segments and variable parts of a segment (numbers, long hexadecimal) become wildcards. Going
+down the tree, a segment becomes a wildcard as a whole where a branch has very many children. Sibling branches merge where
+neither a chi-square test of what follows them nor a two-proportion test of their labels tells them from the rest.
+Explicit rules label the pages they fit; a template is rejected when its labelled block share, smoothed towards the share
+of the host's pages that is labelled so, is above a threshold.
 """
 
 from __future__ import annotations
@@ -11,14 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweave.llm.common import stored
+
 #: Verdict and rule (host, then path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Segments deeper than this are one remaining segment.
-DEPTH = 3
+#: Levels of the tree; what lies deeper is one segment of wildcards for runs of letters and of digits.
+DEPTH = 4
 MANY_CHILDREN = 50
-Z = 1.96
-PRIOR, PRIOR_WEIGHT, REJECT = 0.25, 4.0, 0.5
+#: One-sided 5 % for shapes, two-sided 5 % for labels.
+Z_SHAPE, Z_LABEL = 1.645, 1.96
+PRIOR_WEIGHT, REJECT = 4.0, 0.5
+#: Distinct shapes up to which the judged tree is broadcast: 32 bytes each.
+BROADCAST_SHAPES = 500_000
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HEXADECIMAL, DIGITS, LETTERS = "[0-9a-fA-F-]{12,}", "[0-9]+", r"\p{L}+"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -41,47 +48,86 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def shape(segment: Column) -> Column:
-    """Variable shapes as wildcards: digits (with a file extension kept) and hexadecimal of 12 or more."""
-    return F.regexp_replace(F.regexp_replace(segment, r"^[0-9]+(?=$|\.)", "*"), r"^[0-9a-fA-F-]{12,}(?=$|\.)", "*")
+    """Variable parts as wildcards: hexadecimal of 12 or more, then runs of digits."""
+    return F.regexp_replace(F.regexp_replace(segment, HEXADECIMAL, "*"), DIGITS, "*")
+
+
+def form(text: Column) -> Column:
+    """What a text looks like: runs of letters as `a`, wildcards as they are."""
+    return F.regexp_replace(text, LETTERS, "a")
+
+
+def shapes_of(path: Column, depth: int) -> Column:
+    """The shapes of the first `depth` segments, and one form of all deeper ones."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    head = F.transform(F.slice(parts, 1, depth), shape)
+    deeper = F.array(form(shape(F.array_join(F.slice(parts, depth + 1, 1 << 30), "/"))))
+    return F.when(F.size(parts) > depth, F.concat(head, deeper)).otherwise(head)
 
 
 def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Distinct (host, s1..sD) shapes with page and label counts, each with its template after generalising and merging."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
-    segments = [F.coalesce(shape(F.get(parts, F.lit(k))), F.lit("")).alias(f"s{k}") for k in range(depth)]
-    shapes = pages.select("host", *segments, "label").groupBy("host", *(f"s{k}" for k in range(depth))).agg(
-        F.count("*").alias("n"), F.count("label").alias("n_lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad")
-    )
-    tree = shapes.withColumn("template", F.lit(""))
-    for k in range(depth):
-        nodes = tree.groupBy("host", "template", f"s{k}").agg(F.sum("n_lab").alias("c_lab"), F.sum("n_bad").alias("c_bad"))
-        parents = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("c_lab").alias("p_lab"), F.sum("c_bad").alias("p_bad"))
+    """Distinct (host, shapes) of pages (host, shapes, label) with counts, and the template after generalising and merging.
+
+    Tables of shapes are aggregated before every join. A template has `*` for a segment of very many values and `~` for
+    merged branches.
+    """
+    tree = pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("label").alias("n_lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad"))
+    tree = stored(tree.withColumn("template", F.lit("")), "shapes")
+    node = ["host", "template"]
+    for k in range(depth + 1):
+        here = tree.withColumn("segment", F.get("shapes", F.lit(k))).where("segment IS NOT NULL")
+        rest = form(F.array_join(F.slice("shapes", k + 2, 1 << 30), "/"))
+        # Whether nothing follows or an empty segment does is part of what follows.
+        cells = here.withColumn("rest", F.concat((F.size("shapes") > k + 1).cast("string"), rest)).groupBy(*node, "segment", "rest").agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad")))
+        columns = cells.groupBy(*node, "rest").agg(F.sum("n").alias("n_rest"))
+        branches = cells.join(columns, [*node, "rest"]).groupBy(*node, "segment").agg(
+            F.sum("n").alias("n"), F.sum("n_lab").alias("lab"), F.sum("n_bad").alias("bad"), F.sum(F.col("n").cast("double") * F.col("n") / F.col("n_rest")).alias("fit")
+        )
+        parents = branches.groupBy(*node).agg(F.count("*").alias("children"), F.sum("n").alias("p_n"), F.sum("lab").alias("p_lab"), F.sum("bad").alias("p_bad"))
+        kinds = columns.groupBy(*node).agg((F.count("*") - 1).cast("double").alias("free"))
+        seen = branches.join(parents.join(kinds, node), node)
+        n, whole = F.col("n").cast("double"), F.col("p_n").cast("double")
+        apart = F.try_divide(whole * whole, n * (whole - n)) * (F.col("fit") - n * n / whole)
+        ninth = F.try_divide(F.lit(2.0), 9 * F.col("free"))
+        most = F.col("free") * F.pow(1 - ninth + Z_SHAPE * F.sqrt(ninth), 3)
+        alike = (F.col("children") > 1) & ((F.col("free") == 0) | F.coalesce(apart <= most, F.lit(False)))
         share = F.try_divide("p_bad", "p_lab")
-        error = F.sqrt(share * (1 - share) * (1 / F.greatest("c_lab", F.lit(1)) + 1 / F.greatest(F.col("p_lab") - F.col("c_lab"), F.lit(1))))
-        others = F.try_divide(F.col("p_bad") - F.col("c_bad"), F.col("p_lab") - F.col("c_lab"))
-        alike = (F.col("c_lab") > 0) & (F.col("p_lab") > F.col("c_lab")) & (F.abs(F.try_divide("c_bad", "c_lab") - others) <= Z * error)
-        # Without a label on either side nothing tells the branches apart by purity, so only their number counts.
-        wild = (F.col("children") > MANY_CHILDREN) | alike
-        merged = nodes.join(parents, ["host", "template"]).select("host", "template", f"s{k}", F.concat("template", F.lit("/"), F.when(F.coalesce(wild, F.lit(False)), "*").otherwise(F.col(f"s{k}"))).alias("next"))
-        tree = tree.join(merged, ["host", "template", f"s{k}"]).drop("template").withColumnRenamed("next", "template")
+        error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("lab")) + F.try_divide(F.lit(1.0), F.col("p_lab") - F.col("lab"))))
+        gap = F.abs(F.try_divide("bad", "lab") - F.try_divide(F.col("p_bad") - F.col("bad"), F.col("p_lab") - F.col("lab")))
+        alike &= F.coalesce(gap <= Z_LABEL * error, F.lit(True))  # without a label on either side only shapes count
+        name = F.when(F.col("children") > MANY_CHILDREN, "*").when(alike, "~").otherwise(F.col("segment"))
+        named = seen.select(*node, "segment", F.concat("template", F.lit("/"), name).alias("next"))
+        longer = here.join(named, [*node, "segment"]).select("host", "shapes", "n", "n_lab", "n_bad", F.col("next").alias("template"))
+        ended = tree.where(F.size("shapes") <= k).select("host", "shapes", "n", "n_lab", "n_bad", "template")
+        tree = stored(longer.unionByName(ended), "shapes")
     return tree
 
 
+def judged_tree(tree: DataFrame) -> DataFrame:
+    """(host, shapes, template, purity): labelled block shares of templates, smoothed towards the host's, those towards all."""
+    everything = tree.agg(F.sum("n_bad").alias("bad"), F.sum("n").alias("n")).first()
+    base = everything.bad / everything.n if everything.n else 0.0
+    hosts = tree.groupBy("host").agg(((F.sum("n_bad") + PRIOR_WEIGHT * base) / (F.sum("n") + PRIOR_WEIGHT)).alias("prior"))
+    templates = tree.groupBy("host", "template").agg(F.sum("n_lab").alias("lab"), F.sum("n_bad").alias("bad"))
+    pure = templates.join(hosts, "host").select("host", "template", ((F.col("bad") + PRIOR_WEIGHT * F.col("prior")) / (F.col("lab") + PRIOR_WEIGHT)).alias("purity"))
+    return tree.select("host", "template", "shapes").join(pure, ["host", "template"])
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) for every row; other columns are ignored.
+    """(page_id, host, path, rule, verdict, purity) for every row; other columns are ignored.
 
     A null url, or one without `://`, has an empty host and path and is allowed unless a template says otherwise. A rule's
     verdict stands over the method's. Equal urls get equal verdicts; null ids and repeated rows are kept; no rows give none.
+    Pages meet their template by 128 bits of hashes, broadcast while the shapes are few enough.
     """
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     host, path = split_url(F.col("url"))
     found = source.select("page_id", host.alias("host"), path.alias("path")).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = found.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled")).withColumn("label", (F.col("ruled") == "block").cast("long"))
-    tree = template_tree(labelled, depth)
-    purity = tree.groupBy("host", "template").agg(((F.sum("n_bad") + PRIOR * PRIOR_WEIGHT) / (F.sum("n_lab") + PRIOR_WEIGHT)).alias("purity"))
-    named = [f"s{k}" for k in range(depth)]
-    judged = tree.select("host", *named, "template").join(purity, ["host", "template"])
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
-    keyed = labelled.select("*", *[F.coalesce(shape(F.get(parts, F.lit(k))), F.lit("")).alias(f"s{k}") for k in range(depth)])
+    labelled = found.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"), shapes_of(F.col("path"), depth).alias("shapes"))
+    tree = template_tree(labelled.select("host", "shapes", (F.col("ruled") == "block").cast("long").alias("label")), depth)
+    key = [F.xxhash64("host", "shapes").alias("_a"), F.xxhash64("shapes", "host", F.lit(1)).alias("_b")]
+    judged = judged_tree(tree).select(*key, "purity")
+    if tree.count() <= BROADCAST_SHAPES:
+        judged = F.broadcast(judged)
     verdict = F.coalesce("ruled", F.when(F.col("purity") > REJECT, "block").otherwise("allow"))
-    return keyed.join(judged, ["host", *named]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return labelled.select("*", *key).join(judged, ["_a", "_b"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "purity")
