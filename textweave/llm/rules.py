@@ -43,14 +43,24 @@ def policy_mask(policy: str) -> int:
     return sum(1 << bits[name] for name in POLICIES[policy])
 
 
-def repeated_words(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def window_codes(a: np.ndarray, b: np.ndarray, c: np.ndarray, n_words: int) -> np.ndarray:
+    """A number for each triple of word codes, equal for equal triples alone, however many words there are."""
+    bits = max(1, int(n_words - 1).bit_length())
+    if 3 * bits > 64:  # pairs are numbered first: there are no more of them than windows
+        a, bits = np.unique(a * n_words + b, return_inverse=True)[1], 32
+        return (a.astype(np.uint64) << np.uint64(bits)) | c.astype(np.uint64)
+    shift = np.uint64(bits)
+    return (((a.astype(np.uint64) << shift) | b.astype(np.uint64)) << shift) | c.astype(np.uint64)
+
+
+def repeated_words(codes: np.ndarray, offsets: np.ndarray, n_words: int) -> np.ndarray:
     """For each text, the words inside 3-word windows that the text holds twice or more."""
     n = len(codes)
     covered = np.zeros(n, bool)
     if n >= 3:
         of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         at = np.flatnonzero(of[:-2] == of[2:])
-        window = (codes[at].astype(np.uint64) << np.uint64(42)) | (codes[at + 1].astype(np.uint64) << np.uint64(21)) | codes[at + 2].astype(np.uint64)
+        window = window_codes(codes[at], codes[at + 1], codes[at + 2], n_words)
         key = mix64(window ^ mix64(of[at].astype(np.uint64)))
         order = np.argsort(key)
         a, b = order[:-1], order[1:]
@@ -66,8 +76,6 @@ def repeated_words(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     codes, offsets, words = words_of(texts)
-    if len(words) >= 1 << 21:
-        raise ValueError("too many distinct words in one block for exact windows; lower CHUNK_BYTES")
     raw, at = string_bytes(texts)
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
@@ -86,7 +94,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "word_chars": segment_sum((begins & ~space)[raw], at),
         "n_symbols": segment_sum(symbol[raw], at),
         "n_dup_lines": n_lines - distinct,
-        "n_repeat_words": repeated_words(codes, offsets),
+        "n_repeat_words": repeated_words(codes, offsets, len(words)),
         "n_lines": n_lines,
     }
 
