@@ -1,9 +1,11 @@
 """Exact top-k inner products: norm-sorted blocks, SVD-rotated partial sums, Cauchy-Schwarz residual bounds.
 
-Candidates are read by descending length. After a rotation onto the principal axes of all vectors, the first axes hold
-most of a product; what the other axes can add is at most the product of the residual lengths. A block whose length bound
-is under a query's k-th score is skipped, candidates whose partial sum plus residual bound is under it are dropped, and
-the rest are scored exactly in integers.
+Candidates come by descending length, in bands: all shards of the longest band are searched first, and each query takes
+its k-th score so far on to the next, where it is left out once the band's greatest length cannot reach that score. Within
+a shard, too, blocks come by descending length. After a rotation onto the principal axes of all vectors, the first axes
+hold most of a product; what the other axes can add is at most the product of the residual lengths. A block whose length
+bound is under a query's k-th score is skipped, candidates whose partial sum plus residual bound is under it are dropped,
+and the rest are scored exactly in integers.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 
 from textweave.llm.common import stored
 
-#: Rows of one candidate block, of one query block, and of one task's queries.
-BLOCK, QUERY_BLOCK, QUERIES_PER_TASK = 4096, 1024, 50_000
-CANDIDATES_PER_TASK = 1_000_000
+#: Rows of one candidate block and of one query block.
+BLOCK, QUERY_BLOCK = 4096, 1024
+#: Bytes of vectors, as 64-bit numbers, in one task's candidates and queries; a task's arrays take about five times that.
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
+#: A band of lengths has so many times the vectors of the band of longer ones before it.
+BAND_GROWTH = 8
 #: Share of the axes that the partial sums use.
 LEADING = 0.5
 #: Above this share of survivors the exact products of a block come from one matrix product.
@@ -61,16 +66,16 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
         ids = table.column("vec_id").to_numpy()
         v = matrix(table.column("v").combine_chunks(), dim)
         length = np.sqrt((v.astype(np.float64) ** 2).sum(1))
-        order = np.lexsort((ids, -length))
-        ids, v, length = ids[order], v[order], length[order]
         turned = v.astype(np.float64) @ axes
         return ids, v, length, turned[:, :lead], np.sqrt((turned[:, lead:] ** 2).sum(1))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
+            left = left.sort_by([("norm", "descending"), ("vec_id", "ascending")])
             q_ids, q_all, q_length, q_lead, q_rest = prepared(left)
-            c_ids, c_all, c_length, c_lead, c_rest = prepared(right)
+            given = left.column("floor").to_numpy()
+            c_ids, c_all, c_length, c_lead, c_rest = prepared(right.sort_by([("norm", "descending"), ("vec_id", "ascending")]))
             several = len(np.unique(c_ids)) < len(c_ids)
             # Whole numbers: doubles are exact up to 2 ** 53, beyond that products are taken in Python integers.
             exact = q_length.max() * c_length.max() < 2**52
@@ -84,7 +89,7 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
                 who = np.full((n, k), np.iinfo(np.int64).max)
                 for c in range(0, len(c_ids), BLOCK):
                     cols = slice(c, c + BLOCK)
-                    floor = best[:, -1].astype(np.float64)
+                    floor = np.maximum(best[:, -1].astype(np.float64), given[rows])
                     alive = np.flatnonzero(q_length[rows] * c_length[c] + slack >= floor)
                     if not len(alive):
                         break  # no later block has longer vectors
@@ -99,7 +104,7 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
                     else:
                         score = np.array([sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for a, b in zip(q_all[rows][alive[qi]], c_all[cols][ci], strict=True)], object)
                     qi, ids = alive[qi], c_ids[cols][ci]
-                    good = (score >= best[qi, -1]) & (ids != q_ids[rows][qi])
+                    good = (score >= best[qi, -1]) & (score >= given[rows][qi] - slack) & (ids != q_ids[rows][qi])
                     qi, ids, score = qi[good], ids[good], score[good]
                     if not len(qi):
                         continue
@@ -127,29 +132,59 @@ def searcher(k: int, dim: int, axes: np.ndarray) -> Callable:
     return run
 
 
+def bands(source: DataFrame, n: int, first: int) -> list[float]:
+    """Falling least lengths of the bands: the first has about `first` vectors, each other BAND_GROWTH times as many."""
+    shares, done, size = [], 0, first
+    while done + size < n:
+        done += size
+        shares.append(1 - done / n)
+        size *= BAND_GROWTH
+    edges = source.agg(F.percentile_approx("norm", F.array(*map(F.lit, shares)), F.lit(10_000)).alias("e")).first().e if shares else []
+    return [*sorted(set(edges), reverse=True), -1.0]
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row whose id is divisible by `every`.
 
     Ties go to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty or hold null or non-finite
-    components take no part, nor do null ids; a query does not match itself, that is rows of its own id. Rows repeated
-    under one id count once, different vectors of one id with their best product. Vectors of another length than most have no product with the queries and are refused.
+    components take no part, nor do null ids, nor vectors of another length than most (the longer of two equally common
+    ones): they have no product with the others. A query does not match itself, that is rows of its own id. Rows repeated
+    under one id count once, different vectors of one id with their best product. Other columns are ignored.
     """
-    source = vectors.select(vectors[id_col].cast("long").alias("vec_id"), quantised(vectors[vector_col], scale).alias("v"))
-    source = stored(source.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).dropDuplicates(["vec_id", "v"]), "vectors")
-    dims = source.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    schema = "query_id long, vec_id long, score long"
     spark = vectors.sparkSession
-    if not dims.q:
+    schema = "query_id long, vec_id long, score long"
+    source = vectors.select(vectors[id_col].cast("long").alias("vec_id"), quantised(vectors[vector_col], scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    source = stored(source.dropDuplicates(["vec_id", "v"]).withColumn("norm", norm), "vectors")
+    sizes = source.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
+    most = sizes.orderBy(F.desc("n"), F.desc("dim")).limit(1).first()
+    if most is None or not most.q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if dims.a != dims.b:
-        raise ValueError(f"vectors of {dims.a} to {dims.b} components")
-    axes = rotation(source, dims.a)
-    # A grid of candidate shards and query blocks; every cell is one task of bounded size.
-    shards = max(-(-dims.n // CANDIDATES_PER_TASK), min(48, -(-dims.n // 4096)))
-    blocks = max(1, -(-dims.q // QUERIES_PER_TASK))
-    queries = source.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rows = source.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = queries.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInArrow(searcher(k, dims.a, axes), schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    dim, source = most.dim, source.where(F.size("v") == most.dim)
+    axes = rotation(source, dim)
+    room = lambda size: max(1, size // (8 * dim))
+    # Enough shards for all cores, none larger than SHARD_BYTES.
+    shard_rows = min(room(SHARD_BYTES), max(BLOCK, -(-most.n // spark.sparkContext.defaultParallelism)))
+    blocks = -(-most.q // room(QUERY_BYTES))
+    asked = source.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, above = None, None
+    for least in bands(source, most.n, shard_rows):
+        band = source.where(F.col("norm") >= least) if above is None else source.where((F.col("norm") >= least) & (F.col("norm") < above))
+        size = band.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first()
+        above = least
+        if not size.n:
+            continue
+        shards = -(-size.n // shard_rows)
+        queries = asked.withColumn("floor", F.lit(float("-inf")))
+        if best is not None:
+            floors = best.groupBy("query_id").agg(F.min("score").cast("double").alias("f"), F.count("*").alias("m")).where(F.col("m") == k)
+            queries = asked.join(floors, asked.vec_id == floors.query_id, "left").select(*asked.columns, F.coalesce("f", F.lit(float("-inf"))).alias("floor"))
+            # A millionth more than the bound, for its rounding.
+            queries = queries.where(F.col("norm") * size.top * (1 + 1e-6) + 1e-6 >= F.col("floor"))
+        left = queries.toDF(*queries.columns).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        right = band.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(searcher(k, dim, axes), schema)
+        merged = (found if best is None else found.unionByName(best)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = stored(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
