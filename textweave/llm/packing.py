@@ -2,7 +2,7 @@
 
 Every partition packs its pieces by best-fit decreasing and certifies its bin count with dual-feasible-function lower
 bounds. Partitions above their bound, and the emptiest bin of the others, give documents up; those are dealt anew over
-fewer partitions and packed again. Each exchange halts when nothing is left to gain; memory stays that of one partition.
+fewer partitions and packed again, as long as that saves bins. Memory stays that of one partition.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from textweave.llm.bpe import tokenizer
 from textweave.llm.common import stored, sub_batches, texts_of
 
-#: Pieces that one task packs; partitions are as many as that needs, whatever the input's size.
+#: Pieces that one task packs, half a million at most (sequence ids have 20 bits for a task's own); partitions are as many
+#: as that needs, whatever the input's size.
 PIECES_PER_TASK = 200_000
-EXCHANGES = 3
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
@@ -103,8 +103,8 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def packer(capacity: int, step: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Packs one partition; `again` marks pieces of bins that are given up for an exchange."""
+def packer(capacity: int, step: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs one partition, with its bins and the bound that certifies them; `again` marks pieces of bins to give up."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
@@ -112,45 +112,48 @@ def packer(capacity: int, step: int, last: bool) -> Callable[[pa.Table], pa.Tabl
         sizes = table.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(bins, weights=sizes).astype(np.int64)
-        again = np.zeros(len(fill), bool)
-        if not last:
-            if len(fill) > lower_bound(sizes, capacity):
-                again = fill < capacity
-            again[np.argmin(fill)] = fill.min() < capacity
-        ids = (step << 58) | (part << 32) | bins
-        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again[bins]))
+        bound = lower_bound(sizes, capacity)
+        again = fill < capacity if len(fill) > bound else np.zeros(len(fill), bool)
+        again[np.argmin(fill)] = fill.min() < capacity
+        of = lambda n: pa.array(np.full(len(sizes), n, np.int64))
+        more = {"sequence_id": pa.array((step << 48) | (part << 20) | bins), "offset": pa.array(offsets), "again": pa.array(again[bins]), "bins": of(len(fill)), "bound": of(bound)}
+        for name, values in more.items():
+            table = table.append_column(name, values)
+        return table
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, pieces_per_task: int = PIECES_PER_TASK, exchanges: int = EXCHANGES) -> DataFrame:
-    """Adds sequence_id and offset to `pieces`, and packed_in (the exchange that fixed the place).
+def pack(pieces: DataFrame, capacity: int = 2048, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+    """Adds sequence_id and offset to `pieces`, packed_in (the exchange that fixed the place), and bins and bound: the
+    sequences of the partition that packed the piece, and the fewest that any packing of it can have.
 
-    Ties in length go by doc_id, then piece. Full pieces take a sequence of their own without packing.
+    Ties in length go by doc_id, then piece. Full pieces take a sequence of their own without packing. Exchanges go on
+    while one saves a sequence; every piece keeps the last place it got.
     """
     names = pieces.columns
     pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("packed_in"))
+    one = F.lit(1).cast("long")
+    full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("packed_in"), one.alias("bins"), one.alias("bound"))
     pool = pieces.where(F.col("length") < capacity)
     n = pool.count()
     out = [full]
-    schema = T.StructType([*pool.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("again", T.BooleanType())])
-
-    for step in range(exchanges + 1):
+    schema = T.StructType([*pool.schema.fields, *(T.StructField(c, T.BooleanType() if c == "again" else T.LongType()) for c in ("sequence_id", "offset", "again", "bins", "bound"))])
+    step, given_up = 0, None
+    while True:
         parts = max(1, -(-n // pieces_per_task))
-        last = step == exchanges or parts == 1
-
         keyed = pool.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(step)), F.lit(parts)))
         if n:
             keyed = keyed.repartition(min(parts, 100_000), "_part")
-        done = stored(keyed.groupBy("_part").applyInArrow(packer(capacity, step, last), schema), f"packed{step}")
-        out.append(done.where(~F.col("again")).select(*names, "sequence_id", "offset", F.lit(step).alias("packed_in")))
+        done = stored(keyed.groupBy("_part").applyInArrow(packer(capacity, step), schema), f"packed{step}")
+        first = F.col("offset") == 0  # one piece of each sequence
+        count = done.agg(F.count_if(first).alias("bins"), F.count_if(first & F.col("again")).alias("again"), F.count_if("again").alias("n")).first()
+        # One partition has nobody to exchange with; a round that saved nothing is the last.
+        last = parts == 1 or not count.n or (given_up is not None and count.bins >= given_up)
+        out.append((done if last else done.where(~F.col("again"))).select(*names, "sequence_id", "offset", F.lit(step).alias("packed_in"), "bins", "bound"))
         if last:
             break
-        pool = done.where("again").drop("sequence_id", "offset", "again")
-        n = pool.count()
-        if not n:
-            break
+        pool, n, given_up, step = done.where("again").drop("sequence_id", "offset", "again", "bins", "bound"), count.n, count.again, step + 1
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
