@@ -12,49 +12,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.llm.bpe import tokenizer
-from textweave.llm.common import shared_root, sub_batches, texts_of
+from textweave.llm.common import shared_root, stored, sub_batches, texts_of
 
 BLOCK_TOKENS = 1 << 18
+#: Documents in a file that is written here: a partition with more is written as several files, none read as one large row.
+FILE_DOCUMENTS = 1 << 13
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 3 << 20
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes one flat file for each partition; returns (file, ordinal, doc_id), the order of the documents in them.
+def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text", file_documents: int = FILE_DOCUMENTS) -> DataFrame:
+    """Writes flat files; returns (file, ordinal, doc_id), the order of the documents in them.
 
     Spark's text writer puts down raw bytes and ends each row with the separator, here the end id: files of any store
     that Spark can write to, committed as a whole by each task. Texts that spell a special token are ordinary text, so
-    the end id occurs nowhere else. The order comes from the same scan of the same files.
+    the end id occurs nowhere else. The order is stored by a scan of its own; both scans observe a digest of all places,
+    ids and texts, and an input that does not come out the same twice is an error.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    end = int(end_id).to_bytes(width, "little")
     if width not in (2, 4):
         raise ValueError("ids are 2 or 4 bytes wide")
-    kind = "<u2" if width == 2 else "<u4"
-    place = F.monotonically_increasing_id()
+    kind, end = "<u2" if width == 2 else "<u4", int(end_id).to_bytes(width, "little")
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("at", F.monotonically_increasing_id())
+    seen = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("at", "doc_id", "text")).alias("digest"))
+    first, second = Observation(), Observation()
+    order = stored(source.observe(first, seen.alias("seen")).select("at", "doc_id"), "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=ENCODED_BYTES):
                 ids, offsets = bpe.encode(texts_of(batch), specials=False)
                 data = pa.py_buffer(ids.astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), data])], ["tokens"])
 
-    tokens = source.select("text").mapInArrow(run, "tokens binary").select(F.expr("cast(tokens as string)").alias("value"))
+    tokens = source.observe(second, seen.alias("seen")).select("text").mapInArrow(run, "tokens binary").select(F.expr("cast(tokens as string)").alias("value"))
     # The encoding option is for the separator alone; the rows' bytes go out as they are.
-    tokens.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(folder)
-    order = source.select("doc_id", place.alias("at"))
-    return order.select(F.shiftright("at", 33).cast("int").alias("file"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), "doc_id")
+    tokens.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", file_documents).text(folder)
+    if first.get != second.get:
+        raise RuntimeError("two scans of the documents differ; store them first")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return order.select(file_number(F.shiftright("at", 33), F.floor(place / file_documents)).alias("file"), (place % file_documents).alias("ordinal"), "doc_id")
+
+
+def file_number(partition: Column, chunk: Column) -> Column:
+    """One number for a file name's two: partitions are under 2 ** 31, files of one under 2 ** 32."""
+    return F.shiftleft(partition.cast("long"), 32).bitwiseOR(chunk.cast("long"))
 
 
 def token_blocks(spark: SparkSession, folder: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, first, tokens binary): the files of a folder cut at fixed offsets."""
+    """(file, block, first, tokens binary): the files of a folder cut at fixed offsets.
+
+    A file is read as one row, so it may have 2 GB at most; write_token_files() keeps to that for all but texts of their
+    own of that size.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    number = file_number(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1), F.coalesce(F.regexp_extract("path", r"-c(\d+)(?:\.[^/]*)?$", 1).try_cast("long"), F.lit(0)))
     size = block_tokens * width
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))))
     cut = files.where("length > 0").select(number.alias("file"), "content", at.alias("block"))
@@ -68,7 +85,7 @@ def document_lengths(blocks: DataFrame, end_id: int, width: int = 2) -> DataFram
     of no tokens count 0. Other columns of `blocks` are ignored; a null block of tokens is an empty one.
     """
     kind = "<u2" if width == 2 else "<u4"
-    schema = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("first", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("file", T.LongType()), T.StructField("block", T.LongType()), T.StructField("first", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +95,7 @@ def document_lengths(blocks: DataFrame, end_id: int, width: int = 2) -> DataFram
                 ends = np.flatnonzero(ids == end_id) + first
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "first", "size", "ends"])
 
-    found = blocks.select(F.col("file").cast("int"), F.col("block").cast("long"), F.col("first").cast("long"), "tokens").mapInArrow(run, schema)
+    found = blocks.select(F.col("file").cast("long"), F.col("block").cast("long"), F.col("first").cast("long"), "tokens").mapInArrow(run, schema)
     # The scan: documents ended before a block, and the last end before it, each from sums and maxima over the blocks ahead.
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
