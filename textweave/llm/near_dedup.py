@@ -2,23 +2,25 @@
 
 A shingle of five words weighs its count in the text times its inverse document frequency, the mean of its words'. The
 word frequencies are over all documents, in a hashed table of fixed size. Consistent samples agree between two texts with
-a probability equal to their weighted Jaccard similarity; texts that agree on a whole band meet in a bucket. Buckets give
-pairs with leading members first; where classes stay apart, their other members are compared by sketches in blocks, and
-what those cannot rule out is tried too. Each pair is verified on its whole texts.
+a probability equal to their weighted Jaccard similarity; texts that agree on a whole band meet in a bucket. Each text is
+first tried with leading members of its buckets, which settles most of them. A bucket that still holds two classes goes,
+with its texts, to cells that compare every pair of different classes by sketches and verify what those leave possible on
+whole texts, until no unverified pair is left; a cell gives the links that join classes, not all pairs.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.llm.common import list_array, list_parts, mix64, small_side, stored, sub_batches, texts_of, word_hashes, words_of
+from textweave.llm.common import column, list_array, list_parts, mix64, small_side, stored, sub_batches, texts_of, word_hashes, words_of
 from textweave.llm.components import connected_components
 from textweave.llm.windows import Hashes, keyed, text_hash
 
@@ -27,14 +29,19 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 SIMILARITY = 0.8
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS = 2e-4, of 0.85 with 8e-6.
 BANDS, ROWS = 16, 4
-#: Samples that may differ of two texts compared beyond the leading pairs: 0.8 goes beyond it with probability 1e-5.
+#: Samples that may differ of two texts that are compared: 0.8 goes beyond it with probability 1e-5.
 MOST_APART = 27
 PLANES = 4
-#: Texts in buckets of more than CROWD classes get LONG further samples before they are compared with every other class;
-#: of those, 0.8 goes beyond LONG_APART with probability 1e-5 too, 0.72 in most cases.
-CROWD, LONG, LONG_APART = 16, 1024, 245
-#: Members of one block where those of classes still apart are compared, rows of it at once, and pairs at once.
-REST_BLOCK, REST_ROWS, REST_PAIRS = 8192, 128, 1 << 15
+#: Texts in cells of more than CROWD others get LONG further samples; of those, 0.8 goes beyond LONG_APART with probability
+#: 1e-5 too, 0.72 in most cases.
+CROWD, LONG, LONG_APART = 256, 1024, 245
+#: Members and bytes of text in a block of a bucket, and what is verified at once: a cell holds two blocks at most.
+CELL_ROWS, CELL_BYTES, VERIFIED = 1024, 4 << 20, 1 << 18
+#: Pairs of a cell that are held at once.
+HELD_PAIRS = 1 << 16
+#: Limits of samples apart, of 64 and of LONG, that a cell's pairs pass in turn: the likeliest links first, so that texts
+#: around one original are one class before the others are looked at; then all that can reach the similarity.
+PASSES = ((14, 150), (MOST_APART, LONG_APART))
 #: Bytes of text whose shingles are in memory at once.
 SHINGLED_BYTES = 1 << 20
 #: Slots of the hashed word-frequency table: the bound of what reaches the driver and is broadcast.
@@ -185,24 +192,22 @@ def samples_apart(left: Column, right: Column, words: int) -> Column:
 
 
 def signature_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("planes", T.ArrayType(T.LongType())), T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("planes", T.ArrayType(T.LongType())), T.StructField("weight", T.DoubleType()), T.StructField("size", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # SLOTS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = gamma_levels()
         for whole in batches:
             for batch in sub_batches(whole, limit=SHINGLED_BYTES):
-                keys, bands, planes, total = signatures(texts_of(batch), shared.value, levels)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), bands, planes, pa.array(total)], schema.names)
+                texts = texts_of(batch)
+                keys, bands, planes, total = signatures(texts, shared.value, levels)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), bands, planes, pa.array(total), pc.binary_length(texts).cast(pa.int64())], schema.names)
 
     return docs.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, schema)
 
 
-def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of texts row by row; two texts without words have 0."""
-    n = len(left)
-    of, h, w, _, _ = shingles(pa.concat_arrays([left, right]), idf)
-    of = of % n
+def overlap(of: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of n pairs, from the shingles of both sides of each."""
     order = np.argsort((of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
     of, h, w = of[order], h[order], w[order]
     same = np.flatnonzero((of[1:] == of[:-1]) & (h[1:] == h[:-1]))
@@ -211,6 +216,13 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray
     return np.divide(shared, union, out=np.zeros(n), where=union > 0)
 
 
+def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of texts row by row; two texts without words have 0."""
+    n = len(left)
+    of, h, w, _, _ = shingles(pa.concat_arrays([left, right]), idf)
+    return overlap(of % n, h, w, n)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """Pairs (a, b) of keys with whether they reach the similarity, on whole texts."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
@@ -226,90 +238,200 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, alike boolean")
 
 
-def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Bucket rows with their class, and whether it has no other text yet."""
-    if labels is None:
-        return buckets.withColumns({"single": F.lit(True), "label": F.col("key")})
+def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows with their class: their own key as long as they have no link."""
     found = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left")
-    return found.withColumn("single", F.col("label").isNull()).withColumn("label", F.coalesce("label", "key"))
-
-
-def rest_members(marked: DataFrame) -> DataFrame:
-    """Bucket rows that lead nothing, of buckets where two classes or more have such rows: their pairs met no lead."""
-    least = marked.groupBy("bucket", "label").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1")
-    apart = least.groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
-    least = least.join(apart, "bucket").select("bucket", F.col("label").alias("_l"), "least")
-    rows = marked.join(least.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & (F.col("label") == F.col("_l")))
-    return rows.where(F.col("key") != F.col("least")).select("bucket", "key", "weight", "planes")
-
-
-def rest_cell(similarity: float, best: bool) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of two blocks of a bucket, of different classes, that weights and sketches leave possible; `best`: the one
-    with the fewest samples apart of each two classes."""
-
-    def words(values: pa.Array, n: int) -> np.ndarray:
-        return list_parts(values)[0].to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        table = table.sort_by("key").combine_chunks()
-        one = lambda c: table.column(c).chunk(0)
-        label = one("label").dictionary_encode()
-        names, label = label.dictionary, label.indices.to_numpy()
-        weight, block = one("weight").to_numpy(), one("block").to_numpy()
-        planes = words(one("planes"), table.num_rows)
-        known = one("sketch").is_valid().to_numpy(zero_copy_only=False)
-        at = np.cumsum(known) - 1
-        sketch = words(one("sketch").drop_null(), int(known.sum())) if known.any() else np.zeros((0, 1), np.uint64)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = [np.zeros((3, 0), np.int64)]
-        for a in range(0, len(left), REST_ROWS):
-            x = left[a : a + REST_ROWS, None]
-            fits = (label[x] != label[right]) & (np.minimum(weight[x], weight[right]) >= (similarity - 1e-9) * np.maximum(weight[x], weight[right]))
-            if i == j:
-                fits &= x < right
-            differ = np.zeros(fits.shape, np.uint64)
-            for p in range(PLANES):
-                differ |= planes[x, p] ^ planes[right, p]
-            apart = np.bitwise_count(differ)
-            u, v = np.nonzero(fits & (apart <= MOST_APART))
-            apart, u, v = apart[u, v].astype(np.int64) * (LONG // 64), x[u, 0], right[v]
-            for b in range(0, len(u), REST_PAIRS):
-                some = np.flatnonzero(known[u[b : b + REST_PAIRS]] & known[v[b : b + REST_PAIRS]]) + b
-                if len(some):
-                    differ = sketch[at[u[some]]] ^ sketch[at[v[some]]]
-                    apart[some] = np.bitwise_count(np.bitwise_or.reduce(differ.reshape(len(some), -1, PLANES), 2)).sum(1)
-                    apart[some] = np.where(apart[some] <= LONG_APART, apart[some], -1)
-            found = np.stack([u, v, apart])[:, apart >= 0]
-            if best:
-                found = np.concatenate([out.pop(), found], 1)
-                low, high = np.sort(label[found[:2]], 0)
-                order = np.lexsort((found[2], high, low))
-                low, high = low[order], high[order]
-                found = found[:, order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]]]
-            out.append(found)
-        u, v, apart = np.concatenate(out, 1)
-        key, kind = one("key"), lambda rows: names.take(pa.array(label[rows]))
-        return pa.table({"a": key.take(pa.array(u)), "b": key.take(pa.array(v)), "la": kind(u), "lb": kind(v), "apart": pa.array(apart)})
-
-    return run
-
-
-def rest_pairs(rest: DataFrame, labels: DataFrame | None, similarity: float, best: bool) -> DataFrame:
-    """Pairs (a, b) of the members that lead nothing, in blocks; every pair of a bucket meets in one cell.
-
-    No pair becomes a row before the sketches have let it pass; rows are repeated once for each block of their bucket.
+    return found.withColumn("label", F.coalesce("label", "key"))
+
+
+def of_two_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes differ."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def joined_classes(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) of all keys that have a link: classes joined by further links are components of classes."""
+    links = stored(links, "links")
+    if labels is None:
+        return stored(connected_components(links), "labels")
+    if not links.limit(1).count():
+        return labels
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    both = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = stored(connected_components(both), "merged")
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stored(moved.unionByName(merged.join(labels, "node", "left_anti")), "labels")
+
+
+def open_cells(buckets: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
+    """(bucket, i, j, block, key, label, weight, planes, sketch, text) of buckets that hold two classes.
+
+    The members of a bucket's largest class and the others are cut into blocks; the cells (i, j) are the pairs of blocks
+    of which one at least is of others. So a member of the largest class is repeated once for each block of others: the
+    work grows with the square of texts that are alike and yet in different classes only. Of buckets with the same members
+    one is kept. Also returns the number of rows without repeats.
     """
-    now = rest if labels is None else labelled(rest, labels).drop("single")
-    sizes = now.groupBy("bucket").agg(F.count("*").alias("m"), F.countDistinct("label").alias("classes")).where("classes > 1")
-    now = now.join(sizes.select("bucket", F.ceil(F.col("m") / REST_BLOCK).cast("int").alias("n")), "bucket")
-    now = now.withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = now.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "label", "weight", "planes", "sketch")
-    found = cells.groupBy("bucket", "i", "j").applyInArrow(rest_cell(similarity, best), "a binary, b binary, la binary, lb binary, apart long")
-    pair = F.struct("apart", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if best:
-        return found.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(pair).alias("p")).select("p.a", "p.b")
-    return found.select(pair.alias("p")).select("p.a", "p.b").distinct()
+    marked = labelled(buckets, labels)
+    classes = marked.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    info = classes.groupBy("bucket").agg(F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("most"), F.count("*").alias("classes"), F.sum("c").alias("m"), F.sum("s").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    info = info.where("classes > 1").groupBy("m", "x", "y").agg(F.min(F.struct("bucket", "most", "m", "size")).alias("o")).select("o.bucket", "o.most", "o.m", "o.size")
+    parts = lambda rows, size: F.greatest(F.ceil(rows / CELL_ROWS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    info = info.select("bucket", F.col("most.label").alias("top"), parts(F.col("m") - F.col("most.c"), F.col("size") - F.col("most.s")).alias("others"), parts(F.col("most.c"), F.col("most.s")).alias("tops"), (F.col("m") > CROWD).alias("crowded"))
+    info = stored(info, "open")
+    rows = marked.join(small_side(info, info.count()), "bucket")
+    large = F.col("label") == F.col("top")
+    block = F.when(large, F.col("others") + F.pmod(F.xxhash64("key"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("key"), F.col("others"))).cast("int")
+    last = F.when(large, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    rows = rows.select("bucket", "key", "label", "weight", "planes", "crowded", block.alias("block"), last.alias("last"))
+    rows = stored(rows, "members")
+    members = rows.count()
+    long = long_sketches(texts.join(rows.where("crowded").select("key").distinct(), "key", "left_semi"), idf)
+    rows = rows.join(texts, "key").join(stored(long, "sketches"), "key", "left").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return rows.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "label", "weight", "planes", "sketch", "text"), members
+
+
+class Cells:
+    """A table of whole cells: pairs that sketches leave possible are verified, and classes joined, as they come."""
+
+    def __init__(self, table: pa.Table, idf: np.ndarray, similarity: float):
+        words = lambda values, n: list_parts(values)[0].to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+        one = lambda c: table.column(c).combine_chunks()
+        bucket, i, j = (one(c).to_numpy() for c in ("bucket", "i", "j"))
+        self.idf, self.similarity = idf, similarity
+        self.cell = np.cumsum(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        self.within, self.block = i == j, one("block").to_numpy()
+        self.label = one("label").dictionary_encode().indices.to_numpy().astype(np.int64)
+        self.weight, self.planes = one("weight").to_numpy(), words(one("planes"), len(self.cell))
+        sketches = one("sketch")
+        self.known = sketches.is_valid().to_numpy(zero_copy_only=False)
+        self.at = np.cumsum(self.known) - 1
+        self.sketch = words(sketches.drop_null(), int(self.known.sum())) if self.known.any() else np.zeros((0, 1), np.uint64)
+        key = one("key").dictionary_encode()
+        self.text, self.node = one("text"), key.indices.to_numpy().astype(np.int64)
+        # Shingles of the keys that have taken part so far.
+        self.h, self.w = np.zeros(0, np.uint64), np.zeros(0)
+        self.begin, self.size = (np.full(len(key.dictionary), -1) for _ in range(2))
+        self.links: list[tuple[int, int]] = []
+
+    def pairs(self, most: int, most_long: int) -> Iterator[np.ndarray]:
+        """(rows u, v, samples apart) of pairs of a cell and of different classes that weights and sketches leave possible."""
+        held, count = [], 0
+        rows, d, n = np.arange(len(self.cell)), 1, len(self.cell)
+        while True:
+            rows = rows[rows + d < n]
+            rows = rows[self.cell[rows] == self.cell[rows + d]]  # cells are runs of rows: a row without a partner has none further on
+            if not len(rows):
+                break
+            v = rows + d
+            fits = (self.label[rows] != self.label[v]) & (self.within[rows] | (self.block[rows] != self.block[v]))
+            fits &= np.minimum(self.weight[rows], self.weight[v]) >= (self.similarity - 1e-9) * np.maximum(self.weight[rows], self.weight[v])
+            u = rows[fits]
+            v = u + d
+            differ = np.zeros(len(u), np.uint64)
+            for p in range(PLANES):
+                differ |= self.planes[u, p] ^ self.planes[v, p]
+            apart = np.bitwise_count(differ).astype(np.int64)
+            some = apart <= most
+            u, v, apart = u[some], v[some], apart[some] * (LONG // 64)
+            both = np.flatnonzero(self.known[u] & self.known[v])
+            if len(both):
+                differ = np.bitwise_or.reduce((self.sketch[self.at[u[both]]] ^ self.sketch[self.at[v[both]]]).reshape(len(both), -1, PLANES), 2)
+                apart[both] = np.bitwise_count(differ).sum(1)
+                keep = np.ones(len(u), bool)
+                keep[both] = apart[both] <= most_long
+                u, v, apart = u[keep], v[keep], apart[keep]
+            if len(u):
+                held.append(np.stack([u, v, apart]))
+                count += len(u)
+            if count >= HELD_PAIRS:
+                yield np.concatenate(held, 1)
+                held, count = [], 0
+            d += 1
+        if held:
+            yield np.concatenate(held, 1)
+
+    def shingle(self, rows: np.ndarray) -> None:
+        """Brings the shingles of these rows' texts, once for each key."""
+        node, first = np.unique(self.node[rows], return_index=True)
+        new = self.size[node] < 0
+        node, first = node[new], rows[first[new]]
+        if not len(node):
+            return
+        h, w, sizes = [self.h], [self.w], []
+        for part in sub_batches(pa.RecordBatch.from_arrays([self.text.take(pa.array(first))], ["text"]), limit=SHINGLED_BYTES):
+            of, ph, pw, _, _ = shingles(texts_of(part), self.idf)
+            h.append(ph)
+            w.append(pw)
+            sizes.append(np.bincount(of, minlength=part.num_rows))
+        size = np.concatenate(sizes)
+        self.begin[node] = len(self.h) + np.cumsum(size) - size
+        self.size[node] = size
+        self.h, self.w = np.concatenate(h), np.concatenate(w)
+
+    def verify(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Joins the classes of the pairs that reach the similarity; as many at once as VERIFIED shingles."""
+        self.shingle(np.concatenate([u, v]))
+        a, b = self.node[u], self.node[v]
+        ahead = np.cumsum(self.size[a] + self.size[b])
+        begin = 0
+        while begin < len(u):
+            end = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + VERIFIED, "right")))
+            pairs = np.flatnonzero(self.label[u[begin:end]] != self.label[v[begin:end]]) + begin  # others are settled by now
+            if len(pairs):
+                nodes = np.concatenate([a[pairs], b[pairs]])
+                size = self.size[nodes]
+                flat = np.repeat(self.begin[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                of = np.repeat(np.arange(len(nodes)) % len(pairs), size)
+                for p in pairs[overlap(of, self.h[flat], self.w[flat], len(pairs)) >= self.similarity]:
+                    x, y = self.label[u[p]], self.label[v[p]]
+                    if x != y:
+                        self.label[self.label == y] = x
+                        self.links.append((int(u[p]), int(v[p])))
+            begin = end
+
+    def joined(self) -> np.ndarray:
+        """Rows (u, v) of the links that joined classes."""
+        for most, most_long in PASSES:
+            for u, v, apart in self.pairs(most, most_long):
+                order = np.argsort(apart, kind="stable")
+                self.verify(u[order], v[order])
+        return np.array(self.links, np.int64).reshape(-1, 2).T
+
+
+def cell_links(cells: DataFrame, members: int, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): the links that join classes, of all cells; a worker holds some cells at once, or one."""
+    shared = cells.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size, last = [], 0, 0, None
+
+        def links() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            u, v = Cells(table, shared.value, similarity).joined()
+            key = table.column("key").combine_chunks()
+            return pa.RecordBatch.from_arrays([key.take(pa.array(u)), key.take(pa.array(v))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, i, j = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j"))
+            cut = np.append(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, batch.num_rows)
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column(batch, "text")).to_numpy(zero_copy_only=False).astype(np.int64))])
+            at = 0
+            for to in cut.tolist():
+                this = (bucket[at], i[at], j[at])
+                if held and this != last and (rows > CELL_ROWS or size > CELL_BYTES):
+                    yield links()
+                    held, rows, size = [], 0, 0
+                held.append(batch.slice(at, to - at))
+                rows, size, last, at = rows + to - at, size + int(sizes[to] - sizes[at]), this, to
+        if held:
+            yield links()
+
+    where = ["bucket", "i", "j"]
+    return cells.repartition(max(1, -(-members // CELL_ROWS)), *where).sortWithinPartitions(*where, "key").mapInArrow(run, "a binary, b binary")
 
 
 def row_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,85 +442,27 @@ def row_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     docs = keyed(docs, id_col, text_col)
     idf = document_frequencies(docs)
     rows = stored(signature_rows(docs, idf), "signatures")
-    nodes = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("bands").alias("bands"), F.min("planes").alias("planes"), F.max("weight").alias("weight")), "nodes")
-    each = nodes.select("key", "weight", "planes", F.posexplode("bands").alias("band", "h")).select("key", "weight", "planes", "band", F.xxhash64("band", "h").alias("bucket"))
-    heads = each.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("m")).where("m > 1")
-    buckets = stored(each.join(heads, "bucket").select("bucket", "band", "key", "weight", "planes", "head"), "buckets")
-    involved = buckets.select("key").distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t"))
-    involved = stored(involved, "involved")
+    some = rows.where("key IS NOT NULL").groupBy("key")
+    nodes = stored(some.agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("bands").alias("bands"), F.min("planes").alias("planes"), F.max("weight").alias("weight"), F.max("size").alias("size")), "nodes")
+    each = nodes.select("key", "weight", "planes", "size", F.posexplode("bands").alias("band", "h")).select("key", "weight", "planes", "size", F.xxhash64("band", "h").alias("bucket"))
+    heads = each.groupBy("bucket").agg(F.min(F.struct("key", "weight", "planes")).alias("head"), F.count("*").alias("m")).where("m > 1")
+    buckets = stored(each.join(heads, "bucket").select("bucket", "key", "weight", "planes", "size", "head"), "buckets")
+    involved = stored(buckets.select("key").distinct().join(nodes, "key").select("key", F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_t")), "involved")
     side = small_side(involved, involved.count())
     named = docs.withColumn("th", text_hash())
     texts = stored(named.join(side, named.doc_id.eqNullSafe(side["_d"]) & (named.th == side["_t"])).select("key", "text").dropDuplicates(["key"]), "texts")
-    labels, tried, links = None, None, None
-    step, every, sketches, rest, best = 0, False, None, None, True
-    while True:
-        marked = labelled(buckets, labels)
-        if rest is not None:
-            # Pairs of texts that lead nothing: the likeliest of each two classes as long as that joins classes, then all.
-            pairs = rest_pairs(rest, labels, similarity, best).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        elif step == 0:
-            # Most texts of a class agree with its leading member: one pair for each text first.
-            pairs = buckets.where("key <> head").groupBy("key").agg(F.min("head").alias("b")).select(F.col("key").alias("a"), "b")
-        else:
-            # In buckets where classes are still apart: each text against the leading member of the bucket's largest other
-            # class, one pair for each text and bucket, as long as that joins classes; then against that of every other class.
-            if every:
-                if sketches is None:
-                    crowded = marked.groupBy("bucket").agg(F.countDistinct("label").alias("classes")).where(F.col("classes") > CROWD).select("bucket")
-                    among = marked.join(crowded, "bucket", "left_semi").select("key").distinct()
-                    sketches = stored(long_sketches(texts.join(among, "key", "left_semi"), idf).join(nodes.select("key", "bands"), "key"), "sketches")
-                marked = marked.join(sketches, "key", "left")
-            else:
-                marked = marked.withColumns({c: F.lit(None).cast("array<long>") for c in ("sketch", "bands")})
-            leads = marked.groupBy("bucket", "label").agg(F.min(F.struct("key", "weight", "planes", "single", "sketch", "bands")).alias("lead"), F.count("*").alias("m"))
-            if every:
-                apart = leads.groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
-                leads = leads.join(apart, "bucket").select("bucket", F.col("label").alias("other"), "lead")
-            else:
-                largest = F.max_by(F.struct(F.col("label").alias("other"), "lead"), F.struct("m", "label")).alias("x")
-                leads = leads.groupBy("bucket").agg(largest, F.count("*").alias("classes")).where("classes > 1").select("bucket", "x.other", "x.lead")
-            fits = F.least("weight", "lead.weight") >= (similarity - 1e-9) * F.greatest("weight", "lead.weight")  # else the similarity cannot be reached
-            fits &= samples_apart(F.col("planes"), F.col("lead.planes"), 1) <= MOST_APART
-            if every:
-                # The lead of a single text's class is the same in all buckets: the pair's first common band will do, and one side.
-                earlier = [(F.col("band") > p) & (F.col("bands")[p] == F.col("lead.bands")[p]) for p in range(BANDS)]
-                again = F.coalesce(functools.reduce(lambda x, y: x | y, earlier), F.lit(False)) | (F.col("single") & (F.col("key") > F.col("lead.key")))
-                fits = ~(F.col("lead.single") & again) & fits
-                fits &= F.coalesce(samples_apart(F.col("sketch"), F.col("lead.sketch"), LONG // 64) <= LONG_APART, F.lit(True))
-            pairs = marked.join(leads, "bucket").where(F.col("label") != F.col("other")).where(fits).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-            pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        found = stored(verified(pairs, texts, idf, similarity), "verified")
-        fresh = found.where("alike").select("a", "b")
-        tried = found if tried is None else tried.unionByName(found)
-        step += 1
-        none = fresh.limit(1).count() == 0
-        if rest is not None and not best:
-            if none:
-                break
-        elif none and rest is not None:
-            best = False
-            continue
-        elif none and not every:
-            every = step > 1
-            continue
-        elif none:
-            # All pairs with a lead of the classes as they are now were tried: what is left are pairs without one.
-            rest = stored(rest_members(labelled(buckets, labels)), "rest")
-            if rest.limit(1).count() == 0:
-                break
-            crowded = rest.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("bucket")
-            among = rest.join(crowded, "bucket", "left_semi").select("key").distinct().join(sketches, "key", "left_anti")
-            sketches = sketches.select("key", "sketch").unionByName(long_sketches(texts.join(among, "key", "left_semi"), idf))
-            rest = stored(rest.join(sketches, "key", "left"), "rest")
-            continue
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = stored(connected_components(links), "labels")
-        if rest is not None and not best:
-            break
-    classes = rows.select("doc_id", "th", "key")
-    if labels is None:
-        return classes.withColumnRenamed("key", "label")
-    classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
+    # Each text with the leads of its buckets that weights and sketches leave possible: the least one first, then those of
+    # other classes.
+    fits = F.least("weight", "head.weight") >= (similarity - 1e-9) * F.greatest("weight", "head.weight")
+    fits &= samples_apart(F.col("planes"), F.col("head.planes"), 1) <= MOST_APART
+    leads = stored(buckets.where(F.col("key") != F.col("head.key")).where(fits).select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct(), "leads")
+    first = leads.groupBy("a").agg(F.min("b").alias("b"))
+    labels = joined_classes(None, verified(first, texts, idf, similarity).where("alike").select("a", "b"))
+    others = leads.join(first, ["a", "b"], "left_anti")
+    labels = joined_classes(labels, verified(of_two_classes(others, labels), texts, idf, similarity).where("alike").select("a", "b"))
+    cells, members = open_cells(buckets.drop("head"), labels, texts, idf)
+    labels = joined_classes(labels, cell_links(cells, members, idf, similarity))
+    classes = rows.select("doc_id", "th", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     return classes.select("doc_id", "th", F.coalesce("label", "key").alias("label"))
 
 
