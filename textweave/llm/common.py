@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +23,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (as in tests) gets a folder of its own; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,6 +64,20 @@ def sub_batches(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BY
         to = max(at + 1, int(np.searchsorted(end, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    let_go()
+
+
+@functools.lru_cache(maxsize=1)
+def c_library() -> ctypes.CDLL | None:
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def let_go() -> None:
+    """Gives memory that is free inside this Python worker back to the machine: workers outlive a task and add up."""
+    pa.default_memory_pool().release_unused()
+    if c_library() is not None:
+        c_library().malloc_trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
