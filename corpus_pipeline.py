@@ -16,6 +16,8 @@ from textweave.llm.windows import text_hash
 
 #: A document goes if no language takes at least this share of its words.
 LEAST_SHARE = 0.5
+#: Bytes of a repeat that goes, and of its anchor: 50 words of three letters and a space on average.
+REPEAT_BYTES, ANCHOR_BYTES = 200, 80
 ORACLE_SQL = None
 
 
@@ -24,14 +26,17 @@ def kept_rows(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, limit=langid.READ_BYTES):
                 yield batch.filter(pa.array(judge(texts_of(batch))))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of which no language holds LEAST_SHARE."""
+    """Rejects documents without a letter and those of which no language holds LEAST_SHARE.
+
+    Null and empty texts have no letter. Repeated rows and rows of null ids are judged row by row; no rows give none.
+    """
     model = spark.sparkContext.broadcast(langid.train(docs.where(langid.learning_fold(docs.doc_id))))
 
     def judge(texts: pa.Array) -> np.ndarray:
@@ -42,7 +47,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail a rule of the policy quality@1."""
+    """Rejects documents that fail a rule of the policy quality@1.
+
+    Verdicts are those of (id, text), so repeated rows go or stay together and a null id is an id like others.
+    """
     verdicts = rules.apply_policy(rules.ledger(docs.withColumn("_row", F.struct("doc_id", text_hash().alias("th"))), id_col="_row"))
     gone = stored(verdicts.where("NOT kept").select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.th").alias("_t")).distinct(), "rejected")
     return without(docs, gone)
@@ -75,11 +83,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated bytes. A character that a cut leaves incomplete goes with it; n_chars follows."""
-    return suffix_dedup.cleaned(docs)
+    """Texts lose runs of REPEAT_BYTES and more that also start elsewhere; n_chars follows. No document goes.
+
+    A character that a cut leaves incomplete goes with it. Null texts stay null, repeated rows lose all of their text.
+    """
+    return suffix_dedup.cleaned(docs, REPEAT_BYTES, ANCHOR_BYTES)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; a null or empty text is the separator alone."""
     return packing.pack_documents(docs, word_bpe()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
