@@ -174,7 +174,7 @@ def neighbour_smoothness(spark, sf_dir):
 
 def random_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("s"))
-    return joins.random_pairs(rows, "o_orderkey", "s", 1.5, 200).agg((F.count("*") > 0).alias("some"), (F.count("*") <= 200).alias("capped"), (F.min("confidence") >= 1.5).alias("apart"))
+    return joins.random_pairs(rows, "o_orderkey", "s", 1.5, 200).agg((F.count("*") > 0).alias("found"), (F.count("*") <= 200).alias("capped"), (F.min("confidence") >= 1.5).alias("apart"))
 
 
 def profile_vectors(spark, sf_dir):
@@ -258,7 +258,7 @@ p AS (SELECT a.id, b.id AS other, list_dot_product(a.v, b.v) AS cosine FROM u a
     "neighbour_smoothness": f"""WITH e AS (SELECT vec_id AS id, label AS y, {_UNIT} AS v FROM embeddings), u AS (SELECT id, y, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 p AS (SELECT a.id, abs(a.y - b.y) AS gap FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) <= 5)
 SELECT (SELECT count(*) FROM e) AS n, 5 AS k, round(avg(gap), 4) AS mean_gap, round(median(gap), 4) AS median_gap FROM p""",
-    "random_pairs": "SELECT true AS some, true AS capped, true AS apart",
+    "random_pairs": "SELECT true AS found, true AS capped, true AS apart",
     "profile_vectors": f"""WITH c AS (SELECT n_nationkey, [{", ".join(f"(length(n_name) - length(regexp_replace(lower(n_name), '[{g}]', '', 'g')))::DOUBLE" for g in embedding.PROFILE)}] AS c FROM nation)
 SELECT n_nationkey, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS first, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS by_encoder FROM c""",
 }
