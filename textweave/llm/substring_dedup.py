@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.llm.common import list_array_of, list_parts, segment_sum, stored, sub_batches, texts_of, words_of
-from textweave.llm.windows import HASHED_BYTES, Hashes, covered, keyed, shared_anchors, with_rows, word_units
+from textweave.llm.windows import HASHED_BYTES, Hashes, covered, keyed, shared_anchors, spread_join, with_rows, word_units
 
 WIDTH = 50
 RANGES = "array<struct<first:int,n:int>>"
@@ -60,9 +60,9 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     # Level 1: quarter windows that more than one document holds, in more than one surrounding.
     anchors = shared_anchors(docs, word_units, width, quarter, F.col("a") < F.col("b"), F.min(rank).alias("a"), F.max(rank).alias("b"))
-    stretches = stored(anchors.groupBy("key", "ctx").agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.min(F.struct(rank.alias("r"), "doc_id", "th", "first", "n", "back")).alias("one")), "stretches")
-    groups = stretches.groupBy("key").agg(F.count("*").alias("m"), F.min("low").alias("a"), F.max("low").alias("b")).where("m > 1 AND a < b")
-    wanted = stretches.join(groups, "key").select("one.doc_id", "one.th", "one.first", "one.n", "one.back", "key", "ctx", "low")
+    stretches = stored(anchors.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(rank).alias("low"), F.max(rank).alias("high"), F.min(F.struct(rank.alias("r"), "doc_id", "th", "first", "n", "back")).alias("one")), "stretches")
+    groups = stored(stretches.groupBy("key").agg(F.count("*").alias("m"), F.min("low").alias("a"), F.max("low").alias("b")).where("m > 1 AND a < b").select("key", "m"), "groups")
+    wanted = spread_join(stretches, groups, ["key"], "m").select("one.doc_id", "one.th", "one.first", "one.n", "one.back", "key", "ctx", "low")
     # Level 2: half windows; level 3: whole windows of the nodes that survive.
     nodes = stored(halves(docs, wanted, width, half), "nodes")
     alike = nodes.groupBy("key", "h").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("key", "h")
@@ -71,9 +71,9 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     place = F.struct((F.col("first") + F.col("k")).cast("int").alias("first"), F.lit(1).alias("n"))
     parts = windows.join(least, ["key", "w"]).where("low > a").groupBy("key", "ctx").agg(F.collect_list(place).alias("ranges"))
     # Documents other than the least that holds a stretch lose all its windows; the least loses those found at level 3.
-    marks = stretches.join(parts, ["key", "ctx"], "left").where("low < high OR ranges IS NOT NULL").select("key", "ctx", "low", F.col("ranges").cast(RANGES).alias("ranges"))
+    marks = stretches.join(parts, ["key", "ctx"], "left").where("low < high OR ranges IS NOT NULL").select("key", "ctx", "low", "times", F.col("ranges").cast(RANGES).alias("ranges"))
     own = F.when(rank > F.col("low"), F.array(F.struct("first", "n"))).otherwise(F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n"))))
-    hits = anchors.join(marks, ["key", "ctx"]).select("doc_id", "th", own.cast(RANGES).alias("r")).where("r IS NOT NULL")
+    hits = spread_join(anchors, stored(marks, "marks"), ["key", "ctx"], "times").select("doc_id", "th", own.cast(RANGES).alias("r")).where("r IS NOT NULL")
     return hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from textweave.llm.common import BROADCAST_ROWS, mix64, stored, string_bytes, sub_batches, texts_of, word_hashes, words_of
 
 BASE = np.uint64(0x9FB21C651E98DF25)
-#: Low bits of a packed minimum that hold its place; longer single texts than 2 ** PLACE_BITS units are refused.
-PLACE_BITS = 28
+#: Low bits of a packed minimum that hold its place, and the gram starts that are packed at once.
+PLACE_BITS, PACKED = 28, 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -71,13 +71,15 @@ def anchored(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     none = np.zeros(0, np.int64)
     hashes = Hashes(values)
     n, span = len(values), width - gram + 1
-    if n >= 1 << PLACE_BITS:
-        raise ValueError("a text is too long for one block")
     if n < width:
         return hashes, none, none, none, none.astype(np.uint64), none
     grams = hashes.of(np.arange(n - gram + 1), gram)
-    packed = (grams & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min(packed, span) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    anchor = np.empty(n - width + 1, np.int64)
+    for at in range(0, len(anchor), PACKED):
+        # The first least gram of each window, whatever the slice it is in.
+        own = grams[at : at + PACKED + span - 1]
+        anchor[at : at + PACKED] = (sliding_min((own & ~low) | np.arange(len(own), dtype=np.uint64), span) & low).astype(np.int64) + at
     size = np.diff(offsets)
     long = np.flatnonzero(size >= width)
     if not len(long):
@@ -126,14 +128,32 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
+#: Keys of more rows than HOT_ROWS, and than a HOT_KEYS-th of all rows, so that they are HOT_KEYS at most, are broadcast.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], times: str) -> DataFrame:
+    """Inner join of stored rows to a stored side of one row a key; `times` is the key's number of rows, or a bound above it.
+
+    Rows of very common keys stay where they are and meet their key by a broadcast, so no task gets all of them. A row of
+    the side holds a stretch's runs at most (2 KB), so 20 MB are broadcast at most.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = side.where(F.col(times) > least)
+    if not hot.limit(1).count():
+        return rows.join(side, on)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.where(F.col(times) <= least), on)
+    return rows.join(F.broadcast(hot), on).unionByName(others)
+
+
 def shared_anchors(docs: DataFrame, units: Callable, width: int, gram: int, test: Column, *aggregates: Column) -> DataFrame:
-    """The anchor rows of those keys whose aggregates pass a test; the others cannot hold a repeat and go no further.
+    """The anchor rows of those keys whose aggregates, or `rows`, pass a test; the others cannot hold a repeat.
 
     Keys are pre-aggregated by each task before they are shuffled, so a very common one costs a row for each task.
     """
     anchors = stored(anchor_rows(docs, units, width, gram), "anchors")
-    keys = anchors.groupBy("key").agg(*aggregates).where(test).select("key")
-    return stored(anchors.join(keys, "key", "left_semi"), "shared_anchors")
+    keys = stored(anchors.groupBy("key").agg(F.count("*").alias("rows"), *aggregates).where(test).select("key", "rows"), "keys")
+    return stored(spread_join(anchors, keys, ["key"], "rows").drop("rows"), "shared_anchors")
 
 
 def with_rows(docs: DataFrame, rows: DataFrame, how: str, columns: list[str] | None = None) -> DataFrame:
