@@ -4,6 +4,10 @@ Anchors bring together the stretches that can share a window of `width` bytes (s
 stretches gets a suffix array and its transform; starting from the boundaries between first bytes, a breadth-first
 backward extension finds the boundaries of common prefix 1, 2, 3, ... and stops at `width`: suffixes that no boundary
 has parted by then share `width` bytes or more.
+
+A group of one anchor that is larger than a block is dealt over several blocks by its stretches' contexts. Each of them
+is transformed like any other; then the first window of every class of equal windows in a block is compared, by hash,
+with those of the group's other blocks.
 """
 
 from __future__ import annotations
@@ -16,18 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.llm.common import column, list_parts, ragged_take, stored, string_bytes, sub_batches, texts_of
-from textweave.llm.windows import HASHED_BYTES, Hashes, byte_units, covered, keyed, shared_anchors, with_rows
+from textweave.llm.common import column, list_parts, mix64, stored, string_bytes, sub_batches, texts_of
+from textweave.llm.windows import HASHED_BYTES, Hashes, byte_units, covered, keyed, shared_anchors, spread_join, with_rows
 
 WIDTH, GRAM = 400, 160
-#: Bytes of stretches in one transform.
-BLOCK_BYTES = 1 << 20
-#: Groups of one anchor with more distinct stretches are compared window by window, so that no task holds such a group.
-GROUP_STRETCHES = 2048
+#: Bytes of stretches in one transform: its arrays stay within a processor's cache.
+BLOCK_BYTES = 1 << 18
+#: Distinct stretches of one anchor in a block; larger groups are dealt over several.
+GROUP_STRETCHES = 1024
+#: Distinct stretches that one task transforms.
+TASK_STRETCHES = 20_000
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling. Symbol 0 ends a stretch; what equals to its end stays in text order.
+    """Suffix array by prefix doubling. Symbol 0 ends a stretch; suffixes that equal to their end are in any order.
 
     ends: for each position, that of the 0 after it. Only suffixes that are not yet alone in their class are sorted again.
     """
@@ -37,7 +43,7 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for k in range(7):
         key = (key << 8) | np.where(places + k <= ends, symbols[np.minimum(places + k, n - 1)], 0)
     # UTF-8 has no byte above 0xF7, so symbols (bytes plus one) fit eight bits.
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.append(True, key[order[1:]] != key[order[:-1]])
     rank = np.zeros(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, places, 0))
@@ -50,7 +56,7 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = order[rows]
         after = np.where(at + depth <= ends[at], rank[np.minimum(at + depth, n - 1)] + 1, 0)
         both = rank[at] * (n + 1) + after
-        again = np.argsort(both, kind="stable")
+        again = np.argsort(both)
         at, both = at[again], both[again]
         order[rows] = at
         fresh = np.append(True, both[1:] != both[:-1])
@@ -60,8 +66,8 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated_suffixes(symbols: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose next `width` symbols also start elsewhere in the block."""
+def repeated_suffixes(symbols: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, in order, whose next `width` symbols also start elsewhere in the block, and a number for each class of equals."""
     n = len(symbols)
     order = suffix_order(symbols, ends)
     place = np.empty(n, np.int64)
@@ -80,7 +86,7 @@ def repeated_suffixes(symbols: np.ndarray, ends: np.ndarray, width: int) -> np.n
         if not len(cuts):
             break
         parent = np.searchsorted(low, cuts, "right") - 1
-        split, where = np.unique(parent, return_inverse=True)
+        split = parent[np.append(True, parent[1:] != parent[:-1])]
         starts = np.sort(np.concatenate([cuts, low[split]]))
         owner = np.searchsorted(low[split], starts, "right") - 1
         stops = np.where(np.append(owner[1:] == owner[:-1], False), np.append(starts[1:], 0), high[split][owner])
@@ -98,8 +104,9 @@ def repeated_suffixes(symbols: np.ndarray, ends: np.ndarray, width: int) -> np.n
         before, behind = target - 1, np.minimum(target + 1, n - 1)
         left = (target > 0) & (first[before] == first[target]) & (ahead[before] < a[piece])
         right = (target + 1 < n) & (first[behind] == first[target]) & (ahead[behind] >= b[piece])
-        found = np.unique(np.concatenate([target[left], target[right] + 1]))
-        fresh = found[unset[found]]
+        found = np.concatenate([target[left], target[right] + 1])
+        found = np.sort(found[unset[found]])
+        fresh = found[np.append(True, found[1:] != found[:-1])[: len(found)]]
         unset[fresh] = False
         more = size > 1
         keep = np.ones(len(low), bool)
@@ -111,7 +118,10 @@ def repeated_suffixes(symbols: np.ndarray, ends: np.ndarray, width: int) -> np.n
         fresh = fresh[(inside >= 0) & (fresh < high[np.maximum(inside, 0)])] if len(low) else fresh[:0]
     count = high - low
     together = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    return np.sort(together[ends[together] - together >= width])
+    kind = np.repeat(low, count)
+    whole = np.flatnonzero(ends[together] - together >= width)
+    whole = whole[np.argsort(together[whole])]
+    return together[whole], kind[whole]
 
 
 def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,86 +133,103 @@ def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 RANGES = "array<struct<first:int,n:int>>"
+FOUND = f"key long, ctx long, ranges {RANGES}, windows array<struct<at:int,w:bigint>>"
+
+
+def struct_lists(offsets: np.ndarray, **fields: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
 
 
 def block_ranges(width: int):
-    """Takes (key, ctx, bytes) sorted by key; yields (key, ctx, ranges) of repeated windows, whole keys to a block."""
+    """Takes (key, part, many, ctx, bytes) sorted by key and part; yields FOUND, whole parts to a block.
+
+    ranges are the windows repeated in the block; windows, for groups of many parts, the first of each class of equals.
+    """
 
-    def solve(keys: np.ndarray, ctxs: np.ndarray, stretches: list[bytes]) -> pa.RecordBatch:
+    def solve(manys: np.ndarray, keys: np.ndarray, ctxs: np.ndarray, stretches: list[bytes]) -> pa.RecordBatch:
         size = np.array([len(s) for s in stretches])
         starts = np.concatenate([[0], np.cumsum(size + 1)])
         symbols = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8).astype(np.int64) + 1
         symbols[starts[1:] - 1] = 0
         ends = np.repeat(starts[1:] - 1, size + 1)
-        first, n = runs_of(repeated_suffixes(symbols, ends, width))
+        places, kind = repeated_suffixes(symbols, ends, width)
+        first, n = runs_of(places)
         owner = np.searchsorted(starts, first, "right") - 1
-        some, at = np.unique(owner, return_index=True)
-        ranges = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.StructArray.from_arrays([pa.array((first - starts[owner]).astype(np.int32)), pa.array(n.astype(np.int32))], ["first", "n"]))
-        return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(ctxs[some]), ranges], ["key", "ctx", "ranges"])
+        at = np.searchsorted(owner, np.arange(len(keys) + 1))
+        ranges = struct_lists(at, first=(first - starts[owner]).astype(np.int32), n=n.astype(np.int32))
+        later = np.ones(len(places), bool)
+        later[np.unique(kind, return_index=True)[1]] = False  # places are in order, so these are the first of each class
+        alone = ends - np.arange(len(symbols)) >= width
+        alone[places[later]] = False
+        alone &= np.repeat(manys, size + 1)
+        some = np.flatnonzero(alone)
+        owner = np.searchsorted(starts, some, "right") - 1
+        w = Hashes(mix64(np.arange(257, dtype=np.uint64))[symbols]).of(some, width).view(np.int64) if len(some) else np.zeros(0, np.int64)
+        windows = struct_lists(np.searchsorted(owner, np.arange(len(keys) + 1)), at=(some - starts[owner]).astype(np.int32), w=w)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ctxs), ranges, windows], ["key", "ctx", "ranges", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ctxs, stretches, held = [], [], [], 0
+        rows, held, last = [], 0, None
+
+        def done() -> pa.RecordBatch:
+            keys, manys, ctxs, stretches = zip(*rows, strict=True)
+            return solve(np.array(manys), np.array(keys), np.array(ctxs), list(stretches))
+
         for batch in batches:
-            for key, ctx, stretch in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held > BLOCK_BYTES and key != keys[-1]:
-                    yield solve(np.array(keys), np.array(ctxs), stretches)
-                    keys, ctxs, stretches, held = [], [], [], 0
-                keys.append(key)
-                ctxs.append(ctx)
-                stretches.append(stretch)
+            for key, part, many, ctx, stretch in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held > BLOCK_BYTES and (key, part) != last:
+                    yield done()
+                    rows, held = [], 0
+                rows.append((key, many, ctx, stretch))
                 held += len(stretch)
-        if keys:
-            yield solve(np.array(keys), np.array(ctxs), stretches)
+                last = (key, part)
+        if rows:
+            yield done()
 
     return run
 
 
 def stretches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, ctx, bytes, windows): the bytes of wanted stretches, or the window hashes of those in very large groups."""
-    lists = stored(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "first", "n", "many")).alias("want")), "wanted")
+    """(key, part, many, ctx, bytes): the bytes of wanted stretches."""
+    lists = stored(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "part", "many", "ctx", "first", "n")).alias("want")), "wanted")
     joined = with_rows(docs, lists, "inner").dropDuplicates(["doc_id", "th"]).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sub_batches(whole, limit=HASHED_BYTES):
-                texts = texts_of(batch)
-                raw, offsets = string_bytes(texts)
+                raw, offsets = string_bytes(texts_of(batch))
                 want, at = list_parts(batch.column(1))
-                key, ctx, first, n, many = (want.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                first, n = (want.field(i).to_numpy(zero_copy_only=False) for i in (4, 5))
                 begin = offsets[np.repeat(np.arange(batch.num_rows), np.diff(at))] + first
-                data = raw.tobytes()
-                few = np.flatnonzero(~many)
-                parts = pa.array([data[a : a + m + width - 1] for a, m in zip(begin[few].tolist(), n[few].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[few]), pa.array(ctx[few]), parts, pa.nulls(len(few), pa.list_(pa.int64()))], ["key", "ctx", "bytes", "windows"])
-                hot = np.flatnonzero(many)
-                if len(hot):
-                    hashes = Hashes(byte_units(texts)[0])
-                    places, ends = ragged_take(np.arange(len(raw)), np.stack([begin[hot], begin[hot] + n[hot]], 1).ravel(), np.arange(0, 2 * len(hot), 2))
-                    windows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.of(places, width).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[hot]), pa.array(ctx[hot]), pa.nulls(len(hot), pa.binary()), windows], ["key", "ctx", "bytes", "windows"])
+                parts = pa.array([raw[a : a + m + width - 1].tobytes() for a, m in zip(begin.tolist(), n.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(want.field(i) for i in range(4)), parts], ["key", "part", "many", "ctx", "bytes"])
 
-    return joined.mapInArrow(run, "key long, ctx long, bytes binary, windows array<long>")
+    return joined.mapInArrow(run, "key long, part int, many boolean, ctx long, bytes binary")
 
 
 def repeated_runs(docs: DataFrame, width: int, gram: int, group_stretches: int) -> DataFrame:
     """(doc_id, th, runs): for each text with repeats, its runs of windows that also start elsewhere."""
-    anchors = shared_anchors(docs, byte_units, width, gram, F.col("c") > 1, F.count("*").alias("c"))
+    anchors = shared_anchors(docs, byte_units, width, gram, F.col("rows") > 1)
     stretches = stored(anchors.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "first", "n")).alias("one")), "stretches")
-    groups = stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stretches.where("times = 1").join(groups, "key").select("one.*", "key", "ctx", (F.col("m") > group_stretches).alias("many"))
+    groups = stored(stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "groups")
     # A stretch that occurs twice is repeated as a whole, but others may share some of its windows.
-    whole = stretches.where("times > 1").join(groups, "key").select("one.*", "key", "ctx", (F.col("m") > group_stretches).alias("many"))
-    found = stored(stretches_of(docs, shared.unionByName(whole), width), "stretch_bytes")
-    few = found.where("bytes IS NOT NULL").select("key", "ctx", "bytes")
-    ranges = few.repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(block_ranges(width), f"key long, ctx long, ranges {RANGES}")
-    windows = found.where("windows IS NOT NULL").select("key", "ctx", F.posexplode("windows").alias("at", "w"))
-    twice = windows.groupBy("key", "w").agg(F.count("*").alias("c")).where("c > 1")
-    hot = windows.join(twice, ["key", "w"]).groupBy("key", "ctx").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("first"), F.lit(1).alias("n"))).alias("ranges"))
-    parts = ranges.unionByName(hot.select("key", "ctx", F.col("ranges").cast(RANGES).alias("ranges")))
-    full = stretches.where("times > 1").select("key", "ctx", F.expr(f"cast(null as {RANGES})").alias("ranges"), F.lit(True).alias("full"))
-    marks = parts.withColumn("full", F.lit(False)).unionByName(full).groupBy("key", "ctx").agg(F.max("full").alias("full"), F.max("ranges").alias("ranges"))
-    hits = anchors.join(marks, ["key", "ctx"])
-    own = F.when(F.col("full"), F.array(F.struct("first", "n"))).otherwise(F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n"))))
+    parts = F.ceil(F.col("m") / group_stretches).cast("int")
+    part = F.pmod(F.xxhash64("ctx"), parts).cast("int")
+    wanted = spread_join(stretches, groups, ["key"], "m").select("one.*", "key", "ctx", part.alias("part"), (parts > 1).alias("many"))
+    found = stored(stretches_of(docs, wanted, width), "stretch_bytes")
+    dealt = found.repartition(max(1, -(-found.count() // TASK_STRETCHES)), "key", "part").sortWithinPartitions("key", "part", "ctx")
+    blocks = stored(dealt.mapInArrow(block_ranges(width), FOUND), "blocks")
+    # Windows that the parts of a large group have in common: the parts were transformed, their classes meet by hash.
+    windows = blocks.where(F.size("windows") > 0).select("key", "ctx", F.inline("windows"))
+    twice = windows.groupBy("key", "w").agg(F.count("*").alias("c")).where("c > 1").select("key", "w")
+    across = windows.join(twice, ["key", "w"]).groupBy("key", "ctx").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"))).cast(RANGES).alias("ranges"))
+    inside = blocks.where(F.size("ranges") > 0).select("key", "ctx", "ranges")
+    none = F.expr(f"cast(array() as {RANGES})").alias("ranges")
+    full = stretches.where("times > 1").select("key", "ctx", none, "times")
+    rows = inside.unionByName(across).withColumn("times", F.lit(1).cast("long")).unionByName(full)
+    marks = stored(rows.groupBy("key", "ctx").agg(F.max("times").alias("times"), F.flatten(F.collect_list("ranges")).alias("ranges")), "marks")
+    hits = spread_join(anchors, marks, ["key", "ctx"], "times")
+    own = F.when(F.col("times") > 1, F.array(F.struct("first", "n"))).otherwise(F.transform("ranges", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["n"].alias("n"))))
     return hits.select("doc_id", "th", own.cast(RANGES).alias("r")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("runs"))
 
 
