@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import re
 import tempfile
 import uuid
@@ -36,13 +35,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own clean-up of a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again: cuts lineage and survives lost executors."""
+    """Writes a table in the shared folder and reads it again: cuts lineage and survives lost executors.
+
+    The shuffle files behind the table go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind the table
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
