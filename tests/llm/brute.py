@@ -25,6 +25,22 @@ def removed_bytes(texts, width):
     return out
 
 
+def kept_bytes(texts, width):
+    raws = [(t or "").encode() for t in texts]
+    seen = defaultdict(int)
+    for r in raws:
+        for p in range(len(r) - width + 1):
+            seen[hash(r[p : p + width])] += 1
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for p in range(len(r) - width + 1):
+            if seen[hash(r[p : p + width])] > 1:
+                gone[p : p + width] = b"\1" * width
+        out.append(bytes(b for b, g in zip(r, gone) if not g))
+    return out
+
+
 def removed_words(rows, width):
     least = {}
     split = [(i, WORD.findall(t or "")) for i, t in rows]
@@ -41,3 +57,68 @@ def removed_words(rows, width):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def url_verdicts(pages, rules, depth=4):
+    """{id: verdict} of (id, url) by the template tree, one node at a time."""
+    found = []
+    for i, url in pages:
+        _, sep, rest = (url or "").partition("://")
+        host, path = re.fullmatch(r"([^/?#]*)([^?#]*).*", rest if sep else "", re.S).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(r), v) for v, r in rules if ("." + host).endswith("." + r.split("/")[0]) and path.startswith("/" + r.split("/", 1)[1])]
+        parts = [re.sub("[0-9]+", "*", re.sub("[0-9a-fA-F-]{12,}", "*", s)) for s in path.removeprefix("/").split("/")]
+        look = lambda segments: re.sub(r"[^\W\d_]+", "a", "/".join(segments))
+        shape = tuple(parts[:depth]) + ((look(parts[depth:]),) if len(parts) > depth else ())
+        found.append((i, host, shape, max(fits)[1] if fits else None))
+    template = {(h, s): "" for _, h, s, _ in found}
+    for k in range(depth + 1):
+        nodes = defaultdict(list)
+        for _, h, s, v in found:
+            if len(s) > k:
+                nodes[h, template[h, s]].append((s, v))
+        renamed = {}
+        for (h, t), rows in nodes.items():
+            count, lab, bad, rests = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+            cell = defaultdict(int)
+            for s, v in rows:
+                rest = (len(s) > k + 1, look(s[k + 1 :]))
+                count[s[k]] += 1
+                rests[rest] += 1
+                cell[s[k], rest] += 1
+                lab[s[k]] += v is not None
+                bad[s[k]] += v == "block"
+            n, n_lab, n_bad = len(rows), sum(lab.values()), sum(bad.values())
+            for b in count:
+                name = b
+                if len(count) > 50:
+                    name = "*"
+                elif len(count) > 1:
+                    free = len(rests) - 1
+                    chi = 0
+                    for c in rests:
+                        for seen, size in ((cell[b, c], count[b]), (rests[c] - cell[b, c], n - count[b])):
+                            want = size * rests[c] / n
+                            chi += (seen - want) ** 2 / want
+                    alike = free == 0 or chi <= free * (1 - 2 / (9 * free) + 1.645 * (2 / (9 * free)) ** 0.5) ** 3
+                    if lab[b] and n_lab > lab[b]:
+                        share = n_bad / n_lab
+                        error = (share * (1 - share) * (1 / lab[b] + 1 / (n_lab - lab[b]))) ** 0.5
+                        alike &= abs(bad[b] / lab[b] - (n_bad - bad[b]) / (n_lab - lab[b])) <= 1.96 * error
+                    name = "~" if alike else b
+                renamed[h, t, b] = f"{t}/{name}"
+        for (h, s), t in list(template.items()):
+            if len(s) > k:
+                template[h, s] = renamed[h, t, s[k]]
+    base = sum(v == "block" for *_, v in found) / max(1, len(found))
+    by_host, by_template = defaultdict(list), defaultdict(list)
+    for _, h, s, v in found:
+        by_host[h].append(v)
+        by_template[h, template[h, s]].append(v)
+    out = {}
+    for i, h, s, v in found:
+        prior = (by_host[h].count("block") + 4 * base) / (len(by_host[h]) + 4)
+        own = by_template[h, template[h, s]]
+        purity = (own.count("block") + 4 * prior) / (len(own) - own.count(None) + 4)
+        out[i] = v or ("block" if purity > 0.5 else "allow")
+    return out

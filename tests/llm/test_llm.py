@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, ties, repeats, long texts and empty tables."""
 
 import os
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textweave.llm import bpe, components, langid, near_dedup, packing, queries, rules, substring_dedup, suffix_dedup, token_files, topk, urls
+from textweave.llm import bpe, common, components, langid, near_dedup, packing, queries, rules, substring_dedup, suffix_dedup, token_files, topk, urls, windows
 
 SF = "/root/testdata/sf0.001"
 ODD = ["Hello wORLD!! it's x<|endoftext|>y  á b", None, "", " \n ", "q\x1cw e\u0085r", "I'LL don't 123 ½ İ ΑΣ ﬁ 日本語 🎉🎉", "a" * 3000 + "!" * 500, "x\u00a0y　z ''s", "́ áb"]
@@ -84,7 +85,7 @@ def test_lower_bound_is_a_bound():
 
 
 def test_suffix_dedup(spark, texts):
-    for width, gram, group in ((40, 16, 2048), (40, 16, 1), (400, 160, 2048)):
+    for width, gram, group in ((40, 16, 2048), (40, 16, 1), (40, 16, 3), (400, 160, 2048)):
         got = suffix_dedup.remove_repeats(documents(spark, texts), width, gram, group).orderBy("doc_id").withColumn("h", F.sha2("kept", 256)).collect()
         assert [(r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got] == brute.removed_bytes(texts, width)
     cleaned = suffix_dedup.cleaned(spark.createDataFrame([(1, "é" * 300, 300), (2, "é" * 300, 300), (3, None, None)], "doc_id long, text string, n_chars long"))
@@ -148,16 +149,17 @@ def chained_groups(groups, satellites):
 
 
 def test_links_of_texts_that_lead_nothing(spark, monkeypatch):
-    size = 60
-    group, texts = chained_groups(12, size)
+    size = 30
+    group, texts = chained_groups(10, size)
     idf = near_dedup.document_frequencies(documents(spark, texts))
     base = [i // (size + 1) * (size + 1) for i in range(len(texts))]
     near = near_dedup.similarities(pa.array(texts), pa.array([texts[i] for i in base]), idf)
     bases = sorted(set(base))
     across = near_dedup.similarities(pa.array([texts[i] for i in bases[::2]]), pa.array([texts[i] for i in bases[1::2]]), idf)
-    whole = [g for g in range(12) if across[g] >= 0.8 and min(s for s, h in zip(near, group) if h == g) >= 0.8]
-    assert len(whole) >= 6
-    monkeypatch.setattr(near_dedup, "REST_BLOCK", 16)  # several blocks of a bucket
+    whole = [g for g in range(10) if across[g] >= 0.8 and min(s for s, h in zip(near, group) if h == g) >= 0.8]
+    assert len(whole) >= 4
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 16)  # several blocks of a bucket
+    monkeypatch.setattr(near_dedup, "CROWD", 20)
     classes = defaultdict(set)
     for r in near_dedup.near_duplicates(documents(spark, texts)).collect():
         classes[group[r.doc_id]].add(r.class_id)
@@ -205,6 +207,23 @@ def test_top_k_counts_an_id_once(spark, scale):
     assert [tuple(r) for r in got] == want
 
 
+def test_top_k_bands_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 8 * 6 * 20)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8 * 6 * 5)
+    rng = np.random.default_rng(8)
+    v = (rng.normal(size=(400, 6)) * rng.gamma(1, 1, (400, 1))).round(2)
+    v[200:260] = v[3]
+    rows = [(i, x.tolist(), "q", 1.0) for i, x in enumerate(v)] + [(None, v[0].tolist(), "q", 1.0), (1000, [], "q", 1.0), (1050, [9.0] * 5, "q", 1.0), (7, v[7].tolist(), "r", 2.0)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, norm double"), 5, 50).orderBy("query_id", "rank").collect()
+    q = np.floor(v * 256).astype(int)
+    want = []
+    for i in range(0, 400, 50):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(400) if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert [tuple(r) for r in got] == want
+
+
 def test_top_k_without_queries(spark):
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
 
@@ -219,6 +238,41 @@ def test_urls(spark):
     assert [r.verdict for r in got][:3] == ["block", "allow", "block"]
 
 
+def test_url_templates(spark):
+    rng = np.random.default_rng(4)
+    kinds = ["/{}", "/{}.html", "/{}/", "/a/{}", "/x/y/{}/z.php", "", "/deep/er/{}/and/on"]
+    rows = [None, "no scheme", "http://", "x://h"] + ["http://many.net/es/1"] * 7
+    for host in ("a.net", "b.net", "c.example.com", "www.example.com", "d.org"):
+        favour = rng.integers(0, len(kinds), (5, 2))
+        for _ in range(120):
+            lang = rng.integers(0, 5)
+            kind = kinds[rng.choice(favour[lang]) if rng.random() < 0.8 else rng.integers(0, len(kinds))]
+            rows.append(f"http://{host}/{['en', 'es', 'fr', 'de', 'p' + str(rng.integers(100))][lang]}{kind.format(rng.integers(1, 999))}")
+    rows += [f"http://many.net/{''.join(rng.choice(list('qwrt'), 4))}/{i % 3}" for i in range(90)] + [f"http://many.net/es/{i}" for i in range(9)]
+    pages = list(enumerate(rows)) + [(None, "http://a.net/es/1"), (3, "http://a.net/es/1"), (3, "http://a.net/es/1")]
+    # Brute force by position, as ids repeat.
+    want = brute.url_verdicts([(k, u) for k, (_, u) in enumerate(pages)], urls.RULES)
+    got = urls.judge(spark.createDataFrame([(i, u, "h", "s") for i, u in pages], "page_id long, url string, host string, shapes string")).select("page_id", "verdict", "rule").collect()
+    assert sorted(((r.page_id, r.verdict) for r in got), key=str) == sorted(((i, want[k]) for k, (i, _) in enumerate(pages)), key=str)
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_url_templates_without_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    one = urls.judge(pages).select("page_id", "verdict").collect()
+    monkeypatch.setattr(urls, "BROADCAST_SHAPES", 0)
+    assert sorted(one) == sorted(urls.judge(pages).select("page_id", "verdict").collect())
+
+
+def test_more_distinct_words_than_21_bits():
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 4, (3, 200))
+    for n_words in (4, 1 << 21, 1 << 22, 1 << 31):
+        a, b, c = words * ((n_words - 1) // 3)
+        codes = rules.window_codes(a, b, c, n_words)
+        assert (codes[:, None] == codes).tolist() == ((words[:, :, None] == words[:, None]).all(0)).tolist()
+
+
 def test_rules(spark, texts):
     entries = rules.ledger(documents(spark, texts))
     got = {r.doc_id: r for r in entries.collect()}
@@ -250,7 +304,25 @@ def test_token_counts(spark, texts):
 
     lib = Tokenizer.from_file(queries.word_bpe())
     lib.encode_special_tokens = True
-    assert got == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts + ODD)}
+    want = {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts + ODD)}
+    assert got == want
+    folder = f"{common.shared_root(spark)}/several-{uuid.uuid4().hex}"
+    order = token_files.write_token_files(docs, queries.word_bpe(), folder, queries.END_OF_TEXT, file_documents=3)
+    found = token_files.document_lengths(token_files.token_blocks(spark, folder, block_tokens=50), queries.END_OF_TEXT)
+    assert {r.doc_id: r.n_tokens for r in order.join(found, ["file", "ordinal"]).collect()} == want
+    assert order.select("file").distinct().count() > 5
+
+
+def test_an_input_that_changes_between_scans_is_an_error(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    @F.udf("string")
+    def other(t):
+        import time
+
+        return f"{t} {time.time()}"
+
+    with pytest.raises(RuntimeError):
+        token_files.count_document_tokens(docs.withColumn("text", other.asNondeterministic()("text")), queries.word_bpe(), queries.END_OF_TEXT)
 
 
 def test_blocks_are_stitched(spark):
@@ -281,6 +353,168 @@ def test_matches_sql(spark, name):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(theirs, key=str)
 
 
+def rows_of_one_id(spark):
+    """Null ids, repeated rows, one id on two texts, null and empty texts, with clashing extra columns."""
+    t = " ".join(f"w{i}" for i in range(70))
+    return documents(spark, [t, t, t, t + " x", "x y", None, "", None], [None, 5, 5, 5, None, 6, 7, 6])
+
+
+def test_every_row_has_a_result(spark):
+    docs = rows_of_one_id(spark)
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    ids = sorted(str(r.doc_id) for r in docs.collect())
+    results = {
+        "rules": rules.ledger(docs), "languages": langid.identify(docs, model), "counts": token_files.count_document_tokens(docs, queries.word_bpe(), queries.END_OF_TEXT),
+        "bpe": bpe.encode_documents(docs, queries.word_bpe()), "packing": packing.pack_documents(docs, queries.word_bpe()).where("piece = 0"),
+    }
+    for name, df in results.items():
+        got = df.collect()
+        assert sorted(str(r.doc_id) for r in got) == ids, name
+    # Equal rows have equal results, but for their places.
+    for name in ("rules", "languages", "bpe"):
+        fives = [tuple(r) for r in results[name].where("doc_id = 5").collect()]
+        assert len(fives) == 3 and len(set(map(str, fives))) <= 2, name
+    pages = spark.createDataFrame([(None, "http://a.net/es/1"), (1, "http://a.net/es/1"), (1, "http://a.net/es/1"), (2, None), (3, "")], "page_id long, url string")
+    got = sorted((str(r.page_id), r.verdict, r.host) for r in urls.judge(pages).collect())
+    assert got == [("1", "block", "a.net"), ("1", "block", "a.net"), ("2", "allow", ""), ("3", "allow", ""), ("None", "block", "a.net")]
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes with over 2 ** 21 distinct words beside short ones."""
+    long = " ".join(map(str, range((1 << 21) + 5)))
+    again = "start " + long[:3000]
+    docs = documents(spark, [long, again, "a b"])
+    got = {r.doc_id: r for r in rules.ledger(docs).collect()}
+    assert (got[0].n_words, got[0].n_repeat_words, got[1].n_words) == ((1 << 21) + 5, 0, len(again.split()))
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert removed == {0: 3000, 1: 3000, 2: 0}
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    whole = len(long[:3000].split()) - (0 if long[3000] == " " else 1)
+    assert words == {0: ((1 << 21) + 5, 0), 1: (len(again.split()), whole), 2: (2, 0)}
+
+
+def test_windows_longer_than_a_packed_slice(monkeypatch):
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 5, 500).astype(np.uint64)
+    offsets = np.array([0, 3, 420, 500])
+    want = windows.anchored(values, offsets, 20, 6)[1:]
+    monkeypatch.setattr(windows, "PACKED", 7)
+    for x, y in zip(want, windows.anchored(values, offsets, 20, 6)[1:]):
+        assert x.tolist() == y.tolist()
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HOT_ROWS", 2)
+    monkeypatch.setattr(windows, "HOT_KEYS", 4)
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = say(70)
+    texts = [f"{say(20)} {passage} {say(20)}" for _ in range(25)] + [passage] * 4 + [say(90) for _ in range(10)]
+    docs = documents(spark, texts)
+    got = suffix_dedup.remove_repeats(docs, group_stretches=5).orderBy("doc_id").withColumn("h", F.sha2("kept", 256)).collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got] == brute.removed_bytes(texts, 400)
+    got = substring_dedup.remove_repeats(docs).orderBy("doc_id").withColumn("h", F.sha2(F.col("kept").cast("binary"), 256)).collect()
+    assert [(r.doc_id, r.n_words, r.n_removed, r.h) for r in got] == brute.removed_words(list(enumerate(texts)), 50)
+
+
+def test_packing_certificates(spark, texts):
+    pieces = packing.token_pieces(documents(spark, texts + ODD), queries.word_bpe(), 256)
+    for per_task in (12, 1000):
+        rows = packing.pack(pieces, 256, pieces_per_task=per_task).collect()
+        assert all(1 <= r.bound <= r.bins for r in rows)
+    assert len({r.sequence_id for r in rows if r.packed_in >= 0}) == rows[-1].bins
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(70).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    good = [r for r in rows if len(r[1].split()) > 150]
+    passage = " ".join(good[0][1].split()[20:100])
+    for k, r in enumerate(good[1:5]):
+        t = f"{r[1]} {passage}"
+        rows.append((1000 + k, t, r[2], r[3], len(t)))
+    rows += [(None, good[6][1], "en", "s", 1), (good[7][0], good[7][1], "en", "s", 1), (2000, good[8][1] + " z", None, None, None), (2001, None, None, None, None), (2002, "", "en", "s", 0), (None, None, None, None, None), (2003, "123 456 --", "en", "s", 9)]
+    return rows
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = pipeline_documents(spark)
+    table = lambda rows: spark.createDataFrame(rows, PIPELINE)
+    run = lambda name, rows: [tuple(r) for r in stages[name](spark, table(rows), SF).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    same = lambda a, b: sorted(a, key=repr) == sorted(b, key=repr)
+
+    model = langid.train(table([r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2]))
+    plain = []
+    for r in rows:
+        best, score, _ = langid.infer(model, pa.array([r[1] or ""]))
+        if best[0] >= 0 and score[0] >= 0.5:
+            plain.append(r)
+    now = run("language ID", rows)
+    assert same(now, plain) and 0 < len(plain) < len(rows)
+
+    plain = []
+    for r in now:
+        w = brute.WORD.findall(r[1])
+        found = defaultdict(list)
+        for p in range(len(w) - 2):
+            found[tuple(w[p : p + 3])].append(p)
+        repeat = len({p + k for ps in found.values() if len(ps) > 1 for p in ps for k in range(3)})
+        lines = [x for x in r[1].split("\n") if brute.WORD.search(x)]
+        symbols = sum(r[1].count(c) for c in rules.SYMBOLS)
+        chars = sum(map(len, w))
+        if not (len(w) < 50 or 100 * repeat > 50 * len(w) or 2 * symbols > len(w) or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * len(w) or chars > 25 * len(w)):
+            plain.append(r)
+    now = run("quality rules", now)
+    assert same(now, plain) and plain
+
+    idf = near_dedup.document_frequencies(table(now))
+    of, h, w, _, _ = near_dedup.shingles(pa.array([r[1] for r in now]), idf)
+    bags = [dict(zip(h[of == i].tolist(), w[of == i].tolist())) for i in range(len(now))]
+    root = list(range(len(now)))
+    for i in range(len(now)):
+        for j in range(i):
+            shared = sum(min(bags[i][x], bags[j][x]) for x in bags[i].keys() & bags[j].keys())
+            if shared / (sum(bags[i].values()) + sum(bags[j].values()) - shared) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    groups = defaultdict(list)
+    for i, x in enumerate(root):
+        groups[x].append(now[i])
+    least = sorted(min((r[0] is None, r[0] or 0) for r in g) for g in groups.values())
+    before, now = now, run("MinHash near-dedup", now)
+    assert sorted((r[0] is None, r[0] or 0) for r in now) == least and len(now) < len(before) and set(now) <= set(before)
+
+    cleaned = run("suffix-array dedup", now)
+    want = []
+    for r, (gone_text) in zip(now, brute.kept_bytes([r[1] for r in now], corpus_pipeline.REPEAT_BYTES)):
+        t = gone_text.decode(errors="ignore")
+        want.append((*r[:1], t, *r[2:4], len(t)))
+    assert same(cleaned, want) and any(len(a[1]) < len(b[1]) for a, b in zip(sorted(cleaned, key=repr), sorted(now, key=repr)))
+
+    packed = stages["best-fit packing"](spark, table(cleaned), SF).collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.word_bpe())
+    assert sum(r.length for r in packed) == sum(len(lib.encode(r[1], add_special_tokens=False).ids) + 1 for r in cleaned)
+    fill = defaultdict(int)
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+
+
+def test_pipeline_of_no_documents(spark):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], PIPELINE)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
