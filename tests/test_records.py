@@ -117,7 +117,7 @@ def test_ordering(spark):
     shares = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
     assert ordering.quantiles(rows, "v", shares) == pytest.approx(np.quantile(x, shares).tolist())
     assert ordering.quantiles(rows.where("false"), "v", [0.5]) == [None]
-    place = {r.id: r.position for r in ordering.positions(rows, [], ["v", "id"], F.col("v")).collect()}
+    place = {r.id: r.position for r in ordering.positions(rows, [], ["v", "id"]).collect()}
     assert [place[i] for i in np.lexsort((np.arange(500), x))] == list(range(500))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,26 @@ def safe_corr(x: str, y: str, weight: Column | None = None) -> Column:
     return F.when(F.count(a) < 3, F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))
 
 
+def pair_correlations(rows: DataFrame, pairs: dict[str, tuple[str | Column, str | Column]], by: list[str] | None = None) -> DataFrame:
+    """(by, pair, r, n): safe_corr() of many pairs. A pair of a group without a row has no row here.
+
+    The pairs are unpivoted and summed up inside each task: aggregates of many pairs side by side would be one function too
+    long for the JVM to compile.
+    """
+    clean = lambda c: F.nullif((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan")))
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), clean(a).alias("a"), clean(b).alias("b")) for k, (a, b) in enumerate(pairs.values())])
+    names = F.array(*map(F.lit, pairs))
+    long = rows.select(*(by or []), F.inline(cells)).where("a IS NOT NULL AND b IS NOT NULL")
+    sums = long.groupBy(*(by or []), "k").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.count("*").alias("n"))
+    r = F.when(F.col("n") < 3, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("c"), F.col("sa") * F.col("sb")), F.lit(0.0)))
+    return sums.select(*(by or []), F.get(names, F.col("k")).alias("pair"), r.alias("r"), "n")
+
+
+def pair_row(rows: DataFrame, pairs: dict[str, tuple[str | Column, str | Column]]) -> DataFrame:
+    """One row of all pairs' correlations, a column each."""
+    return pair_correlations(rows, pairs).agg(*[F.coalesce(F.max(F.when(F.col("pair") == n, F.col("r"))), F.lit(0.0)).alias(n) for n in pairs])
+
+
 def share(flag: Column) -> Column:
     return F.coalesce(F.avg(flag.cast("double")), F.lit(0.0))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textweave.functions.vectors import safe_corr
+from textweave.functions.vectors import pair_correlations, pair_row, safe_corr
 from textweave.operators.ordering import quantiles
 from textweave.operators.ratings import spearman_table, trimmed_mean
 
@@ -82,17 +82,19 @@ def overall_buckets(rows: DataFrame, overall: str) -> DataFrame:
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of every pair of columns, from one pass."""
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
-    one = rows.agg(*[safe_corr(x, y).alias(f"r{k}") for k, (x, y) in enumerate(pairs)])
+    one = pair_row(rows, {f"r{k}": p for k, p in enumerate(pairs)})
     return one.select(F.inline(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{k}").alias("r")) for k, (x, y) in enumerate(pairs)])))
 
 
 def label_verdict(rows: DataFrame, dimensions: list[str], overall: str) -> DataFrame:
     """One row: composite correlation, outlier share, halo (mean correlation of dimensions), share of low labels, issues and
     verdict: good without an issue, needs attention with one, else poor."""
-    halo = [safe_corr(x, y) for i, x in enumerate(dimensions) for y in dimensions[i + 1 :]]
+    between = {f"{x}|{y}": (x, y) for i, x in enumerate(dimensions) for y in dimensions[i + 1 :]}
     with_composite = rows.withColumn("_composite", composite(dimensions))
+    r = {n: F.lit(x) for n, x in pair_row(with_composite, {"composite": ("_composite", overall)} | between).first().asDict().items()}
+    halo = [r[n] for n in between]
     one = with_composite.agg(
-        F.count("*").alias("n"), safe_corr("_composite", overall).alias("composite_r"), F.avg((F.abs(F.col("_composite") - F.col(overall)) > OUTLIER).cast("double")).alias("outlier_share"),
+        F.count("*").alias("n"), r["composite"].alias("composite_r"), F.avg((F.abs(F.col("_composite") - F.col(overall)) > OUTLIER).cast("double")).alias("outlier_share"),
         (sum(halo[1:], halo[0]) / len(halo)).alias("halo"), F.avg((F.col(overall) <= 4).cast("double")).alias("low_share"),
     )
     tests = {"low consistency": F.col("composite_r") < 0.6, "outliers": F.col("outlier_share") > 0.10, "halo": F.col("halo") > 0.8, "skewed": F.col("low_share") > 0.65}
@@ -132,8 +134,8 @@ def reliability(rows: DataFrame, dimensions: dict[str, list[str]], wide: float =
 def ranked_correlations(rows: DataFrame, features: list[str], label: str, where: Column | None = None) -> DataFrame:
     """(feature, r, n, place): all features by falling size of their correlation, of the rows asked for; ties by name."""
     some = rows if where is None else rows.where(where)
-    one = some.agg(*[F.struct(safe_corr(f, label).alias("r"), F.count(F.when(F.col(f).isNotNull() & F.col(label).isNotNull(), 1)).alias("n")).alias(f) for f in features])
-    long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f)["r"].alias("r"), F.col(f)["n"].alias("n")) for f in features])))
+    one = pair_correlations(some, {f: (f, label) for f in features}).agg(*[F.max(F.when(F.col("pair") == f, F.struct("r", "n"))).alias(f) for f in features])
+    long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f)["r"], F.lit(0.0)).alias("r"), F.coalesce(F.col(f)["n"], F.lit(0)).alias("n")) for f in features])))
     return long.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "feature")))  # a row for each feature
 
 
@@ -193,7 +195,7 @@ def golden_order(rows: DataFrame, values: list[str], order: str) -> DataFrame:
 
 def module_grid(rows: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
     """(label, module, mean_abs, best): mean size of correlation by module and label, and the label's best module."""
-    one = rows.agg(*[safe_corr(f, c).alias(f"{f}|{c}") for f in features for c in labels])
+    one = pair_row(rows, {f"{f}|{c}": (f, c) for f in features for c in labels})
     long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("label"), F.col(f"`{f}|{c}`").alias("r")) for f in features for c in labels])))
     grid = long.groupBy("label", family(F.col("feature")).alias("module")).agg(F.avg(F.abs("r")).alias("mean_abs"))
     best = grid.groupBy("label").agg(F.max_by("module", F.struct("mean_abs", "module")).alias("best"))
@@ -202,7 +204,8 @@ def module_grid(rows: DataFrame, features: list[str], labels: list[str]) -> Data
 
 def coverage_gaps(rows: DataFrame, features: list[str], labels: list[str], least: float = 0.15, enough: int = 3) -> DataFrame:
     """(label, n_strong, gap): how many features correlate by more than `least`, and whether that is under `enough`."""
-    one = rows.agg(*[sum(((F.abs(safe_corr(f, c)) > least).cast("int") for f in features[1:]), (F.abs(safe_corr(features[0], c)) > least).cast("int")).alias(c) for c in labels])
+    strong = lambda f, c: (F.abs(F.col(f"`{f}|{c}`")) > least).cast("int")
+    one = pair_row(rows, {f"{f}|{c}": (f, c) for f in features for c in labels}).select(*[sum((strong(f, c) for f in features[1:]), strong(features[0], c)).alias(c) for c in labels])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("n_strong"), (F.col(c) < enough).alias("gap")) for c in labels])))
 
 
@@ -210,8 +213,8 @@ def source_divergence(rows: DataFrame, features: list[str], label: str, source:
     """(module, feature, gap, kept): the difference of a feature's correlation between human and other rows; kept if it is
     at most `most` or among its module's `floor` smallest."""
     h = F.col(source) == human
-    split = rows.select(F.col(label).alias("_y"), *[F.when(h, F.col(f)).alias(f"h_{f}") for f in features], *[F.when(~h, F.col(f)).alias(f"s_{f}") for f in features])
-    one = split.agg(*[F.abs(safe_corr(f"h_{f}", "_y") - safe_corr(f"s_{f}", "_y")).alias(f) for f in features])
+    both = pair_row(rows, {f"{s}_{f}": (F.when(own, F.col(f)), label) for f in features for s, own in (("h", h), ("s", ~h))})
+    one = both.select(*[F.abs(F.col(f"h_{f}") - F.col(f"s_{f}")).alias(f) for f in features])
     long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("gap")) for f in features]))).withColumn("module", family(F.col("feature")))
     k = F.row_number().over(Window.partitionBy("module").orderBy("gap", "feature"))
     return long.withColumn("k", k).select("module", "feature", "gap", ((F.col("gap") <= most) | (F.col("k") <= floor)).alias("kept"))
@@ -229,8 +232,8 @@ def suspect_features(table: DataFrame, importance: float = 0.01, ks: float = 0.3
 
 def error_flags(rows: DataFrame, features: list[str], label: str, error: str, least: float = 0.1) -> DataFrame:
     """(feature, r_label, r_error, flag): misleading if the error goes with it and the label does not, signal the other way."""
-    one = rows.agg(*[F.struct(safe_corr(f, label).alias("y"), safe_corr(f, error).alias("e")).alias(f) for f in features])
-    long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f)["y"].alias("r_label"), F.col(f)["e"].alias("r_error")) for f in features])))
+    one = pair_row(rows, {f"{f}|{c}": (f, x) for f in features for c, x in (("y", label), ("e", error))})
+    long = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}|y`").alias("r_label"), F.col(f"`{f}|e`").alias("r_error")) for f in features])))
     y, e = F.abs("r_label") > least, F.abs("r_error") > least
     return long.withColumn("flag", F.when(e & ~y, "misleading").when(y & ~e, "signal").when(y & e, "both").otherwise("none"))
 
@@ -272,13 +275,13 @@ def experiment_log(log: DataFrame, order: str, status: str, loss: str, kept: str
 def composite_rank(rows: DataFrame, key: str, high: list[str], low: list[str]) -> DataFrame:
     """(key, score, score_<family>): the mean of the percentile ranks of features, those of order turned round.
 
-    Ranks of ties follow the key; a single row has rank 0.5. Each feature is ranked by slices, not in one task.
+    Ranks of ties follow the key; a single row has rank 0.5. Features are ranked together by ranges of (feature, value, key).
     """
     from textweave.operators.ordering import positions
 
     long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in [*high, *low]])))
     n = rows.count()
-    ranked = positions(long, ["feature"], ["v", key], F.col("v"), "_k")
+    ranked = positions(long, ["feature"], ["v", key], "_k")
     share = F.col("_k") / F.lit(n - 1) if n > 1 else F.lit(0.5)
     r = F.when(F.col("feature").isin(*low), 1 - share).otherwise(share) if low else share
     families = sorted({f.split("_")[0] for f in [*high, *low]})

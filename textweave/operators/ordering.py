@@ -1,7 +1,9 @@
 """Running sums, positions and quantiles over whole tables without one task that holds them all.
 
-Rows are cut into slices of the value by approximate quantiles (a fixed number of them, the only thing that reaches the
-driver). Sums run within a slice; the totals of the slices before are added.
+Rows are dealt into ranges of (keys, order) by Spark's range partitioning, sorted inside each, and stored with the number of
+their range and their place in it, so that ranges stay what they are. A row's position is its place plus the rows of the
+ranges before; only one row a range is ever gathered. Give an order that ends in a unique key: equal values, even one value
+alone, are then spread over ranges like others.
 """
 
 from __future__ import annotations
@@ -11,33 +13,55 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from textweave.sources.scratch import stored
 
+#: Groups whose starts are broadcast at most; more meet their rows by (group, range).
+BROADCAST_GROUPS = 100_000
 
-def with_slice(rows: DataFrame, value: Column, slices: int = SLICES) -> DataFrame:
-    """Adds `slice`, which never falls as the number `value` rises; equal values share one. A null value is in slice 0."""
-    bounds = rows.agg(F.percentile_approx(value.cast("double"), F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(1000)).alias("b")).first().b
-    cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    return rows.withColumn("slice", F.coalesce(F.size(F.filter(cuts, lambda b: b <= value.cast("double"))), F.lit(0)))
+
+def _same(left: DataFrame, right: DataFrame, names: list[str], others: list[str]) -> Column:
+    return functools.reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[b]) for a, b in zip(names, others, strict=True)])
+
+
+def arranged(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The rows, stored, with `_part` and `_at`: the range of the order that holds a row, and its place there from 0."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return stored(dealt.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), "arranged")
+
+
+def _met(rows: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
+    """Joins arranged rows to a side of one row for each (keys, _part): at most one range of rows meets a row of the side."""
+    names = [f"_of_{k}" for k in (*keys, "_part")]
+    side = side.withColumnsRenamed(dict(zip((*keys, "_part"), names, strict=True)))
+    if side.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        side = F.broadcast(side)
+    return rows.join(side, _same(rows, side, [*keys, "_part"], names)).drop(*names)
 
 
 def running(rows: DataFrame, keys: list[str], order: list[Column | str], **sums: str) -> DataFrame:
-    """Adds to sliced rows, for each name=column, the sum of the column over the rows of the same keys before a row."""
-    w = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds, for each name=column, the sum of the column over the rows of the same keys before a row."""
+    a = arranged(rows, [*keys, *order])
+    w = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    totals = rows.groupBy(*keys, "slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    names = [f"_of_{k}" for k in (*keys, "slice")]
-    totals = totals.select(*[F.col(k).alias(n) for k, n in zip((*keys, "slice"), names, strict=True)], *[zero(F.sum(f"_{n}").over(before)).alias(f"_{n}") for n in sums])
-    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip((*keys, "slice"), names, strict=True)])
-    both = rows.join(totals, same).drop(*names)
-    return both.select(*rows.columns, *[(F.col(f"_{n}") + zero(F.sum(c).over(w))).alias(n) for n, c in sums.items()])
+    totals = a.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    totals = totals.select(*keys, "_part", *[zero(F.sum(f"_{n}").over(before)).alias(f"_{n}") for n in sums])
+    return _met(a, keys, totals).select(*rows.columns, *[(F.col(f"_{n}") + zero(F.sum(c).over(w))).alias(n) for n, c in sums.items()])
+
+
+def positions(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
+    """Adds the place of a row within its keys from 0, in an order that ends in a unique key."""
+    a = arranged(rows, [*keys, *order])
+    parts = a.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return _met(a, keys, starts).select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
 
 
 def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, m, ahead): distinct values with their number of rows, and how many rows have a smaller value."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("m"))
-    return running(with_slice(counts, F.col(value)), keys, [value], ahead="m").drop("slice")
+    return running(counts, keys, [value], ahead="m")
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -45,24 +69,24 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> Da
     return value_counts(rows, keys, value).select(*keys, value, (F.col("ahead") + (F.col("m") + 1) / 2.0).alias(name))
 
 
-def positions(rows: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str = "position") -> DataFrame:
-    """Adds the place of a row within its keys from 0. `value` is a number that never falls along the order."""
-    return running(with_slice(rows.withColumn("_one", F.lit(1).cast("long")), value), keys, order, **{name: "_one"}).drop("slice", "_one")
-
-
 def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between ranks; null values take no part. A few numbers reach the driver."""
-    cum = value_counts(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), [], "v")
-    n = cum.agg(F.sum("m").alias("n")).first().n or 0
-    if not n:
-        return [None] * len(shares)
-    at = [s * (n - 1) for s in shares]
-    ends = [F.min(F.when(F.col("ahead") + F.col("m") > int(p) + up, F.col("v"))).alias(f"q{k}_{up}") for k, p in enumerate(at) for up in (0, 1)]
+    return all_quantiles(rows, {value: shares})[value]
+
+
+def all_quantiles(rows: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, ranked together in one pass."""
+    names = list(shares)
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).cast("double").alias("v")) for k, n in enumerate(names)]))).where("v IS NOT NULL")
+    cum = stored(value_counts(long, ["c"], "v"), "ranked")
+    n = {r.c: r.n for r in cum.groupBy("c").agg(F.sum("m").alias("n")).collect()}
+    at = {(k, i): s * (n.get(k, 0) - 1) for k, name in enumerate(names) for i, s in enumerate(shares[name])}
+    ends = [F.min(F.when((F.col("c") == k) & (F.col("ahead") + F.col("m") > int(p) + up), F.col("v"))).alias(f"q{k}_{i}_{up}") for (k, i), p in at.items() for up in (0, 1)]
     row = cum.agg(*ends).first()
-    out = []
-    for k, p in enumerate(at):
-        low, high = row[f"q{k}_0"], row[f"q{k}_1"]
-        out.append(low if high is None else low + (high - low) * (p - int(p)))
+    out: dict[str, list[float | None]] = {}
+    for (k, i), p in at.items():
+        low, high = row[f"q{k}_{i}_0"], row[f"q{k}_{i}_1"]
+        out.setdefault(names[k], []).append(low if high is None else low + (high - low) * (p - int(p)))
     return out
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.functions.vectors import safe_corr
-from textweave.operators.ordering import average_ranks, positions, quantiles, running, with_slice
+from textweave.functions.vectors import pair_row, safe_corr
+from textweave.operators.ordering import average_ranks, positions, quantiles, running
 
 
 def trimmed_mean(values: list[Column], threshold: float) -> tuple[Column, Column]:
@@ -35,8 +35,9 @@ def agreement(rated: DataFrame, raters: list[str]) -> DataFrame:
 
 def correlations(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, pearson, n): all features in one pass, without unpivoting the rows."""
-    one = rows.agg(F.count("*").alias("n"), *[safe_corr(f, label).alias(f) for f in features])
-    return one.select("n", F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "pearson")).select("feature", "pearson", "n")
+    one = pair_row(rows, {f: (f, label) for f in features})
+    n = F.lit(rows.count())
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "pearson")).select("feature", "pearson", n.alias("n"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -66,7 +67,7 @@ def kolmogorov_smirnov(rows: DataFrame, features: list[str], group: Column, term
     """
     x = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     c = rows.select(x.alias("x"), group.alias("g")).select("x.*", "g").where("v IS NOT NULL").groupBy("feature", "v").agg(F.count_if(F.col("g") == 0).alias("a"), F.count_if(F.col("g") == 1).alias("b"))
-    cum = running(with_slice(c, F.col("v")), ["feature"], ["v"], ca="a", cb="b")
+    cum = running(c, ["feature"], ["v"], ca="a", cb="b")
     n = c.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     gap = F.abs(F.try_divide(F.col("ca") + F.col("a"), "n_a") - F.try_divide(F.col("cb") + F.col("b"), "n_b"))
     out = cum.join(n, "feature").groupBy("feature").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
@@ -85,20 +86,20 @@ def balanced(rows: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFra
     """As many rows of each stratum as the smallest has, in the order of a hash of the key."""
     least = rows.groupBy(stratum).agg(F.count("*").alias("m")).agg(F.min("m").alias("least")).first().least or 0
     hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    placed = positions(hashed, [stratum], ["_h", key], F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"), "_k")
+    placed = positions(hashed, [stratum], ["_h", key], "_k")
     return placed.where(F.col("_k") < least).drop("_k", "_h")
 
 
 def folds(rows: DataFrame, stratum: str, key: str, k: int = 5) -> DataFrame:
     """Round-robin folds within each stratum in the order of a numeric key."""
-    return positions(rows, [stratum], [key], F.col(key), "_k").withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_k")
+    return positions(rows, [stratum], [key], "_k").withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_k")
 
 
 def shuffled_folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds of equal size in the order of a hash of the key; the last takes the remainder."""
     hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
     size = max(1, rows.count() // k)
-    placed = positions(hashed, [], ["_h", key], F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"), "_k")
+    placed = positions(hashed, [], ["_h", key], "_k")
     return placed.withColumn("fold", F.least(F.floor(F.col("_k") / size), F.lit(k - 1)).cast("int")).drop("_k", "_h")
 
 

@@ -78,7 +78,7 @@ def with_record_ids(records: DataFrame, id_col: str, order: str) -> DataFrame:
     """Adds `id`: the record's own if it is a whole number, else its place in the order from 1."""
     from textweave.operators.ordering import positions
 
-    placed = positions(records, [], [order], F.col(order), "_place")
+    placed = positions(records, [], [order], "_place")
     return placed.withColumn("id", F.coalesce(F.col(id_col).try_cast("long"), F.col("_place") + 1)).drop("_place")
 
 

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table in the shared folder and reads it again: cuts lineage, and later jobs see the same rows."""
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cached(df: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
     """The table at a path if it is there with the wanted columns, otherwise this one, written there.
 
