@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import bpe, langid, near_dedup, packing, rules, substring_dedup, suffix_dedup, token_files, topk, url_sql, urls
+from textweave.llm import bpe, data_sql, divergence, langid, mixing, near_dedup, packing, point_in_time, rules, substring_dedup, suffix_dedup, token_files, topk, url_sql, urls
 
 
 def word_bpe() -> str:
@@ -73,11 +73,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times come from the id's hash; a label's source is that of its document, the least one where an id repeats."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    part = lambda k: F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1 + 8 * k, 8), 16, 10).cast("long")
+    event = F.pmod(part(0), F.lit(50_000))
+    versions = docs.where("doc_id IS NOT NULL").select("source", "doc_id", "n_chars", "lang", event.alias("event"), (event - 60 + F.pmod(part(1), F.lit(600))).alias("arrival"), (event + F.pmod(part(2), F.lit(900))).alias("expiry"))
+    sources = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("source").alias("source"))
+    asks = labels.select("doc_id", F.pmod(part(3), F.lit(50_000)).alias("t")).join(sources.hint("merge"), "doc_id", "left")
+    found = point_in_time.as_of(asks, versions, "source", "t", "event", "arrival", "expiry", "doc_id", ["n_chars", "lang"])
+    age = F.col("t") - F.col("found.event")
+    fresh = age <= 120
+    status = F.when(age.isNull(), "none").when(fresh, "fresh").otherwise("stale")
+    return found.select("doc_id", "t", F.col("found.tie").alias("version_id"), age.alias("age"), status.alias("status"), *[F.when(fresh, F.col(f"found.payload.{c}")).alias(c) for c in ("n_chars", "lang")])
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_near_dedup, op3_url_filter, op4_quality_rules, op5_packing, op6_suffix_dedup, op7_language_id, op8_token_counts, op9_substring_dedup, op10_bpe)
+    f.__name__: f for f in (op1_topk, op2_near_dedup, op3_url_filter, op4_quality_rules, op5_packing, op6_suffix_dedup, op7_language_id, op8_token_counts, op9_substring_dedup, op10_bpe, op11_source_mix, op12_point_in_time, op13_source_divergence)
 }
 
 SQL: dict[str, str] = {
+    "op11_source_mix": data_sql.mix_sql(),
+    "op12_point_in_time": data_sql.point_in_time_sql(),
+    "op13_source_divergence": data_sql.divergence_sql(),
     "op3_url_filter": url_sql.url_filter_sql(),
     "op1_topk": """
 WITH v AS (
