@@ -44,7 +44,7 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + {cut(f"first * {b
 def point_in_time_sql() -> str:
     part = lambda k: f"CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)"
     return f"""
-WITH v AS (SELECT *, event - 60 + {part(1)} % 600 AS arrival, event + {part(2)} % 900 AS expiry FROM (SELECT *, {part(0)} % 50000 AS event FROM (SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IS NOT NULL))),
+WITH v AS (SELECT *, event - 60 + {part(1)} % 600 AS arrival, event + {part(2)} % 900 AS expiry FROM (SELECT *, {part(0)} % 50000 AS event FROM (SELECT doc_id, source, n_chars, lang, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IS NOT NULL))),
 s AS (SELECT doc_id, min(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
 a AS (SELECT r, doc_id, source, {part(3)} % 50000 AS t FROM (SELECT row_number() OVER () AS r, doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM labels) LEFT JOIN s USING (doc_id)),
 b AS (SELECT r, max({{'event': event, 'arrival': arrival, 'id': v.doc_id, 'n_chars': n_chars, 'lang': lang}}) AS p FROM a JOIN v ON a.source = v.source AND event <= t AND arrival <= t AND t < expiry GROUP BY r)
