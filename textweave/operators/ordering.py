@@ -80,13 +80,21 @@ def all_quantiles(rows: DataFrame, shares: dict[str, list[float]]) -> dict[str,
     long = rows.select(F.inline(F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).cast("double").alias("v")) for k, n in enumerate(names)]))).where("v IS NOT NULL")
     cum = stored(value_counts(long, ["c"], "v"), "ranked")
     n = {r.c: r.n for r in cum.groupBy("c").agg(F.sum("m").alias("n")).collect()}
-    at = {(k, i): s * (n.get(k, 0) - 1) for k, name in enumerate(names) for i, s in enumerate(shares[name])}
-    ends = [F.min(F.when((F.col("c") == k) & (F.col("ahead") + F.col("m") > int(p) + up), F.col("v"))).alias(f"q{k}_{i}_{up}") for (k, i), p in at.items() for up in (0, 1)]
-    row = cum.agg(*ends).first()
+    at = {(k, i): s * (n.get(k, 0) - 1) for k, name in enumerate(names) for i, s in enumerate(shares[name]) if k in n}
+    wanted: dict[int, set[int]] = {}
+    for (k, _), p in at.items():
+        wanted.setdefault(k, set()).update(x for x in (int(p), int(p) + 1) if x < n[k])
+    places = F.array(*[F.array(*[F.lit(x).cast("long") for x in sorted(wanted.get(k, ()))]).cast("array<bigint>") for k in range(len(names))])
+    own = F.filter(F.get(places, F.col("c")), lambda x: (x >= F.col("ahead")) & (x < F.col("ahead") + F.col("m")))
+    value = {(r.c, r.x): r.v for r in cum.select("c", "v", F.explode(own).alias("x")).collect()}  # two rows a share
     out: dict[str, list[float | None]] = {}
-    for (k, i), p in at.items():
-        low, high = row[f"q{k}_{i}_0"], row[f"q{k}_{i}_1"]
-        out.setdefault(names[k], []).append(low if high is None else low + (high - low) * (p - int(p)))
+    for k, name in enumerate(names):
+        for i in range(len(shares[name])):
+            if (p := at.get((k, i))) is None:
+                out.setdefault(name, []).append(None)
+                continue
+            low, high = value[k, int(p)], value.get((k, int(p) + 1))
+            out.setdefault(name, []).append(low if high is None else low + (high - low) * (p - int(p)))
     return out
 
 

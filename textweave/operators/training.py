@@ -228,7 +228,7 @@ def source_weights(counts: dict[str, int], human: str, kind: str = "training", m
 def strongest(m: Moments, label: str, k: int, keep=lambda g: True) -> list[str]:
     """The k inputs of the largest correlation with the label, ties by name.
 
-    Chosen before folds, as the reference's selection is: it has seen the validation labels.
+    Chosen before folds: the choice has seen the validation labels.
     """
     _, _, c = centred(m.total(keep))
     at = m.names.index(label)
@@ -325,6 +325,26 @@ def isotonic_thresholds(rows: DataFrame, prediction: str, label: str) -> tuple[l
     return [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
 
 
+def calibrated_error(rows: DataFrame, prediction: str, label: str, xs: list[float], ys: list[float]) -> float | None:
+    """Mean absolute error of predictions calibrated by all thresholds.
+
+    The calibration is worked out once for each distinct prediction, by a search in the sorted thresholds.
+    """
+    from textweave.operators.ordering import spread_join
+
+    grouped = rows.groupBy(prediction).agg(F.count("*").alias("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            value = np.where(np.isnan(p), np.nan, np.interp(p, xs, ys)) if len(xs) > 1 else p
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, from_pandas=True)], ["p", "n", "value"])
+
+    known = grouped.select(F.col(prediction).cast("double").alias("p"), "_n").mapInArrow(run, "p double, n long, value double")
+    met = spread_join(rows.select(F.col(prediction).cast("double").alias("p"), F.col(label).alias("_label")), known, "p", "n")
+    return met.agg(F.avg(F.abs(F.col("value") - F.col("_label")))).first()[0]
+
+
 def signed_bounds(names: Sequence[str], signs: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of coefficients by a contract of signs; 0 or none leaves a coefficient free."""
     s = np.array([signs.get(n, 0) for n in names])
@@ -396,21 +416,6 @@ def huber(rows: DataFrame, features: list[str], label: str, epsilon: float = 1.3
     return float(model.intercept), [float(c) for c in model.coefficients]
 
 
-def boosted(rows: DataFrame, features: list[str], label: str, fold: str, rounds: int = 20, depth: int = 3) -> DataFrame:
-    """The rows with `prediction` by gradient-boosted trees of the other folds: Spark's trees in place of the reference's."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    keep = rows.dropna(subset=[*features, label, fold])
-    x = VectorAssembler(inputCols=features, outputCol="_f").transform(keep)
-    values = sorted(r[0] for r in keep.select(fold).distinct().collect())  # a few folds
-    parts = [GBTRegressor(featuresCol="_f", labelCol=label, maxIter=rounds, maxDepth=depth, seed=42).fit(x.where(F.col(fold) != v)).transform(x.where(F.col(fold) == v)) for v in values]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_f")
-
-
 def pairwise(pairs: DataFrame, rows: DataFrame, key: str, features: list[str], label: str, alpha: float = 1.0) -> tuple[list[float], Column]:
     """Coefficients of ridge without intercept on differences of pairs (high, low, confidence), and the score on the label's
     scale by least squares on all rows."""

@@ -123,9 +123,7 @@ def combiner_search(spark, sf_dir):
             models = training.fold_models(part, lambda t, a=alpha: training.ridge(t, a))
             p = d.where("source = 'human'").withColumn("p", F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1))
             xs, ys = training.isotonic_thresholds(p, "p", "target")
-            from textweave.operators.scoring import isotonic
-
-            mae = p.agg(F.avg(F.abs(isotonic(F.col("p"), xs[:400], ys[:400]) - F.col("target")))).first()[0]
+            mae = training.calibrated_error(p, "p", "target", xs, ys)
             out.append((name, alpha, round(float(mae), 4)))
     best = min(out, key=lambda r: (r[2], r[0], r[1]))
     return spark.createDataFrame([(*r, r == best) for r in out], "inputs string, alpha double, mae double, best boolean")
@@ -176,10 +174,6 @@ def huber_regression(spark, sf_dir):
     return rounded(d.agg(F.corr(training.line(FEATURES, [a, *b]), F.col("y")).alias("r"), F.count("*").alias("n")), 2)
 
 
-def boosted_trees(spark, sf_dir):
-    return rounded(training.boosted(labelled(spark, sf_dir).limit(3000), FEATURES, "y", "fold", 5).agg((F.corr("prediction", "y") > 0.5).alias("learns"), F.count("*").alias("n")))
-
-
 def pairwise_ridge(spark, sf_dir):
     d = labelled(spark, sf_dir)
     pairs = joins.random_pairs(d, "id", "y", 1.5, 3000)
@@ -225,16 +219,12 @@ def weight_sensitivity(spark, sf_dir):
     return spark.createDataFrame(out, "feature string, factor double, cv double")
 
 
-def bottleneck(spark, sf_dir):
-    return spark.createDataFrame([(a, b, training.bottleneck(a, b)) for a, b in ((0.6, 0.7), (0.6, 0.63), (0.6, 0.61))], "linear double, tree double, limit string").withColumnRenamed("limit", "bottleneck")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ridge_out_of_fold, weighted_ridge, source_weights, vector_subscores, final_model, model_sweep, best_models, selected_features, objectives, scaled_ridge, isotonic_calibration, combiner_search, uplift_model,
-        signed_combiner, ordinal_regression, noisy_label_ridge, uncertainty_ridge, rank_regression, huber_regression, boosted_trees, pairwise_ridge, ablation, module_ablation, best_subsets, combiner_inputs,
-        evaluated_weights, weight_sensitivity, bottleneck,
+        signed_combiner, ordinal_regression, noisy_label_ridge, uncertainty_ridge, rank_regression, huber_regression, pairwise_ridge, ablation, module_ablation, best_subsets, combiner_inputs,
+        evaluated_weights, weight_sensitivity,
     )
 }
 
@@ -285,5 +275,4 @@ SELECT cv, human, fold_std, round(0.5::DOUBLE * cv + 0.3::DOUBLE * human + 0.2::
 g AS (SELECT fold, {_WCORR} AS r FROM s GROUP BY fold), f AS (SELECT avg(r) AS cv, stddev_pop(r) AS cv_std FROM g)
 SELECT round({_WCORR}, 4) AS val, round(avg(pow(s - (y - 1) / 9 * 100, 2)), 4) AS mse, round(avg(s), 4) AS score_mean, round(stddev_pop(s), 4) AS score_std, round(corr(s, y) FILTER (source = 'human'), 4) AS human, round(corr(s, y) FILTER (source <> 'human'), 4) AS synth, (SELECT round(cv, 4) FROM f) AS cv, (SELECT round(cv_std, 4) FROM f) AS cv_std FROM s""",
     "pairwise_ridge": "SELECT true AS learns",
-    "bottleneck": "SELECT * FROM (VALUES (0.6::DOUBLE, 0.7::DOUBLE, 'model'), (0.6, 0.63, 'moderate headroom'), (0.6, 0.61, 'data')) t(linear, tree, bottleneck)",
 }
