@@ -59,7 +59,7 @@ def removed_words(rows, width):
     return out
 
 
-def url_verdicts(pages, rules, depth=4):
+def url_verdicts(pages, rules):
     """{id: verdict} of (id, url) by the template tree, one node at a time."""
     found = []
     for i, url in pages:
@@ -69,10 +69,10 @@ def url_verdicts(pages, rules, depth=4):
         fits = [(len(r), v) for v, r in rules if ("." + host).endswith("." + r.split("/")[0]) and path.startswith("/" + r.split("/", 1)[1])]
         parts = [re.sub("[0-9]+", "*", re.sub("[0-9a-fA-F-]{12,}", "*", s)) for s in path.removeprefix("/").split("/")]
         look = lambda segments: re.sub(r"[^\W\d_]+", "a", "/".join(segments))
-        shape = tuple(parts[:depth]) + ((look(parts[depth:]),) if len(parts) > depth else ())
+        shape = tuple(parts)
         found.append((i, host, shape, max(fits)[1] if fits else None))
     template = {(h, s): "" for _, h, s, _ in found}
-    for k in range(depth + 1):
+    for k in range(max((len(s) for _, _, s, _ in found), default=0)):
         nodes = defaultdict(list)
         for _, h, s, v in found:
             if len(s) > k:

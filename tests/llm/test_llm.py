@@ -257,6 +257,18 @@ def test_url_templates(spark):
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
+def test_url_templates_tell_deep_branches_apart(spark):
+    """Branches that part at the sixth segment alone have verdicts of their own; an urls of very many segments ends."""
+    urls_of = [f"http://d.net/q/w/e/r/t/{b}/{'x/' if b == 'good' else ''}{i}" for i in range(40) for b in ("bad", "good")]
+    rules = [("block", f"d.net/q/w/e/r/t/bad/{i}") for i in range(10, 30)] + [("allow", f"d.net/q/w/e/r/t/good/x/{i}") for i in range(10, 30)]
+    urls_of += ["http://d.net/" + "s/" * 30, "http://d.net"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string"), rules).collect()
+    want = brute.url_verdicts(list(enumerate(urls_of)), rules)
+    assert {r.page_id: r.verdict for r in got} == want
+    free = {("bad" in r.path, r.verdict) for r in got if r.rule is None and "/t/" in r.path}
+    assert free == {(True, "block"), (False, "allow")}
+
+
 def test_url_templates_without_broadcast(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     one = urls.judge(pages).select("page_id", "verdict").collect()
@@ -507,6 +519,28 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert max(fill.values()) <= 2048
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Columns that stages use inside come back as they were, for repeated rows and null ids too."""
+    import corpus_pipeline
+
+    rows = pipeline_documents(spark)
+    rows += rows[:3]
+    extra = ["th", "_d", "_t", "_th", "_runs", "_row", "label", "n", "b", "bucket", "__kept_0"]
+    wide = spark.createDataFrame([(*r, *(f"{c}:{r[0]}:{r[1]}" for c in extra)) for r in rows], PIPELINE + "".join(f", {c} string" for c in extra))
+    plain = spark.createDataFrame(rows, PIPELINE)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns, name
+        kept = got.collect()
+        texts = {(r[0], r[1]) for r in rows}
+        for r in kept:
+            for c in extra:
+                i, _, t = r[c].partition(":")[2].partition(":")
+                assert r[c].startswith(f"{c}:") and i == str(r.doc_id) and any(str(d) == i and str(x) == t for d, x in texts)
+        want = [tuple(r) for r in stage(spark, plain, SF).collect()]
+        assert sorted((tuple(r)[:5] for r in kept), key=repr) == sorted(want, key=repr), name
+
+
 def test_pipeline_of_no_documents(spark):
     import corpus_pipeline
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textweave.llm.apart import columns_apart
 from textweave.llm.common import column, list_parts, mix64, stored, string_bytes, sub_batches, texts_of
 from textweave.llm.windows import HASHED_BYTES, Hashes, byte_units, covered, keyed, shared_anchors, spread_join, with_rows
 
@@ -261,6 +262,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
     return with_rows(docs, runs, "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
+@columns_apart
 def cleaned(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_stretches: int = GROUP_STRETCHES) -> DataFrame:
     """The documents with all their columns, repeated bytes taken out of `text` and `n_chars` brought up to date.
 

@@ -44,17 +44,21 @@ n{k} AS (SELECT host, template, segment, template || '/' || CASE WHEN children >
 t{k + 1} AS (SELECT host, shapes, n, n_lab, n_bad, next AS template FROM h{k} JOIN n{k} USING (host, template, segment) UNION ALL SELECT host, shapes, n, n_lab, n_bad, template FROM t{k} WHERE len(shapes) <= {k})"""
 
 
-def url_filter_sql(depth: int = urls.DEPTH) -> str:
+#: SQL cannot go on until no path has a further segment: it is written for paths of so many at most.
+LEVELS = 8
+
+
+def url_filter_sql(depth: int = LEVELS) -> str:
     capital, small = urls.CAPITALS, urls.CAPITALS.lower()
-    levels = ",".join(level(k) for k in range(depth + 1))
+    levels = ",".join(level(k) for k in range(depth))
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{capital}', '{small}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 w AS (SELECT *, {rule_case('rule')} AS rule, {rule_case('verdict')} AS ruled, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM v),
-x AS (SELECT *, CASE WHEN len(parts) > {depth} THEN list_append(list_transform(parts[:{depth}], lambda s: {shape('s')}), {form(shape(f"array_to_string(parts[{depth + 1}:], '/')"))}) ELSE list_transform(parts, lambda s: {shape('s')}) END AS shapes FROM w),
+x AS (SELECT *, list_transform(parts, lambda s: {shape('s')}) AS shapes FROM w),
 t0 AS (SELECT host, shapes, count(*) AS n, count(ruled) AS n_lab, count_if(ruled = 'block') AS n_bad, '' AS template FROM x GROUP BY host, shapes),{levels},
 hosts AS (SELECT host, (sum(n_bad) + {urls.PRIOR_WEIGHT} * (SELECT sum(n_bad) / sum(n) FROM t0)) / (sum(n) + {urls.PRIOR_WEIGHT}) AS prior FROM t0 GROUP BY host),
-pure AS (SELECT host, template, (sum(n_bad) + {urls.PRIOR_WEIGHT} * any_value(prior)) / (sum(n_lab) + {urls.PRIOR_WEIGHT}) AS purity FROM t{depth + 1} JOIN hosts USING (host) GROUP BY host, template)
+pure AS (SELECT host, template, (sum(n_bad) + {urls.PRIOR_WEIGHT} * any_value(prior)) / (sum(n_lab) + {urls.PRIOR_WEIGHT}) AS purity FROM t{depth} JOIN hosts USING (host) GROUP BY host, template)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity > {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM x JOIN t{depth + 1} USING (host, shapes) JOIN pure USING (host, template)
+FROM x JOIN t{depth} USING (host, shapes) JOIN pure USING (host, template)
 """

@@ -9,6 +9,8 @@ of the host's pages that is labelled so, is above a threshold.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ from textweave.llm.common import stored
 
 #: Verdict and rule (host, then path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Levels of the tree; what lies deeper is one segment of wildcards for runs of letters and of digits.
-DEPTH = 4
 MANY_CHILDREN = 50
 #: One-sided 5 % for shapes, two-sided 5 % for labels.
 Z_SHAPE, Z_LABEL = 1.645, 1.96
@@ -57,24 +57,23 @@ def form(text: Column) -> Column:
     return F.regexp_replace(text, LETTERS, "a")
 
 
-def shapes_of(path: Column, depth: int) -> Column:
-    """The shapes of the first `depth` segments, and one form of all deeper ones."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(parts, 1, depth), shape)
-    deeper = F.array(form(shape(F.array_join(F.slice(parts, depth + 1, 1 << 30), "/"))))
-    return F.when(F.size(parts) > depth, F.concat(head, deeper)).otherwise(head)
+def shapes_of(path: Column) -> Column:
+    """The shapes of all segments."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
 
 
-def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(pages: DataFrame) -> DataFrame:
     """Distinct (host, shapes) of pages (host, shapes, label) with counts, and the template after generalising and merging.
 
-    Tables of shapes are aggregated before every join. A template has `*` for a segment of very many values and `~` for
+    Goes down a level at a time until no path has a further segment. Tables of shapes are aggregated before every join. A template has `*` for a segment of very many values and `~` for
     merged branches.
     """
     tree = pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("label").alias("n_lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad"))
     tree = stored(tree.withColumn("template", F.lit("")), "shapes")
     node = ["host", "template"]
-    for k in range(depth + 1):
+    for k in itertools.count():
+        if not tree.where(F.size("shapes") > k).limit(1).count():
+            return tree
         here = tree.withColumn("segment", F.get("shapes", F.lit(k))).where("segment IS NOT NULL")
         rest = form(F.array_join(F.slice("shapes", k + 2, 1 << 30), "/"))
         # Whether nothing follows or an empty segment does is part of what follows.
@@ -100,7 +99,6 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         longer = here.join(named, [*node, "segment"]).select("host", "shapes", "n", "n_lab", "n_bad", F.col("next").alias("template"))
         ended = tree.where(F.size("shapes") <= k).select("host", "shapes", "n", "n_lab", "n_bad", "template")
         tree = stored(longer.unionByName(ended), "shapes")
-    return tree
 
 
 def judged_tree(tree: DataFrame) -> DataFrame:
@@ -113,7 +111,7 @@ def judged_tree(tree: DataFrame) -> DataFrame:
     return tree.select("host", "template", "shapes").join(pure, ["host", "template"])
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, purity) for every row; other columns are ignored.
 
     A null url, or one without `://`, has an empty host and path and is allowed unless a template says otherwise. A rule's
@@ -123,8 +121,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     host, path = split_url(F.col("url"))
     found = source.select("page_id", host.alias("host"), path.alias("path")).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = found.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"), shapes_of(F.col("path"), depth).alias("shapes"))
-    tree = template_tree(labelled.select("host", "shapes", (F.col("ruled") == "block").cast("long").alias("label")), depth)
+    labelled = found.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"), shapes_of(F.col("path")).alias("shapes"))
+    tree = template_tree(labelled.select("host", "shapes", (F.col("ruled") == "block").cast("long").alias("label")))
     key = [F.xxhash64("host", "shapes").alias("_a"), F.xxhash64("shapes", "host", F.lit(1)).alias("_b")]
     judged = judged_tree(tree).select(*key, "purity")
     if tree.count() <= BROADCAST_SHAPES:
