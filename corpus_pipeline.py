@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.llm import langid, near_dedup, packing, rules, suffix_dedup
+from textweave.llm.apart import columns_apart
 from textweave.llm.common import small_side, stored, sub_batches, texts_of
 from textweave.llm.queries import word_bpe
 from textweave.llm.windows import text_hash
@@ -32,6 +33,7 @@ def kept_rows(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
+@columns_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of which no language holds LEAST_SHARE.
 
@@ -46,6 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_rows(docs, judge)
 
 
+@columns_apart
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail a rule of the policy quality@1.
 
@@ -62,6 +65,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(side, docs.doc_id.eqNullSafe(side["_d"]) & (text_hash() == side["_t"]), "left_anti").select(docs.columns)
 
 
+@columns_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays, that of the least id, then text hash; a null id counts as above all others."""
     classes = stored(near_dedup.row_classes(docs).where("label IS NOT NULL"), "classes")
@@ -82,6 +86,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(again.select(docs.columns))
 
 
+@columns_apart
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose runs of REPEAT_BYTES and more that also start elsewhere; n_chars follows. No document goes.
 
