@@ -109,3 +109,13 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, times: str, most: int
     common = rows.join(hot, rows[on].eqNullSafe(hot["_key"])).drop("_key")
     rare = rows.join(hot, rows[on].eqNullSafe(hot["_key"]), "left_anti")
     return common.unionByName(rare.join(cold, rare[on].eqNullSafe(cold["_key"]), "left").drop("_key"))
+
+
+def carried(rows: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Adds the last value that is not null at or before a row in the order of the whole table."""
+    a = arranged(rows, order)
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    ends = a.groupBy("_part").agg(F.max(F.when(F.col(value).isNotNull(), F.struct("_at", F.col(value).alias("v"))))["v"].alias("_end"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_ahead"))
+    return _met(a, [], ahead).select(*rows.columns, F.coalesce(inside, F.col("_ahead")).alias(name))

@@ -273,6 +273,114 @@ def sweep(spark, plain: Moments, label: str, human: str, models: dict[str, list[
     return spark.createDataFrame(out, "kind string, config string, weighting string, cv double, human double, synth double, fold_std double, mse double, non_zero int, objective double")
 
 
+class Spectrum:
+    """Ridge of any penalty from one eigendecomposition of a training set's centred products."""
+
+    def __init__(self, total: np.ndarray, targets: int = 1):
+        self.weight, self.mean, c = centred(total)
+        self.k = len(self.mean) - targets
+        self.values, self.vectors = np.linalg.eigh(c[: self.k, : self.k])
+        self.on = self.vectors.T @ c[: self.k, self.k :]
+
+    def ridge(self, alpha: float) -> np.ndarray:
+        """As ridge(): intercept and coefficients, a column for each target; directions without spread get no coefficient."""
+        if self.weight <= 0:
+            return np.zeros((self.k + 1, self.on.shape[1]))
+        least = max(self.values.max(initial=0.0), 0.0) * self.k * np.finfo(float).eps
+        size = np.maximum(self.values, 0) + alpha
+        inverse = np.where(size > least, 1 / np.where(size > least, size, 1.0), 0.0)
+        coef = self.vectors @ (self.on * inverse[:, None])
+        return np.concatenate([(self.mean[self.k :] - self.mean[: self.k] @ coef)[None], coef])
+
+
+def path(total: np.ndarray, penalties: Sequence[tuple[float, float]], steps: int = 2000) -> list[np.ndarray]:
+    """Elastic nets of (alpha, l1_ratio) on one training set, each started from the one before; give them from strong to weak.
+
+    Coordinate descent with running residual products: a step that changes nothing costs one look.
+    """
+    weight, mean, c = centred(total)
+    k = len(mean) - 1
+    if weight <= 0:
+        return [np.zeros(k + 1) for _ in penalties]
+    a, b = c[:k, :k] / weight, c[:k, k] / weight
+    diagonal, beta, rest = np.diag(a).copy(), np.zeros(k), b.copy()  # rest = b - a @ beta
+    out = []
+    for alpha, ratio in penalties:
+        l1, l2 = alpha * ratio, alpha * (1 - ratio)
+        active = range(k)
+        for _ in range(steps):
+            change = 0.0
+            for j in active:
+                if diagonal[j] + l2 <= 1e-12:
+                    continue
+                r = rest[j] + diagonal[j] * beta[j]
+                new = (r - l1 if r > l1 else r + l1 if r < -l1 else 0.0) / (diagonal[j] + l2)
+                if new != beta[j]:
+                    change = max(change, abs(new - beta[j]) * diagonal[j])
+                    rest -= a[:, j] * (new - beta[j])
+                    beta[j] = new
+            small = change < 1e-9 * max(1e-12, abs(b).max(initial=0))
+            if small and len(active) == k:
+                break
+            # Passes over the inputs in use, until they stand; then one over all.
+            active = range(k) if small or len(active) != k and change == 0 else np.flatnonzero(beta)
+            if not len(active):
+                active = range(k)
+        out.append(np.concatenate([[mean[k] - beta @ mean[:k]], beta]))
+    return out
+
+
+def vector_sweep(spark, plain: Moments, places: Sequence[str], dimensions: Sequence[str], features: Sequence[str], label: str, human: str, settings: dict[str, list], weightings: dict[str, dict[str, float]]) -> DataFrame:
+    """(arch, config, weighting, cv, human, synth, fold_std, mse, non_zero, objective) of direct, dimension and hybrid models.
+
+    plain: moments by (fold, source) of vector places, features, dimensions and the label: the rows were read once. settings:
+    ridge and lasso (alphas), elastic_net ((alpha, l1_ratio)), dimension ((alpha, combiner alpha)), hybrid ((number of the features
+    that go best with human labels, alpha)). Every
+    training set is decomposed once for all its ridge penalties, and lasso and elastic net go down a path. A dimension
+    model's combiner is fitted on out-of-fold predictions, which are linear in the vector, so its moments follow from these.
+    """
+    folds = sorted({g[0] for g in plain.by})
+    out = []
+
+    def note(arch: str, config: str, weighting: str, m: Moments, models: dict, non_zero: int) -> None:
+        s = scores_of(m, models, human)
+        out.append((arch, config, weighting, *(float(s[c]) for c in ("cv", "human", "synth", "fold_std", "mse")), non_zero, human_objective(s)))
+
+    direct = plain.part([*places, label])
+    widths = {k: strongest(plain.part([*features, label]), label, k, lambda g: g[1] == human) for k in sorted({k for k, _ in settings.get("hybrid", ())})}
+    dims = plain.part([*places, *dimensions])
+    for name, weight in weightings.items():
+        of = lambda m, w=weight: m.reweighted(lambda g: w.get(g[1], 0.0))
+        held = lambda m, f: m.total(lambda g: g[0] != f)
+        with_features = [(f"k={k},", plain.part([*places, *own, label]), [a for j, a in settings["hybrid"] if j == k]) for k, own in widths.items()]
+        for arch, prefix, m, alphas in (("ridge", "", direct, settings.get("ridge", ())), *(("hybrid", *h) for h in with_features)):
+            spectra = {f: Spectrum(held(of(m), f)) for f in folds}
+            for alpha in alphas:
+                note(arch, f"{prefix}alpha={alpha:g}", name, m, {f: s.ridge(alpha)[:, 0] for f, s in spectra.items()}, len(m.names) - 1)
+        for arch, penalties in (("lasso", [(a, 1.0) for a in settings.get("lasso", ())]), ("elastic_net", list(settings.get("elastic_net", ())))):
+            ratios = sorted({r for _, r in penalties})
+            for ratio in ratios:
+                own = sorted((p for p in penalties if p[1] == ratio), reverse=True)
+                paths = {f: path(held(of(direct), f), own) for f in folds}
+                whole = path(direct.total(), own)
+                for i, (alpha, _) in enumerate(own):
+                    config = f"alpha={alpha:g}" + (f",l1_ratio={ratio:g}" if arch == "elastic_net" else "")
+                    note(arch, config, name, direct, {f: p[i] for f, p in paths.items()}, int((np.abs(whole[i][1:]) > 1e-10).sum()))
+        spectra = {f: Spectrum(held(of(dims), f), len(dimensions)) for f in folds} if settings.get("dimension") else {}
+        for alpha in sorted({a for a, _ in settings.get("dimension", ())}):
+            first = {f: s.ridge(alpha) for f, s in spectra.items()}
+            lifted = Moments([*dimensions, label])
+            for g, x in direct.by.items():
+                lift = np.zeros((len(dimensions) + 2, len(x)))
+                lift[0, 0] = lift[-1, -1] = 1
+                lift[1:-1, :-1] = first[g[0]].T
+                lifted.by[g] = lift @ x @ lift.T
+            for c in [c for a, c in settings["dimension"] if a == alpha]:
+                second = fold_models(of(lifted), lambda t, c=c: ridge(t, c))
+                note("dimension", f"alpha={alpha:g},combiner={c:g}", name, lifted, second, len(dimensions))
+    return spark.createDataFrame(out, "arch string, config string, weighting string, cv double, human double, synth double, fold_std double, mse double, non_zero int, objective double")
+
+
 def two_stage(rows: DataFrame, vector: str, dim: int, dimensions: list[str], features: list[str], label: str, fold: str, alphas: tuple[float, float] = (0.1, 10.0)) -> DataFrame:
     """The rows with each dimension's out-of-fold prediction (<name>_oof) and `prediction` by a combiner of them.
 

@@ -16,7 +16,7 @@ from textweave.functions import text as tx
 from textweave.functions.segments import block_sentences
 from textweave.functions.vectors import rounded, unit
 from textweave.operators import clusters, coherence, discourse, quality, ratings, reports, scoring, temporal
-from textweave.plans import audits, boosting, learning, records, serving
+from textweave.plans import audits, boosting, learning, records, sampling, serving
 from textweave.plans.tables import TE, spread, table
 
 
@@ -355,7 +355,7 @@ SELECT doc_id, coalesce(n_blocks, 0)::INT AS n_blocks, coalesce(n_sentences, 0):
 
 # White space is Unicode's in both engines.
 SQL = {k: v.replace(r"\s\x0B", tx.WS) for k, v in SQL.items()}
-for _more in (serving, audits, records, learning, boosting):
+for _more in (serving, audits, records, learning, boosting, sampling):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
 SQL["whole_segmentation"] = f"SELECT doc_id, n_sentences, n_sentences AS n_in_blocks FROM ({SQL['segment_blocks']})"
