@@ -89,18 +89,26 @@ def test_joins_that_check(spark):
         joins.lookup(left, spark.createDataFrame([(1, "a")], "id long, name string"), "id").collect()
 
 
-def test_nearest_in_blocks(spark):
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_nearest_by_pivots(spark, block):
+    """Clustered, equal, opposite and zero vectors, nulls and odd lengths, in many chunks and in one."""
     rng = np.random.default_rng(3)
-    v = rng.normal(size=(60, 5)).round(1)
-    v[7] = 0
-    v[30:34] = v[2]
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    v = np.concatenate([rng.normal(size=(30, 5)), rng.normal(size=(30, 5)) * 0.05 + [4, 0, 0, 0, 1]]).round(2)
+    v[[7, 19]] = 0
+    v[30:44] = v[2]
+    v[50] = -v[2]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, None), (91, [1.0]), (None, [1.0] * 5)], "id long, v array<double>")
     norm = np.linalg.norm(v, axis=1)
     u = v / np.where(norm == 0, 1, norm)[:, None]
-    got = {(r.id, r["rank"]): r.cosine for r in joins.nearest(rows, "id", "v", 3, block=16).collect()}
+    got = {}
+    for r in joins.nearest(rows, "id", "v", 3, block=block).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other, r.cosine))
+    assert len(got) == 60
     for i in range(60):
-        best = sorted((-(u[i] @ u[j]) for j in range(60) if j != i))[:3]
-        assert [got[i, k + 1] for k in range(3)] == pytest.approx([-b for b in best])
+        best = sorted((-round(float(u[i] @ u[j]), 9), j) for j in range(60) if j != i)[:3]
+        assert [o for _, o, _ in sorted(got[i])] == [j for _, j in best] and [c for _, _, c in sorted(got[i])] == pytest.approx([-s for s, _ in best])
+    assert joins.nearest(rows.where("id = 90"), "id", "v").count() == 0
+    rows = rows.where("id < 60")
     few = joins.neighbour_smoothness(rows.limit(3).withColumn("y", F.lit(1)), "id", "v", "y").first()
     assert few.n == 3 and few.mean_gap is None
 

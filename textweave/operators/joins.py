@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweave.sources.scratch import stored
+
 
 def zip_rows(tables: dict[str, DataFrame], row: str, value: str) -> DataFrame:
     """(row, one column a table): tables aligned by their row number, cut to the rows that all have."""
@@ -51,12 +53,13 @@ def random_pairs(rows: DataFrame, key: str, score: str, least: float, most: int,
     Each row is drawn 5 * most / n times: a draw is a row number from a hash, so the same table gives the same pairs.
     """
     from textweave.operators.ordering import positions
+    from textweave.operators.sampling import uniform
 
     n = rows.count()
     if n < 2:
         return rows.select(F.col(key).alias("high"), F.col(key).alias("low"), F.lit(0.0).alias("confidence")).limit(0)
-    numbered = positions(rows.select(F.col(key).alias("k"), F.col(score).cast("double").alias("s")), [], ["k"], "place")
-    draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed * 2 + salt)), F.lit(n))
+    numbered = positions(rows.select(F.col(key).alias("k"), F.col(score).cast("double").alias("s")), [], ["k", "s"], "place")
+    draw = lambda salt: F.pmod(uniform(seed * 2 + salt, F.col("id")), F.lit(n))
     draws = rows.sparkSession.range(5 * most).select("id", draw(0).alias("a"), draw(1).alias("b")).where("a <> b")
     side = lambda c: numbered.select(F.col("place").alias(c), F.col("k").alias(f"k{c}"), F.col("s").alias(f"s{c}"))
     pairs = draws.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.col("sa") - F.col("sb")) >= least)
@@ -65,21 +68,28 @@ def random_pairs(rows: DataFrame, key: str, score: str, least: float, most: int,
     return out.groupBy("high", "low").agg(F.min("id").alias("id"), F.max("confidence").alias("confidence")).orderBy("id").limit(most).drop("id")
 
 
-def block_neighbours(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k best of the right block for each row of the left one, by cosine, ties to the smaller id."""
+#: Digits to which cosines are compared, so that equal vectors tie whatever the order of the sums.
+COSINE_DIGITS = 9
+#: Pivots at most: their vectors are all that reaches the driver and every task.
+MOST_PIVOTS = 512
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
-    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = pc.list_flatten(table.column("v").combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        norm = np.sqrt((v * v).sum(1))
-        return table.column("id").to_numpy(), v / np.where(norm == 0, 1, norm)[:, None]
+
+def block_neighbours(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best of the right block for each row of the left one, by cosine of unit vectors, ties to the smaller id."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
         if left.num_rows and right.num_rows:
-            a, x = unit(left.sort_by("id"))
-            b, y = unit(right.sort_by("id"))
+            right = right.sort_by("id")
+            a, x = left.column("id").to_numpy(), _matrix(left.column("v"), dim)
+            b, y = right.column("id").to_numpy(), _matrix(right.column("v"), dim)
             for at in range(0, len(a), 512):
-                s = x[at : at + 512] @ y.T
+                s = np.round(x[at : at + 512] @ y.T, COSINE_DIGITS)
                 s[a[at : at + 512, None] == b] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, top, 1)
@@ -93,21 +103,81 @@ def block_neighbours(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
     return run
 
 
+def assigned(v: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, v, cell, away): unit vectors with their nearest pivot and the distance to it; zero vectors have cell -1."""
+    dim = pivots.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), dim)
+            norm = np.sqrt((x * x).sum(1))
+            x /= np.where(norm == 0, 1, norm)[:, None]
+            far = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+            cell = far.argmin(1) if len(x) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.where(norm == 0, -1, cell).astype(np.int32)), pa.array(far[np.arange(len(x)), cell])], ["id", "v", "cell", "away"])
+
+    return v.mapInArrow(run, "id long, v array<double>, cell int, away double")
+
+
+def reached(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray) -> DataFrame:
+    """(id, v, own, own_chunk, cell): the cells that may hold a row nearer than the query's k-th so far (least, a cosine).
+
+    A row of a cell is no nearer than the cell's pivot less the cell's radius, by the triangle inequality between unit vectors.
+    """
+    dim = pivots.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, least = _matrix(batch.column(1), dim), batch.column(4).to_numpy(zero_copy_only=False)
+            far = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+            row, cell = np.nonzero(far - radius <= np.sqrt(np.maximum(2 - 2 * least, 0))[:, None] + 1e-6)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in range(4)), pa.array(cell.astype(np.int32))], ["id", "v", "own", "own_chunk", "cell"])
+
+    return queries.mapInArrow(run, "id long, v array<double>, own int, own_chunk int, cell int")
+
+
 def nearest(rows: DataFrame, id_col: str, vector: str, k: int = 5, block: int = 20_000) -> DataFrame:
-    """(id, other, cosine, rank): the k most alike other rows of each row, by blocks of rows against blocks of rows.
+    """(id, other, cosine, rank): the k most alike other rows of each row, ties to the smaller id.
 
-    A cell of the grid is one task of two blocks; it keeps k rows for each of its own. A zero vector has cosine 0.
+    Rows lie in cells around pivots, cells in chunks of about `block` rows. A row first searches its own chunk; its k-th
+    cosine there then rules out cells by the triangle inequality, and only chunks of the others are searched, so many rows
+    of one vector are many chunks, and no task holds more than two blocks. A zero vector has cosine 0 with all. Null vectors
+    and those of another length than the longest take no part.
     """
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     shape = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not shape.n:
-        return rows.sparkSession.createDataFrame([], "id long, other long, cosine double, rank int")
-    parts = -(-shape.n // block)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    left = v.select("id", "v", own.alias("i"), grid.alias("j"))
-    right = v.select("id", "v", own.alias("j"), grid.alias("i")).toDF("id", "v", "j", "i")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(block_neighbours(k, shape.d), "id long, other long, cosine double")
+    empty = rows.sparkSession.createDataFrame([], "id long, other long, cosine double, rank int")
+    if not shape.n or not shape.d:
+        return empty
+    v = v.where(F.size("v") == shape.d)
+    wanted = min(MOST_PIVOTS, max(1, 4 * -(-shape.n // block)))
+    first = v.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()  # MOST_PIVOTS rows
+    chosen = np.array([r.v for r in first], float).reshape(-1, shape.d)
+    pivots = chosen / np.sqrt((chosen * chosen).sum(1))[:, None] if len(chosen) else np.eye(1, shape.d)
+    placed = stored(assigned(v, pivots), "placed")
+    sizes = {r.cell: (r.n, r.far) for r in placed.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}  # a row for each pivot
+    chunks = F.array(*[F.lit(max(1, -(-sizes.get(c, (0, 0))[0] // block))) for c in range(len(pivots))])
+    radius = np.array([sizes[c][1] if c in sizes else -np.inf for c in range(len(pivots))])
+    full = placed.where("cell >= 0").withColumn("chunk", F.pmod(F.xxhash64("id"), F.get(chunks, F.col("cell"))).cast("int")).select("id", "v", "cell", "chunk")
+    kind, search = "id long, other long, cosine double", block_neighbours(k, shape.d)
+    near = stored(full.groupBy("cell", "chunk").applyInArrow(lambda t: search(t, t), kind), "own_chunk")
+    least = near.groupBy("id").agg(F.min("cosine").alias("least"), F.count("*").alias("m"))
+    limits = full.join(least, "id", "left").select("id", "v", F.col("cell").alias("own"), F.col("chunk").alias("own_chunk"), F.when(F.col("m") >= k, F.col("least")).otherwise(-1.0).alias("least"))
+    asked = stored(reached(limits, pivots, radius), "reached")
+    counts = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row for each pivot
+    parts = F.array(*[F.lit(max(1, -(-counts.get(c, 0) // block))) for c in range(len(pivots))])
+    every = F.sequence(F.lit(0), F.get(chunks, F.col("cell")) - 1)
+    left = asked.select("id", "v", "cell", "own", "own_chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.get(parts, F.col("cell"))).cast("int").alias("part"), F.explode(every).alias("chunk"))
+    left = left.where("cell <> own OR chunk <> own_chunk").select("id", "v", "cell", "chunk", "part")
+    right = full.select("id", "v", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)).alias("part"))
+    found = near.unionByName(left.groupBy("cell", "chunk", "part").cogroup(right.groupBy("cell", "chunk", "part")).applyInArrow(search, kind))
+    zero = placed.where("cell < 0").select("id")
+    if zero.limit(1).count():
+        # A zero vector is as near to all, so only the k + 1 smallest ids can be among anyone's nearest.
+        few = lambda df: F.broadcast(df.select(F.col("id").alias("other")).orderBy("other").limit(k + 1))
+        to = lambda a, b: a.select("id").join(few(b), F.col("id") != F.col("other")).withColumn("cosine", F.lit(0.0))
+        found = found.unionByName(to(full, zero)).unionByName(to(zero, placed))
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -16,6 +16,7 @@ from textweave.functions.vectors import rounded
 from textweave.operators import audits, joins, training
 from textweave.plans.audits import _Z as AUDITED
 from textweave.plans.audits import FEATURES, rated
+from textweave.plans.records import random_pairs_sql
 from textweave.plans.tables import table
 
 INPUTS = ["l_quantity", "l_discount", "l_tax"]
@@ -97,8 +98,20 @@ def selected_features(spark, sf_dir):
 
 
 def objectives(spark, sf_dir):
-    grid = [{"cv": c, "human": h, "synth": s, "fold_std": f} for c in (0.4, 0.7) for h in (0.5, 0.6) for s in (0.9,) for f in (0.05, 0.4)]
-    return spark.createDataFrame([(g["cv"], g["human"], g["fold_std"], round(training.dual_objective(g), 6), round(training.human_objective(g), 6)) for g in grid], "cv double, human double, fold_std double, dual double, by_human double")
+    """Both objectives of the quantity as a score of the label, by line number."""
+    from textweave.functions.vectors import pair_correlations
+
+    d = labelled(spark, sf_dir).withColumn("line", F.pmod("id", F.lit(10)).cast("int"))
+    kinds = {"cv": ("se_a", "y"), "human": (F.when(F.col("source") == "human", F.col("se_a")), "y"), "synth": (F.when(F.col("source") != "human", F.col("se_a")), "y")}
+    by = {(r.line, r.pair): r.r for r in pair_correlations(d, kinds, ["line"]).collect()}  # a few lines
+    folds: dict[int, list[float]] = {}
+    for r in pair_correlations(d.where("source = 'human'"), {"own": ("se_a", "y")}, ["line", "fold"]).collect():
+        folds.setdefault(r.line, []).append(r.r)
+    out = []
+    for line in sorted({k for k, _ in by}):
+        s = {n: by.get((line, n), 0.0) for n in kinds} | {"fold_std": float(np.std(folds.get(line, [0.0])))}
+        out.append((line, training.dual_objective(s), training.human_objective(s)))
+    return rounded(spark.createDataFrame(out, "line int, dual double, by_human double"), 4)
 
 
 def scaled_ridge(spark, sf_dir):
@@ -175,10 +188,13 @@ def huber_regression(spark, sf_dir):
 
 
 def pairwise_ridge(spark, sf_dir):
+    """Coefficients of differences of pairs, and how the score that they give goes with the label."""
     d = labelled(spark, sf_dir)
     pairs = joins.random_pairs(d, "id", "y", 1.5, 3000)
-    _, score = training.pairwise(pairs, d, "id", FEATURES, "y")
-    return rounded(d.agg(F.corr(score, F.col("y")).alias("r"), (F.corr(score, F.col("y")) > 0.5).alias("learns")).select("learns"))
+    inputs = FEATURES[:3]
+    w, score = training.pairwise(pairs, d, "id", inputs, "y")
+    fit = d.agg(F.corr(score, F.col("y")), F.avg(F.abs(score - F.col("y")))).first()
+    return spark.createDataFrame([(n, round(float(x), 4)) for n, x in zip([*inputs, "r", "mae"], [*w, *fit])], "name string, value double")
 
 
 def _subsets(spark, sf_dir, subsets: dict[str, list[str]], alpha: float = 1.0) -> DataFrame:
@@ -265,8 +281,10 @@ p AS (SELECT z.fold, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3) AS
     "weighted_ridge": f"""WITH {_XYZ}, {_COUNTS}, t AS (SELECT 1 AS g, z.*, CASE WHEN source = 'human' THEN 1 ELSE 0.3::DOUBLE * h / s END AS u FROM z, n), m AS ({_moments("g", "u")}), b AS (SELECT *, {_cramer("10.0")} FROM m)
 SELECT 'intercept' AS name, round(my - b1 * m1 - b2 * m2 - b3 * m3, 4) AS coef FROM b UNION ALL SELECT 'l_quantity', round(b1, 4) FROM b UNION ALL SELECT 'l_discount', round(b2, 4) FROM b UNION ALL SELECT 'l_tax', round(b3, 4) FROM b""",
     "source_weights": f"WITH {_XYZ}, {_COUNTS} SELECT 'human' AS source, 'training' AS kind, 1.0::DOUBLE AS weight FROM n UNION ALL SELECT 'synthetic', 'training', round(0.3::DOUBLE * h / s, 6) FROM n UNION ALL SELECT 'human', 'equal', round(s / h, 6) FROM n UNION ALL SELECT 'synthetic', 'equal', 1 FROM n UNION ALL SELECT 'human', 'multiplier', 2 FROM n UNION ALL SELECT 'synthetic', 'multiplier', 1 FROM n",
-    "objectives": """WITH g AS (SELECT cv::DOUBLE AS cv, h::DOUBLE AS human, f::DOUBLE AS fold_std FROM (VALUES (0.4), (0.7)) a(cv), (VALUES (0.5), (0.6)) b(h), (VALUES (0.05), (0.4)) c(f))
-SELECT cv, human, fold_std, round(0.5::DOUBLE * cv + 0.3::DOUBLE * human + 0.2::DOUBLE * (1 - (0.9::DOUBLE - human)), 6) AS dual, CASE WHEN cv < 0.5 THEN -1 ELSE round(0.6::DOUBLE * human + 0.25::DOUBLE * cv + 0.15::DOUBLE * greatest(0, 1 - fold_std / 0.3::DOUBLE), 6) END AS by_human FROM g""",
+    "objectives": f"""WITH {AUDITED}, {_Y}, d AS (SELECT *, (id % 10)::INT AS line FROM yy), f AS (SELECT line, coalesce(stddev_pop(r), 0) AS fold_std FROM (SELECT line, fold, CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(corr(se_a, y), 0) END AS r FROM d WHERE source = 'human' GROUP BY line, fold) GROUP BY line),
+c AS (SELECT line, corr(se_a, y) AS cv, corr(se_a, y) FILTER (source = 'human') AS h, corr(se_a, y) FILTER (source <> 'human') AS s FROM d GROUP BY line)
+SELECT line, round(0.5::DOUBLE * least(greatest(cv, 0), 1) + 0.3::DOUBLE * least(greatest(h, 0), 1) + 0.2::DOUBLE * greatest(0, 1 - abs(h - s)), 4) AS dual,
+  CASE WHEN cv < 0.5 THEN -1 ELSE round(0.6::DOUBLE * least(greatest(h, 0), 1) + 0.25::DOUBLE * least(greatest(cv, 0), 1) + 0.15::DOUBLE * greatest(0, 1 - fold_std / 0.3::DOUBLE), 4) END AS by_human FROM c JOIN f USING (line)""",
     "selected_features": f"""WITH {AUDITED}, {_Y}, r AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, y)) AS r FROM yy WHERE source = 'human'" for f in FEATURES)}), k AS (SELECT feature, (row_number() OVER (ORDER BY r.r DESC, feature) - 1)::INT AS place FROM r) SELECT place, feature FROM k WHERE place < 4""",
     "weight_sensitivity": f"WITH {AUDITED}, {_Y} " + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, {f}::DOUBLE AS factor, round(corr(50.0::DOUBLE * {f if n == 'ce_a' else 1.0} * ce_a + 1.0::DOUBLE * {f if n == 'se_a' else 1.0} * se_a + 0.5::DOUBLE * {f if n == 'ne_a' else 1.0} * ne_a, y), 6) AS cv FROM yy" for n in ("ce_a", "se_a", "ne_a") for f in (0.5, 1.0, 1.5)
@@ -274,5 +292,10 @@ SELECT cv, human, fold_std, round(0.5::DOUBLE * cv + 0.3::DOUBLE * human + 0.2::
     "evaluated_weights": f"""WITH {AUDITED}, {_Y}, n AS (SELECT count_if(source <> 'human') / count_if(source = 'human') AS w FROM yy), s AS (SELECT yy.*, least(se_a + 50 * ce_a, 100) AS s, CASE WHEN source = 'human' THEN n.w ELSE 1 END AS w FROM yy, n),
 g AS (SELECT fold, {_WCORR} AS r FROM s GROUP BY fold), f AS (SELECT avg(r) AS cv, stddev_pop(r) AS cv_std FROM g)
 SELECT round({_WCORR}, 4) AS val, round(avg(pow(s - (y - 1) / 9 * 100, 2)), 4) AS mse, round(avg(s), 4) AS score_mean, round(stddev_pop(s), 4) AS score_std, round(corr(s, y) FILTER (source = 'human'), 4) AS human, round(corr(s, y) FILTER (source <> 'human'), 4) AS synth, (SELECT round(cv, 4) FROM f) AS cv, (SELECT round(cv_std, 4) FROM f) AS cv_std FROM s""",
-    "pairwise_ridge": "SELECT true AS learns",
+    "pairwise_ridge": f"""WITH {AUDITED}, {_Y}, r AS (SELECT id AS k, y AS s FROM yy), {random_pairs_sql(1.5, 3000)},
+t AS (SELECT confidence AS w, h.ce_a - l.ce_a AS x1, h.ce_b - l.ce_b AS x2, h.se_a - l.se_a AS x3 FROM pairs JOIN yy h ON h.id = high JOIN yy l ON l.id = low),
+m AS (SELECT {", ".join(f"sum(w * x{i} * x{j}) AS s{i}{j}" for i in range(1, 4) for j in range(i, 4))}, {", ".join(f"sum(w * x{i}) AS c{i}" for i in range(1, 4))} FROM t), b AS (SELECT {_cramer("1.0")} FROM m),
+v AS (SELECT b1 * ce_a + b2 * ce_b + b3 * se_a AS p, y FROM yy, b), f AS (SELECT regr_slope(y, p) AS a, regr_intercept(y, p) AS c, corr(y, p) AS r FROM v)
+SELECT 'ce_a' AS name, round(b1, 4) AS value FROM b UNION ALL SELECT 'ce_b', round(b2, 4) FROM b UNION ALL SELECT 'se_a', round(b3, 4) FROM b UNION ALL SELECT 'r', round(abs(r), 4) FROM f
+UNION ALL SELECT 'mae', round(avg(abs(a * p + c - y)), 4) FROM v, f""",
 }

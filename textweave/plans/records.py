@@ -123,7 +123,8 @@ def feature_cache(spark, sf_dir):
 
 
 def quota_plan(spark, sf_dir):
-    return files.quota_plan(spark, 23)
+    """As many entries as there are documents, dealt over the levels."""
+    return files.quota_plan(spark, table(spark, sf_dir, "documents").count())
 
 
 def few_shot_examples(spark, sf_dir):
@@ -164,8 +165,8 @@ def golden_texts(spark, sf_dir):
 
 
 def nearest_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0 OR label < 10")
-    return rounded(joins.nearest(e, "vec_id", "embedding", 3).select("id", "rank", "cosine"), 4)
+    """The three nearest of every vector of the table, with their ids."""
+    return rounded(joins.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, block=2_000).select("id", "rank", "other", "cosine"), 4)
 
 
 def neighbour_smoothness(spark, sf_dir):
@@ -174,15 +175,15 @@ def neighbour_smoothness(spark, sf_dir):
 
 def random_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("s"))
-    return joins.random_pairs(rows, "o_orderkey", "s", 1.5, 200).agg((F.count("*") > 0).alias("found"), (F.count("*") <= 200).alias("capped"), (F.min("confidence") >= 1.5).alias("apart"))
+    return joins.random_pairs(rows, "o_orderkey", "s", 1.5, 200)
 
 
 def profile_vectors(spark, sf_dir):
     """Sentence vectors of a model-free encoder, as columns and through the Arrow frame of an injected one."""
-    d = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    vectors = embedding.embed_sentences(d, "n_name", _profile_encoder, "v")
-    both = vectors.withColumn("w", embedding.letter_profile(F.col("n_name")))
-    return rounded(both.select("n_nationkey", F.round(F.get("w", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("by_encoder")), 4)
+    d = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    vectors = embedding.embed_sentences(d, "c_name", _profile_encoder, "v")
+    both = vectors.withColumn("w", embedding.letter_profile(F.col("c_name")))
+    return rounded(both.select("c_custkey", F.round(F.get("w", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("by_encoder")), 4)
 
 
 def _profile_encoder():
@@ -226,6 +227,16 @@ _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 _FIELDS = generated.LABEL_FIELDS
 _STRIP = f"^[{tx.WS}]+|[{tx.WS}]+$"
 
+
+def random_pairs_sql(least: float, most: int, seed: int = 42) -> str:
+    """Table `pairs` (high, low, confidence) of a table r (k, s): what joins.random_pairs() draws."""
+    draw = lambda salt: f"CAST('0x' || substr(md5('{seed * 2 + salt}:' || id), 1, 12) AS BIGINT) % (SELECT count(*) FROM r)"
+    return f"""places AS (SELECT k, s, row_number() OVER (ORDER BY k, s) - 1 AS place FROM r),
+draws AS (SELECT id, {draw(0)} AS a, {draw(1)} AS b FROM (SELECT unnest(range({5 * most})) AS id)),
+met AS (SELECT id, CASE WHEN x.s >= y.s THEN x.k ELSE y.k END AS high, CASE WHEN x.s >= y.s THEN y.k ELSE x.k END AS low, abs(x.s - y.s) AS c FROM draws JOIN places x ON x.place = a JOIN places y ON y.place = b WHERE a <> b AND abs(x.s - y.s) >= {least}),
+pairs AS (SELECT high, low, max(c) AS confidence FROM met GROUP BY high, low ORDER BY min(id) LIMIT {most})"""
+
+
 SQL: dict[str, str] = {
     "unwrapped_answers": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id ELSE '' END AS journal_text FROM events""",
     "label_answers": """WITH a AS (SELECT event_id, event_id % 6 AS k FROM events), f AS (SELECT k IN (2, 3, 4, 5) AS bad, CASE WHEN k IN (0, 1, 2, 3, 4, 5) THEN 5 END AS belief_integration, CASE WHEN k = 1 THEN event_id % 10 ELSE 5 END::INT AS overall_entropy FROM a)
@@ -243,7 +254,7 @@ SELECT ['a', 'b', 'c'][k + 1] AS source_file, ['human', 'human', 'synthetic'][k
     "checkpoint_last": "SELECT user_id AS key, max(event_id) AS v FROM events WHERE event_id % 4 <> 0 AND user_id IS NOT NULL GROUP BY 1",
     "resumed": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
     "feature_cache": "SELECT doc_id, length(text)::INT AS n FROM documents",
-    "quota_plan": "SELECT * FROM (VALUES (6, 5), (7, 5), (8, 5), (9, 4), (10, 4)) t(level, n)",
+    "quota_plan": "SELECT level::INT AS level, CAST(t // 5 + (level - 6 < t % 5)::INT AS INTEGER) AS n FROM (SELECT count(*) AS t FROM documents), (SELECT unnest(range(6, 11)) AS level)",
     "few_shot_examples": f"""WITH d AS (SELECT doc_id, (doc_id % 10 + 1)::INT AS level, regexp_replace(text, '{_STRIP}', '', 'g') AS t FROM documents),
 h AS (SELECT t, level, doc_id FROM d WHERE level >= 7 AND length(t) BETWEEN 150 AND 1600 QUALIFY row_number() OVER (PARTITION BY t ORDER BY level DESC, doc_id) = 1)
 SELECT 'high' AS kind, level, md5(t) AS text FROM (SELECT * FROM h WHERE level >= 8 ORDER BY level DESC, doc_id LIMIT 3) UNION ALL SELECT 'high', level, md5(t) FROM (SELECT * FROM h WHERE level = 7 ORDER BY doc_id LIMIT 9)
@@ -253,12 +264,12 @@ UNION ALL SELECT 'low', level, md5(t) FROM (SELECT * FROM d WHERE level = 2 AND
     "label_refresh": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1",
     "scores_with_default": "SELECT doc_id, coalesce(quality, 0)::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id)",
     "golden_texts": f"WITH t(target, percentile, k) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {p}, {k})' for k, (n, p, _, _) in enumerate(audits.TARGETS))}) SELECT target, percentile, n_name AS text FROM t LEFT JOIN nation ON n_nationkey = k AND k < 4",
-    "nearest_vectors": f"""WITH e AS (SELECT vec_id AS id, {_UNIT} AS v FROM embeddings WHERE vec_id % 10 = 0 OR label < 10), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-p AS (SELECT a.id, b.id AS other, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id <> b.id) SELECT id, row_number() OVER (PARTITION BY id ORDER BY p.cosine DESC, other)::INT AS rank, round(cosine, 4) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY p.cosine DESC, other) <= 3""",
+    "nearest_vectors": f"""WITH e AS (SELECT vec_id AS id, {_UNIT} AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT a.id, b.id AS other, round(list_dot_product(a.v, b.v), 9) AS cosine FROM u a JOIN u b ON a.id <> b.id) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY p.cosine DESC, other)::INT AS rank, round(cosine, 4) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY p.cosine DESC, other) <= 3""",
     "neighbour_smoothness": f"""WITH e AS (SELECT vec_id AS id, label AS y, {_UNIT} AS v FROM embeddings), u AS (SELECT id, y, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 p AS (SELECT a.id, abs(a.y - b.y) AS gap FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) <= 5)
 SELECT (SELECT count(*) FROM e) AS n, 5 AS k, round(avg(gap), 4) AS mean_gap, round(median(gap), 4) AS median_gap FROM p""",
-    "random_pairs": "SELECT true AS found, true AS capped, true AS apart",
-    "profile_vectors": f"""WITH c AS (SELECT n_nationkey, [{", ".join(f"(length(n_name) - length(regexp_replace(lower(n_name), '[{g}]', '', 'g')))::DOUBLE" for g in embedding.PROFILE)}] AS c FROM nation)
-SELECT n_nationkey, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS first, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS by_encoder FROM c""",
+    "random_pairs": f"WITH r AS (SELECT o_orderkey AS k, (o_custkey % 10)::DOUBLE AS s FROM orders), {random_pairs_sql(1.5, 200)} SELECT high, low, confidence FROM pairs",
+    "profile_vectors": f"""WITH c AS (SELECT c_custkey, [{", ".join(f"(length(c_name) - length(regexp_replace(lower(c_name), '[{g}]', '', 'g')))::DOUBLE" for g in embedding.PROFILE)}] AS c FROM customer)
+SELECT c_custkey, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS first, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS by_encoder FROM c""",
 }

@@ -120,7 +120,10 @@ def state_requests(spark, sf_dir):
 
 
 def health(spark, sf_dir):
-    return serving.health(spark, {"architecture": serving.architecture(ARTIFACTS), "n_entries": 12, "metrics": {"v7_human_corr": 0.61674}})
+    """The manifest counts the table's rows and holds the linear score's correlation with the quantity on human rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", *[F.expr(e).alias(c) for c, e in FEATURES.items()])
+    found = rows.agg(F.count("*").alias("n"), F.corr(F.when(F.col("l_returnflag") == "R", serving.linear_score(rows.columns)), F.col("l_quantity").cast("double")).alias("r")).first()
+    return serving.health(spark, {"architecture": serving.architecture(ARTIFACTS), "n_entries": found.n, "metrics": {"v7_human_corr": found.r or 0.0}})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -201,5 +204,5 @@ SELECT event_id, round(delta, 6) AS delta, moved, moved AS effective, db AS delt
     "batch_scores": f"""WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) < 10 THEN printf('text has %d characters, under 10', length(text)) WHEN length(text) > 50000 THEN printf('text has %d characters, over 50000', length(text)) WHEN doc_id % 7 = 0 THEN 'no score' END AS error, length(text) % 101 AS s FROM documents)
 SELECT doc_id, CASE WHEN error IS NULL THEN round(s::DOUBLE, 2) ELSE -1.0::DOUBLE END AS mes_score, CASE WHEN error IS NULL THEN {list(serving.BANDS)}[{band_sql('s')} + 1] ELSE 'Error: ' || error END AS interpretation FROM d""",
     "state_requests": f"""WITH {STATE} SELECT CASE WHEN n_entries - 1 < 1 THEN 'no entries' WHEN user_id % 100 < 1 OR user_id % 100 > 90 THEN 'half-life out of 1 to 90 days' WHEN trend = 'unknown' THEN 'unknown trend' ELSE 'ok' END AS outcome, count(*) AS n FROM us GROUP BY 1""",
-    "health": "SELECT 'ok' AS status, 'subscore_embedding_v7' AS architecture, 12::BIGINT AS n_training_entries, 0.6167::DOUBLE AS human_corr",
+    "health": f"WITH z AS (SELECT l_quantity::DOUBLE AS q, l_returnflag = 'R' AS h, least(greatest(100 * ({_linear_sql()}), 0), 100) AS s FROM lineitem) SELECT 'ok' AS status, 'subscore_embedding_v7' AS architecture, count(*) AS n_training_entries, round(corr(s, q) FILTER (h), 4) AS human_corr FROM z",
 }
