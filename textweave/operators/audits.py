@@ -263,13 +263,22 @@ def text_histogram(rows: DataFrame, value: str, low: float, high: float, bins: i
 
 
 def experiment_log(log: DataFrame, order: str, status: str, loss: str, kept: str = "keep") -> DataFrame:
-    """Runs in order (a log of experiments, not of rows): the running least loss of kept runs, and each kept run's change
+    """Runs in order, by ranges of the order: the running least loss of kept runs, and each kept run's change
     against the kept one before, ranked by the gain."""
-    w = Window.orderBy(order)
+    from textweave.operators.ordering import _met, arranged, value_counts
+
     own = F.when(F.col(status) == kept, F.col(loss))
-    runs = log.withColumn("best", F.min(own).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("change", F.when(F.col(status) == kept, F.col(loss) - F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    return runs.withColumn("place", F.when(F.col("change").isNotNull(), F.rank().over(Window.orderBy(F.col("change").asc_nulls_last()))))
+    runs = arranged(log.withColumn("_own", own), [order])
+    w = Window.partitionBy("_part").orderBy("_at")
+    ends = runs.groupBy("_part").agg(F.min("_own").alias("_m"), F.max(F.when(F.col("_own").isNotNull(), F.struct("_at", "_own")))["_own"].alias("_l"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = ends.select("_part", F.min("_m").over(before).alias("_least"), F.last("_l", ignorenulls=True).over(before).alias("_last"))
+    runs = _met(runs, [], ends)
+    runs = runs.withColumn("best", F.least(F.min("_own").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_least"))
+    last = F.coalesce(F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_last")
+    runs = runs.withColumn("change", F.col("_own") - last).select(*log.columns, "best", "change")
+    places = value_counts(runs.where("change IS NOT NULL"), [], "change").select(F.col("change").alias("_c"), (F.col("ahead") + 1).cast("int").alias("place"))
+    return runs.join(places, F.col("change") == F.col("_c"), "left").drop("_c")
 
 
 def composite_rank(rows: DataFrame, key: str, high: list[str], low: list[str]) -> DataFrame:
