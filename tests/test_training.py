@@ -117,14 +117,6 @@ def test_uplift_goes_up_only(data):
     assert r.a >= 0 and r.b <= 100
 
 
-def test_isotonic(spark):
-    rng = np.random.default_rng(2)
-    p = np.round(rng.uniform(0, 100, 80), 1)
-    t = np.clip(p + rng.normal(size=80) * 30, -10, 110)
-    xs, ys = training.isotonic_thresholds(spark.createDataFrame(list(zip(p.tolist(), t.tolist())), "p double, t double"), "p", "t")
-    assert ys == sorted(ys) and xs == sorted(xs) and 0 <= ys[0] and ys[-1] <= 100
-
-
 def test_source_weights_and_selection(data):
     rows, *_ = data
     assert training.source_weights({"human": 10, "x": 30}, "human") == {"human": 1.0, "x": pytest.approx(0.1)}

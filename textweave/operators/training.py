@@ -423,36 +423,6 @@ def scaled_ridge(total: np.ndarray, alpha: float) -> np.ndarray:
     return bounded(total, -free, free, alpha, scaled=True)
 
 
-def isotonic_thresholds(rows: DataFrame, prediction: str, label: str) -> tuple[list[float], list[float]]:
-    """Thresholds of the isotonic calibration of predictions, labels within 0 and 100, by Spark's parallel pooling."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    clipped = rows.select(F.col(prediction).cast("double").alias("p"), F.least(F.greatest(F.col(label).cast("double"), F.lit(0.0)), F.lit(100.0)).alias("label")).dropna()
-    model = IsotonicRegression(featuresCol="f", labelCol="label").fit(VectorAssembler(inputCols=["p"], outputCol="f").transform(clipped))
-    return [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
-
-
-def calibrated_error(rows: DataFrame, prediction: str, label: str, xs: list[float], ys: list[float]) -> float | None:
-    """Mean absolute error of predictions calibrated by all thresholds.
-
-    The calibration is worked out once for each distinct prediction, by a search in the sorted thresholds.
-    """
-    from textweave.operators.ordering import spread_join
-
-    grouped = rows.groupBy(prediction).agg(F.count("*").alias("_n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            value = np.where(np.isnan(p), np.nan, np.interp(p, xs, ys)) if len(xs) > 1 else p
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, from_pandas=True)], ["p", "n", "value"])
-
-    known = grouped.select(F.col(prediction).cast("double").alias("p"), "_n").mapInArrow(run, "p double, n long, value double")
-    met = spread_join(rows.select(F.col(prediction).cast("double").alias("p"), F.col(label).alias("_label")), known, "p", "n")
-    return met.agg(F.avg(F.abs(F.col("value") - F.col("_label")))).first()[0]
-
-
 def signed_bounds(names: Sequence[str], signs: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of coefficients by a contract of signs; 0 or none leaves a coefficient free."""
     s = np.array([signs.get(n, 0) for n in names])

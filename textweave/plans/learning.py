@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textweave.functions.vectors import rounded
-from textweave.operators import audits, joins, training
+from textweave.operators import audits, calibration, joins, training
 from textweave.plans.audits import _Z as AUDITED
 from textweave.plans.audits import FEATURES, rated
 from textweave.plans.records import random_pairs_sql
@@ -121,25 +121,27 @@ def scaled_ridge(spark, sf_dir):
 
 def isotonic_calibration(spark, sf_dir):
     d = labelled(spark, sf_dir).withColumn("p", F.round(F.col("se_a") * 2)).withColumn("t", (F.col("y") - 1) / 9 * 100)
-    xs, ys = training.isotonic_thresholds(d, "p", "t")
-    return spark.createDataFrame([(round(x, 4), round(y, 4)) for x, y in zip(xs, ys)], "threshold double, value double")
+    at = calibration.thresholds(calibration.isotonic_blocks(d, "p", "t"))
+    return rounded(at.select(F.col("x").alias("threshold"), F.col("y").alias("value")), 4)
 
 
 def combiner_search(spark, sf_dir):
     """Inputs by penalties; the least calibrated error on human rows wins. The calibration sees the rows it is scored on."""
     d = labelled(spark, sf_dir).withColumn("target", (F.col("y") - 1) / 9 * 100)
     m = training.moments(d, [*FEATURES, "target"], ["fold", "source"])
-    out = []
+    tries = []
     for name, inputs in {"ce": ["ce_a", "ce_b"], "se": ["se_a", "se_b"], "all": FEATURES}.items():
         for alpha in (0.1, 10.0):
-            part = m.part([*inputs, "target"])
-            models = training.fold_models(part, lambda t, a=alpha: training.ridge(t, a))
-            p = d.where("source = 'human'").withColumn("p", F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1))
-            xs, ys = training.isotonic_thresholds(p, "p", "target")
-            mae = training.calibrated_error(p, "p", "target", xs, ys)
-            out.append((name, alpha, round(float(mae), 4)))
-    best = min(out, key=lambda r: (r[2], r[0], r[1]))
-    return spark.createDataFrame([(*r, r == best) for r in out], "inputs string, alpha double, mae double, best boolean")
+            models = training.fold_models(m.part([*inputs, "target"]), lambda t, a=alpha: training.ridge(t, a))
+            p = F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1)
+            tries.append(F.struct(F.lit(name).alias("inputs"), F.lit(alpha).alias("alpha"), p.alias("p")))
+    # All candidates are calibrated together, each by the thresholds of its own.
+    each = d.where("source = 'human'").select("target", F.inline(F.array(*tries)))
+    keys = ["inputs", "alpha"]
+    met = calibration.calibrated(each, "p", calibration.isotonic_blocks(each, "p", "target", keys), "value", keys)
+    out = met.groupBy(*keys).agg(F.round(F.avg(F.abs(F.col("value") - F.col("target"))), 4).alias("mae"))
+    best = F.min(F.struct("mae", "inputs", "alpha")).over(Window.partitionBy(F.lit(0)))  # a row for each candidate
+    return out.select(*keys, "mae", F.struct("mae", "inputs", "alpha").eqNullSafe(best).alias("best"))
 
 
 def uplift_model(spark, sf_dir):
@@ -292,6 +294,12 @@ SELECT line, round(0.5::DOUBLE * least(greatest(cv, 0), 1) + 0.3::DOUBLE * least
     "evaluated_weights": f"""WITH {AUDITED}, {_Y}, n AS (SELECT count_if(source <> 'human') / count_if(source = 'human') AS w FROM yy), s AS (SELECT yy.*, least(se_a + 50 * ce_a, 100) AS s, CASE WHEN source = 'human' THEN n.w ELSE 1 END AS w FROM yy, n),
 g AS (SELECT fold, {_WCORR} AS r FROM s GROUP BY fold), f AS (SELECT avg(r) AS cv, stddev_pop(r) AS cv_std FROM g)
 SELECT round({_WCORR}, 4) AS val, round(avg(pow(s - (y - 1) / 9 * 100, 2)), 4) AS mse, round(avg(s), 4) AS score_mean, round(stddev_pop(s), 4) AS score_std, round(corr(s, y) FILTER (source = 'human'), 4) AS human, round(corr(s, y) FILTER (source <> 'human'), 4) AS synth, (SELECT round(cv, 4) FROM f) AS cv, (SELECT round(cv_std, 4) FROM f) AS cv_std FROM s""",
+    # The fit at a place is the largest, over beginnings at or before it, of the least mean of a stretch that reaches it.
+    "isotonic_calibration": f"""WITH {AUDITED}, {_Y}, d AS (SELECT round(se_a * 2) AS x, least(greatest((y - 1) / 9 * 100, 0), 100) AS t FROM yy), g AS (SELECT x, sum(t) AS s, count(*) AS n FROM d WHERE x IS NOT NULL AND t IS NOT NULL GROUP BY x),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS s, sum(n) OVER (ORDER BY x) AS n, s AS own_s, n AS own_n FROM g),
+m AS (SELECT a.i AS a, b.i AS i, min((b.s - a.s + a.own_s) / (b.n - a.n + a.own_n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM c a JOIN c b ON b.i >= a.i),
+f AS (SELECT i, max(least) AS v FROM m GROUP BY i), k AS (SELECT min(x) AS lo, max(x) AS hi, min(v) AS v FROM f JOIN c USING (i) GROUP BY round(v, 7))
+SELECT lo AS threshold, round(v, 4) AS value FROM k UNION ALL SELECT hi, round(v, 4) FROM k WHERE hi > lo""",
     "pairwise_ridge": f"""WITH {AUDITED}, {_Y}, r AS (SELECT id AS k, y AS s FROM yy), {random_pairs_sql(1.5, 3000)},
 t AS (SELECT confidence AS w, h.ce_a - l.ce_a AS x1, h.ce_b - l.ce_b AS x2, h.se_a - l.se_a AS x3 FROM pairs JOIN yy h ON h.id = high JOIN yy l ON l.id = low),
 m AS (SELECT {", ".join(f"sum(w * x{i} * x{j}) AS s{i}{j}" for i in range(1, 4) for j in range(i, 4))}, {", ".join(f"sum(w * x{i}) AS c{i}" for i in range(1, 4))} FROM t), b AS (SELECT {_cramer("1.0")} FROM m),
