@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,107 @@ def embed_sentences(sentences: DataFrame, text: str, load: Callable[[], Callable
     return sentences.mapInArrow(run, schema)
 
 
+#: Tokens that a model sees at once, its own marks included.
+MAX_TOKENS = 512
+#: Tokens, padding included, that a model gets in one call beyond its first text.
+CALL_TOKENS = 32 * MAX_TOKENS
+
+
+class TokenEncoder(NamedTuple):
+    """A token model: texts to token ids (without marks), and (ids, mask), both (texts, tokens), to token vectors.
+
+    `begin` and `end` are the marks put around each window; they are seen by the model and pooled like other tokens.
+    """
+
+    ids: Callable[[Sequence[str]], list[Sequence[int]]]
+    forward: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    begin: tuple[int, ...] = ()
+    end: tuple[int, ...] = ()
+    pad: int = 0
+
+
+def pooled_windows(windows: list[Sequence[int]], encoder: TokenEncoder, pooling: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """A unit vector for each window of ids, in the order given. Windows of like length share a call, so little is padded."""
+    out: list[np.ndarray] = [np.empty(0)] * len(windows)
+    order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
+    while order:
+        width = len(windows[order[-1]]) + len(encoder.begin) + len(encoder.end)
+        n = min(len(order), max(1, CALL_TOKENS // max(1, width)))
+        call, order = order[-n:], order[:-n]
+        ids, mask = np.full((n, width), encoder.pad, np.int64), np.zeros((n, width), np.int64)
+        for row, k in enumerate(call):
+            whole = [*encoder.begin, *windows[k], *encoder.end]
+            ids[row, : len(whole)], mask[row, : len(whole)] = whole, 1
+        for k, v in zip(call, l2_normalize(np.asarray(pooling(encoder.forward(ids, mask), mask), np.float64)), strict=True):
+            out[k] = v
+    return out
+
+
+def embed_windows(texts: DataFrame, text: str, load: Callable[[], TokenEncoder], most: int = MAX_TOKENS, pooling: str = "mean", beyond: str = "windows", prefix: str = "", window: str = "window", size: str = "n_tokens", column: str = "embedding") -> DataFrame:
+    """The rows with (window, n_tokens, embedding): a pooled unit vector of each window of at most `most` tokens, marks included.
+
+    A text that is longer is covered whole by consecutive windows, a row each; with beyond="cut" its first window stands for
+    it alone, as a sentence encoder truncates. A text without a token has one window, of the marks alone, and a null vector
+    where there are no marks either; a null text one row with nulls. `load` runs once in each worker. Pooling: "mean" over
+    the tokens or "first".
+    """
+    pool = {"mean": mean_pooling, "first": first_pooling}[pooling]
+    if beyond not in ("windows", "cut"):
+        raise ValueError(f"beyond must be windows or cut, not {beyond}")
+    clash = {window, size, column} & set(texts.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already: name the new ones otherwise")
+    schema = T.StructType([*texts.schema.fields, T.StructField(window, T.IntegerType()), T.StructField(size, T.IntegerType()), T.StructField(column, T.ArrayType(T.FloatType()))])
+    at = texts.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load()
+        step = most - len(encoder.begin) - len(encoder.end)
+        if step < 1:
+            raise ValueError("a window has no room for a token")
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(begin, BATCH)
+                held = batch.column(at).to_pylist()
+                some = [prefix + t for t in held if t is not None]
+                found = iter(encoder.ids(some) if some else [])
+                rows: list[tuple[int, int | None, Sequence[int] | None]] = []
+                for k, t in enumerate(held):
+                    if t is None:
+                        rows.append((k, None, None))
+                        continue
+                    ids = next(found)
+                    ends = range(0, max(1, len(ids)), step)
+                    rows += [(k, j, ids[b : b + step]) for j, b in enumerate(ends[:1] if beyond == "cut" else ends)]
+                marks = len(encoder.begin) + len(encoder.end)
+                seen = [r[2] for r in rows if r[2] is not None and len(r[2]) + marks]
+                vectors = iter(pooled_windows(seen, encoder, pool))
+                cells = [None if ids is None or not len(ids) + marks else next(vectors).astype(np.float32) for _, _, ids in rows]
+                sizes = [None if ids is None else len(ids) for _, _, ids in rows]
+                kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array([r[1] for r in rows], pa.int32()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.float32()))], schema.names
+                )
+
+    return texts.mapInArrow(run, schema)
+
+
+def word_encoder(dim: int = 8) -> Callable[[], TokenEncoder]:
+    """A token model without weights, for tests and dry runs: a word's id comes from its length and first character, a token's
+    vector from residues of its id."""
+
+    def load() -> TokenEncoder:
+        word = re.compile(r"[^\x20\x09-\x0D]+")
+        steps = np.arange(dim) * 2 + 3
+
+        def ids(texts: Sequence[str]) -> list[list[int]]:
+            return [[len(w) * 1000 + ord(w[0]) for w in word.findall(t)] for t in texts]
+
+        return TokenEncoder(ids, lambda i, mask: (i[:, :, None] * steps % 97) / 97.0)
+
+    return load
+
+
 #: Letters whose shares make up a profile, in eight groups of like frequency.
 PROFILE = ("e", "tz", "ao", "in", "sr", "hlv", "dcum", "bfgjkpqwxy")
 

@@ -12,9 +12,10 @@ from textweave.functions import text as tx
 from textweave.functions.segments import all_sentences, block_sentences
 from textweave.functions.vectors import rounded
 from textweave.operators import audits, clusters, coherence, discourse, embedding, joins, scoring, serving
+from textweave.operators.ordering import positions
 from textweave.plans.tables import spread, table
-from textweave.sources import files, journals
-from textweave.sources.scratch import cached, scratch
+from textweave.sources import arrays, files, journals
+from textweave.sources.scratch import cached, scratch, stored
 
 #: Answers of a language model in several shapes, built alike in both engines from `events`.
 ANSWERS = {
@@ -192,6 +193,36 @@ def _profile_encoder():
     return lambda texts: np.array([[sum(t.lower().count(c) for c in g) for g in embedding.PROFILE] for t in texts], float)
 
 
+def token_windows(spark, sf_dir):
+    """Every whole text of `documents` as pooled vectors of windows of at most 512 tokens, by an encoder without weights."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    v = embedding.embed_windows(d, "text", embedding.word_encoder())
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    return rounded(v.select("doc_id", "window", "n_tokens", at(0).alias("first"), at(7).alias("last")), 4)
+
+
+def vector_cache(spark, sf_dir):
+    """The vectors of `embeddings` through an .npy cache: computed, kept, and computed again as the element type changes."""
+    e = F.col("embedding")
+    d = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, F.isnull))
+    width = d.agg(F.max(F.size(e))).first()[0] or 1
+    d, path = d.where(F.size(e) == width), scratch(spark, "npy")
+    out = None
+    for step, kind in enumerate(("float32", "float32", "float64")):
+        got, kept = arrays.cached_vectors(d, "vec_id", lambda r: r.select("vec_id", "embedding"), path, width, kind)
+        part = stored(got.select(F.lit(step).alias("step"), F.lit(kept).alias("kept"), "id", F.size("embedding").alias("places"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("total")), "npy")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 4)
+
+
+def text_sink(spark, sf_dir):
+    """Texts of `documents` written as plain text in order of id; the paragraphs of the files in their order."""
+    path = scratch(spark, "texts")
+    journals.write_texts(journals.text_of(table(spark, sf_dir, "documents").select("doc_id", "text")), path, ["doc_id"])
+    back = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    return positions(back, [], ["f", "b", "k"], "place").select("place", F.md5(F.col("value").cast("binary")).alias("text"), F.length("value").alias("n_chars"))
+
+
 def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From text to score: segmentation, vectors, the families of features in one row, 13 terms and band.
 
@@ -218,7 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         unwrapped_answers, label_answers, text_checks, whole_segmentation, csv_round_trip, csv_bad_rows, csv_union, json_records, json_document, record_ids, checkpoint_last, resumed, feature_cache, quota_plan,
-        few_shot_examples, zipped_passes, lookup_join, label_refresh, scores_with_default, golden_texts, nearest_vectors, neighbour_smoothness, random_pairs, profile_vectors, text_to_score,
+        few_shot_examples, zipped_passes, lookup_join, label_refresh, scores_with_default, golden_texts, nearest_vectors, neighbour_smoothness, random_pairs, profile_vectors, token_windows, vector_cache, text_sink, text_to_score,
     )
 }
 
@@ -272,4 +303,14 @@ SELECT (SELECT count(*) FROM e) AS n, 5 AS k, round(avg(gap), 4) AS mean_gap, ro
     "random_pairs": f"WITH r AS (SELECT o_orderkey AS k, (o_custkey % 10)::DOUBLE AS s FROM orders), {random_pairs_sql(1.5, 200)} SELECT high, low, confidence FROM pairs",
     "profile_vectors": f"""WITH c AS (SELECT c_custkey, [{", ".join(f"(length(c_name) - length(regexp_replace(lower(c_name), '[{g}]', '', 'g')))::DOUBLE" for g in embedding.PROFILE)}] AS c FROM customer)
 SELECT c_custkey, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS first, round(c[1] / sqrt(list_dot_product(c, c)), 4) AS by_encoder FROM c""",
+    "token_windows": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, list_transform(w, lambda x: length(x) * 1000 + ord(x)) AS ids FROM d),
+p AS (SELECT doc_id, b, list_slice(ids, b * 512 + 1, b * 512 + 512) AS ids FROM (SELECT doc_id, ids, unnest(range(0, greatest(1, (coalesce(len(ids), 0) + 511) // 512))) AS b FROM e)),
+v AS (SELECT doc_id, CASE WHEN ids IS NULL THEN NULL ELSE b END AS w, len(ids) AS n, list_transform(range(0, 8), lambda k: list_avg(list_transform(ids, lambda i: i * (2 * k + 3) % 97 / 97.0::DOUBLE))) AS v FROM p)
+SELECT doc_id, w::INT AS window, n::INT AS n_tokens, round((v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-12))::FLOAT::DOUBLE, 4) AS first, round((v[8] / greatest(sqrt(list_dot_product(v, v)), 1e-12))::FLOAT::DOUBLE, 4) AS last FROM v""",
+    "vector_cache": """WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+u AS (SELECT * FROM e WHERE len(v) = (SELECT max(len(v)) FROM e)) SELECT step, step = 1 AS kept, id, len(v)::INT AS places, round(coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)), 0), 4) AS total FROM u, (SELECT unnest([0, 1, 2])::INT AS step)""",
+    "text_sink": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS p FROM d), u AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM p)
+SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS place, md5(t) AS text, length(t)::INT AS n_chars FROM u""",
 }

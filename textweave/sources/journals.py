@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,13 @@ def write_records(texts: DataFrame, path: str) -> None:
     texts.select("journal_text").write.mode("errorifexists").json(path)
 
 
-def write_texts(texts: DataFrame, path: str) -> None:
-    """Entries as plain text, a blank line between two."""
-    texts.select("journal_text").write.mode("errorifexists").option("lineSep", "\n\n").text(path)
+def write_texts(texts: DataFrame, path: str, order: Sequence[Column | str] = ()) -> None:
+    """Entries as plain text, a blank line between two; with an order that ends in a unique key, files and entries stand in it.
+
+    Ranges of the order are written by a task each: the files, by name, are the whole in order.
+    """
+    dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order) if order else texts
+    dealt.select("journal_text").write.mode("errorifexists").option("lineSep", "\n\n").text(path)
 
 
 def pending(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
