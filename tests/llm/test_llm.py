@@ -300,6 +300,22 @@ def test_rules(spark, texts):
     assert parts["few_words"].n_failed == sum(len(brute.WORD.findall(t or "")) < 50 for t in texts)
 
 
+def test_policies_and_ablations_come_from_the_bits(spark, texts):
+    entries = common.stored(rules.ledger(documents(spark, [*texts, "# " * 60, "a " * 20 + "b c d e " * 12 + "f"])), "ledger")
+    got = rules.judged(entries, {"one": "quality@1", "two": "quality@2"}).collect()
+    names = {1 << bit: name for bit, name, _ in rules.RULES}
+    only = [names.get(r.fail_bits) for r in got]
+    for r, rule in zip(got, only, strict=True):
+        assert (r.one, r.two) == (r.fail_bits == 0, r.fail_bits & 15 == 0)
+        assert (r.deciding_rule, r.n_deciding) == (rule, only.count(rule) if rule else None)
+    assert len(got) == len(texts) + 2 and len({x for x in only if x}) > 1
+    for a in rules.ablations(entries, "quality@2").collect():
+        bit = next(b for b, n in names.items() if n == a.rule)
+        seen = [r.fail_bits & 15 for r in got]
+        assert (a.n_failed, a.n_only_this, a.n_kept_without) == (sum(b & bit > 0 for b in seen), seen.count(bit), sum(b & ~bit == 0 for b in seen))
+    assert rules.judged(rules.ledger(documents(spark, ["x"]).where("false")), {"kept": "quality@1"}).count() == 0
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(langid.learning_fold(docs.doc_id)))

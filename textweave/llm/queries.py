@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import bpe, data_sql, divergence, langid, mixing, near_dedup, packing, point_in_time, rules, substring_dedup, suffix_dedup, token_files, topk, url_sql, urls
+from textweave.llm import bpe, common, data_sql, divergence, langid, mixing, near_dedup, packing, point_in_time, rules, substring_dedup, suffix_dedup, token_files, topk, url_sql, urls
 
 
 def word_bpe() -> str:
@@ -37,9 +37,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
-    failed = F.col("fail_bits").bitwiseAND(F.lit(rules.policy_mask("base@1"))) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    """The ledger is written once; verdicts of two versions of a policy and the ablations are read from its bits."""
+    entries = common.stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    found = rules.judged(entries, {"kept": "quality@1", "kept_by_next": "quality@2", "_base": "base@1"})
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "fail_bits", "kept_by_next", "deciding_rule", "n_deciding")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +131,12 @@ m AS (
     CAST(len(full_lines.lines) - len(list_distinct(full_lines.lines)) AS BIGINT) AS n_dup_lines, len(full_lines.lines) AS n_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN full_lines USING (r) LEFT JOIN rep USING (r)
-), j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
-FROM d JOIN j USING (r)
+), j AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (2 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+    + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 25 * n_words)::INT AS BIGINT) AS fail_bits FROM m
+), x(bit, deciding_rule) AS (VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'symbols'), (8, 'repeated_lines'), (16, 'short_words'), (32, 'long_words')),
+a AS (SELECT bit, deciding_rule, count(*) AS n_deciding FROM j JOIN x ON fail_bits = bit GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, fail_bits & 15 = 0 AS kept_by_next, deciding_rule, n_deciding
+FROM d JOIN j USING (r) LEFT JOIN a ON bit = fail_bits
 """,
 }

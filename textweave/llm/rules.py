@@ -35,6 +35,8 @@ RULES: list[tuple[int, str, str]] = [
 POLICIES: dict[str, list[str]] = {
     "base@1": ["few_words", "repeated_words"],
     "quality@1": ["few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words"],
+    # Without the rules of word length, which turn away scripts that put no spaces between words.
+    "quality@2": ["few_words", "repeated_words", "symbols", "repeated_lines"],
 }
 
 
@@ -146,3 +148,19 @@ def ablations(entries: DataFrame, policy: str = "quality@1") -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(F.bitwise_not("bit")) == 0, F.col("n"))), F.lit(0)).alias("n_kept_without"),
         F.bit_or("bits").alias("bits_seen"),
     )
+
+
+def judged(entries: DataFrame, policies: dict[str, str], ablated: str = "quality@1") -> DataFrame:
+    """The ledger with a verdict for each {column: policy}, and what ablation says of each row under the policy `ablated`:
+    `deciding_rule`, the one rule that alone rejects the row (null if none or several do), and `n_deciding`, how many rows of
+    the ledger that rule alone rejects, so how many more a policy without it keeps.
+
+    Everything comes from the bits. Give a stored ledger: it is read twice, the texts are not. The ablations that meet the
+    rows are one row a rule.
+    """
+    mask = policy_mask(ablated)
+    alone = F.col("fail_bits").bitwiseAND(F.lit(mask))
+    rule = F.coalesce(*(F.when(alone == 1 << bit, F.lit(name)) for bit, name, _ in RULES if mask >> bit & 1))
+    out = entries.withColumns({c: F.col("fail_bits").bitwiseAND(F.lit(policy_mask(p))) == 0 for c, p in policies.items()} | {"deciding_rule": rule})
+    found = ablations(entries, ablated).select(F.col("rule").alias("deciding_rule"), F.col("n_only_this").alias("n_deciding"))
+    return out.join(F.broadcast(found), "deciding_rule", "left")
