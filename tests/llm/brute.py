@@ -1,6 +1,7 @@
 """Plain single-machine versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -122,3 +123,63 @@ def url_verdicts(pages, rules):
         purity = (own.count("block") + 4 * prior) / (len(own) - own.count(None) + 4)
         out[i] = v or ("block" if purity > 0.5 else "allow")
     return out
+
+
+def word_grams(word, orders=(1, 2, 3), shift=48):
+    """Buckets of a word's n-grams; what is no letter is a break, as are both ends."""
+    points = [0, *(ord(c) if c.isalpha() else 0 for c in word.lower()), 0]
+    out = []
+    for order in orders:
+        for at in range(len(points) - order + 1):
+            gram = points[at : at + order]
+            if any(gram) and all(gram[1:-1]):
+                code = 0
+                for p in gram:
+                    code = code * 0x1F00D + p
+                code = (code + (order << 56)) * 0xD6E8FEB86659FD93 % 2**64
+                out.append(code >> shift)
+    return out
+
+
+def language_model(rows, buckets):
+    """{language: log-likelihood of a bucket} from (text, lang) rows that have both."""
+    counts = defaultdict(lambda: defaultdict(int))
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            for w in WORD.findall(text):
+                for b in word_grams(w):
+                    counts[lang][b] += 1
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    return {x: lambda b, x=x: math.log((counts[x].get(b, 0) + 0.1) / (totals[x] + 0.1 * buckets)) for x in sorted(counts)}
+
+
+def language_mixture(model, text, steps, floor):
+    """(language, score, size of the set): EM for a document's proportions, then the nested set of least penalised likelihood."""
+    words = [w for w in WORD.findall(text or "") if any(c.isalpha() for c in w)]
+    if not words or not model:
+        return "und", 0.0, 0
+    names, like = list(model), []
+    for w in words:
+        logs = [sum(model[x](b) for b in word_grams(w)) for x in names]
+        p = [math.exp(max(v - max(logs), -50)) for v in logs]
+        like.append([(1 - floor) * v / sum(p) + floor / len(names) for v in p])
+
+    def fit(share, n):
+        for _ in range(n):
+            new = [0.0] * len(share)
+            for p in like:
+                total = sum(s * v for s, v in zip(share, p))
+                new = [a + s * v / total / len(like) for a, s, v in zip(new, share, p)]
+            share = new
+        return share, sum(math.log(sum(s * v for s, v in zip(share, p))) for p in like)
+
+    share, _ = fit([1 / len(names)] * len(names), steps)
+    order, best = sorted(range(len(names)), key=lambda k: -share[k]), (math.inf, None, 0)
+    for size in range(1, len(names) + 1):
+        if size > 2 and best[2] != size - 1:
+            break
+        start = [share[k] + 1e-6 if k in order[:size] else 0.0 for k in range(len(names))]
+        found, logs = fit([v / sum(start) for v in start], 0 if size == 1 else steps)
+        best = min(best, (-2 * logs + size * math.log(len(words)), found, size), key=lambda c: c[0])
+    top = max(range(len(names)), key=lambda k: best[1][k])
+    return names[top], best[1][top], best[2]

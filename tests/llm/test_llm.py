@@ -325,6 +325,24 @@ def test_language_held_out(spark):
     assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and odd[3].lang_pred != "und"
 
 
+def test_language_mixture_is_the_plain_one(spark):
+    """Training, mixtures and the choice of the set against plain Python, on pure, mixed, tied, odd and empty texts."""
+    rng = np.random.default_rng(11)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "jklmnopé", "dd": "stuvwxyz"}
+    say = lambda x, n: " ".join("".join(rng.choice(list(letters[x]), rng.integers(2, 7))) for _ in range(n))
+    learn = [(say(x, 60), x) for x in letters for _ in range(4)] + [(None, "aa"), ("x y", None), ("", "bb"), ("12 --", "cc")]
+    ask = [say(x, n) for x in letters for n in (1, 3, 40)] + [f"{say(a, 25)} {say(b, n)}" for a, b, n in (("aa", "dd", 25), ("bb", "cc", 9), ("cc", "aa", 2))]
+    ask += [f"{say('aa', 30)} {say('dd', 30)} {say('cc', 30)}", None, "", " 12 -- ", "é", "Ab1cD, x-Y!", say("bb", 30).upper(), "ΑΣ ΟΔΟΣ İx", *ODD]
+    model = langid.train(spark.createDataFrame([(*r, 1) for r in learn], "text string, lang string, n int"))
+    plain = brute.language_model(learn, langid.BUCKETS)
+    assert model["languages"] == list(plain)
+    got = langid.identify(documents(spark, ask), model).orderBy("doc_id").collect()
+    want = [brute.language_mixture(plain, t, langid.STEPS, langid.FLOOR) for t in ask]
+    assert [(r.lang_pred, r.n_languages) for r in got] == [(x, n) for x, _, n in want]
+    assert [r.score for r in got] == pytest.approx([s for _, s, _ in want], abs=1e-4)
+    assert {n for *_, n in want} >= {0, 1, 2, 3}
+
+
 def test_token_counts(spark, texts):
     docs = documents(spark, texts + ODD)
     got = {r.doc_id: r.n_tokens for r in token_files.count_document_tokens(docs, queries.word_bpe(), queries.END_OF_TEXT).collect()}

@@ -44,7 +44,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.learning_fold(docs.doc_id)))
     found = langid.identify(docs, model)
-    return found.select("doc_id", (~langid.learning_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (~langid.learning_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "n_languages")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
