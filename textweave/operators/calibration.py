@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.operators.ordering import arranged, carried, positions, spread_join
+from textweave.operators.ordering import carried, positions, spread_join
 from textweave.sources.scratch import stored
 
 #: Blocks that one task pools at once.
