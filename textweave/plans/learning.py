@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textweave.functions.vectors import rounded
 from textweave.operators import audits, calibration, joins, training
+from textweave.plans import closed_forms
 from textweave.plans.audits import _Z as AUDITED
 from textweave.plans.audits import FEATURES, rated
 from textweave.plans.records import random_pairs_sql
@@ -21,6 +22,9 @@ from textweave.plans.tables import table
 
 INPUTS = ["l_quantity", "l_discount", "l_tax"]
 DIM = 16
+SIGNS = {"se_a": -1, "ce_a": 1, "ne_a": 1}
+CANDIDATES, ALPHAS = {"ce": ["ce_a", "ce_b"], "se": ["se_a", "se_b"], "all": FEATURES}, (0.1, 10.0)
+COMBINED = {"subscores": ["ce_a", "ce_b"], "with features": ["ce_a", "ce_b", "ne_a"], "all": FEATURES}
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +134,8 @@ def combiner_search(spark, sf_dir):
     d = labelled(spark, sf_dir).withColumn("target", (F.col("y") - 1) / 9 * 100)
     m = training.moments(d, [*FEATURES, "target"], ["fold", "source"])
     tries = []
-    for name, inputs in {"ce": ["ce_a", "ce_b"], "se": ["se_a", "se_b"], "all": FEATURES}.items():
-        for alpha in (0.1, 10.0):
+    for name, inputs in CANDIDATES.items():
+        for alpha in ALPHAS:
             models = training.fold_models(m.part([*inputs, "target"]), lambda t, a=alpha: training.ridge(t, a))
             p = F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1)
             tries.append(F.struct(F.lit(name).alias("inputs"), F.lit(alpha).alias("alpha"), p.alias("p")))
@@ -154,7 +158,7 @@ def uplift_model(spark, sf_dir):
 def signed_combiner(spark, sf_dir):
     """Coefficients under a contract of signs, standardised, with ridge rows."""
     m = training.moments(labelled(spark, sf_dir), [*FEATURES, "y"], ["fold"])
-    low, high = training.signed_bounds(FEATURES, {"se_a": -1, "ce_a": 1, "ne_a": 1})
+    low, high = training.signed_bounds(FEATURES, SIGNS)
     beta = training.bounded(m.total(), low, high, 1.0, scaled=True)
     return spark.createDataFrame([(n, round(float(b), 4), bool(l <= b <= h)) for n, b, l, h in zip(FEATURES, beta[1:], low, high)], "name string, coef double, kept boolean")
 
@@ -217,7 +221,7 @@ def best_subsets(spark, sf_dir):
 
 
 def combiner_inputs(spark, sf_dir):
-    return _subsets(spark, sf_dir, {"subscores": ["ce_a", "ce_b"], "with features": ["ce_a", "ce_b", "ne_a"], "all": FEATURES})
+    return _subsets(spark, sf_dir, COMBINED)
 
 
 def evaluated_weights(spark, sf_dir):
@@ -306,4 +310,16 @@ m AS (SELECT {", ".join(f"sum(w * x{i} * x{j}) AS s{i}{j}" for i in range(1, 4)
 v AS (SELECT b1 * ce_a + b2 * ce_b + b3 * se_a AS p, y FROM yy, b), f AS (SELECT regr_slope(y, p) AS a, regr_intercept(y, p) AS c, corr(y, p) AS r FROM v)
 SELECT 'ce_a' AS name, round(b1, 4) AS value FROM b UNION ALL SELECT 'ce_b', round(b2, 4) FROM b UNION ALL SELECT 'se_a', round(b3, 4) FROM b UNION ALL SELECT 'r', round(abs(r), 4) FROM f
 UNION ALL SELECT 'mae', round(avg(abs(a * p + c - y)), 4) FROM v, f""",
+    "scaled_ridge": closed_forms.scaled_ridge(),
+    "uncertainty_ridge": closed_forms.uncertainty_ridge(),
+    "ordinal_regression": closed_forms.ordinal_regression(),
+    "rank_regression": closed_forms.rank_regression(),
+    "ablation": closed_forms.subset_scores(training.leave_one_out(FEATURES)),
+    "module_ablation": closed_forms.subset_scores(training.leave_module_out(FEATURES)),
+    "best_subsets": closed_forms.subset_scores(training.best_subsets(FEATURES, 2)),
+    "combiner_inputs": closed_forms.subset_scores(COMBINED),
+    "signed_combiner": closed_forms.signed_combiner(SIGNS),
+    "combiner_search": closed_forms.combiner_search(CANDIDATES, ALPHAS),
+    "final_model": closed_forms.final_model(DIM),
+    "vector_subscores": closed_forms.vector_subscores(DIM),
 }
