@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textweave.functions.vectors import pair_correlations, pair_row, safe_corr
 from textweave.operators.ordering import quantiles
-from textweave.operators.ratings import spearman_table, trimmed_mean
+from textweave.operators.ratings import cell_correlations, pair_cells, spearman_table, trimmed_mean
 
 #: Missing ratings, thresholds of trimming, the composite's outlier limit, verdict limits.
 MISSING_DIMENSION, MISSING_OVERALL, TRIM_DIMENSION, TRIM_OVERALL, OUTLIER = 3.0, 5.0, 2.0, 3.0, 3.0
@@ -104,11 +104,6 @@ def label_verdict(rows: DataFrame, dimensions: list[str], overall: str) -> DataF
     return out.select("n", "composite_r", "outlier_share", "halo", "low_share", F.array_join("_i", "; ").alias("issues"), verdict.alias("verdict"))
 
 
-def with_all(rows: DataFrame, source: str) -> DataFrame:
-    """Each row twice: under its source and under `all`."""
-    return rows.withColumn("grp", F.explode(F.array(F.lit("all"), F.col(source))))
-
-
 def distributions(rows: DataFrame, columns: list[str], source: str) -> DataFrame:
     """(grp, name, n, mean, std, min, max) of each column, over all rows and by source: one aggregation of grouping sets."""
     long = rows.select(source, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])))
@@ -119,7 +114,9 @@ def distributions(rows: DataFrame, columns: list[str], source: str) -> DataFrame
 
 def label_audit(rows: DataFrame, dimensions: list[str], overall: str, source: str) -> DataFrame:
     """distributions() of the dimensions with their rank correlation with the overall label, by group."""
-    rho = spearman_table(with_all(rows, source).select("grp", *dimensions, overall), dimensions, [overall], ["grp"]).select("grp", F.col("feature").alias("name"), "rho")
+    cells = pair_cells(rows, dimensions, [overall], [source])
+    twice = cells.withColumn("grp", F.explode(F.array(F.lit("all"), F.col(source)))).drop(source)
+    rho = cell_correlations(twice, ["grp"]).select("grp", F.col("feature").alias("name"), "rho")
     return distributions(rows, dimensions, source).join(rho, ["grp", "name"], "left")
 
 
@@ -150,8 +147,7 @@ def top_text(order: Column, k: int) -> Column:
 
 def family_audit(rows: DataFrame, features: list[str], label: str, source: str, human: str) -> DataFrame:
     """(family, n_features, mean_abs_rho, strongest ten, five most positive, five most negative) on human rows."""
-    rho = spearman_table(with_all(rows, source), features, [label], ["grp"])
-    own = rho.where(F.col("grp") == human).withColumn("family", family(F.col("feature")))
+    own = spearman_table(rows.where(F.col(source) == human), features, [label], []).withColumn("family", family(F.col("feature")))
     return own.groupBy("family").agg(F.count("*").alias("n_features"), F.avg(F.abs("rho")).alias("mean_abs_rho"), top_text(-F.abs("rho"), 10).alias("strongest"), top_text(-F.col("rho"), 5).alias("positive"), top_text(F.col("rho"), 5).alias("negative"))
 
 

@@ -58,15 +58,18 @@ def positions(rows: DataFrame, keys: list[str], order: list[Column | str], name:
     return _met(a, keys, starts).select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
 
 
-def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, m, ahead): distinct values with their number of rows, and how many rows have a smaller value."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("m"))
+def value_counts(rows: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """(keys, value, m, ahead): distinct values with their number of rows, and how many rows have a smaller value.
+
+    times: a column that says how often a row counts.
+    """
+    counts = rows.groupBy(*keys, value).agg((F.count("*") if times is None else F.sum(times)).alias("m"))
     return running(counts, keys, [value], ahead="m")
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, value, name): the mean rank of each distinct value within its keys."""
-    return value_counts(rows, keys, value).select(*keys, value, (F.col("ahead") + (F.col("m") + 1) / 2.0).alias(name))
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str, times: str | None = None) -> DataFrame:
+    """(keys, value, name): the mean rank of each distinct value within its keys; see value_counts()."""
+    return value_counts(rows, keys, value, times).select(*keys, value, (F.col("ahead") + (F.col("m") + 1) / 2.0).alias(name))
 
 
 def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:

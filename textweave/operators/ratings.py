@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.functions.vectors import pair_row, safe_corr
+from textweave.functions.vectors import pair_row, safe_corr, weighted_r
 from textweave.operators.ordering import average_ranks, positions, quantiles, running
+from textweave.sources.scratch import stored
 
 
 def trimmed_mean(values: list[Column], threshold: float) -> tuple[Column, Column]:
@@ -42,22 +43,39 @@ def correlations(rows: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks on ties."""
-    both = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-    return both.join(average_ranks(both, [], "x", "rx"), "x").join(average_ranks(both, [], "y", "ry"), "y").agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    one = cell_correlations(pair_cells(rows, [x], [y], []), [])  # no row without pairs
+    return one.agg(F.coalesce(F.max("rho"), F.lit(0.0)).alias("rho"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
 
 
-def spearman_table(rows: DataFrame, features: list[str], labels: list[str], by: list[str]) -> DataFrame:
-    """(by, label, feature, rho, n): rank correlations of all features with all labels, within each group.
+def pair_cells(rows: DataFrame, features: list[str], labels: list[str], by: list[str]) -> DataFrame:
+    """(by, label, feature, x, y, m): the distinct pairs of each feature with each label, stored, and how many rows have them.
 
-    Rows are unpivoted once; ranks come from distinct values, so a group's rows never meet in one task. Pairs with a null
-    take no part; a constant side or fewer than three pairs give 0.
+    Rows are unpivoted once and counted inside each task first, so what is shuffled is at most the distinct pairs of a task: few
+    for ratings, as many as rows for measurements. Pairs with a null take no part.
     """
     x = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
     y = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y")) for c in labels])
-    keys = [*by, "label", "feature"]
     long = rows.select(*by, F.explode(x).alias("_x"), y.alias("_y")).select(*by, "_x.*", F.explode("_y").alias("_y")).select(*by, "feature", "x", "_y.*").dropna(subset=["x", "y"])
-    ranked = long.join(average_ranks(long, keys, "x", "rx"), [*keys, "x"]).join(average_ranks(long, keys, "y", "ry"), [*keys, "y"])
-    return ranked.groupBy(*keys).agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return stored(long.groupBy(*by, "label", "feature", "x", "y").agg(F.count("*").alias("m")), "cells")
+
+
+def cell_correlations(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, feature, rho, n): rank correlations of pair_cells() rows; cells that come more than once add up."""
+    keys = [*by, "label", "feature"]
+    ranked = cells
+    for c in "xy":
+        ranked = ranked.join(average_ranks(cells, keys, c, f"r{c}", "m"), [*keys, c])
+    n = F.sum("m")
+    return ranked.groupBy(*keys).agg(F.when(n < 3, F.lit(0.0)).otherwise(weighted_r(F.col("rx"), F.col("ry"), F.col("m"))).alias("rho"), n.alias("n"))
+
+
+def spearman_table(rows: DataFrame, features: list[str], labels: list[str], by: list[str]) -> DataFrame:
+    """(by, label, feature, rho, n): rank correlations of all features with all labels, within each group.
+
+    Ranks come from distinct values, so a group's rows never meet in one task. Pairs with a null take no part; a constant side
+    or fewer than three pairs give 0.
+    """
+    return cell_correlations(pair_cells(rows, features, labels, by), by)
 
 
 def kolmogorov_smirnov(rows: DataFrame, features: list[str], group: Column, terms: int = 100) -> DataFrame:

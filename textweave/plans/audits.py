@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.functions.vectors import rounded, safe_corr
+from textweave.functions.vectors import pair_row, rounded
 from textweave.operators import audits, quality, ratings, reports
 from textweave.plans.tables import table
 
@@ -85,7 +85,7 @@ def ranked_correlations(spark, sf_dir):
 
 def weighted_correlations(spark, sf_dir):
     w = F.when(F.col("source") == "human", 1.0).otherwise(0.3)
-    return rounded(rated(spark, sf_dir).agg(*[safe_corr(f, "overall", w).alias(f) for f in FEATURES]))
+    return rounded(pair_row(rated(spark, sf_dir), {f: (f, "overall") for f in FEATURES}, w))
 
 
 def family_audit(spark, sf_dir):
