@@ -357,6 +357,32 @@ def test_token_counts(spark, texts):
     found = token_files.document_lengths(token_files.token_blocks(spark, folder, block_tokens=50), queries.END_OF_TEXT)
     assert {r.doc_id: r.n_tokens for r in order.join(found, ["file", "ordinal"]).collect()} == want
     assert order.select("file").distinct().count() > 5
+    ranges = token_files.document_lengths(token_files.token_blocks(spark, folder, block_tokens=50, whole_bytes=100), queries.END_OF_TEXT)
+    assert sorted(ranges.collect()) == sorted(found.collect())
+
+
+def test_token_files_beyond_a_row(spark, tmp_path):
+    """A file above the 2 GB of a row, and one next to it; ends at both sides of block borders."""
+    size, block = (1 << 31) + (1 << 20), 1 << 23
+    ends = [0, block - 1, block, 5 * block - 1, size // 2 - 2]
+    with open(tmp_path / "part-00001-x c000.txt", "wb") as f:
+        f.truncate(size)
+        for at in ends:
+            f.seek(2 * at)
+            f.write(b"\x07\x00")
+    np.array([1, 7, 7, 2], "<u2").tofile(tmp_path / "part-00002-y-c000.txt")
+    got = token_files.document_lengths(token_files.token_blocks(spark, str(tmp_path), block_tokens=block), 7).orderBy("file", "ordinal").collect()
+    begins = [0, *(e + 1 for e in ends)]
+    want = [(k, b, e - b) for k, (b, e) in enumerate(zip(begins, [*ends, size // 2], strict=True))]
+    first = (1 << 32, 2 << 32)
+    assert [(r.ordinal, r.start, r.n_tokens) for r in got if r.file == first[0]] == want
+    assert [(r.ordinal, r.start, r.n_tokens) for r in got if r.file == first[1]] == [(0, 0, 1), (1, 2, 0), (2, 3, 1)]
+
+
+def test_token_file_of_part_of_a_token(spark, tmp_path):
+    (tmp_path / "part-00000-c000.txt").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of tokens"):
+        token_files.token_blocks(spark, str(tmp_path)).collect()
 
 
 def test_an_input_that_changes_between_scans_is_an_error(spark):

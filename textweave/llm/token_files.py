@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.llm.bpe import tokenizer
-from textweave.llm.common import shared_root, stored, sub_batches, texts_of
+from textweave.llm.common import shared_root, small_side, stored, sub_batches, texts_of
 
 BLOCK_TOKENS = 1 << 18
 #: Documents in a file that is written here: a partition with more is written as several files, none read as one large row.
 FILE_DOCUMENTS = 1 << 13
+#: Bytes of a file that is read as one row at most, and of a larger one's blocks that one task reads.
+WHOLE_BYTES, TASK_BYTES = 1 << 28, 1 << 27
 #: Bytes of text encoded at once.
 ENCODED_BYTES = 3 << 20
 
@@ -64,18 +66,59 @@ def file_number(partition: Column, chunk: Column) -> Column:
     return F.shiftleft(partition.cast("long"), 32).bitwiseOR(chunk.cast("long"))
 
 
-def token_blocks(spark: SparkSession, folder: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, first, tokens binary): the files of a folder cut at fixed offsets.
+def token_blocks(spark: SparkSession, folder: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(file, block, first, tokens binary): the files of a folder cut at fixed offsets; bytes after a file's last whole token
+    are an error.
 
-    A file is read as one row, so it may have 2 GB at most; write_token_files() keeps to that for all but texts of their
-    own of that size.
+    Files of up to `whole_bytes` are read as a row by Spark, from any store. Larger ones are never held: their blocks are dealt over
+    tasks in runs of TASK_BYTES, and each task reads its own ranges, so one file is read by many tasks. Those need a store that
+    Arrow can open (shared folders, HDFS, the usual object stores).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0")
     number = file_number(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1), F.coalesce(F.regexp_extract("path", r"-c(\d+)(?:\.[^/]*)?$", 1).try_cast("long"), F.lit(0)))
     size = block_tokens * width
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))))
-    cut = files.where("length > 0").select(number.alias("file"), "content", at.alias("block"))
-    return cut.select("file", "block", (F.col("block") * block_tokens).alias("first"), F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("tokens"))
+    odd = F.raise_error(F.concat(F.col("path"), F.lit(f": no whole number of tokens of {width} bytes"))).cast("long")
+    files = listed.withColumns({"file": number, "length": F.when(F.col("length") % width == 0, F.col("length")).otherwise(odd)})
+    at = F.explode(F.expr(f"sequence(0L, (length - 1) div {size})"))
+    cut = files.where(listed["length"] <= whole_bytes).select("file", "content", at.alias("block"))
+    small = cut.select("file", "block", (F.col("block") * block_tokens).alias("first"), F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("tokens"))
+    big = files.where(listed["length"] > whole_bytes).select("file", "path", "length")  # without their content
+    total = big.agg(F.sum("length")).first()[0]
+    if total is None:
+        return small
+    run_blocks = max(1, TASK_BYTES // size)
+    ranges = big.select("file", "path", "length", at.alias("block")).repartition(int(total) // TASK_BYTES + 1, "file", F.floor(F.col("block") / run_blocks)).sortWithinPartitions("file", "block")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from contextlib import ExitStack
+
+        with ExitStack() as stack:
+            name, source = None, None
+            for batch in batches:
+                for i, r in enumerate(batch.to_pylist()):
+                    if r["path"] != name:
+                        stack.close()
+                        name, source = r["path"], stack.enter_context(opened(r["path"]))
+                    start = r["block"] * size
+                    source.seek(start)
+                    tokens = source.read(min(size, r["length"] - start))
+                    if len(tokens) != min(size, r["length"] - start):
+                        raise ValueError(f"{name} ends early")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([r["block"]], pa.int64()), pa.array([r["block"] * block_tokens], pa.int64()), pa.array([tokens], pa.binary())], ["file", "block", "first", "tokens"])
+
+    return small.unionByName(ranges.mapInArrow(read, "file long, block long, first long, tokens binary"))
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of Spark's listing for reading at any place; the listing gives names without escapes."""
+    from urllib.parse import quote
+
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(name)
 
 
 def document_lengths(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
@@ -96,18 +139,19 @@ def document_lengths(blocks: DataFrame, end_id: int, width: int = 2) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "first", "size", "ends"])
 
     found = blocks.select(F.col("file").cast("long"), F.col("block").cast("long"), F.col("first").cast("long"), "tokens").mapInArrow(run, schema)
-    # The scan: documents ended before a block, and the last end before it, each from sums and maxima over the blocks ahead.
+    found = stored(found, "ends")
+    # The scan: documents ended before a block, and the last end before it, from sums and maxima over the summaries of the blocks
+    # ahead. The ends themselves stay where they are.
+    last = F.try_element_at("ends", F.lit(-1))
+    blocks = found.select("file", "block", F.size("ends").alias("m"), last.alias("last"), (F.col("first") + F.col("size")).alias("stop"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
-    scanned = found.select(
-        "file", "ends", "block",
-        F.coalesce(F.sum(F.size("ends")).over(ahead), F.lit(0)).alias("ended"),
-        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(ahead), F.lit(-1)).alias("last_end"),
-        (F.max("block").over(whole) == F.col("block")).alias("final"),
-        (F.col("first") + F.col("size")).alias("stop"),
-    )
-    tail = F.when(F.col("final") & (F.col("stop") > F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("last_end")) + 1), F.array("stop")).otherwise(F.array().cast("array<bigint>"))
-    stitched = scanned.select("file", "ended", "last_end", F.concat("ends", tail).alias("ends"))
+    ended, last_end = F.coalesce(F.sum("m").over(ahead), F.lit(0)), F.coalesce(F.max("last").over(ahead), F.lit(-1))
+    scanned = blocks.select("file", "block", "last", "stop", ended.alias("ended"), last_end.alias("last_end"), (F.max("block").over(whole) == F.col("block")).alias("final"))
+    tail = F.when(F.col("final") & (F.col("stop") > F.coalesce("last", "last_end") + 1), F.col("stop"))
+    scanned = stored(scanned.select("file", "block", "ended", "last_end", tail.alias("tail")), "scanned")
+    met = found.select("file", "block", "ends").join(small_side(scanned, scanned.count()), ["file", "block"])
+    stitched = met.select("file", "ended", "last_end", F.when(F.col("tail").isNull(), F.col("ends")).otherwise(F.concat("ends", F.array("tail"))).alias("ends"))
     each = stitched.select("file", "ended", F.posexplode(F.arrays_zip(F.concat(F.array("last_end"), F.expr("slice(ends, 1, greatest(size(ends) - 1, 0))")).alias("a"), F.col("ends").alias("b"))).alias("k", "d"), F.size("ends").alias("m"))
     return each.where("k < m").select("file", (F.col("ended") + F.col("k")).cast("long").alias("ordinal"), (F.col("d.a") + 1).alias("start"), (F.col("d.b") - F.col("d.a") - 1).alias("n_tokens"))
 
