@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -183,3 +183,21 @@ def language_mixture(model, text, steps, floor):
         best = min(best, (-2 * logs + size * math.log(len(words)), found, size), key=lambda c: c[0])
     top = max(range(len(names)), key=lambda k: best[1][k])
     return names[top], best[1][top], best[2]
+
+
+def word_idf(texts):
+    """Word: ln((1 + N) / (1 + texts that have it)) + 1."""
+    df = Counter(w for t in texts for w in set(WORD.findall(t)))
+    return {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+
+
+def weighted_jaccard(a, b, idf, size=5):
+    """Of two texts' word windows, each weighing its count times the mean idf of its words."""
+    bags = []
+    for t in (a, b):
+        words = WORD.findall(t)
+        bags.append(Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)))
+    weight = lambda g: sum(idf[w] for w in g) / size
+    both = bags[0].keys() | bags[1].keys()
+    union = sum(max(bags[0][g], bags[1][g]) * weight(g) for g in both)
+    return sum(min(bags[0][g], bags[1][g]) * weight(g) for g in both) / union if union else 0.0

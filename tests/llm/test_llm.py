@@ -224,6 +224,18 @@ def test_top_k_bands_and_odd_vectors(spark, monkeypatch):
     assert [tuple(r) for r in got] == want
 
 
+def test_top_k_sql_on_repeated_ids_and_odd_lengths(spark):
+    """Code and SQL agree where ids repeat, with the same vector or another, and where lengths differ."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 4)).round(1).tolist()
+    rows = [*enumerate(v), (7, v[7]), (7, v[7]), (8, [9.0] * 4), (50, v[50]), (50, v[51]), (300, [9.0] * 5), (350, []), (None, v[0]), (9, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = con.sql(queries.SQL["op1_topk"]).fetchall()
+    assert sorted(tuple(r) for r in topk.top_k(df, 5, 50).select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_top_k_without_queries(spark):
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
 
@@ -385,6 +397,28 @@ def test_token_file_of_part_of_a_token(spark, tmp_path):
         token_files.token_blocks(spark, str(tmp_path)).collect()
 
 
+def test_near_duplicate_recall(spark):
+    """Pairs by themselves of similarity 0.8 to 0.9, where no other text can link them: none is lost, none below 0.8 joined."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for pair in range(420):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        other = list(words)
+        for at in rng.choice(32, 3 + pair % 3, replace=False) * 6 + 4:  # apart, so that each takes five windows
+            other[at] = f"n{rng.integers(0, 3000)}"
+        texts += [" ".join(words), " ".join(other)]
+    idf = brute.word_idf(texts)
+    s = [brute.weighted_jaccard(a, b, idf) for a, b in zip(texts[::2], texts[1::2])]
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    linked = [classes[2 * k] == classes[2 * k + 1] for k in range(len(s))]
+    # Words that share a slot of the frequency table move a similarity a little.
+    near = [k for k, x in enumerate(s) if 0.802 <= x < 0.9]
+    assert len(near) >= 200 and sum(x < 0.81 for x in s) > 20
+    assert all(linked[k] for k in near)
+    assert not any(linked[k] for k, x in enumerate(s) if x < 0.798)
+    assert len(set(classes.values())) == len(texts) - sum(linked)
+
+
 def test_an_input_that_changes_between_scans_is_an_error(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     @F.udf("string")
