@@ -1,8 +1,11 @@
 """Order statistics by ranges: spread over tasks whatever the values, equal to a plain sort."""
 
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
-from textweave.operators import ordering
+from textweave.operators import ordering, ratings
 
 
 def frame(spark, n=4000):
@@ -66,3 +69,18 @@ def test_quantiles_of_several_columns_and_of_none(spark):
 
 def test_empty_table(spark):
     assert ordering.positions(frame(spark).where("k < 0"), ["g"], ["k"]).count() == 0
+
+
+def test_rank_correlations_of_counted_pairs(spark):
+    """Nulls and NaN take no part, repeated rows count each, a constant side or fewer than three pairs give 0."""
+    nan = float("nan")
+    rows = [("a", float(k % 4), float(k * k % 5), 1.0) for k in range(40)] + [("a", None, 1.0, 1.0), ("a", 2.0, nan, 1.0), ("b", 1.0, 2.0, 1.0), ("b", 2.0, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, same double")
+    got = {(r.g, r.feature): (r.rho, r.n) for r in ratings.spearman_table(df, ["x", "same"], ["y"], ["g"]).collect()}
+    pairs = [r[1:3] for r in rows[:40]]
+    ranks = [[sum(v < p[c] for v in col) + (col.count(p[c]) + 1) / 2 for p in pairs] for c, col in enumerate(([p[0] for p in pairs], [p[1] for p in pairs]))]
+    assert got["a", "x"] == (pytest.approx(statistics.correlation(*ranks)), 40)
+    assert got["a", "same"] == (0.0, 41) and got["b", "x"] == (0.0, 2)
+    one = ratings.spearman(df.where("g = 'a'"), "x", "y").first()
+    assert (one.rho, one.n) == (pytest.approx(statistics.correlation(*ranks)), 40)
+    assert tuple(ratings.spearman(df.where("false"), "x", "y").first()) == (0.0, 0)
