@@ -113,6 +113,22 @@ def test_nearest_by_pivots(spark, block):
     assert few.n == 3 and few.mean_gap is None
 
 
+def test_nearest_keeps_no_pairs_beyond_the_best(spark, monkeypatch):
+    """Vectors in no clusters: what is kept between jobs is a few rows for each vector, however many blocks there are."""
+    kept, keep = {}, joins.stored
+    monkeypatch.setattr(joins, "stored", lambda df, tag: kept.setdefault(tag, keep(df, tag)))
+    x = np.random.default_rng(5).normal(size=(600, 64))
+    rows = spark.createDataFrame([(i, v.tolist(), float(i % 7)) for i, v in enumerate(x)], "id long, v array<float>, y double")
+    got = {(r.id, r["rank"]): r.other for r in joins.nearest(rows, "id", "v", 3, block=50).collect()}
+    assert max(df.count() for df in kept.values()) <= 600 * 4
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1, kind="stable")
+    assert got == {(i, k + 1): top[i, k] for i in range(600) for k in range(3)}
+
+
 def test_ordering(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 40, 500)

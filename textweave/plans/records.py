@@ -167,7 +167,7 @@ def golden_texts(spark, sf_dir):
 
 def nearest_vectors(spark, sf_dir):
     """The three nearest of every vector of the table, with their ids."""
-    return rounded(joins.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, block=2_000).select("id", "rank", "other", "cosine"), 4)
+    return rounded(joins.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3).select("id", "rank", "other", "cosine"), 4)
 
 
 def neighbour_smoothness(spark, sf_dir):
