@@ -383,6 +383,6 @@ def map_means(rows: DataFrame, column: str) -> DataFrame:
 
 
 def ordered_dedupe(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in an order, in one aggregation without a window."""
+    """The first row of each key in an order, nulls first and ties to the least other columns, in one aggregation without a window."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.min(F.struct(F.col(order).alias("_o"), *rest)).alias("r")).select(key, *[f"r.{c}" for c in rest])

@@ -331,6 +331,6 @@ SELECT count(*) AS total_rows, count_if(n <= 2)::BIGINT AS kept_rows, count_if(n
     "top_openings": "WITH o AS (SELECT doc_id, coalesce(array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:5], ' '), '') AS opening FROM documents) SELECT opening, count(*) AS n FROM o GROUP BY opening ORDER BY count(*) DESC, min(doc_id) LIMIT 10",
     "best_per_group": f"WITH {_Z}, k AS (SELECT control_type, source, id, se_b, row_number() OVER (PARTITION BY control_type, source ORDER BY se_b DESC, id) AS k FROM z) SELECT control_type, source, id, round(se_b, 6) AS se_b FROM k WHERE k = 1",
     "map_means": f"WITH {_Z} SELECT 'a' AS name, round(avg(ce_a * 0.731::DOUBLE), 6) AS mean, count(*) AS n FROM z UNION ALL SELECT 'b', round(avg(ce_b * 0.731::DOUBLE), 6), count(*) FROM z WHERE ce_b * 0.731::DOUBLE > 0.02",
-    "ordered_dedupe": "SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS id, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS l_returnflag FROM lineitem GROUP BY 1",
+    "ordered_dedupe": "SELECT l_partkey, l_orderkey * 10 + l_linenumber AS id, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber NULLS FIRST, l_returnflag NULLS FIRST) = 1",
     "shuffled_folds": "SELECT o_orderkey, least((row_number() OVER (ORDER BY md5(o_orderkey || ':42'), o_orderkey) - 1) // greatest(1, (SELECT count(*) FROM orders) // 5), 4)::INT AS fold FROM orders",
 }
