@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textweave.functions.text import fixed
 from textweave.operators import embedding, scoring, serving, temporal
 
 
@@ -131,3 +133,14 @@ def test_pooling():
     t, m = np.arange(12.0).reshape(2, 3, 2), np.array([[1, 1, 0], [0, 0, 0]])
     assert embedding.mean_pooling(t, m).tolist() == [[1.0, 2.0], [0.0, 0.0]]
     assert embedding.first_pooling(t, m).tolist() == [[0.0, 1.0], [6.0, 7.0]]
+
+
+def test_numbers_are_printed_by_their_exact_value(spark):
+    """Halves to even, and values whose shortest digits end in 5 but lie below the middle."""
+    rng = np.random.default_rng(2)
+    x = [34.25, 34.75, 0.15, 0.35, 1.005, 2.675, 6.85, 149.99999999999997 * 0.137, 0.5, 1.5, 0.05, -0.04, -0.0, 0.0, 1e13, 9.95, 0.995, 99.5, *(rng.integers(0, 40_000, 3000) / 200.0), *rng.normal(scale=50, size=1000)]
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", "x", *[fixed(F.col("x"), d, sign=d == 1).alias(f"d{d}") for d in range(3)]).collect()
+    for r in got:
+        assert (r.d0, r.d1, r.d2) == (f"{r.x:.0f}", f"{r.x:+.1f}", f"{r.x:.2f}")
+    text = spark.range(1).select(serving.feedback_text(F.lit(34.25), F.lit("increase"), F.lit(True), F.create_map(F.lit("a"), F.struct(F.lit(0.0).alias("delta"), F.lit(False).alias("improved"))))).first()[0]
+    assert text == "increased by 34.2, in the target direction: increase"

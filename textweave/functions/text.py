@@ -76,3 +76,26 @@ def looping(w: Column) -> Column:
     m = F.size(long)
     thrice = F.exists(F.zip_with(F.slice(long, 1, F.greatest(m - 2, F.lit(0))), F.slice(long, 3, F.greatest(m - 2, F.lit(0))), lambda a, b: a == b), lambda x: x)
     return (n >= 6) & (repeats | thrice)
+
+
+#: Powers of two whose sum is 2 * 10^digits.
+_TWICE = {0: (2,), 1: (16, 4), 2: (128, 64, 8)}
+
+
+def fixed(x: Column, digits: int, sign: bool = False) -> Column:
+    """A number with none to two places as C and Python print it: by its exact value, halves to even. Java's formatter would
+    round the shortest digits half up.
+
+    Whether the number is above the middle between two prints is told by differences that are exact near it.
+    """
+    a = F.abs(x.cast("double"))
+    n = F.floor(F.least(a, F.lit(1e12)) * 10**digits)
+    above = a * _TWICE[digits][0] - (2 * n + 1).cast("double")
+    for part in _TWICE[digits][1:]:
+        above = above + a * part
+    n = n + F.when((above > 0) | ((above == 0) & (n % 2 == 1)), 1).otherwise(0)
+    text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(digits + 1)), "0")
+    if digits:
+        text = F.concat(F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits)))
+    ahead = F.when(x.cast("string").startswith("-"), "-").otherwise("+" if sign else "")
+    return F.when(a < 1e12, F.concat(ahead, text)).otherwise(F.format_string(f"%{'+' * sign}.{digits}f", x))

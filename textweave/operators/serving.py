@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweave.functions.text import fixed
 from textweave.functions.vectors import dot
 from textweave.operators.scoring import isotonic, transformed
 
@@ -153,7 +155,12 @@ def interpretation(band: Column) -> Column:
 
 def signals(state: Column, n: Column, confidence: Column, trend: Column, slope: Column, score: Column, volatility: Column, rolling: Column) -> Column:
     """array<string>: the measurements that led to a state."""
-    fmt = lambda pattern, x: F.format_string(pattern, x)
+
+    def fmt(pattern: str, x: Column) -> Column:
+        if (place := re.search(r"%\.(\d)f", pattern)) is None:
+            return F.format_string(pattern, x)
+        return F.concat(F.lit(pattern[: place.start()]), fixed(x, int(place[1])), F.lit(pattern[place.end() :]))
+
     high = fmt(f"current_mes=%.1f (above {HIGH})", score)
     flat = fmt(f"|trend_slope|=%.1f (below {FLAT})", F.abs(slope))
     when = lambda test, text: F.when(test, text)
@@ -190,7 +197,7 @@ def prompts(rows: DataFrame) -> DataFrame:
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), F.col("state"))
     guide = [pick({k: v[i] for k, v in GUIDANCE.items()}) for i in range(3)]
     target, tokens, heat = (pick({k: v[i] for k, v in STATES.items()}) for i in range(3))
-    weak = F.transform("weakest", lambda r: F.concat(F.lit("- "), display_name(r["name"]), F.lit(": "), F.format_string("%.2f", r["value"])))
+    weak = F.transform("weakest", lambda r: F.concat(F.lit("- "), display_name(r["name"]), F.lit(": "), fixed(r["value"], 2)))
     some = F.when(F.size("weakest") > 0, F.concat(F.lit("Weakest dimensions:\n"), F.array_join(weak, "\n")))
     system = F.concat_ws("\n", F.lit("Insights into journal entries: concise, grounded in the entry."), guide[0], some, F.concat(F.lit("Directive: "), guide[1]), F.concat(F.lit("Avoid: "), guide[2]))
     previous = F.when(F.col("previous").isNotNull(), F.concat(F.lit("Previous insight: "), F.col("previous")))
@@ -217,12 +224,12 @@ def feedback_text(delta: Column, target: Column, moved: Column, deltas: Column,
     values = F.map_values(deltas)
     up, down = F.size(F.filter(values, lambda d: d["improved"])), F.size(F.filter(values, lambda d: d["delta"] < 0))
     counts = F.concat_ws(", ", F.when(up > 0, F.format_string("%d improved", up)), F.when(down > 0, F.format_string("%d declined", down)))
-    return F.concat(word, F.format_string(" by %.1f, ", F.abs(delta)), ending, F.when(counts != "", F.concat(F.lit("; "), counts)).otherwise(""))
+    return F.concat(word, F.lit(" by "), fixed(F.abs(delta), 1), F.lit(", "), ending, F.when(counts != "", F.concat(F.lit("; "), counts)).otherwise(""))
 
 
 def trend_summary(n: Column, span: Column, trend: Column, slope_week: Column, volatility: Column) -> Column:
     level = F.when(volatility > 0.3, "high").when(volatility > 0.15, "moderate").otherwise("low")
-    return F.concat(F.format_string("%d entries in %.0f days: ", n, span), trend, F.format_string(" (%+.1f a week), volatility ", slope_week), level, F.format_string(" (%.2f)", volatility))
+    return F.concat(F.format_string("%d entries in ", n), fixed(span, 0), F.lit(" days: "), trend, F.lit(" ("), fixed(slope_week, 1, sign=True), F.lit(" a week), volatility "), level, F.lit(" ("), fixed(volatility, 2), F.lit(")"))
 
 
 def request_error(text: Column) -> Column:

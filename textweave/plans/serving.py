@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textweave.functions.text import fixed
 from textweave.functions.vectors import rounded
 from textweave.operators import scoring, serving, temporal
 from textweave.plans.tables import TE, table
@@ -82,7 +83,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_users(spark, sf_dir):
-    weak = F.array_join(F.transform("weakest", lambda r: F.concat(r["name"], F.lit("="), F.format_string("%.2f", r["value"]))), ",")
+    weak = F.array_join(F.transform("weakest", lambda r: F.concat(r["name"], F.lit("="), fixed(r["value"], 2))), ",")
     return classified(spark, sf_dir).select("user_id", "trend", "state", "band", F.array_join("signals", "; ").alias("signals"), weak.alias("weakest"))
 
 
