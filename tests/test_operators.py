@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,24 @@ def test_average_linkage_is_the_plain_one():
             same = {(i, j) for g in groups for i in g for j in g}
             if len(np.unique(np.round(d, 9))) > n * (n - 1) // 3 or n < 3:  # without many ties
                 assert {(i, j) for i in range(n) for j in range(n) if got[i] == got[j]} == same
+
+
+def test_linkage_by_sums_equals_distances(monkeypatch):
+    """Clusters of many sizes, copies, and vectors far from all; a large document never has all distances at once."""
+    rng = np.random.default_rng(4)
+    for n, k, scale in ((300, 5, 0.8), (500, 40, 0.9), (400, 400, 0.5)):
+        x = rng.normal(size=(k, 64))[rng.integers(0, k, n)] + rng.normal(scale=scale, size=(n, 64))
+        x[:20] = x[20]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert (clusters.linkage_by_sums(x) == clusters.average_linkage(x)).all()
+        plain = clusters.cluster_features(x)
+        monkeypatch.setattr(clusters, "DENSE", 100)
+        assert clusters.cluster_features(x) == pytest.approx(plain, abs=1e-9)
+        monkeypatch.undo()
+    x = np.concatenate([rng.normal(size=(1500, 32)), rng.normal(size=(1500, 32)) * 0.1 + np.eye(32)[0]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    clusters.cluster_features(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * x.nbytes
