@@ -147,6 +147,28 @@ def test_smoothness_looks_for_neighbours_once(spark, monkeypatch):
     assert (r.n, r.mean_gap, r.median_gap) == (8, 14 / 8, 1.0) and seen.value == 8
 
 
+def test_positions_in_ranges_of_bounded_size(spark, monkeypatch):
+    """A larger table has more ranges, and a rank's rows meet again in as many partitions."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("id"), (F.col("id") % 11).cast("double").alias("a_x"), (F.col("id") % 5).cast("double").alias("b_x"))
+    a = ordering.arranged(rows, ["id"], 3000)
+    assert a.groupBy("_part").count().agg(F.max("count")).first()[0] <= 200 and a.select("_part").distinct().count() >= 20
+    placed = ordering.positions(rows, [], ["id"], "at", 3000)
+    assert placed.where("at <> id").count() == 0 and placed.count() == 3000
+    got = audits.composite_rank(rows, "id", ["a_x"], ["b_x"])
+    assert got.rdd.getNumPartitions() >= 20 and got.count() == 3000
+
+
+def test_capped_records_stay_in_their_splits(spark, tmp_path):
+    """The cap is exact over many files, and no partition gathers the records of the others."""
+    path = str(tmp_path / "many")
+    spark.range(200).selectExpr("to_json(struct(id)) AS value").repartition(8).write.text(path)
+    get = lambda most: files.read_many_records(spark, [path], "id long", most)
+    assert [get(k).distinct().count() for k in (0, 1, 77, 200, 1000)] == [0, 1, 77, 200, 200]
+    parts = [r[0] for r in get(1000).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(parts) > 1 and max(parts) < 200
+
+
 def test_ordering(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 40, 500)

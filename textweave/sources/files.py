@@ -67,18 +67,28 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_many_records(spark: SparkSession, paths: list[str], schema: T.StructType | str, most: int | None = None) -> DataFrame:
-    """JSON objects of many files with source_file and source_path; lines of another kind are left out. `most` stops there."""
+    """JSON objects of many files with source_file and source_path; lines of another kind are left out. `most` stops there.
+
+    Records are numbered within their input split and the records of splits are summed, so no task reads what others parsed.
+    """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
     objects = lines.where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
     parsed = objects.select("source_file", "source_path", F.from_json("value", schema).alias("r")).select("source_file", "source_path", "r.*")
-    return parsed if most is None else parsed.limit(most)
+    if most is None:
+        return parsed
+    counts = objects.groupBy(F.spark_partition_id().alias("_slice")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each input split
+    starts = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = parsed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_slice", F.shiftright("_at", 33).cast("int"))
+    capped = numbered.join(F.broadcast(starts), "_slice").where(F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) < most)
+    return capped.select(parsed.columns)
 
 
 def with_record_ids(records: DataFrame, id_col: str, order: str) -> DataFrame:
     """Adds `id`: the record's own if it is a whole number, else its place in the order from 1."""
     from textweave.operators.ordering import positions
 
-    placed = positions(records, [], [order], "_place")
+    placed = positions(records, [], [order], "_place", records.count())
     return placed.withColumn("id", F.coalesce(F.col(id_col).try_cast("long"), F.col("_place") + 1)).drop("_place")
 
 
