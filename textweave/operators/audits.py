@@ -282,15 +282,17 @@ def composite_rank(rows: DataFrame, key: str, high: list[str], low: list[str]) -
 
     Ranks of ties follow the key; a single row has rank 0.5. Features are ranked together by ranges of (feature, value, key).
     """
-    from textweave.operators.ordering import positions
+    from textweave.operators.ordering import positions, ranges
 
     long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in [*high, *low]])))
     n = rows.count()
-    ranked = positions(long, ["feature"], ["v", key], "_k")
+    size = n * (len(high) + len(low))
+    ranked = positions(long, ["feature"], ["v", key], "_k", size)
     share = F.col("_k") / F.lit(n - 1) if n > 1 else F.lit(0.5)
     r = F.when(F.col("feature").isin(*low), 1 - share).otherwise(share) if low else share
     families = sorted({f.split("_")[0] for f in [*high, *low]})
-    return ranked.select(key, family(F.col("feature")).alias("fam"), r.alias("r")).groupBy(key).agg(F.avg("r").alias("score"), *[F.avg(F.when(F.col("fam") == x, F.col("r"))).alias(f"score_{x}") for x in families])
+    shares = ranked.select(key, family(F.col("feature")).alias("fam"), r.alias("r")).repartition(ranges(rows, size), key)
+    return shares.groupBy(key).agg(F.avg("r").alias("score"), *[F.avg(F.when(F.col("fam") == x, F.col("r"))).alias(f"score_{x}") for x in families])
 
 
 def golden_anchors(rows: DataFrame, key: str) -> DataFrame:

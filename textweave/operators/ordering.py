@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from textweave.sources.scratch import stored
 
+#: Rows of a range at most, about: a task sorts that many, however large the table.
+RANGE_ROWS = 1 << 20
 #: Groups whose starts are broadcast at most; more meet their rows by (group, range).
 BROADCAST_GROUPS = 100_000
 
@@ -23,9 +25,18 @@ def _same(left: DataFrame, right: DataFrame, names: list[str], others: list[str]
     return functools.reduce(lambda x, y: x & y, [left[a].eqNullSafe(right[b]) for a, b in zip(names, others, strict=True)])
 
 
-def arranged(rows: DataFrame, order: list[Column | str]) -> DataFrame:
-    """The rows, stored, with `_part` and `_at`: the range of the order that holds a row, and its place there from 0."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+def ranges(rows: DataFrame, size: int) -> int:
+    """The number of partitions for that many rows: the session's, or more so that none has more than RANGE_ROWS."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_ROWS))
+
+
+def arranged(rows: DataFrame, order: list[Column | str], size: int | None = None) -> DataFrame:
+    """The rows, stored, with `_part` and `_at`: the range of the order that holds a row, and its place there from 0.
+
+    size: the number of rows, if it is known; there are then as many ranges as keep each at RANGE_ROWS.
+    """
+    dealt = rows.repartitionByRange(*order) if size is None or size <= RANGE_ROWS else rows.repartitionByRange(ranges(rows, size), *order)
+    dealt = dealt.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     return stored(dealt.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), "arranged")
 
 
@@ -49,9 +60,9 @@ def running(rows: DataFrame, keys: list[str], order: list[Column | str], **sums:
     return _met(a, keys, totals).select(*rows.columns, *[(F.col(f"_{n}") + zero(F.sum(c).over(w))).alias(n) for n, c in sums.items()])
 
 
-def positions(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
-    """Adds the place of a row within its keys from 0, in an order that ends in a unique key."""
-    a = arranged(rows, [*keys, *order])
+def positions(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "position", size: int | None = None) -> DataFrame:
+    """Adds the place of a row within its keys from 0, in an order that ends in a unique key. size: the number of rows."""
+    a = arranged(rows, [*keys, *order], size)
     parts = a.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))

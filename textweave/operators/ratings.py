@@ -104,20 +104,20 @@ def balanced(rows: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFra
     """As many rows of each stratum as the smallest has, in the order of a hash of the key."""
     least = rows.groupBy(stratum).agg(F.count("*").alias("m")).agg(F.min("m").alias("least")).first().least or 0
     hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    placed = positions(hashed, [stratum], ["_h", key], "_k")
+    placed = positions(hashed, [stratum], ["_h", key], "_k", hashed.count())
     return placed.where(F.col("_k") < least).drop("_k", "_h")
 
 
 def folds(rows: DataFrame, stratum: str, key: str, k: int = 5) -> DataFrame:
     """Round-robin folds within each stratum in the order of a numeric key."""
-    return positions(rows, [stratum], [key], "_k").withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_k")
+    return positions(rows, [stratum], [key], "_k", rows.count()).withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_k")
 
 
 def shuffled_folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds of equal size in the order of a hash of the key; the last takes the remainder."""
     hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
     size = max(1, rows.count() // k)
-    placed = positions(hashed, [], ["_h", key], "_k")
+    placed = positions(hashed, [], ["_h", key], "_k", hashed.count())
     return placed.withColumn("fold", F.least(F.floor(F.col("_k") / size), F.lit(k - 1)).cast("int")).drop("_k", "_h")
 
 

@@ -62,7 +62,7 @@ def class_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int = 4
     on at the following fold, so folds differ by one row in all too. Null labels are a class, after all others.
     """
     hashed = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))))
-    placed = positions(hashed, [], [F.col(label).asc_nulls_last(), "_h", key], "_k")
+    placed = positions(hashed, [], [F.col(label).asc_nulls_last(), "_h", key], "_k", hashed.count())
     return placed.withColumn("fold", F.pmod("_k", F.lit(k)).cast("int")).drop("_h", "_k")
 
 
