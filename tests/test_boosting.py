@@ -90,6 +90,24 @@ def test_models_side_by_side_equal_plain_fits(fitted, monkeypatch):
     assert all(v[4] == 0 for vs in got.values() for v in vs)
 
 
+def test_copies_of_rows_are_cells_of_the_same_number(spark, monkeypatch):
+    """Passes read cells of equal bins, fold and source: ten copies of every row are as many cells, and fit the same trees; what
+    is stored on the way changes nothing."""
+    df, _ = table(spark, 60)
+    seen, keep = {}, boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda rows, tag: seen.setdefault((len(seen), tag), keep(rows, tag)))
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    models = [boosting.Model("m", ("a", "b", "c"), "y", 0, (("human", 0.1), ("synthetic", 0.05)), depth=3, rounds=3, rate=0.3, l2=0.1), boosting.Model("s", ("a", "c"), "z", 1, (("human", 1.0),), rounds=3, rate=0.9, stop=1)]
+    many = df.crossJoin(spark.range(10)).drop("id")
+    fitted, state = boosting.boost(many, ["a", "b", "c"], ["y", "z"], "fold", "source", models, bins=256)
+    assert state.count() == 600 and max(d.count() for (_, tag), d in seen.items() if tag in ("cells", "boosted")) <= 60
+    monkeypatch.setattr(boosting, "KEEP", 100)
+    again, _ = boosting.boost(many, ["a", "b", "c"], ["y", "z"], "fold", "source", models, bins=256)
+    for name in again:
+        assert [t["feature"] for t in again[name]["trees"]] == [t["feature"] for t in fitted[name]["trees"]]
+        assert [v for t in again[name]["trees"] for v in t["value"]] == pytest.approx([v for t in fitted[name]["trees"] for v in t["value"]])
+
+
 def test_early_stopping_keeps_the_best_number_of_trees(fitted):
     _, rows, models, state = fitted
     m = MODELS[3]

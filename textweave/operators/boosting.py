@@ -1,9 +1,11 @@
 """Gradient-boosted trees over binned inputs: many models fitted side by side, one pass over the rows for each tree level.
 
-Inputs are cut at exact quantiles into at most BINS bins of a byte each. A pass sums, inside its tasks, residuals and weights by
+Inputs are cut at exact quantiles into at most BINS bins of a byte each. Rows alike in bins, fold and source are one cell with
+their number and the sums of their targets, which is all that squared errors need; cells of the same bins lie together, so a
+tree is walked once for each combination of bins. A pass sums, inside its tasks, residuals and weights by
 (model, node, input, bin); tasks' sums are added up in a tree and are as large as the models' trees, whatever the number of rows, and all models
-(folds, targets, source weights, depths) share the pass. Predictions so far are stored with the rows every KEEP trees and
-worked out from the trees in between, so a lost task only reads its rows again.
+(folds, targets, source weights, depths) share the pass. Predictions so far are stored with the cells every KEEP trees and
+worked out from the trees in between, so a lost task only reads its cells again.
 
 A fitted model is a plain dictionary: base, inputs, and trees as arrays of feature, threshold, left, right and value, walked by
 tree_score() as one expression.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from textweave.operators.ordering import all_quantiles
 from textweave.sources.scratch import stored
 
-BINS, KEEP = 64, 3
+BINS, KEEP = 64, 16
 #: Tasks whose sums are added at once.
 FAN = 64
 #: A split must leave this weight on either side and gain more than this.
@@ -67,20 +69,19 @@ class Tree:
         self.left[node], self.right[node] = self.leaf(left), self.leaf(right)
         return self.left[node], self.right[node]
 
-    def nodes(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins."""
-        feature, cut, left, right = (np.array(c) for c in (self.feature, self.cut, self.left, self.right))
-        flat, width = x.ravel(), x.shape[1]
-        at, rows = np.zeros(len(x), np.int64), np.arange(len(x)) if feature[0] >= 0 else np.zeros(0, np.int64)
-        while rows.size:
-            own = at[rows]
-            at[rows] = own = np.where(flat.take(rows * width + feature.take(own)) <= cut.take(own), left.take(own), right.take(own))
-            inner = feature.take(own) >= 0
-            rows = rows if inner.all() else rows[inner]
-        return at
+    def nodes(self, x: Sequence[np.ndarray]) -> np.ndarray:
+        """The leaf of each row of bins, given as columns."""
+        kind = np.uint8 if len(self.value) < 256 else np.int32
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.nodes(x)]
+        def walk(k: int):
+            if self.feature[k] < 0:
+                return kind(k)
+            return np.where(x[self.feature[k]] <= self.cut[k], walk(self.left[k]), walk(self.right[k]))
+
+        return np.broadcast_to(walk(0), len(x[0]) if x else 0)
+
+    def of(self, x: Sequence[np.ndarray]) -> np.ndarray:
+        return np.array(self.value).take(self.nodes(x))
 
 
 def edges_of(rows: DataFrame, inputs: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
@@ -110,6 +111,48 @@ def binned(rows: DataFrame, inputs: Sequence[str], edges: dict[str, list[float]]
     return whole.mapInArrow(run, "x binary, y array<double>, fold int, source string")
 
 
+def cells(rows: DataFrame, targets: int, parts: int) -> DataFrame:
+    """(x, n, s, q, fold, source, p): binned rows alike in bins, fold and source, with their number and their targets' sums and sums
+    of squares; those of the same bins lie one after the other."""
+    y = [F.get("y", F.lit(t)) for t in range(targets)]
+    sums = rows.groupBy("x", "fold", "source").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(v) for v in y]).alias("s"), F.array(*[F.sum(v * v) for v in y]).alias("q"))
+    together = sums.repartition(parts, "x").sortWithinPartitions("x")
+    return together.select("x", "n", "s", "q", "fold", "source", F.array().cast("array<double>").alias("p"))
+
+
+class Cells:
+    """A batch of cells as arrays; x holds the bins of each run of cells of the same bins, by column."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int, targets: int):
+        x = matrix(batch.column(0), width)
+        self.starts = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]).any(1)) + 1]) if len(x) else np.zeros(0, np.int64)
+        self.runs = np.diff(np.append(self.starts, len(x)))
+        self.x = [np.ascontiguousarray(x[self.starts, k]) for k in range(width)]
+        self.wide = [c.astype(np.int64) for c in self.x]
+        self.n, self.s, self.q = batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2), targets), matrix(batch.column(3), targets)
+        self.folds = batch.column(4).to_numpy(zero_copy_only=False)
+        coded = batch.column(5).dictionary_encode()
+        self.code, self.names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        self.stored = batch.column(6)
+        self.known: dict = {}
+
+    def weight(self, model: Model) -> np.ndarray:
+        """The weight of a row of each cell."""
+        key = model.weights, model.held
+        if key not in self.known:
+            by = dict(model.weights)
+            w = np.array([by.get(n, 0.0) for n in self.names])[self.code]
+            self.known[key] = w if model.held is None else np.where(self.folds == model.held, 0.0, w)
+        return self.known[key]
+
+    def total(self, model: Model, target: int) -> np.ndarray:
+        """The weighted sum of a target, or of rows (target -1), by run."""
+        key = model.weights, model.held, target
+        if key not in self.known:
+            self.known[key] = np.add.reduceat(self.weight(model) * (self.n if target < 0 else self.s[:, target]), self.starts)
+        return self.known[key]
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A column of lists of one length, or of bytes, as a matrix."""
     if pa.types.is_binary(column.type):
@@ -118,6 +161,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+def lists_of(p: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+
+
 class Fit:
     """Models, their trees so far, and how many of these are in the stored predictions."""
 
@@ -132,28 +179,15 @@ class Fit:
         self.best: list[tuple[float, int]] = [(np.inf, 0)] * len(models)
         self.open = [True] * len(models)
 
-    def predictions(self, batch: pa.RecordBatch, m: int, x: np.ndarray, to: int | None = None) -> np.ndarray:
-        """From the stored ones and the trees since; with `to`, from the first that many trees alone."""
-        if to is None and self.kept[m]:
-            p, trees = self.stored(batch)[:, m].copy(), self.trees[m][self.kept[m] :]
-        else:
-            p, trees = np.full(len(x), self.base[m]), self.trees[m][:to]
-        for tree in trees:
-            p += tree.of(x)
+    def predictions(self, c: Cells, m: int) -> np.ndarray:
+        """Of each run, from the stored ones and the trees since."""
+        p = matrix(c.stored, len(self.models))[c.starts, m] if self.kept[m] else np.full(len(c.starts), self.base[m])
+        for tree in self.trees[m][self.kept[m] :]:
+            p = p + tree.of(c.x)
         return p
 
-    def stored(self, batch: pa.RecordBatch) -> np.ndarray:
-        return matrix(batch.column(4), len(self.models))
-
-    def rows(self, batch: pa.RecordBatch):
-        """Bins, targets, folds, and sources as codes of a dictionary."""
-        coded = batch.column(3).dictionary_encode()
-        return matrix(batch.column(0), self.width), matrix(batch.column(1), self.n_targets), batch.column(2).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-
-    def weight(self, m: int, folds: np.ndarray, code: np.ndarray, names: list[str]) -> np.ndarray:
-        by = dict(self.models[m].weights)
-        w = np.array([by.get(n, 0.0) for n in names])[code]
-        return w if self.models[m].held is None else np.where(folds == self.models[m].held, 0.0, w)
+    def cells(self, batch: pa.RecordBatch) -> Cells:
+        return Cells(batch, self.width, self.n_targets)
 
     def sums(self, task, state: DataFrame) -> dict[int, np.ndarray]:
         """Runs a task's (model, vector) sums over all rows and adds the vectors up, FAN tasks at a time."""
@@ -181,10 +215,9 @@ class Fit:
 
     def start(self, state: DataFrame) -> None:
         def task(batch):
-            _, y, folds, code, names = self.rows(batch)
-            for m in range(len(self.models)):
-                w = self.weight(m, folds, code, names)
-                yield m, np.array([(w * y[:, self.target[m]]).sum(), w.sum()])
+            c = self.cells(batch)
+            for m, model in enumerate(self.models):
+                yield m, np.array([c.total(model, self.target[m]).sum(), c.total(model, -1).sum()])
 
         for m, (total, weight) in self.sums(task, state).items():
             self.base[m] = total / weight if weight > 0 else 0.0
@@ -194,23 +227,27 @@ class Fit:
         and weights of each leaf that may still be split and each of the model's inputs."""
 
         def task(batch):
-            x, y, folds, code, names = self.rows(batch)
+            c = self.cells(batch)
             for m, model in enumerate(self.models):
                 measured = measure and model.stop is not None
                 if growing[m] is None or not (leaves[m] or measured):
                     continue
-                rest = y[:, self.target[m]] - self.predictions(batch, m, x)
-                own = (folds == model.held) & (code == names.index(self.human)) if measured and self.human in names else np.zeros(len(x), bool)
-                out = [np.array([(rest[own] ** 2).sum(), own.sum()])]
-                w = self.weight(m, folds, code, names)
-                slot = np.full(len(growing[m].value), -1)
-                slot[leaves[m]] = np.arange(len(leaves[m]))
-                place = slot[growing[m].nodes(x)]
-                used = np.flatnonzero((place >= 0) & (w > 0))
-                at, g, h = place[used] * self.bins, (w * rest)[used], w[used]
-                for f in self.columns[m]:
-                    cell = at + x[used, f]
-                    out.append(np.stack([np.bincount(cell, g, len(leaves[m]) * self.bins), np.bincount(cell, h, len(leaves[m]) * self.bins)], 1).ravel())
+                p = self.predictions(c, m)
+                error = np.zeros(2)
+                if measured and self.human in c.names:
+                    own = np.flatnonzero((c.folds == model.held) & (c.code == c.names.index(self.human)))
+                    at, t = np.repeat(p, c.runs)[own], self.target[m]
+                    error = np.array([(c.q[own, t] - 2 * at * c.s[own, t] + at * at * c.n[own]).sum(), c.n[own].sum()])
+                out = [error]
+                if leaves[m]:
+                    h = c.total(model, -1)
+                    g = c.total(model, self.target[m]) - h * p
+                    slot = np.full(len(growing[m].value), len(leaves[m]))  # rows of other nodes go to a place that is left out
+                    slot[leaves[m]] = np.arange(len(leaves[m]))
+                    at, size = (slot * self.bins).take(growing[m].nodes(c.x)), len(leaves[m]) * self.bins
+                    for f in self.columns[m]:
+                        cell = at + c.wide[f]
+                        out.append(np.stack([np.bincount(cell, g, size)[:size], np.bincount(cell, h, size)[:size]], 1).ravel())
                 yield m, np.concatenate(out)
 
         found = {}
@@ -220,18 +257,32 @@ class Fit:
             found |= {(m, node, f): tables[i, k] for i, f in enumerate(self.columns[m]) for k, node in enumerate(leaves[m])}
         return found
 
-    def finished(self, state: DataFrame, final: bool) -> DataFrame:
-        """The rows with predictions `p` of all models: of the trees that count if final, else of all trees so far."""
-        to = [self.size(m) if final else len(self.trees[m]) for m in range(len(self.models))]
+    def kept_with(self, state: DataFrame) -> DataFrame:
+        """The cells, stored, with the predictions of all trees so far."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c = self.cells(batch)
+                p = np.stack([np.repeat(self.predictions(c, m), c.runs) for m in range(len(self.models))], 1) if batch.num_rows else np.zeros((0, len(self.models)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], lists_of(p)], ["x", "n", "s", "q", "fold", "source", "p"])
+
+        return stored(state.mapInArrow(run, "x binary, n double, s array<double>, q array<double>, fold int, source string, p array<double>"), "boosted")
+
+    def finished(self, rows: DataFrame) -> DataFrame:
+        """Binned rows with predictions `p` of all models, of the trees that count; worked out as they are read."""
+        trees = [self.trees[m][: self.size(m)] for m in range(len(self.models))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = matrix(batch.column(0), self.width)
-                p = np.stack([self.predictions(batch, m, x, to[m] if final else None) for m in range(len(self.models))], 1) if batch.num_rows else np.zeros((0, len(self.models)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(self.models)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], ["x", "y", "fold", "source", "p"])
+                x = [np.ascontiguousarray(c) for c in matrix(batch.column(0), self.width).T]
+                p = np.empty((batch.num_rows, len(trees)))
+                for m, own in enumerate(trees):
+                    p[:, m] = self.base[m]
+                    for tree in own:
+                        p[:, m] += tree.of(x)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists_of(p)], ["x", "y", "fold", "source", "p"])
 
-        return stored(state.mapInArrow(run, "x binary, y array<double>, fold int, source string, p array<double>"), "boosted")
+        return rows.mapInArrow(run, "x binary, y array<double>, fold int, source string, p array<double>")
 
     def size(self, m: int) -> int:
         return self.best[m][1] if self.models[m].stop is not None and np.isfinite(self.best[m][0]) else len(self.trees[m])
@@ -270,8 +321,9 @@ def boost(rows: DataFrame, inputs: Sequence[str], targets: Sequence[str], fold:
     """
     edges = edges_of(rows, inputs, bins)
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    state = binned(rows, inputs, edges, targets, fold, source)
-    state = stored(state.repartition(cores) if state.rdd.getNumPartitions() < cores else state, "binned")
+    rows = binned(rows, inputs, edges, targets, fold, source)
+    rows = stored(rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows, "binned")
+    state = stored(cells(rows, len(targets), 4 * cores), "cells")
     fit = Fit(models, list(inputs), list(targets), human, bins)
     fit.start(state)
     for t in range(max((m.rounds for m in models), default=0)):
@@ -299,12 +351,11 @@ def boost(rows: DataFrame, inputs: Sequence[str], targets: Sequence[str], fold:
             if tree is not None:
                 fit.trees[k].append(tree)
         if t % KEEP == KEEP - 1:
-            state = fit.finished(state, False)
+            state = fit.kept_with(state)
             fit.kept = [len(trees) for trees in fit.trees]
     if any(m.stop is not None for m in models):
         fit.judge(fit.level(state, [Tree() for _ in models], [[] for _ in models], True))
-    state = fit.finished(state, True)
-    return {m.name: artifact(m, fit.base[k], fit.trees[k][: fit.size(k)], list(inputs), edges) for k, m in enumerate(models)}, state
+    return {m.name: artifact(m, fit.base[k], fit.trees[k][: fit.size(k)], list(inputs), edges) for k, m in enumerate(models)}, fit.finished(rows)
 
 
 def artifact(model: Model, base: float, trees: Sequence[Tree], inputs: list[str], edges: dict[str, list[float]]) -> dict:
