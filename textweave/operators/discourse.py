@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textweave.functions import lexicons as lx
 from textweave.functions import text as tx
+from textweave.functions.candidates import candidates, may, near_words
 from textweave.functions.vectors import dot
 
 CONFLICT_SIM_T = 0.55
@@ -32,19 +33,33 @@ def alternation(phrases: tuple[str, ...]) -> str:
 
 
 def has_phrase(low: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether any phrase stands in a lower-case text without a word character on either side."""
-    return low.rlike(r"(?U)(?<!\w)" + alternation(phrases) + r"(?!\w)")
+    """Whether any phrase stands in a lower-case text without a word character on either side.
+
+    The character before is matched and not looked back at, so the phrases are tried at the beginnings of words alone.
+    """
+    return low.rlike(r"(?U)(?:^|\W)" + alternation(phrases) + r"(?!\w)")
 
 
 def has_word(low: Column, patterns: tuple[str, ...]) -> Column:
-    """The same for patterns, with word boundaries."""
-    return low.rlike(r"(?U)\b(?:" + "|".join(patterns) + r")\b")
+    """The same for patterns that begin with a word character, with word boundaries."""
+    return low.rlike(r"(?U)(?:^|\W)(?:" + "|".join(patterns) + r")\b")
+
+
+#: Lists of phrases by the name of their mark.
+PHRASES = {
+    "temporal": lx.TEMPORAL_MARKERS, "past": lx.PAST_MARKERS, "future": lx.FUTURE_MARKERS, "glue": lx.GLUE_CONNECTORS, "connects": lx.CONNECTORS, "reflects": lx.REFLECTION_PHRASES, "closes": lx.CLOSURE_CUES,
+    "gives_up": lx.ABANDONMENT_MARKERS, "restarts": lx.RESTART_CUES, "hedges": lx.HEDGE_CUES,
+}
+VERBS = alternation(lx.AUXILIARY_VERBS + lx.MODAL_VERBS + lx.IRREGULAR_PAST + lx.THIRD_PERSON_VERBS)
+#: What a lower-case sentence must hold for a mark of wording() to be true.
+WORDING_CANDIDATES = {
+    **{k: near_words(alternation(v)) for k, v in PHRASES.items()}, "verb": near_words(rf"{VERBS}|{alternation(lx.BASE_VERBS)}") + rf"|(?:{'|'.join(lx.VERB_SUFFIXES)})(?:$|[^0-9A-Za-z_])", "broken": r"\.\.\.|…|—|–|--|!!!|\?\?\?",
+}
 
 
 def has_verb(low: Column) -> Column:
-    plain = alternation(lx.AUXILIARY_VERBS + lx.MODAL_VERBS + lx.IRREGULAR_PAST + lx.THIRD_PERSON_VERBS)
-    suffixed = r"\w{2,}(?:" + "|".join(lx.VERB_SUFFIXES) + ")"
-    return has_word(low, (plain, suffixed)) | low.rlike(r"(?U)(?<!\bthe\s)(?<!\ba\s)(?<!\ban\s)\b" + alternation(lx.BASE_VERBS) + r"\b")
+    suffixed = r"\w{4,}+(?<=" + "|".join(r"\w\w" + x for x in lx.VERB_SUFFIXES) + ")"
+    return has_word(low, (VERBS, suffixed)) | low.rlike(r"(?U)(?:^|\W)(?=" + alternation(lx.BASE_VERBS) + r"\b)(?<!\bthe\s)(?<!\ba\s)(?<!\ban\s)")
 
 
 def blank(t: Column) -> Column:
@@ -87,9 +102,9 @@ def disorder(docs: DataFrame, sentences: str = "sentences", id_col: str = "doc_i
         F.transform("_w", lambda x: F.struct(
             has_word(x.l, lx.TOPIC_RESET).alias("reset"), starts_with_referent(x.l).alias("referent"), has_word(x.l, lx.REFLECTION_WORDS).alias("reflects"), has_word(x.l, lx.SETUP).alias("setup"),
             has_word(x.l, lx.OPEN_ENDINGS).alias("open"), tx.looping(x.w).alias("loop"), tx.corrupted(x.t).alias("corrupt"), runon(x.l, x.w).alias("runon"), (x.t.contains("?") & (F.size(x.w) <= 12)).alias("question"),
-            x.t.rlike(r"(?U)\b[A-Z][a-z]{2,}\b|\b(?:" + "|".join(lx.ANCHOR_WORDS) + r")\b").alias("anchor"), F.size(x.w).alias("n"),
+            has_word(x.t, (r"[A-Z][a-z]{2,}", *lx.ANCHOR_WORDS)).alias("anchor"), F.size(x.w).alias("n"),
         )).alias("m"),
-        F.array_sort(F.filter(F.flatten(F.transform("_c", lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\b[A-Z][a-z]{2,}\b"), F.lit(0)))), lambda x: ~x.isin(*lx.NOT_ENTITIES))).alias("e"),
+        F.sort_array(F.filter(F.flatten(F.transform("_c", lambda x: F.regexp_extract_all(x, F.lit(r"(?U)[A-Z](?<=\b[A-Z])[a-z]{2,}\b"), F.lit(0)))), lambda x: ~x.isin(*lx.NOT_ENTITIES))).alias("e"),
     )
     m, e, b = F.col("m"), F.col("e"), F.col("_b")
     anchor = F.col("_anchor")  # a column of its own, or it would be found again for every sentence
@@ -120,14 +135,18 @@ def wording(docs: DataFrame, sentences: str = "sentences", id_col: str = "doc_id
     """The eleven ne_ and five cle_ features of words and punctuation; all 0 with one sentence or none."""
     cluster = r"\.{3,}|…+"
     base = docs.select(F.col(id_col), F.filter(F.coalesce(sentences, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("_s"))
-    marked = base.select(
+    low = base.withColumn("_l", F.transform("_s", F.lower))
+    zipped = low.select(id_col, F.arrays_zip(F.col("_s").alias("t"), F.col("_l").alias("l"), candidates(F.col("_l"), list(WORDING_CANDIDATES.values())).alias("k")).alias("_z"))
+    at = {name: k for k, name in enumerate(WORDING_CANDIDATES)}
+    broken = lambda x, mark: may(x.k, at["broken"]) & mark
+    marked = zipped.select(
         id_col,
-        F.transform(F.transform("_s", lambda t: F.struct(t.alias("t"), F.lower(t).alias("l"))), lambda x: F.struct(
-            F.size(tx.word_tokens(x.t)).alias("n"), has_verb(x.l).alias("verb"), x.t.rlike(r"(?:\.{3,}|…)\s*$").alias("trails"), x.t.rlike(r"[.!?]\s*$").alias("ends"), x.t.rlike(r"(?:—|--)\s*$").alias("dash"), x.l.rlike(r"(?U)^\s*(?:but|and|so)\b").alias("joins"),
-            has_phrase(x.l, lx.TEMPORAL_MARKERS).alias("temporal"), has_phrase(x.l, lx.PAST_MARKERS).alias("past"), has_phrase(x.l, lx.FUTURE_MARKERS).alias("future"), has_phrase(x.l, lx.GLUE_CONNECTORS).alias("glue"),
-            has_phrase(x.l, lx.CONNECTORS).alias("connects"), has_phrase(x.l, lx.REFLECTION_PHRASES).alias("reflects"), has_phrase(x.l, lx.CLOSURE_CUES).alias("closes"), has_phrase(x.l, lx.ABANDONMENT_MARKERS).alias("gives_up"), x.t.rlike(r"\?\s*$").alias("asks"),
-            has_phrase(x.l, lx.RESTART_CUES).alias("restarts"), has_phrase(x.l, lx.HEDGE_CUES).alias("hedges"), (F.regexp_count(x.t, F.lit("--|—|–")) >= 2).alias("dashes"), (F.regexp_count(x.t, F.lit(cluster)) >= 2).alias("clusters"),
-            x.t.rlike(r"!{3,}|\?{3,}|(?:—|--)\s*\S[\s\S]*\S").alias("noisy"),
+        F.transform("_z", lambda x: F.struct(
+            F.size(tx.word_tokens(x.t)).alias("n"), (may(x.k, at["verb"]) & has_verb(x.l)).alias("verb"), broken(x, x.t.rlike(r"(?:\.{3,}|…)\s*$")).alias("trails"), x.t.rlike(r"[.!?]\s*$").alias("ends"),
+            broken(x, x.t.rlike(r"(?:—|--)\s*$")).alias("dash"), x.l.rlike(r"(?U)^\s*(?:but|and|so)\b").alias("joins"),
+            *[(may(x.k, at[name]) & has_phrase(x.l, phrases)).alias(name) for name, phrases in PHRASES.items()], x.t.rlike(r"\?\s*$").alias("asks"),
+            broken(x, F.regexp_count(x.t, F.lit("--|—|–")) >= 2).alias("dashes"), broken(x, F.regexp_count(x.t, F.lit(cluster)) >= 2).alias("clusters"),
+            broken(x, x.t.rlike(r"!{3,}|\?{3,}|(?:—|--)\s*\S[\s\S]*\S")).alias("noisy"),
         )).alias("m"),
     )
     full = marked.select(
