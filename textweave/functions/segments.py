@@ -9,13 +9,13 @@ from textweave.functions.text import normalize_text, punctuation_only, sentences
 
 BLANK_LINES = r"\n(?:[ \t]*\n)+"
 #: A line end parts two fragments after `...` or a character other than .!?:; if the next line starts upper case.
-FRAGMENT_END = r"(?<=\.\.\.|[^.!?:;\n])\n(?=\p{Lu})"
+FRAGMENT_END = r"\n(?=\p{Lu})(?<=(?:\.\.\.|[^.!?:;\n])\n)"
 
 
 def fragments(block: Column) -> Column:
     """The fragments of a block without blank lines; lines that belong together are joined by a space."""
     lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != "")
-    return F.transform(F.split(F.array_join(lines, "\n"), FRAGMENT_END), lambda x: F.regexp_replace(x, "\n", " "))
+    return F.transform(F.split(F.array_join(lines, "\n"), FRAGMENT_END), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
 
 
 def block_sentences(t: Column) -> Column:

@@ -10,20 +10,25 @@ from textweave.functions.lexicons import CORRUPTION
 
 #: Unicode white space as the inside of a character class, alike in Java's and RE2's patterns.
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Frequent characters that are not white space: tried first, they spare the ranges of WS.
+SEEN = r"!-~\x{a1}-\x{24f}"
+#: The characters of WS.
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(t, F.lit(WS_CHARS))
 
 
 def normalize_text(t: Column) -> Column:
     """Line ends as \\n, runs of spaces and tabs as one space, ends stripped of Unicode white space; newlines kept."""
-    return strip(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[ \t]+", " "))
+    lines = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return strip(F.regexp_replace(F.replace(lines, F.lit("\t"), F.lit(" ")), "  +", " "))
 
 
 def sentences(t: Column) -> Column:
     """Pieces after `.`, `!` or `?` and white space, stripped, empty ones dropped."""
-    return F.filter(F.transform(F.split(t, f"(?<=[.!?])[{WS}]+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, rf"[\W&&[{WS}]](?<=[.!?][{WS}])[{WS}]*"), strip), lambda x: x != "")
 
 
 def punctuation_only(t: Column) -> Column:
@@ -32,7 +37,7 @@ def punctuation_only(t: Column) -> Column:
 
 def word_tokens(t: Column) -> Column:
     """Word-character runs, case kept."""
-    return F.regexp_extract_all(t, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def letter_tokens(t: Column) -> Column:
@@ -54,7 +59,7 @@ def has_bullets(t: Column) -> Column:
 
 def word_count(t: Column) -> Column:
     """Runs without white space."""
-    return F.regexp_count(t, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(t, F.lit(f"[{SEEN}[^{WS}]]+"))
 
 
 def em_dashes(t: Column) -> Column:
@@ -72,7 +77,7 @@ def looping(w: Column) -> Column:
     at = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))
     same = lambda i, k: F.coalesce(F.get(w, i) == F.get(w, i + k), F.lit(False))
     repeats = F.exists(at, lambda i: same(i, 1) | (same(i, 2) & same(i + 1, 2)))
-    long = F.array_sort(F.filter(w, lambda x: F.length(x) > 3))
+    long = F.sort_array(F.filter(w, lambda x: F.length(x) > 3))
     m = F.size(long)
     thrice = F.exists(F.zip_with(F.slice(long, 1, F.greatest(m - 2, F.lit(0))), F.slice(long, 3, F.greatest(m - 2, F.lit(0))), lambda a, b: a == b), lambda x: x)
     return (n >= 6) & (repeats | thrice)
