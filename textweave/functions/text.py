@@ -68,7 +68,8 @@ def em_dashes(t: Column) -> Column:
 
 def corrupted(t: Column) -> Column:
     """Markup residue: tags, attributes, entities, links, quiz remains, escapes."""
-    return t.rlike("(?iU)" + CORRUPTION)
+    hints = t.rlike(r"[<=&\\]|://|[qQ](?iU:uiz)|[wW](?iU:ww\.)")  # every pattern holds one of them; most texts none
+    return hints & t.rlike("(?iU)" + CORRUPTION)
 
 
 def looping(w: Column) -> Column:
