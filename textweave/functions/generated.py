@@ -26,20 +26,25 @@ def banned_word(word: str) -> str:
     return rf"(?:^|[^\p{{L}}\p{{N}}_]){word}(?:$|[^\p{{L}}\p{{N}}_])"
 
 
-def disallowed(text: Column) -> Column:
-    """Whether a text names a banned term, an e-mail address, a telephone number or a street address."""
-    low = F.lower(text)
-    out = text.rlike(EMAIL) | text.rlike(PHONE) | text.rlike(ADDRESS)
+def disallowed(text: Column, low: Column | None = None) -> Column:
+    """Whether a text names a banned term, an e-mail address, a telephone number or a street address.
+
+    `low` is the text in lower case where it is a column already. Patterns are tried where the text holds a part of theirs.
+    """
+    low = F.lower(text) if low is None else low
+    out = (F.contains(text, F.lit("@")) & text.rlike(EMAIL)) | (text.rlike("[0-9]") & (text.rlike(PHONE) | text.rlike(ADDRESS)))
     for term in BANNED:
-        out = out | (F.contains(low, F.lit(term)) if " " in term else low.rlike(banned_word(term)))
+        held = F.contains(low, F.lit(term))
+        out = out | (held if " " in term else held & low.rlike(banned_word(term)))
     return out
 
 
-def valid_entry(text: Column) -> Column:
+def valid_entry(text: Column, low: Column | None = None) -> Column:
     """Whether an entry's length is within bounds and it contains none of BANNED_PARTS; null is not valid."""
+    low = F.lower(text) if low is None else low
     ok = F.length(text).between(SHORTEST, LONGEST)
     for term in BANNED_PARTS:
-        ok = ok & ~F.contains(F.lower(text), F.lit(term))
+        ok = ok & ~F.contains(low, F.lit(term))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -45,8 +45,9 @@ def label_answers(spark, sf_dir):
 
 def text_checks(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", t.alias("t"))
-    return d.select("doc_id", tx.word_count(F.col("t")).cast("long").alias("n_words"), tx.em_dashes(F.col("t")).cast("long").alias("em_dashes"), generated.disallowed(F.col("t")).alias("disallowed"), generated.valid_entry(F.col("t")).alias("valid"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", t.alias("t")).withColumn("low", F.lower("t"))
+    found = {"disallowed": generated.disallowed(F.col("t"), F.col("low")), "valid": generated.valid_entry(F.col("t"), F.col("low"))}
+    return d.select("doc_id", tx.word_count(F.col("t")).cast("long").alias("n_words"), tx.em_dashes(F.col("t")).cast("long").alias("em_dashes"), *[c.alias(n) for n, c in found.items()])
 
 
 def whole_segmentation(spark, sf_dir):
