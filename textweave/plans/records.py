@@ -227,12 +227,14 @@ def text_sink(spark, sf_dir):
 def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From text to score: segmentation, vectors, the families of features in one row, 13 terms and band.
 
-    Entries are the turns of conversations. One shuffle brings each text's sentences together by id.
+    Entries are the turns of conversations. One shuffle brings each text's sentences together by id. Sentences with their vectors
+    and the arrays of each text are written once, as every family of features reads them.
     """
     d = spread(table(spark, sf_dir, "conversations")).where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     s = d.select("doc_id", F.posexplode(block_sentences(F.col("text"))).alias("sent_id", "s")).select("doc_id", "sent_id", "s.block_id", F.col("s.text").alias("sentence"))
-    v = s.withColumn("embedding", embedding.letter_profile(F.col("sentence")))
+    v = stored(s.withColumn("embedding", embedding.letter_profile(F.col("sentence"))), "sentences")
     arrays = v.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "sentence", "embedding"))).alias("a")).select("doc_id", F.col("a.sentence").alias("sentences"), F.col("a.embedding").alias("embeddings"))
+    arrays = stored(arrays, "texts")
     row = d.select("doc_id")
     for part in (coherence.coherence(v), coherence.narrative(v), coherence.similarity_load(v), clusters.topic_clusters(v), discourse.wording(arrays), discourse.belief_conflicts(arrays), discourse.disorder(arrays)):
         row = row.join(part, "doc_id", "left")
