@@ -396,8 +396,8 @@ WRITTEN_NODES = 4096
 def tree_score(features: list[Column], model: dict) -> Column:
     """The prediction of a fitted model as an expression; a missing input counts 0.
 
-    The inputs are the element of an array, so they are worked out once for each row and not at each node. Small models are
-    nested conditions; those of more nodes are walked in literal arrays of features, thresholds and leaves.
+    The inputs are an array, so they are worked out once for each row and not at each node. Small models are nested conditions on
+    whole Arrow batches; those of more nodes are walked in literal arrays of features, thresholds and leaves.
     """
     x = F.array(*[F.coalesce(F.nullif(f.cast("double"), F.lit(float("nan"))), F.lit(0.0)) for f in features])
     base, trees = F.lit(float(model["base"])), model["trees"]
@@ -406,13 +406,23 @@ def tree_score(features: list[Column], model: dict) -> Column:
     if sum(len(t["feature"]) // 2 for t in trees) > WRITTEN_NODES:
         return F.get(F.transform(F.array(x), lambda own: base + walked(own, trees)), F.lit(0))
 
-    def nested(own: Column, t: dict, k: int) -> Column:
-        if t["feature"][k] < 0:
-            return F.lit(float(t["value"][k]))
-        return F.when(F.get(own, F.lit(t["feature"][k])) <= F.lit(float(t["threshold"][k])), nested(own, t, t["left"][k])).otherwise(nested(own, t, t["right"][k]))
+    width = len(features)
 
-    written = F.transform(F.array(x), lambda own: F.aggregate(F.array(*[nested(own, t, 0) for t in trees]), base, lambda s, v: s + v))
-    return F.get(written, F.lit(0))
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        own = rows.flatten().to_numpy().reshape(-1, width).T
+
+        def nested(t: dict, k: int) -> np.ndarray | float:
+            if t["feature"][k] < 0:
+                return float(t["value"][k])
+            return np.where(own[t["feature"][k]] <= float(t["threshold"][k]), nested(t, t["left"][k]), nested(t, t["right"][k]))
+
+        total = np.full(own.shape[1], float(model["base"]))
+        for t in trees:
+            total = total + nested(t, 0)
+        return pa.array(total)
+
+    return score(x)
 
 
 def walked(x: Column, trees: Sequence[dict]) -> Column:
