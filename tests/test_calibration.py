@@ -63,3 +63,39 @@ def test_thresholds_and_empty_tables(spark):
     assert blocks.count() == 0 and calibration.calibrated(empty, "p", blocks).columns == ["p", "t", "calibrated"]
     two = calibration.isotonic_blocks(spark.createDataFrame([(1.0, 5.0), (2.0, 3.0), (3.0, 9.0)], "p double, t double"), "p", "t")
     assert sorted(map(tuple, calibration.thresholds(two).collect())) == [(1.0, 4.0), (2.0, 4.0), (3.0, 9.0)]
+
+
+def test_rows_that_count_several_times(spark):
+    """Cells of equal prediction and label with their number give the blocks of the rows."""
+    rows = sample("up", 40)
+    cells = [(p, t, k % 4 + 1) for k, (p, t) in enumerate(rows)]
+    blocks = calibration.isotonic_blocks(spark.createDataFrame(cells, "p double, t double, n long"), "p", "t", times="n")
+    each = calibration.isotonic_blocks(spark.createDataFrame([(p, t) for p, t, n in cells for _ in range(n)], "p double, t double"), "p", "t")
+    got, want = ([tuple(r) for r in b.orderBy("lo").collect()] for b in (blocks, each))
+    assert len(got) == len(want) > 1 and sum(r[3] for r in got) == sum(n for *_, n in cells)
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w)
+
+
+def test_combiner_search_calibrates_cells(spark, tmp_path, monkeypatch):
+    """Four copies of a table give the calibration no more rows than one copy has; the result is the SQL's."""
+    import duckdb
+
+    from textweave.plans import learning
+
+    one = "/root/testdata/sf0.001/lineitem.parquet"
+    con = duckdb.connect()
+    # Orders shifted by 35 keep their folds and labels, so the copies' rows are alike but for their keys.
+    con.sql(f"COPY (SELECT l.* REPLACE (l_orderkey + 35 * 1000000 * r.range AS l_orderkey) FROM range(4) r, '{one}' l) TO '{tmp_path}/lineitem.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    given, calibrated = [], calibration.calibrated
+
+    def counted(rows, *rest):
+        given.append(rows.count())
+        return calibrated(rows, *rest)
+
+    monkeypatch.setattr(calibration, "calibrated", counted)
+    ours = learning.combiner_search(spark, str(tmp_path)).select("inputs", "alpha", "mae", "best").collect()
+    theirs = con.sql(f"SELECT inputs, alpha, mae, best FROM ({learning.SQL['combiner_search']})").fetchall()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
+    assert given[0] <= len(theirs) * con.sql(f"SELECT count(*) FROM '{one}' WHERE l_returnflag = 'R'").fetchall()[0][0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textweave.operators.ordering import carried, positions, spread_join
+from textweave.operators.ordering import BROADCAST_GROUPS, carried, positions, spread_join
 from textweave.sources.scratch import stored
 
 #: Blocks that one task pools at once.
@@ -48,19 +48,20 @@ def _pool_runs(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys, "_run").applyInArrow(run, schema)
 
 
-def isotonic_blocks(rows: DataFrame, prediction: str, label: str, keys: list[str] | tuple[str, ...] = (), most: int = RUN) -> DataFrame:
+def isotonic_blocks(rows: DataFrame, prediction: str, label: str, keys: list[str] | tuple[str, ...] = (), most: int = RUN, times: str | None = None) -> DataFrame:
     """(keys, lo, hi, value, weight): blocks of the non-decreasing least-squares fit of labels, cut to 0 and 100, for each key.
 
     Labels of equal predictions are averaged first. Blocks then lie in runs of `most` neighbours and each run is pooled by a
     task of its own; runs shift by half their length from round to round until no two neighbours fall, so a pool may grow
     over any number of runs. In whatever order neighbours are pooled, the fit is the same. Rows with a null or NaN
-    prediction or label take no part; no rows give no blocks.
+    prediction or label take no part; no rows give no blocks. times: a column that says how often a row counts.
     """
     keys = list(keys)
     p, y = F.col(prediction).cast("double"), F.col(label).cast("double")
     some = rows.where(p.isNotNull() & y.isNotNull() & ~F.isnan(p) & ~F.isnan(y))
-    clipped = some.select(*keys, p.alias("lo"), F.least(F.greatest(y, F.lit(0.0)), F.lit(100.0)).alias("_y"))
-    blocks = clipped.groupBy(*keys, "lo").agg(F.sum("_y").alias("total"), F.count("*").cast("double").alias("weight")).withColumn("hi", F.col("lo"))
+    n = F.lit(1.0) if times is None else F.col(times).cast("double")
+    clipped = some.select(*keys, p.alias("lo"), F.least(F.greatest(y, F.lit(0.0)), F.lit(100.0)).alias("_y"), n.alias("_n"))
+    blocks = clipped.groupBy(*keys, "lo").agg(F.sum(F.col("_y") * F.col("_n")).alias("total"), F.sum("_n").alias("weight")).withColumn("hi", F.col("lo"))
     shift = 0
     while True:
         placed = positions(blocks, keys, ["lo"], "_place")
@@ -92,7 +93,8 @@ def calibrated(rows: DataFrame, prediction: str, blocks: DataFrame, name: str =
     """The rows with `name`: their prediction through the blocks of their key, straight lines between, held beyond the ends.
 
     A sorted merge: distinct predictions and blocks stand in one order dealt over ranges, and the block before and the one
-    after are carried to each prediction. Null or NaN predictions, and keys without blocks, give null.
+    after are carried to each prediction. At most BROADCAST_GROUPS distinct predictions then meet their rows by a broadcast,
+    so the rows are not shuffled. Null or NaN predictions, and keys without blocks, give null.
     """
     keys = list(keys)
     p = F.col(prediction).cast("double")
@@ -107,5 +109,8 @@ def calibrated(rows: DataFrame, prediction: str, blocks: DataFrame, name: str =
     own = F.struct(*(keys or [F.lit(0).alias("_")]))
     block = lambda c: F.when(F.col(f"{c}.k").eqNullSafe(own), F.col(f"{c}.b"))
     found = both.select(F.struct(*keys, F.col("_x").alias("_p")).alias("_of"), "_n", _between(F.col("_x"), block("_low"), block("_high")).alias(name))
-    found = stored(found, "calibrated")
-    return spread_join(rows.withColumn("_of", of), found, "_of", "_n").drop("_of", "_n")
+    found, rows = stored(found, "calibrated"), rows.withColumn("_of", of)
+    if found.limit(BROADCAST_GROUPS + 1).count() > BROADCAST_GROUPS:
+        return spread_join(rows, found, "_of", "_n").drop("_of", "_n")
+    few = F.broadcast(found.drop("_n").withColumnRenamed("_of", "_key"))
+    return rows.join(few, rows["_of"].eqNullSafe(few["_key"]), "left").drop("_of", "_key")

@@ -19,6 +19,7 @@ from textweave.plans.audits import _Z as AUDITED
 from textweave.plans.audits import FEATURES, rated
 from textweave.plans.records import random_pairs_sql
 from textweave.plans.tables import table
+from textweave.sources.scratch import stored
 
 INPUTS = ["l_quantity", "l_discount", "l_tax"]
 DIM = 16
@@ -130,20 +131,28 @@ def isotonic_calibration(spark, sf_dir):
 
 
 def combiner_search(spark, sf_dir):
-    """Inputs by penalties; the least calibrated error on human rows wins. The calibration sees the rows it is scored on."""
+    """Inputs by penalties; the least calibrated error on human rows wins. The calibration sees the rows it is scored on.
+
+    Rows are read twice, for the moments and for cells of equal candidate, prediction and target with their number of rows;
+    the calibration and the errors come from the cells.
+    """
     d = labelled(spark, sf_dir).withColumn("target", (F.col("y") - 1) / 9 * 100)
     m = training.moments(d, [*FEATURES, "target"], ["fold", "source"])
-    tries = []
-    for name, inputs in CANDIDATES.items():
-        for alpha in ALPHAS:
-            models = training.fold_models(m.part([*inputs, "target"]), lambda t, a=alpha: training.ridge(t, a))
-            p = F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1)
-            tries.append(F.struct(F.lit(name).alias("inputs"), F.lit(alpha).alias("alpha"), p.alias("p")))
+    tries = [(name, alpha) for name in CANDIDATES for alpha in ALPHAS]
+    predictions = []
+    for name, alpha in tries:
+        inputs = CANDIDATES[name]
+        models = training.fold_models(m.part([*inputs, "target"]), lambda t, a=alpha: training.ridge(t, a))
+        predictions.append(F.round(training.by_fold("fold", models, lambda b, i=inputs: training.line(i, b)), 1))
     # All candidates are calibrated together, each by the thresholds of its own.
-    each = d.where("source = 'human'").select("target", F.inline(F.array(*tries)))
+    each = d.where("source = 'human'").select("target", F.posexplode(F.array(*predictions)).alias("c", "p"))
+    cells = each.groupBy("c", "p", "target").agg(F.count("*").alias("n"))
     keys = ["inputs", "alpha"]
-    met = calibration.calibrated(each, "p", calibration.isotonic_blocks(each, "p", "target", keys), "value", keys)
-    out = met.groupBy(*keys).agg(F.round(F.avg(F.abs(F.col("value") - F.col("target"))), 4).alias("mae"))
+    own = [F.get(F.array(*[F.lit(t[k]) for t in tries]), F.col("c")).alias(n) for k, n in enumerate(keys)]
+    cells = stored(cells.select(*own, "p", "target", "n"), "cells")
+    met = calibration.calibrated(cells, "p", calibration.isotonic_blocks(cells, "p", "target", keys, times="n"), "value", keys)
+    error = F.abs(F.col("value") - F.col("target"))
+    out = met.groupBy(*keys).agg(F.round(F.sum(error * F.col("n")) / F.sum(F.when(error.isNotNull(), F.col("n"))), 4).alias("mae"))
     best = F.min(F.struct("mae", "inputs", "alpha")).over(Window.partitionBy(F.lit(0)))  # a row for each candidate
     return out.select(*keys, "mae", F.struct("mae", "inputs", "alpha").eqNullSafe(best).alias("best"))
 
